@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import pii, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,13 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_quality(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_line_quality": op2_line_quality,
+    "op10_pii": op10_pii,
 }
 
 SQL: dict[str, str] = {}
