@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii, quality
+from . import bpe, huffman, pii, quality
 
 #: Vocabulary file of the queries; operators take any path.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +24,11 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_quality(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = huffman.write_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
+    return huffman.read_tokens(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_docs(table(spark, sf_dir, "documents"), BYTE_BPE)
     return bpe.decode_ids(encoded, BYTE_BPE).select(
@@ -37,6 +42,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_line_quality": op2_line_quality,
+    "op3_token_files": op3_token_files,
     "op6_bpe": op6_bpe,
     "op10_pii": op10_pii,
 }
