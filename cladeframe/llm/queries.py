@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, huffman, pii, quality
+from . import bpe, decontam, huffman, langid, pii, quality
 
 #: Vocabulary file of the queries; operators take any path.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +37,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_digest(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op2_line_quality": op2_line_quality,
     "op3_token_files": op3_token_files,
     "op6_bpe": op6_bpe,
+    "op7_language": op7_language,
     "op9_decontamination": op9_decontamination,
     "op10_pii": op10_pii,
 }
