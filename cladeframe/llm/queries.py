@@ -8,12 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, huffman, langid, pii, quality
+from . import bpe, decontam, huffman, langid, pii, quality, urlrules
 
 #: Vocabulary file of the queries; operators take any path.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
+# Action, host and path of the rules of op8.
+URL_RULES = (
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+)
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -41,6 +50,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_digest(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op3_token_files": op3_token_files,
     "op6_bpe": op6_bpe,
     "op7_language": op7_language,
+    "op8_url_rules": op8_url_rules,
     "op9_decontamination": op9_decontamination,
     "op10_pii": op10_pii,
 }
