@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, huffman, langid, pii, quality, urlrules
+from . import bpe, chat, decontam, huffman, langid, orderminhash, pii, quality, urlrules
 
 #: Vocabulary file of the queries; operators take any path.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderminhash.duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_quality(table(spark, sf_dir, "documents")).drop("cleaned")
 
@@ -70,6 +74,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_line_quality": op2_line_quality,
     "op3_token_files": op3_token_files,
     "op5_chat": op5_chat,
