@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, huffman, langid, orderminhash, pii, quality, urlrules
+from . import bpe, chat, decontam, editcount, huffman, langid, orderminhash, pii, quality, urlrules
 
 #: Vocabulary file of the queries; operators take any path.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,6 +43,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_tokens(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edits = editcount.sample_edits(F.col("text"))
+    return editcount.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, edits)
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -77,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_line_quality": op2_line_quality,
     "op3_token_files": op3_token_files,
+    "op4_token_counts": op4_token_counts,
     "op5_chat": op5_chat,
     "op6_bpe": op6_bpe,
     "op7_language": op7_language,
