@@ -1,13 +1,66 @@
-"""Corpus pipeline over documents; stages are registered as they are built."""
+"""Corpus pipeline over documents: language, near-duplicates, benchmark passages, personal data, tokens.
+
+Every stage takes the session, the rows that its predecessor kept, and the folder of the tables; all
+but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cladeframe.llm import bpe, decontam, langid, orderminhash, pii
+from cladeframe.llm.common import stash
+from cladeframe.llm.queries import BYTE_BPE, PIECES, table
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """docs with n_chars as the text has it now."""
+    return docs.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language is in doubt, go."""
+    return langid.keep_identified(docs, PIECES)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays."""
+    return orderminhash.drop_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go; single passages of benchmark are cut from the others."""
+    return _sized(decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data give way to their kind in angle brackets."""
+    return _sized(pii.mask_pii(docs))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the text decoded from them."""
+    return bpe.decode_ids(bpe.encode_docs(docs, BYTE_BPE), BYTE_BPE)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("personal_data", mask_personal_data),
+    ("bpe", encode),
+]
+
+#: SQL cannot express language scores, sketches or byte-pair merges; tests/llm holds brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each from the rows that the one before has written."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stash(docs, f"stage-{name}")
     return docs
