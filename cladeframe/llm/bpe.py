@@ -1,8 +1,8 @@
 """Byte-level BPE through a table of distinct words.
 
-A *unit* is a stretch of text that begins at a text's start or at a single space between two
-non-blank characters. The pre-tokeniser never joins characters across such a place, so the ids of
-a text are the ids of its units in a row, whatever stands around them.
+A *unit* is a stretch of text that begins at a text's start, at a single space between two non-blank
+characters, or at an ASCII sign behind an ASCII letter. The pre-tokeniser never joins characters
+across such a place, so the ids of a text are the ids of its units in a row, whatever stands around.
 
 encode_docs() splits documents into blocks of units coded by position, sends each block's distinct
 units to the partition that owns them by hash, encodes every distinct unit there once, and joins the
@@ -24,16 +24,22 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, flat_bytes, ragged, slices, stash
+from .common import SLICE_BYTES, flat_bytes, ragged, slices, stash_by
 
-#: Distinct units that one worker keeps encoded; beyond it the table starts anew.
-CACHE_UNITS = 500_000
+#: Distinct units that one worker keeps encoded: as many used lately, and as many before them.
+CACHE_UNITS = 400_000
+#: Text in one block, in bytes; larger blocks repeat fewer words but take more memory.
+BLOCK_BYTES = 12 << 20
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 #: First bytes of the characters above U+007F among which blanks are found.
 _LEAD = np.zeros(256, dtype=bool)
 _LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: ASCII letters (1) and signs (2); not the bar, which stands inside the name of a special token.
+_SORT = np.zeros(256, dtype=np.uint8)
+_SORT[65:91] = _SORT[97:123] = 1
+_SORT[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "|"]] = 2
 
 
 def split_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -45,8 +51,12 @@ def split_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     before, after = data[at - 1], data[at + 1]
     ok = ~_BLANK[before] & ~_BLANK[after] & ~_LEAD[after]
     ok &= ~((before >= 128) & (_LEAD[data[np.maximum(at - 2, 0)]] | _LEAD[data[np.maximum(at - 3, 0)]]))
-    bounds = np.unique(np.concatenate([offsets, at[ok]]))
-    bounds = np.zeros(1, np.int64) if not len(bounds) else bounds.astype(np.int64)
+    mark = np.zeros(n + 1, dtype=bool)
+    mark[offsets] = True
+    mark[at[ok]] = True
+    sort = _SORT[data]
+    mark[1:n] |= (sort[:-1] == 1) & (sort[1:] == 2)
+    bounds = np.flatnonzero(mark)
     units = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data)))
     return units, np.searchsorted(bounds, offsets)
 
@@ -63,7 +73,8 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         gap = self._plain(["\n"])[0]
         self.gap = int(gap[0]) if len(gap) == 1 else None
 
@@ -74,6 +85,9 @@ class UnitEncoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
+    def forget(self) -> None:
+        self.recent, self.older = {}, {}
+
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -97,15 +111,23 @@ class UnitEncoder:
             out[i] = ids.tobytes()
         return out
 
-    def encode(self, units: list[str], cap: int = CACHE_UNITS) -> list[bytes]:
-        get = self.cache.get
-        out = [get(u) for u in units]
+    def encode(self, units: list[str]) -> list[bytes]:
+        recent, older = self.recent, self.older
+        out = [recent.get(u) for u in units]
         missing = [i for i, x in enumerate(out) if x is None]
-        if missing:
-            if len(self.cache) + len(missing) > cap:
-                self.cache.clear()
-            for i, ids in zip(missing, self.fresh([units[i] for i in missing])):
-                out[i] = self.cache[units[i]] = ids
+        if len(recent) + len(missing) > CACHE_UNITS and recent:
+            self.older, self.recent = recent, {}
+        new = []
+        for i in missing:
+            out[i] = older.get(units[i])
+            if out[i] is None:
+                new.append(i)
+        for i, ids in zip(new, self.fresh([units[i] for i in new])):
+            out[i] = ids
+        if self.recent is recent:
+            recent.update((units[i], out[i]) for i in missing)
+        else:
+            self.recent.update(zip(units, out))
         return out
 
 
@@ -148,7 +170,24 @@ def pieces_of(path: str) -> list[bytes]:
 
 def _packed(*arrays: bytes) -> bytes:
     head = np.array([len(a) for a in arrays], dtype=np.uint32).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(arrays))
+    return zstandard.ZstdCompressor(level=6).compress(head + b"".join(arrays))
+
+
+def _rank_bytes(ranks: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Small numbers in one byte: seven bits and a flag, then eight bits more, then 32 where those are full."""
+    large = ranks >= 128
+    first = np.where(large, ranks & 127 | 128, ranks).astype(np.uint8)
+    high = ranks[large] >> 7
+    return first.tobytes(), np.minimum(high, 255).astype(np.uint8).tobytes(), high[high >= 255].astype("<u4").tobytes()
+
+
+def _ranks(first: memoryview, second: memoryview, third: memoryview) -> np.ndarray:
+    head = np.frombuffer(first, dtype=np.uint8)
+    high = np.frombuffer(second, dtype=np.uint8).astype(np.int64)
+    high[high == 255] = np.frombuffer(third, dtype="<u4")
+    ranks = (head & 127).astype(np.int64)
+    ranks[head >= 128] += high << 7
+    return ranks
 
 
 def _unpacked(data: bytes, n: int) -> list[memoryview]:
@@ -175,15 +214,13 @@ def _code_blocks(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BLOCK_BYTES):
                 units, first = split_units(part.column("text"))
                 coded = pc.dictionary_encode(units)
                 codes, words = coded.indices.to_numpy(), coded.dictionary
                 order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
                 rank = np.empty(len(words), dtype=np.uint32)
                 rank[order] = np.arange(len(words), dtype=np.uint32)
-                ranks = rank[codes]
-                planes = [((ranks >> shift) & 255).astype(np.uint8).tobytes() for shift in (0, 8, 16, 24)]
                 words = words.take(pa.array(order))
                 owner = np.array([zlib.crc32(w.as_buffer()) for w in words], dtype=np.int64) % buckets
                 dealt = np.argsort(owner, kind="stable")
@@ -197,8 +234,8 @@ def _code_blocks(buckets: int):
                         {
                             "block": uuid.uuid4().hex,
                             "doc_ids": part.column("doc_id").to_pylist(),
-                            "codes": _packed(np.diff(first).astype(np.uint32).tobytes(), *planes),
-                            "owners": _packed(owner.astype(np.uint32).tobytes()),
+                            "codes": _packed(np.diff(first).astype(np.uint32).tobytes(), *_rank_bytes(rank[codes])),
+                            "owners": _packed(owner.astype(np.uint16).tobytes()),
                             "parts": parts,
                         }
                     ],
@@ -226,6 +263,7 @@ def _encode_words(path: str):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], schema=schema
             )
+        encoder.forget()  # no other task of this stage owns these units
 
     return run
 
@@ -235,9 +273,9 @@ def _join_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             block = {c: batch.column(c)[row].as_py() for c in ("doc_ids", "codes", "owners", "replies")}
-            counts, *planes = _unpacked(block["codes"], 5)
-            codes = sum(np.frombuffer(p, dtype=np.uint8).astype(np.int64) << (8 * i) for i, p in enumerate(planes))
-            owner = np.frombuffer(_unpacked(block["owners"], 1)[0], dtype=np.uint32)
+            counts, *coded = _unpacked(block["codes"], 4)
+            codes = _ranks(*coded)
+            owner = np.frombuffer(_unpacked(block["owners"], 1)[0], dtype=np.uint16)
             dealt = np.argsort(owner, kind="stable")
             lengths, flats = [], []
             for reply in sorted(block["replies"] or [], key=lambda r: r["bucket"]):
@@ -268,13 +306,14 @@ def encode_docs(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     Words go to `buckets` owners by hash, twice the session's shuffle partitions unless given. What
     moves is coded and packed: per block its distinct units to their owners, their ids back, and the
-    coded positions once. A null text is empty; null and repeated ids pass through; other columns
+    coded positions not at all, for they are written bucketed by block. A null text is empty; null and repeated ids pass through; other columns
     are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    buckets = buckets or max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(buckets or max(64, 2 * partitions), 1 << 16)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = stash(texts.mapInArrow(_code_blocks(buckets), _BLOCK_DDL), "bpe-blocks")
+    blocks = stash_by(texts.mapInArrow(_code_blocks(buckets), _BLOCK_DDL), "block", partitions, "bpe-blocks")
     words = blocks.select("block", F.inline("parts"))
     replies = words.repartition("bucket").mapInArrow(_encode_words(path), "block string, bucket int, ids binary")
     replies = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "ids")).alias("replies"))
@@ -295,7 +334,7 @@ def decode_ids(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame
         flat = np.frombuffer(b"".join(pieces.value), dtype=np.uint8)
         starts = np.cumsum(lengths) - lengths
         for batch in batches:
-            for part in slices(batch, ids_col, SLICE_BYTES // 2):
+            for part in slices(batch, ids_col, SLICE_BYTES // 8):
                 raw = pc.fill_null(pc.cast(part.column(ids_col), pa.large_binary()), b"")
                 data, offsets = flat_bytes_of_binary(raw)
                 ids = np.frombuffer(data, dtype="<u4").astype(np.int64)

@@ -34,6 +34,20 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def stash_by(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """stash(), dealt by key into buckets, so that a join on key need not move these rows again."""
+    spark = df.sparkSession
+    label = f"cladeframe_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(buckets, key).format("parquet").option("compression", "zstd").option("path", path)
+    writer.saveAsTable(label)
+    back = spark.table(label)
+    back.schema
+    spark.sql(f"DROP TABLE {label}")  # its files stay
+    back._stash_path = path
+    return back
+
+
 def unstash(df: DataFrame) -> None:
     """Delete what stash() wrote for df; only once nothing reads it any more."""
     spark = df.sparkSession
