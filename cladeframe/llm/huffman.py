@@ -129,16 +129,21 @@ def read_shard(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out.T.reshape(-1)[:n], sizes
 
 
-def _tokenise(path: str, end_id: int):
+def _kind(path: str) -> str:
+    """Two bytes an id where the vocabulary allows, else four."""
+    return "<u2" if len(bpe.pieces_of(path)) <= 1 << 16 else "<u4"
+
+
+def _tokenise(path: str, end_id: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.UnitEncoder.of(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 * bpe.BLOCK_BYTES):
                 ids, first = bpe.encode_texts(part.column("text"), encoder)
-                ids = np.insert(ids, first[1:], end_id).astype("<u4")
+                ids = np.insert(ids, first[1:], end_id).astype(kind)
                 first = first + np.arange(len(first))
                 values = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), len(first) - 1, [None, pa.py_buffer(first * 4), pa.py_buffer(ids)]
+                    pa.large_binary(), len(first) - 1, [None, pa.py_buffer(first * ids.itemsize), pa.py_buffer(ids)]
                 )
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(np.diff(first)), values.cast(pa.binary())], names=["doc_id", "n_tokens", "ids"]
@@ -147,24 +152,27 @@ def _tokenise(path: str, end_id: int):
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, dtype=np.int64)
-    for batch in batches:
-        for part in slices(batch, "ids"):
-            ids = _ids(part.column("ids"))[0]
-            got = np.bincount(ids, minlength=len(total))
-            got[: len(total)] += total
-            total = got
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
+def _count(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for part in slices(batch, "ids"):
+                got = np.bincount(_ids(part.column("ids"), kind)[0], minlength=len(total))
+                got[: len(total)] += total
+                total = got
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
+
+    return run
 
 
-def _ids(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _ids(values: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = bpe.flat_bytes_of_binary(values.cast(pa.large_binary()))
-    return np.frombuffer(data, dtype="<u4"), offsets // 4
+    ids = np.frombuffer(data, dtype=kind)
+    return ids, offsets // ids.itemsize
 
 
-def _write(lengths: np.ndarray, shard_ids: int, every: int):
+def _write(lengths: np.ndarray, shard_ids: int, every: int, kind: str):
     """Sorted documents to shards; one shard's ids are in memory at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +195,7 @@ def _write(lengths: np.ndarray, shard_ids: int, every: int):
         n = 0
         for batch in batches:
             for piece in slices(batch, "ids", 4 * shard_ids):
-                ids, first = _ids(piece.column("ids"))
+                ids, first = _ids(piece.column("ids"), kind)
                 held.append((piece.column("doc_id"), ids.copy(), np.diff(first)))
                 n += len(ids)
                 if n >= shard_ids:
@@ -223,8 +231,9 @@ def write_tokens(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    tokens = stash(texts.mapInArrow(_tokenise(path, end_id), "doc_id bigint, n_tokens bigint, ids binary"), "token-rows")
-    counts = tokens.select("ids").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    kind = _kind(path)
+    tokens = stash(texts.mapInArrow(_tokenise(path, end_id, kind), "doc_id bigint, n_tokens bigint, ids binary"), "token-rows")
+    counts = tokens.select("ids").mapInArrow(_count(kind), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     seen = np.zeros(max([r.id for r in counts], default=-1) + 1, dtype=np.int64)
     for r in counts:
         seen[r.id] = r.n
@@ -232,7 +241,7 @@ def write_tokens(
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = tokens.select("doc_id", F.xxhash64("ids").alias("h"), "ids")
     ordered = keyed.repartitionByRange(partitions, "doc_id", "h").sortWithinPartitions("doc_id", "h", "ids")
-    return stash(ordered.drop("h").mapInArrow(_write(lengths, shard_ids, every), _SHARDS), "token-shards")
+    return stash(ordered.drop("h").mapInArrow(_write(lengths, shard_ids, every, kind), _SHARDS), "token-shards")
 
 
 def read_tokens(shards: DataFrame) -> DataFrame:
