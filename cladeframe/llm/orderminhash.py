@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stash
+from .common import lean, slices, stash, tidy
 from .decontam import normal_words
 
 #: Words in a shingle, shingles in a sketch, sketches of a document.
@@ -32,6 +32,8 @@ SHINGLE, DRAWN, SKETCHES = 5, 3, 24
 LEAST_SHARED = 3
 #: Texts of a bucket that are compared side by side.
 BLOCK_TEXTS = 256
+#: Sets of shingles may be similar where whole texts with repeated lines differ in size by this much more.
+SLACK = 0.5
 
 _POWER = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(SHINGLE)], dtype=np.uint64)
 _ODD = np.random.default_rng(20240229).integers(1 << 62, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,6 +99,7 @@ def sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return keys
 
 
+@tidy
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
@@ -122,26 +125,43 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _own_shingles(seq: bytes) -> tuple[np.ndarray, np.ndarray]:
-    words = np.frombuffer(seq, dtype="<u4").astype(np.uint64)
-    grams, at = shingles(words, np.array([0, len(words)]))
-    return grams, labelled(grams, at)
+class Shingled:
+    """One text's shingles, made from its hashed words: as a set, and told apart by occurrence, with places."""
 
+    def __init__(self, seq: bytes):
+        words = np.frombuffer(seq, dtype="<u4").astype(np.uint64)
+        grams, at = shingles(words, np.array([0, len(words)]))
+        own = labelled(grams, at)
+        self.place = np.argsort(own, kind="stable")
+        self.own = own[self.place]
+        self.set = np.unique(grams)
 
-def alignment(a: bytes, b: bytes, least: float) -> float:
-    """Similarity of two texts given as hashed words: shingles matched by an alignment within a band,
-    as a share of all shingles. A pair whose alignment falls short, for its lines have changed places
-    or are repeated, is weighed by its sets of shingles. The band is a fifth of the longer text, which
-    no pair of similarity 0.8 or more leaves."""
-    grams_a, first = _own_shingles(a)
-    grams_b, second = _own_shingles(b)
-    longer, total = max(len(first), len(second)), len(first) + len(second)
-    if not total:
+
+def _common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where two sorted arrays of distinct values have the same."""
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    hit = np.flatnonzero(b[at] == a) if len(b) else np.zeros(0, dtype=np.int64)
+    return hit, at[hit]
+
+
+def alignment(a: Shingled, b: Shingled, least: float) -> float:
+    """Similarity of two texts: shingles matched by an alignment within a band, as a share of all. A pair
+    whose alignment falls short, for its lines have changed places or are repeated, is weighed by its
+    sets of shingles. The band holds every pair that is as similar as `least`."""
+    n, m = len(a.own), len(b.own)
+    if not n or not m:
         return 0.0
-    _, i, j = np.intersect1d(first, second, assume_unique=True, return_indices=True)
-    near = np.abs(i - j) <= longer * (1 - least) + 1
-    order = np.argsort(i[near], kind="stable")
-    steps = j[near][order]
+    if len(a.set) > len(b.set):
+        a, b = b, a
+    common = len(_common(a.set, b.set)[0])
+    sets = common / (len(a.set) + len(b.set) - common)
+    i, j = _common(a.own, b.own)
+    if len(i) / (n + m - len(i)) < least:  # no alignment matches more
+        return sets
+    i, j = a.place[i], b.place[j]
+    near = np.abs(i - j) <= max(n, m) * (1 - least) + 1
+    steps = j[near][np.argsort(i[near], kind="stable")]
     if np.all(steps[1:] > steps[:-1]):
         matched = len(steps)
     else:
@@ -153,19 +173,16 @@ def alignment(a: bytes, b: bytes, least: float) -> float:
             else:
                 tails[k] = x
         matched = len(tails)
-    aligned = matched / (total - matched)
-    if aligned >= least:
-        return aligned
-    set_a, set_b = np.unique(grams_a), np.unique(grams_b)
-    common = len(np.intersect1d(set_a, set_b, assume_unique=True))
-    return max(aligned, common / (len(set_a) + len(set_b) - common))
+    return max(matched / (n + m - matched), sets)
 
 
 def _verify(least: float):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [
-                alignment(x.as_buffer(), y.as_buffer(), least) >= least for x, y in zip(batch.column("seq_a"), batch.column("seq_b"))
+                alignment(Shingled(x.as_buffer()), Shingled(y.as_buffer()), least) >= least
+                for x, y in zip(batch.column("seq_a"), batch.column("seq_b"))
             ]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
@@ -203,22 +220,63 @@ def components(links: DataFrame) -> DataFrame:
         last = tuple(seen)
 
 
-def _compare(keys: tuple, left: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two blocks of one bucket: pairs of different components that share enough sketches."""
-    table = pa.Table.from_batches(left)
-    i, j = keys[1].as_py(), keys[2].as_py()
-    node, root = table.column("node").to_pylist(), np.array(table.column("root").to_pylist(), dtype=object)
-    sketch = np.array(table.column("keys").to_pylist(), dtype=np.int64)
-    side = table.column("blk").to_numpy()
-    a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
-    shared = np.zeros((len(a), len(b)), dtype=np.int8)
-    for t in range(SKETCHES):
-        shared += sketch[a, t][:, None] == sketch[b, t][None, :]
-    x, y = np.nonzero((shared >= LEAST_SHARED) & (root[a][:, None] != root[b][None, :]))
-    found = {(min(node[a[p]], node[b[q]]), max(node[a[p]], node[b[q]])) for p, q in zip(x, y)}
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], names=["a", "b"]
-    )
+def _compare(least: float):
+    """Two blocks of one bucket: links between texts of different components.
+
+    A pair is looked at in the first sketch that it shares, if it shares enough of them and its sizes
+    allow the similarity. What a link has joined is not looked at again, so that at most one link a
+    text leaves here, however large the bucket is.
+    """
+
+    def run(keys: tuple, left: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(left)
+        turn, i, j = keys[0].as_py(), keys[2].as_py(), keys[3].as_py()
+        node, root = table.column("node").to_pylist(), table.column("root").to_pylist()
+        number = {r: k for k, r in enumerate(dict.fromkeys(root))}
+        group = np.array([number[r] for r in root])
+        sketch = np.array(table.column("keys").to_pylist(), dtype=np.int64)
+        seq = table.column("seq").to_pylist()
+        size = np.array([max(1, len(x) // 4 - SHINGLE + 1) for x in seq], dtype=np.float64)
+        side = table.column("blk").to_numpy()
+        a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        shared = np.zeros((len(a), len(b)), dtype=np.int8)
+        earlier = np.zeros((len(a), len(b)), dtype=bool)
+        for t in range(SKETCHES):
+            same = sketch[a, t][:, None] == sketch[b, t][None, :]
+            shared += same
+            if t < turn:
+                earlier |= same
+        wanted = (shared >= LEAST_SHARED) & ~earlier & (group[a][:, None] != group[b][None, :])
+        smaller, larger = np.minimum(size[a][:, None], size[b][None, :]), np.maximum(size[a][:, None], size[b][None, :])
+        wanted &= smaller >= larger * least * SLACK
+        if i == j:
+            wanted &= a[:, None] < b[None, :]
+        x, y = np.nonzero(wanted)
+        order = np.argsort(-shared[x, y], kind="stable")
+        joined = list(range(len(number)))
+
+        def top(k: int) -> int:
+            while joined[k] != k:
+                joined[k] = joined[joined[k]]
+                k = joined[k]
+            return k
+
+        made: dict[int, Shingled] = {}
+        found = []
+        for p, q in zip(a[x[order]].tolist(), b[y[order]].tolist()):
+            r, s = top(group[p]), top(group[q])
+            if r != s:
+                for k in (p, q):
+                    if k not in made:
+                        made[k] = Shingled(seq[k])
+                if alignment(made[p], made[q], least) >= least:
+                    joined[max(r, s)] = min(r, s)
+                    found.append((node[p], node[q]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], names=["a", "b"]
+        )
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
@@ -231,13 +289,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words are linked with their copies only. Null ids pass through; other columns are not read; an
     empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    spark = lean(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("node"))
     drawn = stash(rows.mapInArrow(_sketch, "doc_id bigint, node binary, keys array<bigint>, seq binary"), "sketches")
 
     nodes = drawn.where(F.col("keys").isNotNull()).groupBy("node").agg(F.first("keys").alias("keys"))
-    entries = nodes.select("node", F.explode("keys").alias("key"))
+    entries = nodes.select("node", F.posexplode("keys").alias("turn", "key"))
     entries = entries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
     buckets = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
     shared = stash(entries.join(buckets, "key"), "shared-sketches")
@@ -252,16 +310,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _links(stars, texts, least, "star-links")
     found = components(links)
 
-    placed = shared.join(found, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    placed = shared.join(found, "node", "left").select("turn", "key", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     members = placed.join(mixed, "key", "left_semi")
     members = members.withColumn("g", F.ceil(F.col("n") / BLOCK_TEXTS).cast("int"))
     members = members.withColumn("blk", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-    members = members.join(texts.select("node", "keys"), "node")
-    dealt = members.select("key", "node", "root", "keys", "blk", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "node", "root", "keys", "blk")
-    pairs = dealt.groupBy("key", "i", "j").applyInArrow(_compare, "a binary, b binary").distinct()
-    more = _links(pairs, texts, least, "cross-links")
+    members = members.join(texts, "node")
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = dealt.withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other"))
+    dealt = dealt.select("turn", "key", "i", "j", "node", "root", "keys", "seq", "blk")
+    more = stash(dealt.groupBy("turn", "key", "i", "j").applyInArrow(_compare(least), "a binary, b binary"), "cross-links")
     joined = found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     classes = components(joined)
     return drawn.select("doc_id", "node").join(classes, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
