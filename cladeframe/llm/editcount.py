@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import slices
+from .common import lean, slices, tidy
 
 #: Characters in a leaf as it is built, and at most before the tree is built anew.
-LEAF_CHARS, MOST_CHARS = 512, 8192
+LEAF_CHARS, MOST_CHARS = 96, 4096
 
 EDITS = "array<struct<seq:bigint,start:bigint,stop:bigint,text:string>>"
 
@@ -136,6 +136,7 @@ def _trees(texts: pa.Array, encoder: bpe.UnitEncoder) -> Iterator[CountTree]:
 
 
 def _count(path: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.UnitEncoder.of(path)
         for batch in batches:
@@ -167,6 +168,7 @@ def count_tokens(
     repeated ids pass through; other columns are not read; an empty table gives an empty result.
     """
     steps = F.array().cast(EDITS) if edits is None else F.array_sort(F.filter(edits, lambda e: e.isNotNull())).cast(EDITS)
+    lean(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), steps.alias("edits"))
     return rows.mapInArrow(_count(path), "doc_id bigint, n_tokens bigint, n_tokens_edited bigint, n_edits bigint, n_units_again bigint")
 
