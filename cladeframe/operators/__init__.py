@@ -1 +1 @@
-"""See the package README."""
+"""Operators on trees, mutations, sequences, variants and graphs."""

@@ -117,7 +117,7 @@ def edited(block: DataFrame, gaps: DataFrame, subs: DataFrame, ins: DataFrame, d
     from cladeframe.operators.sequence import _patch
 
     key = ["block", "path", "occ"]
-    each_del = dels.select(*key, (F.col("pos") - 1 + F.explode(F.sequence(F.lit(0), F.col("len") - 1))).alias("pos"), F.lit(-1).alias("gap_pos"), F.lit("-").alias("base"))
+    each_del = dels.select(*key, F.explode(F.sequence(F.col("pos") - 1, F.col("pos") + F.col("len") - 2)).alias("pos"), F.lit(-1).alias("gap_pos"), F.lit("-").alias("base"))
     each_ins = ins.select(*key, "pos", "gap", F.posexplode(F.split("text", "")).alias("k", "base")).where("base <> ''").select(*key, "pos", (F.col("gap") + F.col("k")).alias("gap_pos"), "base")
     each_sub = subs.select(*key, (F.col("pos") - 1).alias("pos"), F.lit(-1).alias("gap_pos"), F.upper("base").alias("base"))
     writes = each_sub.unionByName(each_ins).unionByName(each_del).groupBy(key).agg(F.collect_list(F.struct("pos", "gap_pos", "base")).alias("writes"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.operators import build, mutations, sequence, tree
+from cladeframe.scratch import written
 
 
 def _carried(net: dict[str, DataFrame], mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -38,6 +39,7 @@ def subnet(net: dict[str, DataFrame], requested: DataFrame, protected: DataFrame
     held = named[0].unionByName(named[1]).unionByName(named[2]).distinct().join(requested.select("tree_id").distinct(), "tree_id")
     held = held if protected is None else held.unionByName(protected.select("tree_id", "name"))
     nodes, mapping = tree.contract(net["node"], requested.select("tree_id", "name").unionByName(held.select("tree_id", "name")), held)
+    mapping = written(mapping)
     nuc, block_mut = _carried(net, mapping)
     kept = nodes.select("tree_id").distinct()
     return {

@@ -142,7 +142,7 @@ def contract(nodes: DataFrame, requested: DataFrame, protected: DataFrame | None
     which new node each kept old one went and how far above it stood.
     """
     wanted = nodes.join(requested.select("tree_id", "name").distinct(), ["tree_id", "name"])
-    up = closure(nodes)
+    up = written(closure(nodes))
     marked = up.join(wanted.select(*KEY), KEY).select("tree_id", F.col("anc_id").alias("node_id")).distinct()
     kept = nodes.join(marked, KEY)
     n_kept = kept.where("parent_id is not null").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n"))
@@ -156,11 +156,12 @@ def contract(nodes: DataFrame, requested: DataFrame, protected: DataFrame | None
     child = flagged.select("tree_id", F.col("parent_id").alias("node_id"), F.col("held").alias("child_held"))
     child = child.where("node_id is not null").groupBy("tree_id", "node_id").agg(F.max("child_held").alias("child_held"))
     state = flagged.join(child, KEY, "left").withColumn("merges", (F.col("n") == 1) & ~F.col("held") & ~F.coalesce("child_held", F.lit(False)))
-    state = state.withColumn("merges", F.coalesce("merges", F.lit(False)))
+    state = written(state.withColumn("merges", F.coalesce("merges", F.lit(False))))
     stays = state.where(~F.col("merges")).select("tree_id", "node_id")
     # the nearest kept ancestor of each stayer is its new parent; those between merge into it
     above = up.join(stays, KEY).join(state.select("tree_id", F.col("node_id").alias("anc_id"), "merges", "branch_len"), ["tree_id", "anc_id"])
     nearest = above.where((F.col("dist") > 0) & ~F.col("merges")).groupBy(KEY).agg(F.min("dist").alias("stop"), F.min_by("anc_id", "dist").alias("new_parent"))
+    nearest = written(nearest)
     chain = above.join(nearest, KEY, "left").where(F.col("stop").isNull() | (F.col("dist") < F.col("stop")))
     lengths = chain.groupBy(KEY).agg(F.sum("branch_len").cast("float").alias("new_len"))
     base = state.where(~F.col("merges")).select(nodes.columns)
@@ -168,7 +169,7 @@ def contract(nodes: DataFrame, requested: DataFrame, protected: DataFrame | None
     fresh = joined.withColumn("branch_len", F.when(F.col("new_parent").isNull(), F.lit(0.0)).otherwise(F.col("new_len")).cast("float"))
     fresh = fresh.withColumn("parent_id", F.col("new_parent")).withColumn("child_ord", F.col("pre"))
     marked_old = fresh.withColumn("annotations", F.concat(F.array(F.col("node_id").cast("string")), F.coalesce("annotations", F.array().cast("array<string>"))))
-    numbered_ = numbered(marked_old.select(nodes.columns))
+    numbered_ = written(numbered(marked_old.select(nodes.columns)))
     ids = numbered_.select("tree_id", F.col("annotations")[0].cast("int").alias("stay_id"), F.col("node_id").alias("new_id"))
     where = chain.select("tree_id", F.col("node_id").alias("stay_id"), F.col("anc_id").alias("old_id"), "dist")
     mapping = where.join(ids, ["tree_id", "stay_id"]).select("tree_id", "old_id", F.col("new_id").alias("node_id"), "dist")

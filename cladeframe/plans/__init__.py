@@ -1 +1 @@
-"""See the package README."""
+"""Registered queries."""

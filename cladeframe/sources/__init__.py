@@ -1 +1 @@
-"""See the package README."""
+"""Readers and writers of text forms."""
