@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, flat_bytes, ragged, slices, stash_by
+from .common import SLICE_BYTES, flat_bytes, held, lean, let_go, ragged, slices, stash_by, tidy
 
 #: Distinct units that one worker keeps encoded: as many used lately, and as many before them.
 CACHE_UNITS = 400_000
@@ -64,8 +64,6 @@ def split_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 class UnitEncoder:
     """Encodes units with the tokenizers library; most of them many to a call, parted by newlines."""
 
-    _kept: dict[str, UnitEncoder] = {}
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -81,9 +79,7 @@ class UnitEncoder:
     @classmethod
     def of(cls, path: str) -> UnitEncoder:
         """The worker's own encoder for a file, with what it has encoded so far."""
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
+        return held(("units", path), lambda: cls(path))
 
     def forget(self) -> None:
         self.recent, self.older = {}, {}
@@ -212,7 +208,9 @@ _BLOCK_DDL = "block string, doc_ids array<bigint>, codes binary, owners binary,
 def _code_blocks(buckets: int):
     """Documents to blocks: units coded by rank of frequency, and the distinct units dealt out to buckets."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for part in slices(batch, "text", BLOCK_BYTES):
                 units, first = split_units(part.column("text"))
@@ -249,12 +247,13 @@ def _encode_words(path: str):
     """Each row holds one block's distinct units of one bucket; each distinct unit is encoded once."""
     schema = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("ids", pa.binary())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = UnitEncoder.of(path)
         for batch in batches:
             out = []
-            for words in batch.column("words").to_pylist():
-                sizes, data = _unpacked(words, 2)
+            for words in batch.column("words"):
+                sizes, data = _unpacked(words.as_buffer(), 2)
                 bounds = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, dtype=np.uint32), dtype=np.int64)])
                 units = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(bytes(data)))
                 ids = encoder.encode(units.to_pylist())
@@ -268,8 +267,10 @@ def _encode_words(path: str):
     return run
 
 
+@tidy
 def _join_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks with the ids of their distinct units to documents with theirs."""
+    let_go()
     for batch in batches:
         for row in range(batch.num_rows):
             block = {c: batch.column(c)[row].as_py() for c in ("doc_ids", "codes", "owners", "replies")}
@@ -309,7 +310,7 @@ def encode_docs(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     coded positions not at all, for they are written bucketed by block. A null text is empty; null and repeated ids pass through; other columns
     are not read; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    spark = lean(docs.sparkSession, BLOCK_BYTES)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(buckets or max(64, 2 * partitions), 1 << 16)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
@@ -329,6 +330,7 @@ def decode_ids(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame
     names = [c for c in encoded.columns if c != "decoded"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "decoded")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = np.array([len(p) for p in pieces.value], dtype=np.int64)
         flat = np.frombuffer(b"".join(pieces.value), dtype=np.uint8)

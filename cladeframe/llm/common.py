@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text handled at once inside a Python worker, in bytes; one longer text is a slice of its own.
 SLICE_BYTES = 8 << 20
+#: Rows that pass between the JVM and a worker at once, in bytes; one larger row is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +28,48 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def lean(spark: SparkSession, size: int = BATCH_BYTES) -> SparkSession:
+    """Batches of so many bytes at most between the JVM and Python, in place of Spark's 64 MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    return spark
+
+
+_held: dict = {}
+
+
+def held(key, make: Callable):
+    """What make() gives, kept in this worker until another key is asked for: a worker holds one table at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """For tasks that keep nothing: drop what tasks of another kind have left in this worker."""
+    _held.clear()
+
+
+def tidy(run: Callable) -> Callable:
+    """run, a generator over batches, with freed memory given back to the system before it begins and when it ends."""
+
+    @wraps(run)
+    def wrapped(*args):
+        _trim()
+        yield from run(*args)
+        _trim()
+
+    return wrapped
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df once into the shared folder and read it back, so that later steps start from files."""
     spark = df.sparkSession
@@ -55,11 +101,12 @@ def unstash(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch whose texts sum to about limit bytes."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, field: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch whose texts, in a column or in a field of one, sum to about limit bytes."""
     if not batch.num_rows:
         return
-    size = np.asarray(pc.fill_null(pc.cast(pc.binary_length(batch.column(column)), pa.int64()), 0))
+    texts = batch.column(column) if field is None else pc.struct_field(batch.column(column), field)
+    size = np.asarray(pc.fill_null(pc.cast(pc.binary_length(texts), pa.int64()), 0))
     group = (np.cumsum(size) - size) // limit
     cuts = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_words, flat_bytes, slices, stash
+from .common import byte_words, flat_bytes, held, lean, slices, stash, tidy
 
 #: Words of test items in one automaton, about 120 MB in a worker; more items take more passes.
 BLOCK_WORDS = 200_000
@@ -131,20 +131,17 @@ class ItemAutomaton:
         return spans, items
 
 
-_built: dict[int, ItemAutomaton] = {}
 
 
-def _scan(items, key: int, window: int):
-    """Add one automaton's hits to rows of __row, __text, __words, __hit (bounds of spans) and __items."""
+def _scan(items, key: int, window: int, text_col: str):
+    """Add one automaton's hits to rows of __row, __words, __hit (bounds of spans) and __items."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _built:
-            _built.clear()
-            _built[key] = ItemAutomaton(items.value, window)
-        automaton = _built[key]
+        automaton = held(("items", key, window), lambda: ItemAutomaton(items.value, window))
         for batch in batches:
-            for part in slices(batch, "__text"):
-                words, first, _, _ = normal_words(part.column("__text"))
+            for part in slices(batch, "__row", field=text_col):
+                words, first, _, _ = normal_words(pc.struct_field(part.column("__row"), text_col))
                 coded = pc.dictionary_encode(words)
                 known = np.array([automaton.vocabulary.get(w, -1) for w in coded.dictionary.to_pylist()], dtype=np.int64)
                 ids = known[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
@@ -174,12 +171,11 @@ def _scan(items, key: int, window: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("__row"),
-                        part.column("__text"),
                         pa.array(np.diff(first)),
                         pa.array(hit, pa.list_(pa.int32())),
                         pa.array(named, pa.list_(pa.string())),
                     ],
-                    names=["__row", "__text", "__words", "__hit", "__items"],
+                    names=["__row", "__words", "__hit", "__items"],
                 )
 
     return run
@@ -217,7 +213,7 @@ def contamination(
     max_percent: int = 5,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """One row per document: __row (the document), __text, __words, __hit (first and end word of each
+    """One row per document: __row (the document), __words, __hit (first and end word of each
     covered span, in a row), __items (ids of the items whose windows occur, sorted as strings), n_hit
     and contaminated (at least max_percent of the words are covered, and one at all).
 
@@ -226,10 +222,9 @@ def contamination(
     Null texts have no words; an item without id marks words but adds no name; repeated items and
     documents count as they stand; without items nothing is covered.
     """
-    sc = docs.sparkSession.sparkContext
+    sc = lean(docs.sparkSession).sparkContext
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
-        F.col(text_col).alias("__text"),
         F.lit(0).cast("bigint").alias("__words"),
         F.array().cast("array<int>").alias("__hit"),
         F.array().cast("array<string>").alias("__items"),
@@ -238,7 +233,7 @@ def contamination(
     for n, block in enumerate(_item_blocks(benchmark, item_col, item_text_col, block_words)):
         rows = stash(rows, "decontam") if n else rows
         items = sc.broadcast(block)
-        rows = rows.mapInArrow(_scan(items, items._jbroadcast.id(), window), schema)
+        rows = rows.mapInArrow(_scan(items, items._jbroadcast.id(), window, text_col), schema)
     bounds = F.transform("__hit", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x).cast("bigint"))
     n_hit = F.aggregate(bounds, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
     return rows.withColumn("n_hit", n_hit).withColumn(
@@ -258,23 +253,27 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     )
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("__text").to_pylist()
-        for i, hit in enumerate(batch.column("__hit").to_pylist()):
-            if hit:
-                raw = texts[i].encode()
-                _, _, start, end = normal_words(pa.array([texts[i]]))
-                kept, at = [], 0
-                for a, b in zip(hit[::2], hit[1::2]):
-                    kept.append(raw[at : start[a]])
-                    at = end[b - 1]
-                texts[i] = b"".join([*kept, raw[at:]]).decode()
-        yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(texts, pa.string())], names=["__row", "__text"])
+def _cut(text_col: str):
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.struct_field(batch.column("__row"), text_col).to_pylist()
+            for i, hit in enumerate(batch.column("__hit").to_pylist()):
+                if hit:
+                    raw = texts[i].encode()
+                    _, _, start, end = normal_words(pa.array([texts[i]]))
+                    kept, at = [], 0
+                    for a, b in zip(hit[::2], hit[1::2]):
+                        kept.append(raw[at : start[a]])
+                        at = end[b - 1]
+                    texts[i] = b"".join([*kept, raw[at:]]).decode()
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(texts, pa.string())], names=["__row", "__text"])
+
+    return run
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """docs without the contaminated rows; from the other rows the covered spans are cut. All columns stay."""
-    clean = contamination(docs, benchmark, text_col=text_col, **options).where(~F.col("contaminated")).select("__row", "__text", "__hit")
-    cut = clean.mapInArrow(_cut, clean.drop("__hit").schema)
+    clean = contamination(docs, benchmark, text_col=text_col, **options).where(~F.col("contaminated")).select("__row", "__hit")
+    cut = clean.mapInArrow(_cut(text_col), clean.select("__row", F.col("__row")[text_col].alias("__text")).schema)
     return cut.select(*[(F.col("__text") if c == text_col else F.col("__row")[c]).alias(c) for c in docs.columns])

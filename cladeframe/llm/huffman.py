@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import slices, stash
+from .common import lean, slices, stash, tidy
 
 MAGIC = b"HUFT"
 HEAD = struct.Struct("<4sIIIQIII")
@@ -135,6 +135,7 @@ def _kind(path: str) -> str:
 
 
 def _tokenise(path: str, end_id: int, kind: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.UnitEncoder.of(path)
         for batch in batches:
@@ -153,6 +154,7 @@ def _tokenise(path: str, end_id: int, kind: str):
 
 
 def _count(kind: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
@@ -175,6 +177,7 @@ def _ids(values: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
 def _write(lengths: np.ndarray, shard_ids: int, every: int, kind: str):
     """Sorted documents to shards; one shard's ids are in memory at a time."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start, held = TaskContext.get().partitionId(), 0, []
 
@@ -229,7 +232,7 @@ def write_tokens(
     other columns are not read; an empty table writes no shard. Only the counts of the vocabulary's
     ids, at most its size, reach the driver.
     """
-    spark = docs.sparkSession
+    spark = lean(docs.sparkSession, 2 * bpe.BLOCK_BYTES)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     kind = _kind(path)
     tokens = stash(texts.mapInArrow(_tokenise(path, end_id, kind), "doc_id bigint, n_tokens bigint, ids binary"), "token-rows")
@@ -254,6 +257,7 @@ def read_tokens(shards: DataFrame) -> DataFrame:
         before[r.part] = total
         total += r.n
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):

@@ -16,12 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_words, flat_bytes, slices
+from .common import byte_words, flat_bytes, held, lean, slices, tidy
 
 #: Letters of a word that one forward pass takes; longer words are scored in stretches.
 STRETCH = 24
 #: Probability of a letter that no piece covers.
 UNKNOWN = 1e-8
+#: Text that is scored at once, in bytes.
+SLICE = 4 << 20
 #: Words that one worker keeps scored; beyond it the table starts anew.
 CACHE_WORDS = 400_000
 
@@ -60,13 +62,14 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarr
 def _count_pieces(model: str):
     """Rows of lang and text to counts of pieces in each language, over the tokeniser's own segmentation."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
         tokenizer = sentencepiece.SentencePieceProcessor(model_file=model)
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 codes, words, first, _ = _words(part.column("text"))
                 stretches = [_letters(w) for w in words]
                 ids = tokenizer.encode([s for ss in stretches for s in ss], num_threads=1)
@@ -106,6 +109,7 @@ def learn(
     """
     import sentencepiece
 
+    lean(docs.sparkSession, SLICE)
     open_ = docs.where(~held_out(F.col(id_col)) & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     sizes = {r[0]: r[1] for r in open_.groupBy(lang_col).count().collect()}
     languages = sorted(sizes)
@@ -192,18 +196,13 @@ class WordScorer:
         return self.rows[at]
 
 
-_kept: dict[int, WordScorer] = {}
-
-
-def _predict(model, key: int, languages: list[str]):
+def _predict(model, key: int, languages: list[str], text_col: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _kept:
-            _kept.clear()
-            _kept[key] = WordScorer(*model.value)
-        scorer = _kept[key]
+        scorer = held(("words", key), lambda: WordScorer(*model.value))
         for batch in batches:
-            for part in slices(batch, "__text"):
-                texts = part.column("__text")
+            for part in slices(batch, "__row", SLICE, text_col):
+                texts = pc.struct_field(part.column("__row"), text_col)
                 codes, words, first, lettered = _words(texts)
                 for i in np.flatnonzero(~lettered):
                     lettered[i] = any(c.isalpha() for c in texts[int(i)].as_py() or "")
@@ -246,10 +245,10 @@ def identify(
     prediction. Repeated rows are judged alike; an empty table gives an empty result.
     """
     languages, pieces, table = learned or learn(docs, model, id_col, text_col, lang_col, **options)
-    shared = docs.sparkSession.sparkContext.broadcast((pieces, table))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text_col).alias("__text"))
+    shared = lean(docs.sparkSession, SLICE).sparkContext.broadcast((pieces, table))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     schema = rows.select("__row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(_predict(shared, shared._jbroadcast.id(), languages), schema)
+    return rows.mapInArrow(_predict(shared, shared._jbroadcast.id(), languages, text_col), schema)
 
 
 def language_digest(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

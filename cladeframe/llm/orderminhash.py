@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, slices, stash, tidy
+from .common import lean, let_go, slices, stash, tidy
 from .decontam import normal_words
 
 #: Words in a shingle, shingles in a sketch, sketches of a document.
@@ -30,6 +30,8 @@ SHINGLE, DRAWN, SKETCHES = 5, 3, 24
 #: Sketches that two texts of one bucket share at least before they are aligned. At a similarity of
 #: 0.8 each sketch is shared with odds of about one half, and fewer than three of 24 with odds of 2 in 10^5.
 LEAST_SHARED = 3
+#: Text that is sketched at once, in bytes.
+SLICE = 4 << 20
 #: Texts of a bucket that are compared side by side.
 BLOCK_TEXTS = 256
 #: Sets of shingles may be similar where whole texts with repeated lines differ in size by this much more.
@@ -101,8 +103,9 @@ def sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 @tidy
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             words, first, _, _ = normal_words(part.column("text"))
             coded = pc.dictionary_encode(words)
             hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], dtype=np.uint64)
@@ -289,7 +292,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words are linked with their copies only. Null ids pass through; other columns are not read; an
     empty table gives an empty result.
     """
-    spark = lean(docs.sparkSession)
+    spark = lean(docs.sparkSession, SLICE)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("node"))
     drawn = stash(rows.mapInArrow(_sketch, "doc_id bigint, node binary, keys array<bigint>, seq binary"), "sketches")
