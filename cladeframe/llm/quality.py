@@ -14,9 +14,9 @@ BOILERPLATE = (
     r"(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie policy|uses cookies|enable javascript"
     r"|subscribe to our|sign up for our|click here|read more|share this|lorem ipsum)"
 )
-NOISE = r"[^#*$%&|<>{}^~=]+"
+NOISE = r"[#*$%&|<>{}^~=]+"
 SHOUT = r"([!?]{2})"
-TERMINAL = r"[.!?…。！？:;)\"'”’»]\s*$"
+TERMINAL = r"[.!?…。！？:;)\"'”’»][\x20\x09-\x0D]*\z"
 
 
 def bound(value: Column, body) -> Column:
@@ -54,7 +54,7 @@ def bad_line(line: Column, min_words: int, max_noise_percent: int, max_shout_per
     """True for a line that fails a rule; lines without a word never count."""
     size = F.length(line)
     n = F.size(words_of(line))
-    noise = size - F.length(F.regexp_replace(line, r"[#*$%&|<>{}^~=]+", ""))
+    noise = size - F.length(F.regexp_replace(line, NOISE, ""))
     shouts = F.size(F.regexp_extract_all(line, F.lit(SHOUT), 1))
     return (
         line.rlike(NAVIGATION)

@@ -91,6 +91,35 @@ QUERIES: dict[str, Query] = {
     "op10_pii": op10_pii,
 }
 
+_QUOTED = {k: getattr(quality, k).replace("'", "''") for k in ("NAVIGATION", "BOILERPLATE", "NOISE", "SHOUT", "TERMINAL")}
+OP2_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (
+  SELECT doc_id, k, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM d WHERE len(w) >= 3)),
+r AS (SELECT doc_id, g FROM g GROUP BY doc_id, g HAVING count(*) > 1),
+c AS (SELECT doc_id, count(DISTINCT g.k + j) AS n FROM g JOIN r USING (doc_id, g), range(0, 3) q(j) GROUP BY doc_id),
+l AS (
+  SELECT doc_id, x, len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS n
+  FROM (SELECT doc_id, unnest(lines) AS x FROM d)),
+b AS (
+  SELECT doc_id, count(*) AS n_bad, sum(n) AS lost FROM l
+  WHERE regexp_matches(x, '{_QUOTED["NAVIGATION"]}') OR regexp_matches(x, '{_QUOTED["BOILERPLATE"]}')
+    OR (length(x) - length(regexp_replace(x, '{_QUOTED["NOISE"]}', '', 'g'))) * 100 > length(x) * 10
+    OR len(regexp_extract_all(x, '{_QUOTED["SHOUT"]}')) * 100 > n * 30
+    OR (n < 4 AND NOT regexp_matches(x, '{_QUOTED["TERMINAL"]}')) GROUP BY doc_id),
+o AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+    len(w) < 50 OR coalesce(c.n, 0) * 100 > len(w) * 50 AS base_failed, CAST(len(lines) AS BIGINT) AS n_lines,
+    CAST(coalesce(n_bad, 0) AS BIGINT) AS n_bad_lines, CAST(coalesce(lost, 0) AS BIGINT) AS lost_words
+  FROM d LEFT JOIN c USING (doc_id) LEFT JOIN b USING (doc_id))
+SELECT *, NOT base_failed AND lost_words * 100 <= n_words * 50 AS kept FROM o
+"""
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -129,6 +158,7 @@ FROM t GROUP BY conv_id
 """
 
 SQL: dict[str, str] = {
+    "op2_line_quality": OP2_SQL,
     "op5_chat": OP5_SQL,
     "op9_decontamination": OP9_SQL,
 }
