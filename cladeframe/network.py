@@ -67,6 +67,43 @@ class Network:
             }
         )
 
+    @classmethod
+    def from_gfa(cls, nodes: DataFrame, segments: DataFrame, steps: DataFrame) -> Network:
+        from cladeframe.operators import build
+
+        return cls(build.from_gfa(nodes, segments, steps))
+
+    @classmethod
+    def from_pangraph(cls, nodes: DataFrame, tables: dict[str, DataFrame], reference: str | None = None) -> Network:
+        from cladeframe.operators import build
+
+        return cls(build.from_pangraph(nodes, tables, reference))
+
+    def root(self) -> DataFrame:
+        """The root's aligned text in every tree."""
+        return sequence.sequences(self.tables, self["node"].where("parent_id is null"), aligned=True)
+
+    def extended_newick(self) -> tuple[DataFrame, DataFrame]:
+        """Newick of every tree, and the complex mutations between trees with their places in blocks."""
+        from cladeframe.operators import edits
+
+        return self.newick(), edits.event_coordinates(self.tables)
+
+    def mutations_against(self, reference: str) -> DataFrame:
+        from cladeframe.operators import variants
+
+        return variants.mutations_against(self.tables, reference)
+
+    def mutations_at(self, name: str, block_id: int, pos: int) -> DataFrame:
+        from cladeframe.operators import variants
+
+        return variants.mutations_at(self.tables, name, block_id, pos)
+
+    def copies(self) -> DataFrame:
+        """Duplications and translocations of blocks in every tree."""
+        states = sequence.block_states(self["node"], self["block_mut"])
+        return mutations.copies(states, self["block"], self["node"])
+
     def node_ids(self, names: list[str] | None = None, tips: bool = False) -> DataFrame:
         rows = self["node"].where("is_leaf") if tips else self["node"]
         return (rows if names is None else rows.where(F.col("name").isin(names))).select("tree_id", "node_id")

@@ -70,7 +70,7 @@ def split(net: dict[str, DataFrame], name: str, new_tree: int) -> dict[str, Data
     if top is None:
         raise ValueError(f"no node {name!r}")
     kept, part = tree.split(net["node"], name, new_tree)
-    paths = tree.closure(net["node"]).where((F.col("tree_id") == top.tree_id) & (F.col("node_id") == top.node_id))
+    paths = tree.closure(net["node"], start=tree.find(net["node"], name))
     onto = paths.select("tree_id", F.col("anc_id").alias("old_id"), "node_id", "dist")
     inside = part.where("parent_id is not null").select(F.lit(top.tree_id).alias("tree_id"), F.col("node_id").alias("old_id"), "node_id", F.lit(0).alias("dist"))
     nuc, block_mut = _carried(net, onto.unionByName(inside))

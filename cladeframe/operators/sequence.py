@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cladeframe.functions.codes import BASES, COMPLEMENT_FROM, COMPLEMENT_TO, strip_gaps
 from cladeframe.operators.mutations import fold_blocks, unpack
 from cladeframe.operators.tree import closure
+from cladeframe.scratch import written
 
 _TURNED = {ord(c): "N" for c in BASES[1:]} | {ord(a): b for a, b in zip(COMPLEMENT_FROM, COMPLEMENT_TO)}
 
@@ -66,9 +67,7 @@ def block_texts(net: dict[str, DataFrame], wanted: DataFrame | None = None) -> D
     Only mutations move, one row for each base on a path; a block's consensus joins once for each node
     that has the block, and no sequence is spelled out base by base.
     """
-    paths = closure(net["node"])
-    if wanted is not None:
-        paths = paths.join(wanted.select("tree_id", "node_id").distinct(), ["tree_id", "node_id"], "left_semi")
+    paths = written(closure(net["node"], start=wanted))
     states = block_states(net["node"], net["block_mut"], paths)
     writes = last_writes(paths, net["nuc_mut"]).groupBy("tree_id", "node_id", "block_id").agg(
         F.collect_list(F.struct("pos", "gap_pos", "base")).alias("writes")
@@ -154,6 +153,19 @@ def prefix_counts(rows: DataFrame, partition: list[str], order: list[str], is_ba
     return rows.withColumn(name, F.sum(is_base.cast("bigint")).over(window))
 
 
+def at_or_after(a: Column, b: Column, forward: Column) -> Column:
+    """Whether place a, a struct of block, pos and gap (-1 for a main base, which comes behind its gap
+    columns), does not come before b; turned round on the reverse strand."""
+    rank = lambda x: F.struct(x["block"], x["pos"], F.when(x["gap"] < 0, 2**31 - 1).otherwise(x["gap"]))
+    return F.when(forward, rank(a) >= rank(b)).otherwise(rank(a) <= rank(b))
+
+
+def ungapped(points: DataFrame, msa: DataFrame) -> DataFrame:
+    """points (name, column from 0) with at, the bases of the named aligned sequence before the column."""
+    joined = points.join(msa.select("name", "seq"), "name")
+    return joined.withColumn("at", F.length(strip_gaps(F.substring("seq", F.lit(1), F.col("column"))))).drop("seq")
+
+
 def slice_columns(net: dict[str, DataFrame], reference: DataFrame, start: int, end: int) -> tuple[DataFrame, DataFrame]:
     """Bases start..end (from 1, both inclusive) of the reference node (tree_id, node_id) as columns of
     the alignment, (tree_id, lo, hi), and every tip's aligned text there: tree_id, node_id, name, seq."""

@@ -15,8 +15,9 @@ def is_ancestor(a_pre: Column, a_post: Column, pre: Column) -> Column:
     return (a_pre <= pre) & (pre <= a_post)
 
 
-def closure(nodes: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(tree_id, node_id, anc_id, dist) for every node and each of its ancestors, itself at 0.
+def closure(nodes: DataFrame, rounds: int | None = None, start: DataFrame | None = None) -> DataFrame:
+    """(tree_id, node_id, anc_id, dist) for every node, or those of start (tree_id, node_id), and each of
+    its ancestors, itself at 0.
 
     Paths double in length each round, so that a tree of depth d takes log2(d) equi-joins and no range
     join; rounds defaults to what the deepest node needs.
@@ -24,7 +25,8 @@ def closure(nodes: DataFrame, rounds: int | None = None) -> DataFrame:
     if rounds is None:
         deepest = nodes.agg(F.max("level")).first()[0] or 0
         rounds = max(1, int(deepest).bit_length())
-    paths = nodes.select(*KEY, F.col("node_id").alias("anc_id"), F.lit(0).alias("dist"))
+    first = nodes if start is None else start.select(*KEY).distinct()
+    paths = first.select(*KEY, F.col("node_id").alias("anc_id"), F.lit(0).alias("dist"))
     jump = nodes.where("parent_id is not null").select(*KEY, F.col("parent_id").alias("to"))
     step = 1
     for _ in range(rounds):
@@ -142,9 +144,9 @@ def contract(nodes: DataFrame, requested: DataFrame, protected: DataFrame | None
     which new node each kept old one went and how far above it stood.
     """
     wanted = nodes.join(requested.select("tree_id", "name").distinct(), ["tree_id", "name"])
-    up = written(closure(nodes))
-    marked = up.join(wanted.select(*KEY), KEY).select("tree_id", F.col("anc_id").alias("node_id")).distinct()
-    kept = nodes.join(marked, KEY)
+    marked = closure(nodes, start=wanted).select("tree_id", F.col("anc_id").alias("node_id")).distinct()
+    kept = written(nodes.join(marked, KEY))
+    up = written(closure(kept))
     n_kept = kept.where("parent_id is not null").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n"))
     flagged = kept.join(n_kept, KEY, "left")
     if protected is not None:

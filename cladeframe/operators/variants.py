@@ -158,7 +158,7 @@ def mutations_against(net: dict[str, DataFrame], reference: str) -> DataFrame:
 
 def mutations_at(net: dict[str, DataFrame], name: str, block_id: int, pos: int) -> DataFrame:
     """Records of the named node's ancestors, and its own, that cover a position, from the root on."""
-    path = closure(net["node"]).join(find(net["node"], name).select("tree_id", "node_id"), ["tree_id", "node_id"], "left_semi")
+    path = closure(net["node"], start=find(net["node"], name))
     hit = net["nuc_mut"].where((F.col("block_id") == block_id) & F.lit(pos).between(F.col("pos"), F.col("pos") + F.when(F.col("gap_pos") == -1, F.col("len") - 1).otherwise(0)))
     joined = path.select("tree_id", "anc_id", "dist").join(hit.withColumnRenamed("node_id", "anc_id"), ["tree_id", "anc_id"])
     return joined.orderBy(F.desc("dist"), "ord")
