@@ -24,7 +24,7 @@ def parser() -> argparse.ArgumentParser:
 
     whole, number = {"required": True}, {"required": True, "type": int}
     command("build", newick=whole, msa={}, gfa={}, pangraph={}, reference={}, method={"choices": ["fitch", "sankoff"], "default": "fitch"})
-    for name in ("summary", "newick", "fasta", "msa", "gfa", "maf", "consensus", "usher", "ratio-test", "extended-newick", "root", "copies"):
+    for name in ("summary", "newick", "fasta", "msa", "gfa", "maf", "consensus", "placement", "ratio-test", "extended-newick", "root", "copies"):
         command(name)
     command("mutations", reference_file={})
     command("mutations-at", node=whole, block=number, position=number)
@@ -61,7 +61,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame | Network:
         return build(spark, a)
     net = Network.read(spark, a.network)
     table = {
-        "summary": net.summary, "newick": net.newick, "gfa": net.gfa, "maf": net.maf, "consensus": net.consensus, "usher": net.usher,
+        "summary": net.summary, "newick": net.newick, "gfa": net.gfa, "maf": net.maf, "consensus": net.consensus, "placement": net.placement,
         "ratio-test": net.ratio_test, "fasta": net.fasta, "msa": lambda: net.fasta(aligned=True), "root": net.root, "copies": net.copies,
         "extended-newick": lambda: net.extended_newick()[1],
         "mutations": lambda: net.mutations_against(text.read_reference(spark, a.reference_file)) if a.reference_file else net.mutations(),

@@ -148,10 +148,10 @@ class Network:
 
         return variants.mutation_list(self.tables)
 
-    def usher(self) -> DataFrame:
+    def placement(self) -> DataFrame:
         from cladeframe.operators import variants
 
-        return variants.usher_rows(self.tables)
+        return variants.placement_rows(self.tables)
 
     def ratio_test(self, first: str = "African", second: str = "Non-African") -> DataFrame:
         from cladeframe.operators import variants

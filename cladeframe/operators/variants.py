@@ -164,7 +164,7 @@ def mutations_at(net: dict[str, DataFrame], name: str, block_id: int, pos: int)
     return joined.orderBy(F.desc("dist"), "ord")
 
 
-def usher_rows(net: dict[str, DataFrame]) -> DataFrame:
+def placement_rows(net: dict[str, DataFrame]) -> DataFrame:
     """preorder, position (column from 1), ref_nuc (root), par_nuc and mut_nuc of every base-level
     mutation that leaves a base; mut_nuc lists 0..3 for A, C, G, T."""
     rows = branch_changes(net).join(net["node"].select("tree_id", "node_id", "pre"), ["tree_id", "node_id"]).where("new <> '-'")

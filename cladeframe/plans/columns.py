@@ -334,7 +334,7 @@ def annotate_nodes(spark, sf_dir):
 @query(f"""WITH s AS ({_STEP}), l AS (SELECT user_id, step, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY step) AS old FROM s)
 SELECT user_id, CAST(step + 1 AS BIGINT) AS position, CAST(old % 16 AS INTEGER) AS par_nuc, list_filter([0, 1, 2, 3], lambda i: (CAST(event_id % 16 AS INTEGER) >> i) % 2 = 1) AS mut_nuc
 FROM l WHERE old IS NOT NULL AND event_id % 16 <> 0 AND old % 16 <> event_id % 16""")
-def usher_rows(spark, sf_dir):
+def placement_rows(spark, sf_dir):
     rows = steps(spark, sf_dir).withColumn("old", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("step")))
     rows = rows.where("old is not null and event_id % 16 <> 0 and old % 16 <> event_id % 16")
     return rows.select("user_id", (F.col("step") + 1).alias("position"), (F.col("old") % 16).cast("int").alias("par_nuc"), codes.expanded((F.col("event_id") % 16).cast("int")).alias("mut_nuc"))

@@ -95,11 +95,11 @@ def test_vcf_and_back(spark, net, tmp_path):
     assert {r.name: r.seq for r in back.collect()} == {k: v.replace("-", "") for k, v in MSA.items()}
 
 
-def test_mutation_list_and_usher(net):
+def test_mutation_list_and_placement(net):
     assert sorted((r.name, r.type, r.mutations) for r in net.mutations().collect()) == [
         ("B", "I", "g-4T"), ("D", "D", "T4-"), ("D", "I", "g-4N"), ("node_3", "S", "C2T")
     ]
-    assert sorted((r.preorder_idx, r.position, r.par_nuc, tuple(r.mut_nuc)) for r in net.usher().collect()) == [
+    assert sorted((r.preorder_idx, r.position, r.par_nuc, tuple(r.mut_nuc)) for r in net.placement().collect()) == [
         (3, 5, 0, (3,)), (4, 2, 2, (3,)), (6, 5, 0, (0, 1, 2, 3))
     ]
 
