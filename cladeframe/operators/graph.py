@@ -129,8 +129,9 @@ def chain(consensus: list, sample: list) -> list[tuple[int, int]]:
     """Best chain of equal blocks (index in consensus, index in sample), both rising.
 
     An anchor is worth WORTH less its distance to the one before, which lies at most REACH back in
-    both; it starts a chain at FLOOR, the pair (0, 0) at WORTH. Of equal predecessors the later in
-    order wins, of equal ends the first.
+    both; it starts a chain at FLOOR, the pair (0, 0) at WORTH. Predecessors are taken from the latest
+    on; one that comes before another in x, and before any so far in y, is passed over. Of equal
+    predecessors the later wins, of equal ends the first.
     """
     places: dict = {}
     for j, block in enumerate(sample):
@@ -148,8 +149,11 @@ def chain(consensus: list, sample: list) -> list[tuple[int, int]]:
         lo, hi = bisect_left(x, x[k] - REACH), bisect_left(x, x[k])
         near = np.flatnonzero((y[lo:hi] < y[k]) & (y[lo:hi] >= y[k] - REACH)) + lo
         if len(near):
+            near = near[::-1]
+            above = np.concatenate([[-1], np.maximum.accumulate(y[near])[:-1]])
+            near = near[(x[near] == x[near[0]]) | (y[near] >= above)]
             gain = score[near] + WORTH - (x[k] - x[near]) - (y[k] - y[near])
-            best = len(gain) - 1 - int(gain[::-1].argmax())
+            best = int(gain.argmax())
             if gain[best] > FLOOR:
                 score[k], back[k] = gain[best], near[best]
     out, k = [], int(score.argmax())

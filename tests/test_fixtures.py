@@ -269,3 +269,31 @@ def test_levels_agree_with_kernel(spark, nodes):
     up = parsimony.fitch_up(parent, sets.copy())
     got = parsimony.fitch_levels(nodes, spark.createDataFrame(rows, "node_id int, site int, state int"), ["site"])
     assert all(up[r.node_id, r.site] == r.sets for r in got.collect())
+
+
+def test_chain_against_a_plain_scan():
+    import random
+
+    r = random.Random(4)
+    for _ in range(200):
+        a, b = ([r.choice("abcd") for _ in range(r.randint(0, 9))] for _ in range(2))
+        points = [(i, j) for i, p in enumerate(a) for j, q in enumerate(b) if p == q]
+        score, back = {}, {}
+        for x, y in points:
+            if (x, y) == (0, 0):
+                score[x, y], back[x, y] = graph.WORTH, None
+                continue
+            score[x, y], back[x, y] = graph.FLOOR, None
+            wall_x = wall_y = -1
+            for p, q in sorted([s for s in points if s[0] < x and s[1] < y], reverse=True):
+                if p <= wall_x and q <= wall_y:
+                    continue
+                gain = score[p, q] + graph.WORTH - (x - p) - (y - q)
+                if gain > score[x, y]:
+                    score[x, y], back[x, y] = gain, (p, q)
+                wall_x, wall_y = max(wall_x, p - 1), max(wall_y, q - 1)
+        want, at = [], max(points, key=lambda s: score[s], default=None)
+        while at is not None:
+            want.append(at)
+            at = back[at]
+        assert graph.chain(a, b) == want[::-1]
