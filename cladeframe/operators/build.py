@@ -75,17 +75,17 @@ def infer_blocks(
     """node, nuc_mut and block_mut of trees for known tips: states as in block_mutations(), texts (tree_id,
     name, block_id, forward, text) with all columns of a block. Main bases start from the block's
     consensus, gap columns from gaps; tips without a block are unknown in its columns."""
-    from cladeframe.operators.sequence import _patch
+    from cladeframe.operators.sequence import patched
     from cladeframe.operators.variants import _own_positions
 
     turned = F.reverse(F.translate("text", "ACGTRYSWKMBDHVN", "TGCAYRSWMKVHDBN"))
     forward = texts.select("tree_id", "name", "block_id", F.when(F.col("forward"), F.col("text")).otherwise(turned).alias("seq"))
     gaps = gap.groupBy("tree_id", "block_id").agg(F.collect_list(F.struct("pos", "len")).alias("gaps"))
     blank = block.join(gaps, ["tree_id", "block_id"], "left").select(
-        "tree_id", F.lit(-1).alias("node_id"), "block_id", F.lit(True).alias("forward"), "consensus", "gaps",
+        "tree_id", "block_id", F.lit(True).alias("forward"), "consensus", "gaps",
         F.array().cast("array<struct<pos:int,gap_pos:int,base:string>>").alias("writes"),
     )
-    base = blank.mapInArrow(_patch, "tree_id int, node_id int, block_id int, forward boolean, text string").select("tree_id", "block_id", F.col("text").alias("seq"))
+    base = patched(blank, ["tree_id", "block_id"]).withColumnRenamed("text", "seq")
     muts = parsimony.infer_by_block(nodes, forward, base, reference, method)
     places = _own_positions({"block": block, "gap": gap})
     placed = muts.join(places.withColumnRenamed("at", "site"), ["tree_id", "block_id", "site"])
@@ -114,7 +114,7 @@ def from_gfa(nodes: DataFrame, segments: DataFrame, steps: DataFrame) -> dict[st
 def edited(block: DataFrame, gaps: DataFrame, subs: DataFrame, ins: DataFrame, dels: DataFrame, uses: DataFrame) -> DataFrame:
     """path, block, occ and text (all columns of the block) of every use (path, block, occ) of a block: its
     consensus with the use's substitutions and deletions (positions from 1) and insertions put in."""
-    from cladeframe.operators.sequence import _patch
+    from cladeframe.operators.sequence import patched
 
     key = ["block", "path", "occ"]
     each_del = dels.select(*key, F.explode(F.sequence(F.col("pos") - 1, F.col("pos") + F.col("len") - 2)).alias("pos"), F.lit(-1).alias("gap_pos"), F.lit("-").alias("base"))
@@ -123,11 +123,7 @@ def edited(block: DataFrame, gaps: DataFrame, subs: DataFrame, ins: DataFrame, d
     writes = each_sub.unionByName(each_ins).unionByName(each_del).groupBy(key).agg(F.collect_list(F.struct("pos", "gap_pos", "base")).alias("writes"))
     lists = gaps.groupBy("block").agg(F.collect_list(F.struct("pos", "len")).alias("gaps"))
     rows = uses.join(block, "block").join(lists, "block", "left").join(writes, key, "left")
-    order = Window.orderBy("block", "path", "occ")
-    tagged = rows.withColumn("node_id", F.row_number().over(order))
-    patched = tagged.select(F.lit(0).alias("tree_id"), "node_id", F.lit(0).alias("block_id"), F.lit(True).alias("forward"), F.col("seq").alias("consensus"), "gaps", "writes")
-    texts = patched.mapInArrow(_patch, "tree_id int, node_id int, block_id int, forward boolean, text string")
-    return tagged.select(*key, "node_id").join(texts.select("node_id", "text"), "node_id").drop("node_id")
+    return patched(rows.select(*key, F.lit(True).alias("forward"), F.col("seq").alias("consensus"), "gaps", "writes"), key)
 
 
 def from_pangraph(nodes: DataFrame, tables: dict[str, DataFrame], reference: str | None = None) -> dict[str, DataFrame]:

@@ -37,8 +37,8 @@ def block_steps(net: dict[str, DataFrame]) -> DataFrame:
 def base_steps(net: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Segments (segment, seq) and steps of every tip's text cut into stretches of CHUNK columns a block.
 
-    A segment is a stretch's first column and its text without gaps; equal ones share a number, which
-    follows their order. Stretches without a base are left out."""
+    A segment is a stretch's first column and its text without gaps; equal ones share a number, made of
+    the column and the text's rank in it. Stretches without a base are left out."""
     tips = net["node"].where("is_leaf").select("tree_id", "node_id", F.col("name").alias("path"))
     texts = sequence.block_texts(net, tips).join(tips, ["tree_id", "node_id"])
     order = Window.partitionBy("tree_id").orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -48,7 +48,8 @@ def base_steps(net: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     cut = cut.select("tree_id", "path", (F.col("lo") + F.col("k")).alias("step"), strip_gaps(F.substring("text", F.col("k") + 1, F.lit(CHUNK))).alias("seq"))
     cut = cut.where("seq <> ''")
     ids = cut.select("tree_id", "step", "seq").distinct()
-    ids = ids.withColumn("segment", F.row_number().over(Window.partitionBy("tree_id").orderBy("step", "seq")))
+    rank = F.row_number().over(Window.partitionBy("tree_id", "step").orderBy("seq"))
+    ids = ids.withColumn("segment", F.col("step").cast("bigint") * (1 << 24) + rank)
     steps = cut.join(ids, ["tree_id", "step", "seq"]).select("path", "step", "segment", F.lit(True).alias("forward"))
     return ids.select("segment", "seq"), steps
 
@@ -64,8 +65,8 @@ def unitig_links(steps: DataFrame) -> DataFrame:
 
 
 def unitigs(segments: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Segments and steps with unitigs as one segment, numbered anew. Chains of links shrink by half a
-    round of pointer jumping; a chain of n segments takes log2(n) rounds."""
+    """Segments and steps with unitigs as one segment, under the number of its first. Chains of links shrink
+    by half a round of pointer jumping; a chain of n segments takes log2(n) rounds."""
     links = unitig_links(steps)
     jump = segments.select("segment").join(links.select(F.col("dst").alias("segment"), F.col("src").alias("head")), "segment", "left")
     jump = jump.select("segment", F.coalesce("head", "segment").alias("head"), F.col("head").isNotNull().cast("int").alias("nth"))
@@ -77,11 +78,10 @@ def unitigs(segments: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame
         now = jump.agg(F.sum("nth")).first()[0]
         open_ = 0 if now == open_ else now
     parts = F.array_sort(F.collect_list(F.struct("nth", "seq")))
-    merged = segments.join(jump, "segment").groupBy("head").agg(F.array_join(F.transform(parts, lambda x: x["seq"]), "").alias("seq"))
-    numbered = merged.withColumn("segment", F.row_number().over(Window.orderBy("head")))
-    heads = jump.where("nth = 0").join(numbered.select("head", F.col("segment").alias("new")), "head").select("segment", "new")
-    kept = steps.join(heads, "segment").select("path", "step", F.col("new").alias("segment"), "forward")
-    return numbered.select("segment", "seq"), kept
+    jump = written(jump)
+    merged = segments.join(jump, "segment").groupBy(F.col("head").alias("unitig")).agg(F.array_join(F.transform(parts, lambda x: x["seq"]), "").alias("seq"))
+    kept = steps.join(jump.where("nth = 0").select("segment"), "segment", "left_semi")
+    return merged.select(F.col("unitig").alias("segment"), "seq"), kept.select("path", "step", "segment", "forward")
 
 
 def gfa_lines(segments: DataFrame, steps: DataFrame) -> DataFrame:

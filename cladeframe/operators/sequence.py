@@ -35,29 +35,36 @@ def last_writes(paths: DataFrame, nuc_mut: DataFrame) -> DataFrame:
     return last.select("tree_id", "node_id", "block_id", "pos", "gap_pos", "x.base", "x.dist")
 
 
-def _patch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Consensus, gap columns and written bases to the text of one block, all columns in order."""
-    for batch in batches:
-        texts = []
-        for row in batch.select(["consensus", "gaps", "writes", "forward"]).to_pylist():
-            main = list(row["consensus"])
-            columns = {g["pos"]: ["-"] * g["len"] for g in row["gaps"] or []}
-            for w in row["writes"] or []:
-                if w["gap_pos"] < 0:
-                    main[w["pos"]] = w["base"]
-                else:
-                    columns[w["pos"]][w["gap_pos"]] = w["base"]
-            if columns:
-                parts, at = [], 0
-                for pos in sorted(columns):
-                    parts.append("".join(main[at:pos]) + "".join(columns[pos]))
-                    at = pos
-                text = "".join(parts) + "".join(main[at:])
-            else:
-                text = "".join(main)
-            texts.append(text if row["forward"] else text[::-1].translate(_TURNED))
-        kept = [batch.column(c) for c in ("tree_id", "node_id", "block_id", "forward")]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string())], names=["tree_id", "node_id", "block_id", "forward", "text"])
+def patched(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns keep and text, all columns of a block in order, of rows that have consensus, gaps (array
+    of pos, len), writes (array of pos, gap_pos, base) and forward."""
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(keep).dtypes)
+    return rows.select(*keep, F.struct("consensus", "gaps", "writes", "forward").alias("__b")).mapInArrow(_patch(keep), f"{schema}, text string")
+
+
+def _patch(keep: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_text(**row) for row in batch.column("__b").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
+
+    return run
+
+
+def _text(consensus: str, gaps: list | None, writes: list | None, forward: bool) -> str:
+    main = list(consensus)
+    columns = {g["pos"]: ["-"] * g["len"] for g in gaps or []}
+    for w in writes or []:
+        if w["gap_pos"] < 0:
+            main[w["pos"]] = w["base"]
+        else:
+            columns[w["pos"]][w["gap_pos"]] = w["base"]
+    parts, at = [], 0
+    for pos in sorted(columns):
+        parts += main[at:pos] + columns[pos]
+        at = pos
+    text = "".join(parts + main[at:])
+    return text if forward else text[::-1].translate(_TURNED)
 
 
 def block_texts(net: dict[str, DataFrame], wanted: DataFrame | None = None) -> DataFrame:
@@ -75,8 +82,7 @@ def block_texts(net: dict[str, DataFrame], wanted: DataFrame | None = None) -> D
     gaps = net["gap"].groupBy("tree_id", "block_id").agg(F.collect_list(F.struct("pos", "len")).alias("gaps"))
     blocks = net["block"].join(gaps, ["tree_id", "block_id"], "left")
     joined = states.join(writes, ["tree_id", "node_id", "block_id"], "left").join(blocks, ["tree_id", "block_id"])
-    columns = ["tree_id", "node_id", "block_id", "forward", "consensus", "gaps", "writes"]
-    return joined.select(columns).mapInArrow(_patch, "tree_id int, node_id int, block_id int, forward boolean, text string")
+    return patched(joined, ["tree_id", "node_id", "block_id", "forward"])
 
 
 def widths(net: dict[str, DataFrame]) -> DataFrame:
