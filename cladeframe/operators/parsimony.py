@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.functions.codes import BASES, lowest_bit
+from cladeframe.scratch import written
 
 #: Columns that one kernel call takes, and nodes of a topology that is broadcast (16 bytes each).
 COLUMNS = 1024
@@ -193,16 +194,25 @@ def _infer(nodes: DataFrame, rows: DataFrame, method: str) -> DataFrame:
     return parts.groupBy("tree_id", "block_id", "chunk").applyInArrow(_kernel(shared, method), MUTATION)
 
 
-def fitch_levels(nodes: DataFrame, leaves: DataFrame, key: list[str]) -> DataFrame:
-    """Sets of states of every node as a join per level: nodes (node_id, parent_id, level), leaves (*key, node_id, state)."""
-    deepest = nodes.agg(F.max("level")).first()[0]
-    current = leaves.select(*key, "node_id", F.col("state").alias("sets"))
-    done = current
-    for level in range(deepest, 0, -1):
-        here = nodes.where(F.col("level") == level).select("node_id", "parent_id")
-        up = done.join(here, "node_id").groupBy(*key, F.col("parent_id").alias("node_id"))
-        done = done.unionByName(up.agg(combine("sets").alias("sets")))
-    return done
+def fitch_levels(nodes: DataFrame, leaves: DataFrame, key: list[str], write_from: int = 5) -> DataFrame:
+    """Sets of states of every node as a join per level: nodes (node_id, parent_id, level), leaves (*key,
+    node_id, state). Each level starts from the one below only; in trees of write_from levels or more
+    each is written, so that plans do not grow."""
+    deepest = nodes.agg(F.max("level")).first()[0] or 0
+    places = nodes.select("node_id", "parent_id", "level")
+    known = leaves.join(places, "node_id").select(*key, "node_id", "level", F.col("state").alias("sets"))
+    levels, up = [], None
+    for level in range(deepest, -1, -1):
+        here = known.where(F.col("level") == level).select(*key, "node_id", "sets")
+        here = here if up is None else here.unionByName(up)
+        here = written(here) if deepest >= write_from else here
+        levels.append(here)
+        above = places.where(F.col("level") == level).select("node_id", "parent_id")
+        up = here.join(above, "node_id").groupBy(*key, F.col("parent_id").alias("node_id")).agg(combine("sets").alias("sets"))
+    out = levels[0]
+    for here in levels[1:]:
+        out = out.unionByName(here)
+    return out
 
 
 def combine(state: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.operators import parsimony, tree
 from cladeframe.plans.registry import query, table
+from cladeframe.scratch import written
 from cladeframe.sources import newick
 
 #: The hierarchy as numbered nodes: 0 the world, then regions from 1, nations from 100, suppliers from 1000.
@@ -97,7 +98,7 @@ def fitch_up(spark, sf_dir):
 def _states(spark, sf_dir):
     """Sets and chosen states of all nodes, from the root down level by level."""
     nodes = hierarchy(spark, sf_dir)
-    sets = parsimony.fitch_levels(nodes, leaf_states(spark, sf_dir), ["site"]).join(nodes.select("node_id", "parent_id", "level"), "node_id")
+    sets = written(parsimony.fitch_levels(nodes, leaf_states(spark, sf_dir), ["site"]).join(nodes.select("node_id", "parent_id", "level"), "node_id"))
     here = sets.where("level = 0").select("site", "node_id", F.lit(None).cast("int").alias("parent_id"), parsimony.lowest_bit(F.col("sets")).alias("state"))
     out = here
     for level in range(1, 4):
