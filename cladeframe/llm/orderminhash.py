@@ -282,16 +282,8 @@ def _compare(least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
-    """doc_id, node (MD5 of the text) and root of every row; rows of one root are near-duplicates.
-
-    Texts are linked when an alignment of their five-word shingles (lower-cased words of ASCII
-    letters, digits and characters above U+007F) matches a share of `least` or more, or their sets of
-    shingles do; classes are the connected components of the links. Equal texts share a node, so that
-    copies and repeated rows are always of one class; a null text counts as empty, and texts without
-    words are linked with their copies only. Null ids pass through; other columns are not read; an
-    empty table gives an empty result.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id and node (MD5 of the text) of every row, and node and root of every node that is linked to a lesser one."""
     spark = lean(docs.sparkSession, SLICE)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("node"))
@@ -325,27 +317,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = stash(dealt.groupBy("turn", "key", "i", "j").applyInArrow(_compare(least), "a binary, b binary"), "cross-links")
     joined = found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     classes = components(joined)
-    return drawn.select("doc_id", "node").join(classes, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+    return drawn.select("doc_id", "node"), classes
+
 
+def _by_node(rows: DataFrame, classes: DataFrame, *measures) -> DataFrame:
+    """measures of rows for each node, with its root; copies of a text are one row before anything moves by class."""
+    return rows.groupBy("node").agg(*measures).join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-def duplicate_classes(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class) and class_size of every row."""
-    placed = near_duplicates(docs, **options)
-    classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return placed.join(classes, "root").select("doc_id", "class_id", "class_size")
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+    """doc_id, class_id (the least doc_id of the class) and class_size of every row.
+
+    Texts are linked when an alignment of their five-word shingles (lower-cased words of ASCII
+    letters, digits and characters above U+007F) matches a share of `least` or more, or their sets of
+    shingles do; classes are the connected components of the links. Equal texts are always of one
+    class; a null text counts as empty, and texts without words are linked with their copies only.
+    Null ids pass through and name no class, unless there is no other; other columns are not read; an
+    empty table gives an empty result.
+    """
+    rows, classes = _classes(docs, id_col, text_col, least)
+    nodes = _by_node(rows, classes, F.min("doc_id").alias("lo"), F.count("*").alias("n"))
+    totals = nodes.groupBy("root").agg(F.min("lo").alias("class_id"), F.sum("n").alias("class_size"))
+    named = nodes.select("node", "root").join(totals, "root").drop("root")
+    return rows.join(named, "node").select("doc_id", "class_id", "class_size")
 
 
-def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """docs with one row of each class of near-duplicates: that of the least id (null last), then of the
     least MD5 of its text; of rows equal in both any one. All columns stay."""
-    placed = near_duplicates(docs, id_col, text_col, **options)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("node"))
-    kept = placed.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.node").alias("__node"))
-    rows = docs.select(
+    rows, classes = _classes(docs, id_col, text_col, least)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("node").alias("md5"))
+    kept = _by_node(rows, classes, F.min(order).alias("x")).groupBy("root").agg(F.min("x").alias("x")).select("x.*")
+    own = F.col(id_col).cast("bigint")
+    keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
-        F.col(id_col).cast("bigint").alias("__doc"),
-        F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("__md5"),
+        own.isNull().alias("none"),
+        F.coalesce(own, F.lit(0)).alias("id"),
+        F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("md5"),
     )
-    match = (F.col("__md5") == F.col("__node")) & F.col("__doc").eqNullSafe(F.col("__id"))
-    found = rows.join(kept, match, "left_semi").groupBy("__md5").agg(F.first("__row").alias("__row"))
+    key = ["md5", "id", "none"]
+    found = keyed.join(kept, key, "left_semi").groupBy(key).agg(F.first("__row").alias("__row"))
     return found.select(*[F.col("__row")[c].alias(c) for c in docs.columns])

@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orderminhash.duplicate_classes(table(spark, sf_dir, "documents"))
+    return orderminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

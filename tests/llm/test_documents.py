@@ -60,10 +60,10 @@ def test_near_duplicates(spark, edge, rng):
     for i, t in rows:
         groups.setdefault(root[t or ""], []).append(i)
     want = Counter((i, min((x for x in groups[root[t or ""]] if x is not None), default=None), len(groups[root[t or ""]])) for i, t in rows)
-    assert Counter(tuple(r) for r in orderminhash.duplicate_classes(docs).collect()) == want
+    assert Counter(tuple(r) for r in orderminhash.near_duplicates(docs).collect()) == want
     kept = orderminhash.drop_duplicates(docs)
     assert kept.columns == docs.columns and kept.count() == len(groups)
-    assert orderminhash.duplicate_classes(docs.limit(0)).collect() == []
+    assert orderminhash.near_duplicates(docs.limit(0)).collect() == []
 
 
 def test_blocks_of_a_large_bucket(spark, rng, monkeypatch):
@@ -82,7 +82,7 @@ def test_blocks_of_a_large_bucket(spark, rng, monkeypatch):
     groups = {}
     for i, t in rows:
         groups.setdefault(root[t], []).append(i)
-    got = {r.doc_id: r.class_id for r in orderminhash.duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.class_id for r in orderminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: min(groups[root[t]]) for i, t in rows}
 
 
@@ -270,3 +270,21 @@ def test_pipeline(spark, sf, documents):
     dirty = {k[0] for k in hits(texts, items, 13) if k[5]}
     assert set(rows) == set(first.values()) - dirty
     assert not [r for r in rows.values() if re.search(r"[A-Za-z0-9]@[A-Za-z0-9-]+\.[a-z]", r.decoded)]
+
+
+def test_stages_on_hard_rows(spark, edge, sf, tmp_path):
+    """Nulls in every column, repeated rows, clashing names and empty tables pass through every stage."""
+    import corpus_pipeline
+
+    docs = edge.withColumn("source", F.lit(None).cast("string")).withColumn("n_chars", F.lit(None).cast("bigint"))
+    empty = docs.limit(0)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out, none = stage(spark, docs, sf), stage(spark, empty, sf)
+        out.write.parquet(str(tmp_path / name))
+        back = spark.read.parquet(str(tmp_path / name))
+        if k + 1 < len(corpus_pipeline.STAGES):
+            assert back.columns == docs.columns
+        assert none.count() == 0 and 0 < back.count() <= docs.count()
+        docs = back if k + 1 < len(corpus_pipeline.STAGES) else docs
+    kept = [r.text for r in docs.collect()]
+    assert kept.count("same text") == 1 and None not in kept and "one" in kept
