@@ -259,7 +259,7 @@ def language_digest(docs: DataFrame, model: str, id_col: str = "doc_id", text_co
     return found.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, model: str, min_score: float = 0.4, **options) -> DataFrame:
+def keep_identified(docs: DataFrame, model: str, min_score: float = 0.3, **options) -> DataFrame:
     """docs without the rows whose language is 'und' or whose score is under min_score; columns unchanged."""
     found = identify(docs, model, **options).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
     return found.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
