@@ -78,6 +78,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame | Network:
 
 def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
+    if a.output and a.command != "build" and a.output.rstrip("/") == a.network.rstrip("/"):
+        raise SystemExit("a network cannot be written over itself while it is read")
     spark = SparkSession.builder.appName("cladeframe").getOrCreate()
     made = run(spark, a)
     if isinstance(made, Network):

@@ -31,6 +31,11 @@ def test_cli(spark, stored, capsys):
     assert sorted(r.value for r in spark.read.text(str(stored / "msa")).collect() if not r.value.startswith(">")) == sorted(MSA.values())
     with pytest.raises(SystemExit):
         cli.main(["build", "x", "--newick", str(stored / "t.nwk")])
+    with pytest.raises(SystemExit):
+        cli.main(["reroot", str(stored / "net"), "--tip", "C", "-o", f"{stored / 'net'}/"])
+    (stored / "notes.tsv").write_text("A\tgood\n")
+    cli.main(["annotate", str(stored / "net"), "--file", str(stored / "notes.tsv"), "-o", str(stored / "noted")])
+    assert [r.name for r in Network.read(spark, str(stored / "noted")).search("good").collect()] == ["A"]
 
 
 def test_index_and_segment(spark, stored):
