@@ -29,7 +29,7 @@ from .common import SLICE_BYTES, flat_bytes, held, lean, let_go, ragged, slices,
 #: Distinct units that one worker keeps encoded: as many used lately, and as many before them.
 CACHE_UNITS = 400_000
 #: Text in one block, in bytes; larger blocks repeat fewer words but take more memory.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True

@@ -29,6 +29,8 @@ MAGIC = b"HUFT"
 HEAD = struct.Struct("<4sIIIQIII")
 #: Longest code; the decoding table has two to this power entries.
 LIMIT = 20
+#: Text that is encoded at once, in bytes; larger slices repeat fewer words.
+SLICE = 24 << 20
 #: Ids a block and ids a shard (a longer document makes its shard longer).
 BLOCK_IDS = 512
 SHARD_IDS = 1 << 20
@@ -139,7 +141,7 @@ def _tokenise(path: str, end_id: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.UnitEncoder.of(path)
         for batch in batches:
-            for part in slices(batch, "text", 2 * bpe.BLOCK_BYTES):
+            for part in slices(batch, "text", SLICE):
                 ids, first = bpe.encode_texts(part.column("text"), encoder)
                 ids = np.insert(ids, first[1:], end_id).astype(kind)
                 first = first + np.arange(len(first))
@@ -232,7 +234,7 @@ def write_tokens(
     other columns are not read; an empty table writes no shard. Only the counts of the vocabulary's
     ids, at most its size, reach the driver.
     """
-    spark = lean(docs.sparkSession, 2 * bpe.BLOCK_BYTES)
+    spark = lean(docs.sparkSession, SLICE)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     kind = _kind(path)
     tokens = stash(texts.mapInArrow(_tokenise(path, end_id, kind), "doc_id bigint, n_tokens bigint, ids binary"), "token-rows")

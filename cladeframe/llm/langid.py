@@ -25,7 +25,7 @@ UNKNOWN = 1e-8
 #: Text that is scored at once, in bytes.
 SLICE = 4 << 20
 #: Words that one worker keeps scored; beyond it the table starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -183,8 +183,8 @@ class WordScorer:
             self.index.clear()
             missing = np.arange(len(words))
             self.rows = np.zeros((max(CACHE_WORDS, len(words)), self.rows.shape[1]))
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
+        for i in range(0, len(missing), 5_000):
+            part = missing[i : i + 5_000]
             stretches = [_letters(words[k]) for k in part]
             logs = self.forward([s for ss in stretches for s in ss])
             sums = np.zeros((len(part), logs.shape[1]))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, let_go, slices, stash, tidy
+from .common import lean, let_go, slices, stash, tidy, unstash
 from .decontam import normal_words
 
 #: Words in a shingle, shingles in a sketch, sketches of a document.
@@ -216,7 +216,9 @@ def components(links: DataFrame) -> DataFrame:
         new = small.select("a", F.col("m").alias("b")).unionByName(
             small.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
-        edges = stash(new.where("a <> b").distinct(), "components")
+        before, edges = edges, stash(new.where("a <> b").distinct(), "components")
+        if last is not None:
+            unstash(before)
         seen = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if tuple(seen) == last:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -317,6 +319,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> tuple
     more = stash(dealt.groupBy("turn", "key", "i", "j").applyInArrow(_compare(least), "a binary, b binary"), "cross-links")
     joined = found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     classes = components(joined)
+    for spent in (shared, texts):
+        unstash(spent)
     return drawn.select("doc_id", "node"), classes
 
 
