@@ -135,9 +135,8 @@ def ambiguity_expand(spark, sf_dir):
 UNION ALL SELECT 'P', CAST(l_orderkey AS VARCHAR), 'P' || chr(9) || l_orderkey || chr(9) || string_agg(l_partkey || '+', ',' ORDER BY l_linenumber, l_partkey, l_suppkey) || chr(9) || '*'
 FROM lineitem WHERE l_orderkey <= 500 GROUP BY l_orderkey""")
 def gfa_lines(spark, sf_dir):
-    # the tables of orders 1 to 500 are the graph that is written here
-    orders = table(spark, sf_dir, "orders").where("o_orderkey <= 500")
-    items = table(spark, sf_dir, "lineitem").where("l_orderkey <= 500")
+    orders = table(spark, sf_dir, "orders")
+    items = table(spark, sf_dir, "lineitem")
     seg = orders.select(F.lit("S").alias("rec"), F.col("o_orderkey").cast("string").alias("id"), F.concat_ws("\t", F.lit("S"), F.col("o_orderkey").cast("string"), "o_orderpriority").alias("line"))
     parts = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
     walk = F.array_join(F.transform(parts, lambda x: F.concat(x["l_partkey"].cast("string"), F.lit("+"))), ",")
