@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -123,9 +125,9 @@ _SITES = f"""s AS (SELECT doc_id, source, i, substr(s, i + 1, 1) AS c FROM (SELE
 
 
 def sites(spark, sf_dir):
-    """The first 60 columns of the documents' sequences, as the alignment of a source."""
+    """All columns of the documents' sequences, as the alignment of a source."""
     rows = sequences(spark, sf_dir)
-    return rows.select("doc_id", "source", F.posexplode(F.split(F.substring("seq", 1, 60), "")).alias("i", "c")).where("c <> ''").withColumn("i", F.col("i").cast("bigint"))
+    return rows.select("doc_id", "source", F.posexplode(F.split("seq", "")).alias("i", "c")).where("c <> ''").withColumn("i", F.col("i").cast("bigint"))
 
 
 @query(f"WITH {_SITES} SELECT source, CAST(i AS BIGINT) AS i, arg_min(c, doc_id) FILTER (WHERE c <> '-') AS base FROM s GROUP BY source, i HAVING bool_or(c <> '-')")
@@ -136,9 +138,12 @@ def msa_consensus(spark, sf_dir):
 
 @query(f"WITH {_SITES}, g AS (SELECT source, i FROM s GROUP BY source, i HAVING bool_and(c = '-')) SELECT s.doc_id, count(*) AS n FROM s WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.source = s.source AND g.i = s.i) GROUP BY s.doc_id")
 def drop_gap_columns(spark, sf_dir):
-    rows = sites(spark, sf_dir)
-    blank = rows.groupBy("source", "i").agg(F.bool_and(F.col("c") == "-").alias("all_gap")).where("all_gap")
-    return rows.join(blank, ["source", "i"], "left_anti").groupBy("doc_id").agg(F.count("*").alias("n"))
+    # the blank columns of a source go to its documents as one list, so that no base meets them in a join
+    blank = sites(spark, sf_dir).groupBy("source", "i").agg(F.bool_and(F.col("c") == "-").alias("all_gap")).where("all_gap")
+    lists = blank.groupBy("source").agg(F.collect_list("i").alias("blank"))
+    rows = sequences(spark, sf_dir).join(lists, "source", "left").withColumn("len", F.length("seq"))
+    lost = F.when(F.col("blank").isNull(), 0).otherwise(F.size(F.filter("blank", lambda i: i < F.col("len"))))
+    return rows.select("doc_id", (F.col("len") - lost).cast("bigint").alias("n")).where("n > 0")
 
 
 _AA = "CASE " + " ".join(
@@ -171,15 +176,27 @@ d AS (SELECT s.doc_id, s.source, s.i, q.c AS old, s.c AS new, s.i - row_number()
 FROM s JOIN r ON s.source = r.source JOIN s q ON q.doc_id = r.ref AND q.i = s.i WHERE s.c <> q.c)
 SELECT doc_id, CAST(min(i) AS BIGINT) AS start, string_agg(old, '' ORDER BY i) AS old, string_agg(new, '' ORDER BY i) AS new FROM d GROUP BY doc_id, g""")
 def variant_diff(spark, sf_dir):
-    rows = sites(spark, sf_dir)
-    ref = rows.groupBy("source").agg(F.min("doc_id").alias("ref"))
-    first = table(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("ref"))
-    base = rows.join(first, "source").where("doc_id = ref").select("source", "i", F.col("c").alias("old"))
-    differing = rows.join(base, ["source", "i"]).where("c <> old")
-    del ref
-    marked = mutations.runs(differing, ["doc_id"], "i", [])
-    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", c))), lambda x: x[c]), "")
-    return marked.groupBy("doc_id", "run").agg(F.min("i").alias("start"), text("old").alias("old"), text("c").alias("new")).drop("run")
+    rows = sequences(spark, sf_dir)
+    first = rows.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
+    base = rows.join(first, ["source", "doc_id"]).select("source", F.col("seq").alias("old"))
+    pairs = rows.join(base, "source").select("doc_id", "seq", "old").where("seq <> old")
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for doc, seq, old in zip(f["doc_id"], f["seq"], f["old"]):
+                n = min(len(seq), len(old))
+                at = np.flatnonzero(np.frombuffer(seq[:n].encode(), "u1") != np.frombuffer(old[:n].encode(), "u1"))
+                for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else []:
+                    lo, hi = int(part[0]), int(part[-1]) + 1
+                    out.append((doc, lo, old[lo:hi], seq[lo:hi]))
+                if len(out) >= 50_000:
+                    yield pd.DataFrame(out, columns=["doc_id", "start", "old", "new"])
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "start", "old", "new"])
+
+    return pairs.mapInPandas(run, "doc_id bigint, start bigint, old string, new string")
 
 
 @query(f"""WITH {_SITES}, g AS (SELECT source, i, c, count(*) AS n_tips FROM s GROUP BY source, i, c)

@@ -1,6 +1,10 @@
 """Queries that once read a part of their tables, over whole ones."""
 
-from collections import defaultdict
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
 
 from cladeframe.plans import registry
 
@@ -19,3 +23,49 @@ def test_gfa_lines(spark):
     want = [("S", str(r.o_orderkey), f"S\t{r.o_orderkey}\t{r.o_orderpriority}") for r in orders]
     want += [("P", str(k), f"P\t{k}\t{','.join(f'{x[1]}+' for x in sorted(w))}\t*") for k, w in walks.items()]
     assert sorted(rows_of(spark, "gfa_lines")) == sorted(want)
+
+
+@pytest.fixture(scope="module")
+def texts(spark, tmp_path_factory):
+    """Folder of documents of up to 300 bases in three sources, with gap columns beyond 60, and their sequences."""
+    r = random.Random(5)
+    rows = []
+    for i in range(30):
+        n = r.choice([0, 1, 2, 31, 32, 33, 61, 129, 250, 300])
+        chars = [r.choice("ACGTacgtN.") for _ in range(n)]
+        if i % 3 == 1:
+            for k in (5, 70, 71, 200):
+                chars[k : k + 1] = "." * len(chars[k : k + 1])
+        rows.append((i, "".join(chars) + " xyz", f"s{i % 3}"))
+    rows += [(30, None, "s0"), (31, "", "s1"), (32, "A" * 300, "s2"), (33, "C" * 10, None)]
+    folder = str(tmp_path_factory.mktemp("texts"))
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    seqs = {i: (s, re.sub("[^ACGTN.]", "", t.upper()).replace(".", "-")) for i, t, s in rows if t is not None}
+    return folder, seqs
+
+
+def test_alignment_columns(spark, texts):
+    folder, seqs = texts
+    column = defaultdict(dict)
+    for i, (source, s) in seqs.items():
+        for k, c in enumerate(s):
+            column[source, k][i] = c
+    real = {k: {i: c for i, c in x.items() if c != "-"} for k, x in column.items()}
+    want = {(*k, x[min(x)]) for k, x in real.items() if x}
+    assert Counter(rows_of(spark, "msa_consensus", folder)) == Counter(want)
+    kept = Counter(i for k, x in column.items() if real[k] or k[0] is None for i in x)
+    assert dict(rows_of(spark, "drop_gap_columns", folder)) == kept
+    genotypes = {(*k, c, list(x.values()).count(c), g + 1) for k, x in column.items() for g, c in enumerate(sorted(set(x.values())))}
+    assert Counter(rows_of(spark, "variant_genotype", folder)) == Counter(genotypes)
+
+
+def test_variant_diff(spark, texts):
+    folder, seqs = texts
+    want = []
+    for i, (source, s) in seqs.items():
+        if source is not None:
+            old = seqs[min(j for j, x in seqs.items() if x[0] == source)][1]
+            marks = "".join("x" if a != b else "." for a, b in zip(s, old))
+            want += [(i, m.start(), old[m.start() : m.end()], s[m.start() : m.end()]) for m in re.finditer("x+", marks)]
+    assert any(r[1] > 60 for r in want)
+    assert Counter(rows_of(spark, "variant_diff", folder)) == Counter(want)
