@@ -156,8 +156,8 @@ c AS (SELECT doc_id, k, substr(s, 3 * k + 1, 3) AS codon FROM s, range(0, 20) r(
 SELECT doc_id, CAST(k AS BIGINT) AS k, codon, {_AA} AS residue FROM c""")
 def codon_translate(spark, sf_dir):
     bare = F.regexp_replace(codes.only_bases(F.col("seq")), "-", "")
-    each = sequences(spark, sf_dir).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.substring(bare, k * 3 + 1, F.lit(3)))).alias("k", "codon"))
-    return each.where(F.length("codon") == 3).select("doc_id", F.col("k").cast("bigint").alias("k"), "codon", codes.codon_residue(F.col("codon")).alias("residue"))
+    each = sequences(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all(bare, F.lit(".{3}"), 0)).alias("k", "codon"))
+    return each.select("doc_id", F.col("k").cast("bigint").alias("k"), "codon", codes.codon_residue(F.col("codon")).alias("residue"))
 
 
 @query("""WITH a AS (SELECT DISTINCT user_id, event_id * 3 AS lo, event_id * 3 + 2 AS hi FROM events WHERE event_type = 'click'),
@@ -234,7 +234,7 @@ def edge_counts(spark, sf_dir):
 u AS (SELECT DISTINCT k, seq FROM c WHERE seq <> '')
 SELECT CAST(k AS BIGINT) AS k, seq, CAST(row_number() OVER (PARTITION BY k ORDER BY seq) AS BIGINT) AS segment FROM u""")
 def segment_chunks(spark, sf_dir):
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: codes.strip_gaps(F.substring("seq", k * 32 + 1, F.lit(32))))
+    pieces = F.transform(F.regexp_extract_all("seq", F.lit(".{1,32}"), 0), codes.strip_gaps)
     cut = sequences(spark, sf_dir).select(F.posexplode(pieces).alias("k", "seq")).where("seq <> ''").distinct()
     numbered = F.row_number().over(Window.partitionBy("k").orderBy("seq"))
     return cut.select(F.col("k").cast("bigint").alias("k"), "seq", numbered.cast("bigint").alias("segment"))

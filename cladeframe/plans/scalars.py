@@ -55,7 +55,7 @@ def subset_semijoin(spark, sf_dir):
 @query(f"""SELECT doc_id, CAST(i AS BIGINT) AS i, c AS base, CASE c WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 WHEN 'N' THEN 15 ELSE 0 END AS code
 FROM (SELECT doc_id, i, substr(s, i + 1, 1) AS c FROM (SELECT doc_id, {SEQ} AS s FROM documents), range(0, 40) r(i) WHERE i < length(s))""")
 def code_encode(spark, sf_dir):
-    each = sequences(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.substring("seq", 1, 40), "")).alias("i", "base")).where("base <> ''")
+    each = sequences(spark, sf_dir).select("doc_id", F.posexplode(F.split("seq", "")).alias("i", "base")).where("base <> ''")
     return each.select("doc_id", F.col("i").cast("bigint").alias("i"), "base", codes.base_code(F.col("base")).alias("code"))
 
 
@@ -92,13 +92,13 @@ w AS (SELECT doc_id, k, rpad(substr(s, 8 * k + 1, 8), 8, '-') AS w FROM s, range
 SELECT doc_id, CAST(k AS BIGINT) AS k, CAST(sum((instr('ACMGRSVTWYHKDBN', substr(w, j + 1, 1))) * CAST(pow(16, 7 - j) AS BIGINT)) AS BIGINT) AS word
 FROM w, range(0, 8) q(j) GROUP BY doc_id, k""")
 def pack_consensus(spark, sf_dir):
-    rows = sequences(spark, sf_dir).select("doc_id", codes.strip_gaps(F.substring("seq", 1, 64)).alias("s"))
+    rows = sequences(spark, sf_dir).where("seq is not null").select("doc_id", codes.strip_gaps(F.col("seq")).alias("s"))
     return rows.select("doc_id", F.posexplode(codes.pack_consensus(F.col("s"))).alias("k", "word")).select("doc_id", F.col("k").cast("bigint").alias("k"), "word")
 
 
 @query(f"SELECT doc_id, regexp_replace(substr({SEQ}, 1, 64), '[-]', '', 'g') AS s FROM documents")
 def unpack_consensus(spark, sf_dir):
-    packed = sequences(spark, sf_dir).select("doc_id", codes.pack_consensus(codes.strip_gaps(F.substring("seq", 1, 64))).alias("w"))
+    packed = sequences(spark, sf_dir).select("doc_id", codes.pack_consensus(codes.strip_gaps(F.col("seq"))).alias("w"))
     return packed.select("doc_id", codes.unpack_consensus(F.col("w")).alias("s"))
 
 

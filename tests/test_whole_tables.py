@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from cladeframe.functions import codes
 from cladeframe.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -69,3 +70,28 @@ def test_variant_diff(spark, texts):
             want += [(i, m.start(), old[m.start() : m.end()], s[m.start() : m.end()]) for m in re.finditer("x+", marks)]
     assert any(r[1] > 60 for r in want)
     assert Counter(rows_of(spark, "variant_diff", folder)) == Counter(want)
+
+
+def test_whole_sequences(spark, texts):
+    folder, seqs = texts
+    code = {c: k for k, c in enumerate("-ACMGRSVTWYHKDBN")}
+    got = Counter((r[0], r[1], r[2], r[3] or 0) for r in rows_of(spark, "code_encode", folder))
+    assert got == Counter((i, k, c, code[c]) for i, (_, s) in seqs.items() for k, c in enumerate(s))
+    bare = {i: s.replace("-", "") for i, (_, s) in seqs.items()}
+    words = [(i, k // 8, sum(code[c] << 4 * (7 - j) for j, c in enumerate(s[k : k + 8]))) for i, s in bare.items() for k in range(0, len(s), 8)]
+    assert Counter(rows_of(spark, "pack_consensus", folder)) == Counter(words)
+    assert {k: v for k, v in rows_of(spark, "unpack_consensus", folder) if k in bare} == bare
+
+
+def test_codons_and_chunks(spark, texts):
+    folder, seqs = texts
+    only = {i: re.sub("[^ACGT]", "", s) for i, (_, s) in seqs.items()}
+    residue = lambda c: codes.THREE[codes.RESIDUES["TCAG".index(c[0]) * 16 + "TCAG".index(c[1]) * 4 + "TCAG".index(c[2])]]
+    want = [(i, k // 3, s[k : k + 3], residue(s[k : k + 3])) for i, s in only.items() for k in range(0, len(s) - 2, 3)]
+    assert any(r[1] >= 20 for r in want)
+    assert Counter(rows_of(spark, "codon_translate", folder)) == Counter(want)
+    chunks = {(k // 32, s[k : k + 32].replace("-", "")) for _, s in seqs.values() for k in range(0, len(s), 32)}
+    chunks = sorted(x for x in chunks if x[1])
+    numbered = [(k, s, 1 + [x for x in chunks if x[0] == k].index((k, s))) for k, s in chunks]
+    assert max(chunks)[0] > 3
+    assert Counter(rows_of(spark, "segment_chunks", folder)) == Counter(numbered)
