@@ -299,7 +299,7 @@ def chain_window(spark, sf_dir):
 @query()
 def chain_best(spark, sf_dir):
     """Length of the best chain of each user's events against the user before; tested against brute force."""
-    lists = steps(spark, sf_dir).where("step < 200").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("step", "event_type"))).alias("x"))
+    lists = steps(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("step", "event_type"))).alias("x"))
     lists = lists.select("user_id", F.transform("x", lambda e: e["event_type"]).alias("seq"))
     other = lists.select((F.col("user_id") + 1).alias("user_id"), F.col("seq").alias("before"))
 
@@ -313,8 +313,8 @@ def chain_best(spark, sf_dir):
 
 @query()
 def rotation_best(spark, sf_dir):
-    """Where each user's first 50 events, as a circle, best begin against the user before; tested against brute force."""
-    lists = steps(spark, sf_dir).where("step < 50").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("step", "event_type"))).alias("x"))
+    """Where all events of a user, as a circle, best begin against the user before; tested against brute force."""
+    lists = steps(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("step", "event_type"))).alias("x"))
     lists = lists.select("user_id", F.transform("x", lambda e: e["event_type"]).alias("seq"))
     other = lists.select((F.col("user_id") + 1).alias("user_id"), F.col("seq").alias("before"))
 

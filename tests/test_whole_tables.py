@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from cladeframe.functions import codes
+from cladeframe.operators import graph
 from cladeframe.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -95,3 +96,72 @@ def test_codons_and_chunks(spark, texts):
     numbered = [(k, s, 1 + [x for x in chunks if x[0] == k].index((k, s))) for k, s in chunks]
     assert max(chunks)[0] > 3
     assert Counter(rows_of(spark, "segment_chunks", folder)) == Counter(numbered)
+
+
+@pytest.fixture(scope="module")
+def users(spark, tmp_path_factory):
+    """Folder of events of users of up to 230 events, and each user's event types in order of time."""
+    r = random.Random(6)
+    lists = {u: [r.choice("abcdefgh") for _ in range(n)] for u, n in enumerate([60, 75, 40, 215, 230, 1])}
+    lists[1] = lists[0][30:] + lists[0][:30]  # the circle begins beyond the 30th event
+    lists[4] = lists[3][140:] + lists[3][:140]
+    rows = [(u, 1000 * u + k, c, k) for u, x in lists.items() for k, c in enumerate(x)]
+    r.shuffle(rows)
+    folder = str(tmp_path_factory.mktemp("users"))
+    frame = spark.createDataFrame(rows, "user_id long, event_id long, event_type string, ts long")
+    frame.selectExpr("user_id", "event_id", "event_type", "timestamp_seconds(ts) AS ts").write.parquet(f"{folder}/events.parquet")
+    return folder, lists
+
+
+def plain_chain(a, b):
+    points = [(i, j) for i, p in enumerate(a) for j, q in enumerate(b) if p == q]
+    score, size = {}, {}
+    for x, y in points:
+        score[x, y], size[x, y] = (graph.WORTH if (x, y) == (0, 0) else graph.FLOOR), 1
+        if (x, y) == (0, 0):
+            continue
+        wall_x = wall_y = -1
+        for p in range(x - 1, -1, -1):
+            for q in range(y - 1, -1, -1):
+                if (p, q) in score and not (p <= wall_x and q <= wall_y):
+                    gain = score[p, q] + graph.WORTH - (x - p) - (y - q)
+                    if gain > score[x, y]:
+                        score[x, y], size[x, y] = gain, size[p, q] + 1
+                    wall_x, wall_y = max(wall_x, p - 1), max(wall_y, q - 1)
+            if wall_x >= p - 1 and wall_y >= y - 2:
+                break  # all that is left lies behind the wall
+    return size[max(points, key=lambda s: score[s])] if points else 0
+
+
+def plain_rotation(a, b):
+    """Cells of a local alignment against a circle, one at a time."""
+    n = len(b)
+    last, origin, best, where = [-1] * n, [-1] * n, None, -1
+    for block in a:
+        row, begins = [], []
+        for c in range(n):
+            diagonal, left = last[c - 1] + (graph.MATCH if b[c] == block else graph.MISMATCH), last[c] + graph.GAP
+            if diagonal >= left:
+                row.append(diagonal)
+                begins.append(origin[c - 1] if origin[c - 1] >= 0 else c)
+            else:
+                row.append(left)
+                begins.append(origin[c])
+        if row[0] < -1:
+            row[0], begins[0] = -1, -1
+        for c in range(1, n):
+            if row[c - 1] + graph.GAP > row[c]:
+                row[c], begins[c] = row[c - 1] + graph.GAP, begins[c - 1]
+        last, origin = row, begins
+        if best is None or max(row) > best:
+            best, where = max(row), begins[row.index(max(row))]
+    return max(where, 0)
+
+
+def test_chains_and_circles(spark, users):
+    folder, lists = users
+    pairs = [(u, lists[u - 1], x) for u, x in lists.items() if u - 1 in lists]
+    assert sorted(rows_of(spark, "chain_best", folder)) == [(u, plain_chain(a, b)) for u, a, b in pairs]
+    got = rows_of(spark, "rotation_best", folder)
+    assert sorted(got) == [(u, plain_rotation(a, b)) for u, a, b in pairs]
+    assert dict(got)[1] == 30
