@@ -165,3 +165,12 @@ def test_chains_and_circles(spark, users):
     got = rows_of(spark, "rotation_best", folder)
     assert sorted(got) == [(u, plain_rotation(a, b)) for u, a, b in pairs]
     assert dict(got)[1] == 30
+
+
+def test_pack_records(spark):
+    want = Counter()
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").collect():
+        a, b = r.l_partkey % 16, r.l_suppkey % 16
+        want[r.l_orderkey, r.l_linenumber, a, b, a << 20 | b << 16, b, 50, (r.l_partkey << 32) + r.l_suppkey] += 1
+    assert len({k[1] for k in want}) > 1
+    assert Counter(rows_of(spark, "pack_records")) == want
