@@ -115,21 +115,24 @@ KINDS = (
 
 
 def _spans(text: Column, kind: Kind, order: int, window: int, bonus: float) -> Column:
-    """Confirmed spans of one kind: the text between matches gives the offsets and the context."""
+    """Confirmed spans of one kind: the text between matches gives the offsets; the context is the last
+    characters before a match, which earlier matches are part of."""
     pieces = F.split(text, kind.pattern, -1)
     found = F.arrays_zip(pieces.alias("gap"), F.regexp_extract_all(text, F.lit(kind.pattern), 0).alias("hit"))
 
     def step(acc: Column, e: Column) -> Column:
         start = acc["at"] + F.length(e["gap"])
         end = start + F.coalesce(F.length(e["hit"]), F.lit(0))
-        near = F.right(e["gap"], F.lit(window)).rlike(kind.context)
+        before = F.right(F.concat(acc["tail"], F.right(e["gap"], F.lit(window))), F.lit(window))
+        near = before.rlike(kind.context)
         score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(near, F.lit(bonus)).otherwise(F.lit(0.0)))
         row = F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
         out = F.when(e["hit"].isNotNull() & kind.valid(e["hit"]), F.concat(acc["out"], F.array(row))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+        tail = F.right(F.concat(before, F.coalesce(e["hit"], F.lit(""))), F.lit(window))
+        return F.struct(end.alias("at"), tail.alias("tail"), out.alias("out"))
 
     empty = F.array().cast(SPAN)
-    folded = F.aggregate(found, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    folded = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), empty.alias("out")), step, lambda acc: acc["out"])
     return F.when(text.rlike(kind.pattern), folded).otherwise(empty)
 
 

@@ -109,3 +109,18 @@ def test_native_plans(documents):
     for df in (quality.line_quality(documents), pii.pii_digest(documents), pii.mask_pii(documents)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not [x for x in ("Python", "Pandas", "Arrow") if x in plan]
+
+
+def test_pii_context_before_earlier_matches(spark):
+    """A context word counts for every match that begins within 40 characters after it."""
+    number = "555-987-6543"
+    rows = [f"phone: 555-123-4567, {number}", f"phone {number}, 123-45-6789, {number}", f"é call{'x' * 36}{number}", f"é call{'x' * 37}{number}"]
+    rows += [" ".join(["tel", *[number] * 7]), f"{number}, {number} phone", f"ssn 000-12-3456 or 123-45-6789 {number}"]
+    want = {}
+    for i, t in enumerate(rows):
+        found = [m.start() for m in re.finditer("555-[0-9]{3}-[0-9]{4}", t)]
+        want[i] = [k for k in found if re.search("phone|tel|call", t[max(0, k - 40) : k])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: [int(s.split(":")[1]) for s in r.spans.split(",") if s.startswith("local")] for r in pii.pii_digest(docs).collect()}
+    assert got == want and [len(want[i]) for i in range(6)] == [2, 2, 1, 0, 3, 0]
+    assert {r.doc_id: r.text for r in pii.mask_pii(docs).collect()}[0] == "phone: <LOCAL_PHONE>, <LOCAL_PHONE>"
