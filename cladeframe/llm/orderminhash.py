@@ -2,8 +2,10 @@
 
 Each sketch of a document takes the three smallest of its occurrence-labelled five-word shingles
 under one hash function and keeps them in text order, so that two documents share a sketch with odds
-that fall as shingles differ or change places. Documents that share a sketch are candidates; a banded
-alignment of their shingles decides.
+that fall as shingles differ or change places. As many sketches again are taken of the set of
+shingles, whatever their order and number, for texts whose lines have moved or are repeated.
+Documents that share a sketch are candidates; a banded alignment of their shingles, or the
+similarity of their sets, decides.
 
 Work is on distinct texts: copies only join them again at the end. Inside a bucket of one sketch no
 pairs are spelled out: every text is aligned with one leader first, connected texts collapse into a
@@ -25,17 +27,13 @@ from pyspark.sql import functions as F
 from .common import lean, let_go, slices, stash, tidy, unstash
 from .decontam import normal_words
 
-#: Words in a shingle, shingles in a sketch, sketches of a document.
+#: Words in a shingle, shingles in a sketch, sketches of a document of either kind. At a similarity of
+#: 0.8 each sketch is shared with odds of about one half, and none of 24 with odds below 10^-6.
 SHINGLE, DRAWN, SKETCHES = 5, 3, 24
-#: Sketches that two texts of one bucket share at least before they are aligned. At a similarity of
-#: 0.8 each sketch is shared with odds of about one half, and fewer than three of 24 with odds of 2 in 10^5.
-LEAST_SHARED = 3
 #: Text that is sketched at once, in bytes.
 SLICE = 4 << 20
 #: Texts of a bucket that are compared side by side.
 BLOCK_TEXTS = 256
-#: Sets of shingles may be similar where whole texts with repeated lines differ in size by this much more.
-SLACK = 0.5
 
 _POWER = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(SHINGLE)], dtype=np.uint64)
 _ODD = np.random.default_rng(20240229).integers(1 << 62, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -76,8 +74,18 @@ def labelled(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each text, one key a sketch; all texts have a shingle."""
+def distinct(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct values in rising order, and each text's first one."""
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((values, owner))
+    values, owner = values[order], owner[order]
+    fresh = np.ones(len(values), dtype=bool)
+    fresh[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    return values[fresh], np.searchsorted(owner[fresh], np.arange(len(first)))
+
+
+def sketches(values: np.ndarray, first: np.ndarray, kind: int = 0) -> np.ndarray:
+    """For each text, one key a sketch; all texts have a shingle. Keys of different kinds never meet."""
     starts, sizes = first[:-1], np.diff(first)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     keys = np.empty((len(sizes), SKETCHES), dtype=np.uint64)
@@ -94,7 +102,7 @@ def sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
             places[:, k] = found[head]
             h[places[:, k]] = top
         places.sort(axis=1)
-        key = np.full(len(sizes), t + 1, dtype=np.uint64)
+        key = np.full(len(sizes), kind * SKETCHES + t + 1, dtype=np.uint64)
         for k in range(DRAWN):
             key = _mix(key * np.uint64(0x9FB21C651E98DF25) + values[places[:, k]])
         keys[:, t] = key
@@ -116,7 +124,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys: list[list[int] | None] = [None] * part.num_rows
             if len(full):
                 bounds = np.append(at[full], at[-1])
-                found = sketches(labelled(grams, bounds), bounds).view(np.int64)
+                ordered = sketches(labelled(grams, bounds), bounds)
+                found = np.hstack([ordered, sketches(*distinct(grams, bounds), kind=1)]).view(np.int64)
                 for i, row in zip(full.tolist(), found.tolist()):
                     keys[i] = row
             seq = pa.LargeBinaryArray.from_buffers(
@@ -225,11 +234,16 @@ def components(links: DataFrame) -> DataFrame:
         last = tuple(seen)
 
 
+def _possible(a: Shingled, b: Shingled, least: float) -> bool:
+    """False where the numbers of shingles, or of distinct ones, differ too much for either similarity."""
+    sizes = ((len(a.own), len(b.own)), (len(a.set), len(b.set)))
+    return any(min(x) >= max(x) * least - 1e-6 for x in sizes)
+
+
 def _compare(least: float):
     """Two blocks of one bucket: links between texts of different components.
 
-    A pair is looked at in the first sketch that it shares, if it shares enough of them and its sizes
-    allow the similarity. What a link has joined is not looked at again, so that at most one link a
+    A pair is looked at in the first sketch that it shares, if its sizes allow the similarity. What a link has joined is not looked at again, so that at most one link a
     text leaves here, however large the bucket is.
     """
 
@@ -241,19 +255,16 @@ def _compare(least: float):
         group = np.array([number[r] for r in root])
         sketch = np.array(table.column("keys").to_pylist(), dtype=np.int64)
         seq = table.column("seq").to_pylist()
-        size = np.array([max(1, len(x) // 4 - SHINGLE + 1) for x in seq], dtype=np.float64)
         side = table.column("blk").to_numpy()
         a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
         shared = np.zeros((len(a), len(b)), dtype=np.int8)
         earlier = np.zeros((len(a), len(b)), dtype=bool)
-        for t in range(SKETCHES):
+        for t in range(sketch.shape[1]):
             same = sketch[a, t][:, None] == sketch[b, t][None, :]
             shared += same
             if t < turn:
                 earlier |= same
-        wanted = (shared >= LEAST_SHARED) & ~earlier & (group[a][:, None] != group[b][None, :])
-        smaller, larger = np.minimum(size[a][:, None], size[b][None, :]), np.maximum(size[a][:, None], size[b][None, :])
-        wanted &= smaller >= larger * least * SLACK
+        wanted = ~earlier & (group[a][:, None] != group[b][None, :])
         if i == j:
             wanted &= a[:, None] < b[None, :]
         x, y = np.nonzero(wanted)
@@ -274,7 +285,7 @@ def _compare(least: float):
                 for k in (p, q):
                     if k not in made:
                         made[k] = Shingled(seq[k])
-                if alignment(made[p], made[q], least) >= least:
+                if _possible(made[p], made[q], least) and alignment(made[p], made[q], least) >= least:
                     joined[max(r, s)] = min(r, s)
                     found.append((node[p], node[q]))
         yield pa.RecordBatch.from_arrays(

@@ -288,3 +288,20 @@ def test_stages_on_hard_rows(spark, edge, sf, tmp_path):
         docs = back if k + 1 < len(corpus_pipeline.STAGES) else docs
     kept = [r.text for r in docs.collect()]
     assert kept.count("same text") == 1 and None not in kept and "one" in kept
+
+
+def test_moved_and_repeated_lines(spark, rng):
+    """Texts whose sets of shingles share 0.8 are linked, whatever the order and number of their lines."""
+    vocabulary = [f"v{i}" for i in range(2000)]
+    rows = []
+    for g in range(80):
+        lines = [" ".join(rng.choice(vocabulary) for _ in range(44)) for _ in range(8)]
+        moved = rng.sample(lines, len(lines)) if g % 2 else [x for x in lines for _ in range(6)]
+        rows += [(10 * g, "\n".join(lines)), (10 * g + 1, "\n".join(moved))]
+    root = classes(rows)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(root[t], []).append(i)
+    assert sum(len(x) == 2 for x in groups.values()) > 60
+    got = {r.doc_id: r.class_id for r in orderminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: min(groups[root[t]]) for i, t in rows}
