@@ -65,11 +65,12 @@ def mine_rules(
     min_support: float = 0.002,
     min_rows: int = 20,
     min_confidence: float = 0.8,
-    max_tokens: int = 3,
+    max_tokens: int | None = None,
 ) -> DataFrame:
     """Rules (tokens, confidence, support) whose tokens foretell a bad URL, mined by Spark's FP-growth.
 
-    Only rules that no rule with fewer of their tokens matches in confidence stay. Each token of a
+    Only rules that no rule with fewer of their tokens matches in confidence stay, whatever their
+    length, unless max_tokens sets a bound. Each token of a
     rule occurs in min_support of the labelled rows at least, and in min_rows of them, so that the
     number of rules depends on the thresholds and not on the number of rows. Rows without a label are
     left out.
@@ -79,7 +80,9 @@ def mine_rules(
     )
     support = min(1.0, max(min_support, min_rows / max(1, items.count())))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
-    found = model.associationRules.where(F.array_contains("consequent", BAD) & (F.size("antecedent") <= max_tokens))
+    found = model.associationRules.where(F.array_contains("consequent", BAD))
+    if max_tokens is not None:
+        found = found.where(F.size("antecedent") <= max_tokens)
     found = stash(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "url-rules")
     wider = found.alias("w").join(
         found.alias("n"),

@@ -305,3 +305,12 @@ def test_moved_and_repeated_lines(spark, rng):
     assert sum(len(x) == 2 for x in groups.values()) > 60
     got = {r.doc_id: r.class_id for r in orderminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: min(groups[root[t]]) for i, t in rows}
+
+
+def test_mined_rule_of_four_tokens(spark):
+    """Bad only where four tokens meet: every three of them are in as many good rows."""
+    rows = [(list("abcd"), True)] * 30 + [([x for x in "abcd" if x != y], False) for y in "abcd" for _ in range(30)] + [(["z"], False)] * 30
+    df = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    got = urlrules.mine_rules(df, "tokens", "bad", min_support=0.01, min_rows=5, min_confidence=0.8)
+    assert [(r.tokens, r.confidence) for r in got.collect()] == [(list("abcd"), 1.0)]
+    assert urlrules.match_rules(df.select("tokens").distinct(), got).count() == 1
