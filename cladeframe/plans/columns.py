@@ -121,7 +121,7 @@ def range_slice(spark, sf_dir):
     return sequences(spark, sf_dir).where(F.length("seq") >= 11).select("doc_id", F.substring("seq", 11, 30).alias("part"))
 
 
-_SITES = f"""s AS (SELECT doc_id, source, i, substr(s, i + 1, 1) AS c FROM (SELECT doc_id, source, {SEQ} AS s FROM documents), range(0, 60) r(i) WHERE i < length(s))"""
+_SITES = f"""s AS (SELECT doc_id, source, unnest(range(0, length(s))) AS i, unnest(string_split(s, '')) AS c FROM (SELECT doc_id, source, {SEQ} AS s FROM documents) WHERE s <> '')"""
 
 
 def sites(spark, sf_dir):
@@ -152,7 +152,7 @@ _AA = "CASE " + " ".join(
 
 
 @query(f"""WITH s AS (SELECT doc_id, regexp_replace({SEQ}, '[^ACGT]', '', 'g') AS s FROM documents),
-c AS (SELECT doc_id, k, substr(s, 3 * k + 1, 3) AS codon FROM s, range(0, 20) r(k) WHERE 3 * k + 3 <= length(s))
+c AS (SELECT doc_id, unnest(range(0, length(s) // 3)) AS k, unnest(regexp_extract_all(s, '.{{3}}')) AS codon FROM s)
 SELECT doc_id, CAST(k AS BIGINT) AS k, codon, {_AA} AS residue FROM c""")
 def codon_translate(spark, sf_dir):
     bare = F.regexp_replace(codes.only_bases(F.col("seq")), "-", "")
@@ -230,7 +230,8 @@ def edge_counts(spark, sf_dir):
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH c AS (SELECT doc_id, k, translate(substr(s, 32 * k + 1, 32), '-x', '') AS seq FROM (SELECT doc_id, {SEQ} AS s FROM documents), range(0, 4) r(k) WHERE 32 * k < length(s)),
+@query(f"""WITH p AS (SELECT doc_id, unnest(range(0, (length(s) + 31) // 32)) AS k, unnest(regexp_extract_all(s, '.{{1,32}}')) AS part FROM (SELECT doc_id, {SEQ} AS s FROM documents)),
+c AS (SELECT doc_id, k, translate(part, '-x', '') AS seq FROM p),
 u AS (SELECT DISTINCT k, seq FROM c WHERE seq <> '')
 SELECT CAST(k AS BIGINT) AS k, seq, CAST(row_number() OVER (PARTITION BY k ORDER BY seq) AS BIGINT) AS segment FROM u""")
 def segment_chunks(spark, sf_dir):

@@ -53,7 +53,7 @@ def subset_semijoin(spark, sf_dir):
 
 
 @query(f"""SELECT doc_id, CAST(i AS BIGINT) AS i, c AS base, CASE c WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 WHEN 'N' THEN 15 ELSE 0 END AS code
-FROM (SELECT doc_id, i, substr(s, i + 1, 1) AS c FROM (SELECT doc_id, {SEQ} AS s FROM documents), range(0, 40) r(i) WHERE i < length(s))""")
+FROM (SELECT doc_id, unnest(range(0, length(s))) AS i, unnest(string_split(s, '')) AS c FROM (SELECT doc_id, {SEQ} AS s FROM documents) WHERE s <> '')""")
 def code_encode(spark, sf_dir):
     each = sequences(spark, sf_dir).select("doc_id", F.posexplode(F.split("seq", "")).alias("i", "base")).where("base <> ''")
     return each.select("doc_id", F.col("i").cast("bigint").alias("i"), "base", codes.base_code(F.col("base")).alias("code"))
@@ -87,8 +87,9 @@ def fasta_wrap(spark, sf_dir):
     return sinks.fasta_records(sequences(spark, sf_dir).select(F.col("doc_id").cast("string").alias("name"), "seq"))
 
 
-@query(f"""WITH s AS (SELECT doc_id, regexp_replace(substr({SEQ}, 1, 64), '[-]', '', 'g') AS s FROM documents),
-w AS (SELECT doc_id, k, rpad(substr(s, 8 * k + 1, 8), 8, '-') AS w FROM s, range(0, 8) r(k) WHERE 8 * k < length(s))
+@query(f"""WITH s AS (SELECT doc_id, regexp_replace({SEQ}, '[-]', '', 'g') AS s FROM documents),
+p AS (SELECT doc_id, unnest(range(0, (length(s) + 7) // 8)) AS k, unnest(regexp_extract_all(s, '.{{1,8}}')) AS part FROM s),
+w AS (SELECT doc_id, k, rpad(part, 8, '-') AS w FROM p)
 SELECT doc_id, CAST(k AS BIGINT) AS k, CAST(sum((instr('ACMGRSVTWYHKDBN', substr(w, j + 1, 1))) * CAST(pow(16, 7 - j) AS BIGINT)) AS BIGINT) AS word
 FROM w, range(0, 8) q(j) GROUP BY doc_id, k""")
 def pack_consensus(spark, sf_dir):
@@ -96,14 +97,14 @@ def pack_consensus(spark, sf_dir):
     return rows.select("doc_id", F.posexplode(codes.pack_consensus(F.col("s"))).alias("k", "word")).select("doc_id", F.col("k").cast("bigint").alias("k"), "word")
 
 
-@query(f"SELECT doc_id, regexp_replace(substr({SEQ}, 1, 64), '[-]', '', 'g') AS s FROM documents")
+@query(f"SELECT doc_id, regexp_replace({SEQ}, '[-]', '', 'g') AS s FROM documents")
 def unpack_consensus(spark, sf_dir):
     packed = sequences(spark, sf_dir).select("doc_id", codes.pack_consensus(codes.strip_gaps(F.col("seq"))).alias("w"))
     return packed.select("doc_id", codes.unpack_consensus(F.col("w")).alias("s"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey % 16 AS a, l_suppkey % 16 AS b, CAST((l_partkey % 16) * 1048576 + (l_suppkey % 16) * 65536 AS BIGINT) AS packed,
-CAST(l_suppkey % 16 AS BIGINT) AS second, CAST(3 * 16 + 2 AS INTEGER) AS info, CAST(l_partkey * 4294967296 + l_suppkey AS BIGINT) AS block_id FROM lineitem WHERE l_linenumber = 1""")
+CAST(l_suppkey % 16 AS BIGINT) AS second, CAST(3 * 16 + 2 AS INTEGER) AS info, CAST(l_partkey * 4294967296 + l_suppkey AS BIGINT) AS block_id FROM lineitem""")
 def pack_records(spark, sf_dir):
     a, b = F.col("l_partkey") % 16, F.col("l_suppkey") % 16
     packed = codes.pack_run(F.array(a.cast("int"), b.cast("int")))
@@ -131,9 +132,9 @@ def ambiguity_expand(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", "event_id", codes.expanded(code).alias("nucs"), codes.lowest_bit(code).alias("low"))
 
 
-@query("""SELECT 'S' AS rec, CAST(o_orderkey AS VARCHAR) AS id, 'S' || chr(9) || o_orderkey || chr(9) || o_orderpriority AS line FROM orders WHERE o_orderkey <= 500
+@query("""SELECT 'S' AS rec, CAST(o_orderkey AS VARCHAR) AS id, 'S' || chr(9) || o_orderkey || chr(9) || o_orderpriority AS line FROM orders
 UNION ALL SELECT 'P', CAST(l_orderkey AS VARCHAR), 'P' || chr(9) || l_orderkey || chr(9) || string_agg(l_partkey || '+', ',' ORDER BY l_linenumber, l_partkey, l_suppkey) || chr(9) || '*'
-FROM lineitem WHERE l_orderkey <= 500 GROUP BY l_orderkey""")
+FROM lineitem GROUP BY l_orderkey""")
 def gfa_lines(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     items = table(spark, sf_dir, "lineitem")
