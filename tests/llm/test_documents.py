@@ -1,8 +1,11 @@
 """Near-duplicates, decontamination, language, URL rules, chats and the pipeline."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -148,21 +151,104 @@ def test_language(spark, edge, documents):
     assert langid.language_digest(edge.limit(0), PIECES).collect() == []
 
 
-def test_forward_sums_all_segmentations(documents):
-    languages, pieces, table = langid.learn(documents, PIECES)
-    scorer = langid.WordScorer(pieces, table)
-    place = {p: i for i, p in enumerate(pieces)}
-    for word in ("the", "häuser", "ñ漢x", "q"):
-        text = "▁" + word
-        total = np.zeros(len(languages))
-        for mask in range(1 << (len(text) - 1)):
-            cuts = [0, *(i + 1 for i in range(len(text) - 1) if mask >> i & 1), len(text)]
-            product = np.ones(len(languages))
-            for a, b in zip(cuts, cuts[1:]):
-                piece = text[a:b]
-                product = product * (table[place[piece]] if piece in place else langid.UNKNOWN if b == a + 1 else 0)
-            total += product
-        assert np.allclose(scorer.forward([word])[0], np.log(total))
+def ways(word, value, unknown, longest):
+    """Sums over all segmentations of the sign of a word's start and a word: up to each place, and from it on."""
+    text = "▁" + word
+    steps = []
+    for a in range(len(text)):
+        own = [(b, text[a:b], value[text[a:b]]) for b in range(a + 1, min(len(text), a + longest) + 1) if text[a:b] in value]
+        if not any(b == a + 1 for b, _, _ in own):
+            own.append((a + 1, None, unknown))
+        steps.append(own)
+    ahead, behind = [Fraction(0)] * (len(text) + 1), [Fraction(0)] * (len(text) + 1)
+    ahead[0] = behind[-1] = Fraction(1)
+    for a in range(len(text)):
+        for b, _, p in steps[a]:
+            ahead[b] += ahead[a] * p
+    for a in reversed(range(len(text))):
+        behind[a] = sum(behind[b] * p for b, _, p in steps[a])
+    return steps, ahead, behind
+
+
+def log_of(x):
+    return math.log(x.numerator) - math.log(x.denominator)
+
+
+TOY = ["▁", "a", "b", "ab", "▁a", "ba", "bab", "c", "abc", "é", "aaaa"]
+RUNS = ["", "a", "ab", "babab", "abcab", "xyz", "aéb", "q", "a" * 29, "a" * 30, "a" * 31, "abcab" * 8, "x" * 60, "bab" * 20]
+
+
+def test_segmentations_are_summed_at_any_length(rng):
+    """Plain and logarithmic passes against exact fractions, on both sides of PLAIN_LETTERS."""
+    table = np.array([[rng.random() / 9 for _ in range(3)] for _ in TOY])
+    trie = langid.Pieces(TOY)
+    full = np.vstack([table, np.full((1, 3), langid.UNKNOWN)])
+    got = langid.log_probabilities(trie, full, RUNS)
+    times = np.arange(1.0, len(RUNS) + 1)
+    for k in range(3):
+        value = {p: Fraction(table[i, k]) for i, p in enumerate(TOY)}
+        want = dict.fromkeys([*TOY, None], 0.0)
+        for j, run in enumerate(RUNS):
+            steps, ahead, behind = ways(run, value, Fraction(langid.UNKNOWN), 4)
+            assert math.isclose(got[j, k], log_of(ahead[-1]), rel_tol=1e-9)
+            for a, own in enumerate(steps):
+                for b, piece, p in own:
+                    want[piece] += times[j] * float(ahead[a] * p * behind[b] / ahead[-1])
+        counts = langid.expected_counts(trie, full[:, k], RUNS, times)
+        assert np.allclose(counts, [want[p] for p in [*TOY, None]], rtol=1e-6)
+
+
+def test_language_query_against_plain_python(spark, monkeypatch):
+    """Every row of op7 on a small table: learning, held-out rows, nulls, ties and long words."""
+    import sentencepiece
+
+    rows = [(1, "the cat and the hat", "en"), (2, "der hund und das haus", "de"), (3, "le chat et la maison", "fr"), (4, "the dog and the log", "en"), (5, "und der baum das", "de")]
+    rows += [(6, "la table et le pain", "fr"), (7, "and that", None), (8, None, "en"), (9, "123 --", "de"), (10, "donaudampfschifffahrtsgesellschaftskapitaen", "de"), (11, "ÀÉ. der x2y", None)]
+    rows += [(12, "", "fr"), (13, "the", "en"), (13, "the", "en"), (None, "et la", "fr"), (14, "漢字", None), (15, "chat der cat", "de"), (16, "²", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    pieces = [model.id_to_piece(i) for i in range(model.vocab_size())]
+    longest = max(map(len, pieces))
+
+    def runs(text):
+        out = []
+        for w in re.findall("[a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")):
+            out.append(re.findall(r"[^\W\d_]+", w if w.isascii() else w.lower()))
+        return out
+
+    def held(i):
+        return i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+
+    known = [(t, lang) for i, t, lang in rows if i is not None and not held(i) and t is not None and lang is not None]
+    languages = sorted({lang for _, lang in known})
+    table = {lang: dict.fromkeys(pieces, 1 / len(pieces)) for lang in languages}
+    for _ in range(langid.ROUNDS):
+        for lang in languages:
+            counts = dict.fromkeys(pieces, 0.05)
+            for t, own in known:
+                for run in (r for w in runs(t) for r in w if own == lang):
+                    steps, ahead, behind = ways(run, table[lang], langid.UNKNOWN, longest)
+                    for a, arcs in enumerate(steps):
+                        for b, piece, p in arcs:
+                            if piece is not None:
+                                counts[piece] += float(ahead[a]) * p * float(behind[b]) / float(ahead[-1])
+            total = sum(counts.values())
+            table[lang] = {p: c / total for p, c in counts.items()}
+    want = Counter()
+    for i, t, _ in rows:
+        words_ = runs(t)
+        if not any(c.isalpha() for c in t or ""):
+            want[(i, held(i), "und", 0.0)] += 1
+            continue
+        mean = {}
+        for lang in languages:
+            logs = [math.log(float(ways(r, table[lang], langid.UNKNOWN, longest)[1][-1])) for w in words_ for r in w]
+            mean[lang] = sum(logs) / len(words_)
+        top = max(mean.values())
+        best = min(lang for lang in languages if mean[lang] > top - 1e-9)
+        want[(i, held(i), best, round(1 / sum(math.exp(m - top) for m in mean.values()), 4))] += 1
+    got = langid.language_digest(docs, PIECES).collect()
+    assert Counter((r.doc_id, r.held_out, r.lang_pred, round(r.score, 4)) for r in got) == want
 
 
 def url_parts(url):
