@@ -5,7 +5,9 @@
 
 Expressions have strings, integers, true, false, none, names, a.b and a['b'] on mappings, comparison,
 in, and, or, not, +, - and ~ (text joined), and filters after |. There are no calls, and nothing of
-Python's objects can be reached. What stands between the generation markers is noted as loss spans.
+Python's objects can be reached. A name that is not given is none: it prints as nothing, has length 0
+and holds nothing; where an operation has no meaning for its values, TemplateError is raised. What
+stands between the generation markers is noted as loss spans.
 """
 
 from __future__ import annotations
@@ -13,13 +15,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, is_dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Turns of one conversation that are rendered together; longer ones take several rows.
+#: Turns of one conversation that go into one row of output; the rendering of longer ones goes on in the next row.
 SEGMENT_TURNS = 4096
 
 
@@ -42,7 +44,7 @@ FILTERS: dict[str, Callable] = {
     "upper": lambda v: _text(v).upper(),
     "lower": lambda v: _text(v).lower(),
     "capitalize": lambda v: _text(v).capitalize(),
-    "length": len,
+    "length": lambda v: 0 if v is None else len(v),
 }
 
 
@@ -119,7 +121,7 @@ OPERATIONS: dict[str, Callable] = {
     "<=": lambda a, b: a <= b,
     ">": lambda a, b: a > b,
     ">=": lambda a, b: a >= b,
-    "in": lambda a, b: a in b,
+    "in": lambda a, b: b is not None and a in b,
     "+": lambda a, b: a + b,
     "-": lambda a, b: a - b,
     "~": lambda a, b: _text(a) + _text(b),
@@ -345,8 +347,8 @@ def _value(node) -> Callable[[_Run], object]:
         of, key = _value(node.of), _value(node.key)
 
         def item(run: _Run):
-            holder = of(run)
-            return holder.get(key(run)) if type(holder) is dict else None
+            holder, name = of(run), key(run)
+            return holder.get(name) if type(holder) is dict and type(name) in (str, int, bool) else None
 
         return item
     args = [_value(a) for a in node.args]
@@ -355,7 +357,15 @@ def _value(node) -> Callable[[_Run], object]:
     if node.op == "or":
         return lambda run: args[0](run) or args[1](run)
     f = OPERATIONS[node.op]
-    return lambda run: f(*[a(run) for a in args])
+
+    def applied(run: _Run):
+        values = [a(run) for a in args]
+        try:
+            return f(*values)
+        except TypeError as e:
+            raise TemplateError(f"{node.op} cannot take {', '.join(type(v).__name__ for v in values)}") from e
+
+    return applied
 
 
 def _action(node) -> Callable[[_Run], None]:
@@ -406,16 +416,79 @@ def _action(node) -> Callable[[_Run], None]:
         if type(rows) is not list:
             raise TemplateError("for needs a list")
         held = {k: run.names.get(k) for k in (node.name, "loop")}
-        before, more = run.names.get("offset") or 0, run.names.get("more")
         for i, row in enumerate(rows):
-            run.names[node.name] = row
-            run.names["loop"] = {"index": before + i + 1, "first": before + i == 0, "last": i + 1 == len(rows) and not more}
+            _turn(run, node.name, row, i, i + 1 == len(rows))
             body(run)
         run.names.update(held)
 
     return loop
 
 
+def _turn(run: _Run, name: str, row, i: int, last: bool) -> None:
+    run.names[name] = row
+    run.names["loop"] = {"index": i + 1, "first": i == 0, "last": last}
+
+
+def _names(node) -> Iterator[str]:
+    """The names that a part of a tree reads or sets."""
+    if isinstance(node, tuple):
+        for x in node:
+            yield from _names(x)
+    elif is_dataclass(node):
+        if isinstance(node, (Name, Assign, For)):
+            yield node.name
+        for f in fields(node):
+            yield from _names(getattr(node, f.name))
+
+
+class Rendering:
+    """A template's rendering of one conversation after another, turn by turn.
+
+    Where the template names messages once only, as what a for at its top goes through, each turn is
+    rendered as it comes, and take() gives what is there so far; what the template has set goes on.
+    Any other template is rendered when the conversation ends.
+    """
+
+    def __init__(self, source: str, names: dict):
+        self.given = names
+        tree = fold(parse(source))
+        at = [i for i, x in enumerate(tree) if isinstance(x, For) and x.over == Name("messages")]
+        self.steady = len(at) == 1 and list(_names(tree)).count("messages") == 1
+        if self.steady:
+            self.name = tree[at[0]].name
+            self.before, self.body, self.after = (_action(x) for x in (tree[: at[0]], tree[at[0]].body, tree[at[0] + 1 :]))
+        else:
+            self.all = _action(tree)
+
+    def begin(self) -> None:
+        self.run, self.n, self.messages = _Run(dict(self.given)), 0, []
+        if self.steady:
+            self.before(self.run)
+            self.held = {k: self.run.names.get(k) for k in (self.name, "loop")}
+
+    def turn(self, message: dict, last: bool) -> None:
+        if self.steady:
+            _turn(self.run, self.name, message, self.n, last)
+            self.body(self.run)
+        else:
+            self.messages.append(message)
+        self.n += 1
+
+    def end(self) -> None:
+        if self.steady:
+            self.run.names.update(self.held)
+            self.after(self.run)
+        else:
+            self.run.names["messages"] = self.messages
+            self.all(self.run)
+
+    def take(self) -> tuple[str, list[tuple[int, int]]]:
+        """The text since the last time and its loss spans; the rendering goes on behind it."""
+        out = "".join(self.run.pieces), self.run.spans
+        self.run.pieces, self.run.spans, self.run.length = [], [], 0
+        return out
+
+
 def compile_template(source: str) -> Callable[..., tuple[str, list[tuple[int, int]]]]:
     """A function of the template's names that gives the text and its loss spans, in code points."""
     action = _action(fold(parse(source)))
@@ -461,39 +534,53 @@ _SEGMENT = pa.schema(
 _SEGMENT_DDL = "conv_id bigint, segment bigint, formatted string, loss array<struct<start:bigint,end:bigint>>"
 
 
-def _render(template: str, most: int):
+def _render(template: str, names: dict, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        render = compile_template(template)
-        held: list[dict] = []
-        now, segment = None, 0
-        done: list[dict] = []
+        rendering = Rendering(template, names)
+        now, waiting, segment, done = None, None, 0, []
 
-        def close(more: bool) -> None:
-            text, spans = render(messages=held, offset=segment * most, more=more)
+        def give() -> None:
+            nonlocal segment
+            text, spans = rendering.take()
             done.append({"conv_id": now[0], "segment": segment, "formatted": text, "loss": [{"start": a, "end": b} for a, b in spans]})
-            held.clear()
+            segment += 1
+
+        def place(last: bool) -> None:
+            if rendering.steady and rendering.n and rendering.n % most == 0:
+                give()
+            rendering.turn(waiting, last)
+            if last:
+                rendering.end()
+                give()
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("conv_id", "role", "text")]
             for conv, role, text in zip(*columns):
-                if now is not None and now[0] != conv:
-                    close(False)
-                    segment = 0
-                elif len(held) == most:
-                    close(True)
-                    segment += 1
-                now = (conv,)
-                held.append({"role": role or "", "text": text or ""})
+                fresh = now is None or now[0] != conv
+                if now is not None:
+                    place(fresh)
+                if fresh:
+                    now, segment = (conv,), 0
+                    rendering.begin()
+                waiting = {"role": role or "", "text": text or ""}
             if done:
                 yield pa.RecordBatch.from_pylist(done, schema=_SEGMENT)
                 done.clear()
-        if held:
-            close(False)
+        if now is not None:
+            place(True)
             yield pa.RecordBatch.from_pylist(done, schema=_SEGMENT)
 
     return run
 
 
+def _plain(value) -> bool:
+    if type(value) is list:
+        return all(map(_plain, value))
+    if type(value) is dict:
+        return all(type(k) is str and _plain(v) for k, v in value.items())
+    return value is None or type(value) in (str, int, bool)
+
+
 def format_chats(
     turns: DataFrame,
     template: str = TURNS,
@@ -502,21 +589,31 @@ def format_chats(
     role_col: str = "role",
     text_col: str = "text",
     segment_turns: int = SEGMENT_TURNS,
+    names: dict | None = None,
 ) -> DataFrame:
     """conv_id, segment, formatted and loss (spans of formatted in code points) of every conversation.
 
     Turns come in order of turn, then role and text; null role or text is empty, a null turn comes
-    first, null conv_ids make one conversation, repeated rows are repeated turns. A conversation of
-    over segment_turns turns has several segments, to be read one after another, so that a worker
-    holds one segment at a time; the rows of a conversation stand together and in order. The template
-    gets messages, offset (turns before the segment) and more (whether another segment follows).
+    first, null conv_ids make one conversation, repeated rows are repeated turns; other columns are not
+    read; an empty table gives an empty result. The template gets messages (role and text of each turn)
+    and names, values of the caller's own made of strings, integers, booleans, none, lists and
+    mappings, such as a text to begin with or whether to ask for an answer.
+
+    One rendering goes through all turns of a conversation. After segment_turns turns what is rendered
+    so far goes out as a row, so that a worker holds that many turns; the segments of a conversation,
+    read one after another, are its text, whatever their size, and they stand together and in order.
+    Templates that use messages otherwise than in one for at the top need the whole conversation at
+    once and give one row. TemplateError is raised for a template or names that are not allowed.
     """
+    names = names or {}
+    if "messages" in names or not _plain(names):
+        raise TemplateError("names must be plain values, and messages is taken")
     compile_template(template)
     rows = turns.select(
         F.col(conv_col).cast("bigint").alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")
     )
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(_render(template, segment_turns), _SEGMENT_DDL)
+    return ordered.select("conv_id", "role", "text").mapInArrow(_render(template, names, segment_turns), _SEGMENT_DDL)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -555,7 +652,8 @@ def _rows(done: list[list], names: list[str]) -> pa.RecordBatch:
 
 def read_chats(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, read back from what
-    format_chats() gave with TURNS, straight behind it."""
+    format_chats() gave with TURNS, straight behind it. A null conv_id is a conversation like others, turns
+    may be empty, an empty table gives an empty result; text that TURNS cannot have made raises ValueError."""
     return formatted.mapInArrow(
         _digest, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     )

@@ -315,6 +315,45 @@ def test_template_language():
             chat.compile_template(bad)
 
 
+def test_values_without_meaning():
+    given = {"n": 3, "l": ["a"], "m": {"k": "v"}}
+    for source, want in [("{{ x | length }}", "0"), ("{{ 'a' in x }}", "false"), ("{{ x ~ 'a' }}", "a"), ("{{ l | length }}", "1"), ("{{ m[l] }}{{ m.k }}", "v"), ("{{ x.y.z }}", "")]:
+        assert chat.compile_template(source)(**given)[0] == want
+    for source in ("{{ x + 'a' }}", "{{ x < 1 }}", "{{ n + 'a' }}", "{{ n | length }}", "{{ 'a' in n }}", "{% for y in x %}{% endfor %}", "{{ l }}", "{{ m == 1 or -1 }}"):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(source)(**given)
+
+
+SEGMENTED = [
+    "<s>{% for m in messages %}[{{ loop.index }}{% if loop.last %}!{% endif %}]{% endfor %}</s>",
+    "{{ bos }}{% set n = 0 %}{% for m in messages %}{% if loop.first %}{% set n = 5 %}{% endif %}{% set n = n + 1 %}{{ n }}{{ m.text }}{% generation %}{{ m.role }}{% endgeneration %};{% endfor %}={{ n }}{{ m }}{{ loop }}{% if ask %}{% generation %}?{% endgeneration %}{% endif %}",
+    "{{ messages | length }}:{% for m in messages %}{{ m.text }},{% endfor %}{% for m in messages %}{{ m.role }}.{% endfor %}",
+    "{% if bos %}{% for m in messages %}{{ m.text }}{% endfor %}{% endif %}",
+    "none of it",
+]
+
+
+@pytest.mark.parametrize("source", SEGMENTED)
+def test_segments_resume_one_rendering(spark, source):
+    """Text and loss of conversations of 1 to 9 turns, in rows of 1 to 20 turns, are those of one rendering."""
+    turns = [(c, t, "user" if t % 2 else "assistant", f"t{t}") for c in range(1, 10) for t in range(c)]
+    names = {"bos": "<b>", "ask": True}
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    render = chat.compile_template(source)
+    for size in (1, 2, 3, 20):
+        rows = chat.format_chats(df, source, segment_turns=size, names=names).collect()
+        for c in range(1, 10):
+            want, spans = render(messages=[{"role": r, "text": x} for k, _, r, x in turns if k == c], **names)
+            own = [r for r in rows if r.conv_id == c]
+            assert [r.segment for r in own] == list(range(len(own)))
+            assert "".join(r.formatted for r in own) == want
+            assert "|".join(r.formatted[x.start : x.end] for r in own for x in r.loss) == "|".join(want[a:b] for a, b in spans)
+            if source in SEGMENTED[:2]:
+                assert len(own) == -(-c // size)
+    with pytest.raises(chat.TemplateError):
+        chat.format_chats(df, source, names={"f": len})
+
+
 def test_chats(spark):
     turns = [(1, 2, "assistant", "second"), (1, 1, "user", "</turn>\n### user: x"), (1, 3, None, None), (None, 1, "assistant", "\\"), (2, None, "system", "a:b"), (2, 1, "assistant", "z"), (2, 1, "assistant", "z")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("loss", F.lit(1))
