@@ -1,7 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust the score.
 
 DataFrame functions only. Every pattern starts at a place that a look-behind fixes, and its loops
-are possessive, so that a scan takes time in proportion to the text.
+are possessive, so that a scan takes time in proportion to the text. Offsets are running sums taken
+in steps of STEP, and contexts come from the matches and gaps around a match, so that neither goes
+through the text again for each span.
 """
 
 from __future__ import annotations
@@ -15,6 +17,10 @@ from pyspark.sql import functions as F
 from .quality import bound
 
 SPAN = "array<struct<start:int,ord:int,end:int,kind:string,score:double>>"
+#: Elements that a running value goes through at once; a step begins from the value before it.
+STEP = 64
+#: Every match has two characters at least, so that so many matches on either side hold the context.
+SHORTEST = 2
 
 
 def _digits(match: Column) -> Column:
@@ -114,26 +120,69 @@ KINDS = (
 )
 
 
+def _lead(values: Column, zero: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each STEP of values, what all values before it come to under join."""
+    steps = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STEP).cast("int"))
+    sums = F.transform(steps, lambda k: F.aggregate(F.slice(values, k * STEP + 1, F.lit(STEP)), zero, join))
+    return F.aggregate(
+        sums, F.array(zero), lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x)))
+    )
+
+
+def _before(values: Column, lead: Column, i: Column, zero: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """What the values before place i (from 0) come to; lead is _lead() of them."""
+    step = F.floor(i / STEP).cast("int")
+    return F.aggregate(F.slice(values, step * STEP + 1, i - step * STEP), F.get(lead, step), join)
+
+
+def _sum(acc: Column, x: Column) -> Column:
+    return acc + x
+
+
+def _larger(acc: Column, x: Column) -> Column:
+    return F.greatest(acc, x)
+
+
 def _spans(text: Column, kind: Kind, order: int, window: int, bonus: float) -> Column:
-    """Confirmed spans of one kind: the text between matches gives the offsets; the context is the last
-    characters before a match, which earlier matches are part of."""
+    """Confirmed spans of one kind. The text between matches gives the offsets; the context is what
+    stands within `window` characters on either side, other matches included."""
     pieces = F.split(text, kind.pattern, -1)
-    found = F.arrays_zip(pieces.alias("gap"), F.regexp_extract_all(text, F.lit(kind.pattern), 0).alias("hit"))
-
-    def step(acc: Column, e: Column) -> Column:
-        start = acc["at"] + F.length(e["gap"])
-        end = start + F.coalesce(F.length(e["hit"]), F.lit(0))
-        before = F.right(F.concat(acc["tail"], F.right(e["gap"], F.lit(window))), F.lit(window))
-        near = before.rlike(kind.context)
-        score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(near, F.lit(bonus)).otherwise(F.lit(0.0)))
-        row = F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
-        out = F.when(e["hit"].isNotNull() & kind.valid(e["hit"]), F.concat(acc["out"], F.array(row))).otherwise(acc["out"])
-        tail = F.right(F.concat(before, F.coalesce(e["hit"], F.lit(""))), F.lit(window))
-        return F.struct(end.alias("at"), tail.alias("tail"), out.alias("out"))
+    hits = F.regexp_extract_all(text, F.lit(kind.pattern), 0)
+    zero, reach = F.lit(0), window // SHORTEST + 1
+
+    def placed(e: Column) -> Column:
+        """Of e (gaps, hits): confirmed hits with place, start and both contexts."""
+        gaps, hits = e["gaps"], e["hits"]
+        both = F.transform(hits, lambda h, i: F.concat(F.get(gaps, i), h))
+        sizes = F.transform(both, lambda x: F.length(x))
+        ends = F.transform(both, lambda x: F.right(x, F.lit(window)))
+        fronts = F.transform(hits, lambda h, i: F.left(F.concat(h, F.left(F.get(gaps, i + 1), F.lit(window))), F.lit(window)))
+        prepared = F.struct(
+            gaps.alias("gaps"), hits.alias("hits"), sizes.alias("sizes"), _lead(sizes, zero, _sum).alias("lead"), ends.alias("ends"), fronts.alias("fronts")
+        )
+        return bound(prepared, spans)
+
+    def spans(e: Column) -> Column:
+        def one(x: Column) -> Column:
+            i, hit = x["i"], x["hit"]
+            gap = F.get(e["gaps"], i)
+            start = (_before(e["sizes"], e["lead"], i, zero, _sum) + F.length(gap)).cast("int")
+            first = F.greatest(i - reach, zero)
+            left = F.right(F.concat(F.array_join(F.slice(e["ends"], first + 1, i - first), ""), F.right(gap, F.lit(window))), F.lit(window))
+            after = F.array_join(F.slice(e["fronts"], i + 2, F.lit(reach)), "")
+            right = F.left(F.concat(F.left(F.get(e["gaps"], i + 1), F.lit(window)), after), F.lit(window))
+            near = left.rlike(kind.context) | right.rlike(kind.context)
+            score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(near, F.lit(bonus)).otherwise(F.lit(0.0)))
+            return F.struct(
+                start.alias("start"), F.lit(order).alias("ord"), (start + F.length(hit)).alias("end"), F.lit(kind.name).alias("kind"), F.round(score, 6).alias("score")
+            )
+
+        numbered = F.transform(e["hits"], lambda h, i: F.struct(i.alias("i"), h.alias("hit")))
+        return F.transform(F.filter(numbered, lambda x: kind.valid(x["hit"])), one)
 
     empty = F.array().cast(SPAN)
-    folded = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(kind.pattern), folded).otherwise(empty)
+    found = bound(F.struct(pieces.alias("gaps"), hits.alias("hits")), placed)
+    return F.when(text.rlike(kind.pattern), found).otherwise(empty)
 
 
 def _listed(spans: Column) -> Column:
@@ -153,8 +202,8 @@ def find_pii(
     code points, kind, score) and the columns named in keep.
 
     Base kinds (email, ip, card, phone) need their validator only; the others also min_score, which
-    a context word in the context_chars before the match raises by context_bonus. Null text counts
-    as empty. Null ids pass through, repeated rows give equal rows, an empty table an empty result;
+    a context word within context_chars before or after the match raises by context_bonus. Null text
+    counts as empty. Spans of different kinds may overlap; of one kind they never do. Null ids pass through, repeated rows give equal rows, an empty table an empty result;
     other columns are not read unless kept.
     """
     base = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), *keep)
@@ -167,7 +216,8 @@ def find_pii(
 
 
 def pii_digest(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_spans of find_pii()."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans and scores (of the spans, in
+    their order) of find_pii(), which says what becomes of nulls, repeated rows and empty tables."""
     found = find_pii(docs, **options)
     base = [k.name for k in KINDS if k.base]
 
@@ -181,49 +231,68 @@ def pii_digest(docs: DataFrame, **options) -> DataFrame:
         F.sha2(_listed(F.filter("__found", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
         _listed(F.col("__found")).alias("spans"),
         F.size("__found").cast("long").alias("n_spans"),
+        F.array_join(F.transform("__found", lambda s: s["score"].cast("string")), ",").alias("scores"),
     )
 
 
 def _merged(spans: Column) -> Column:
-    """Overlapping spans as one, named by the first."""
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        fresh = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-        return (
-            F.when(F.size(acc) == 0, F.array(fresh))
-            .when(s["start"] < last["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined)))
-            .otherwise(F.concat(acc, F.array(fresh)))
+    """Overlapping spans, in order of start, as one, named by the first."""
+    zero = F.lit(0)
+
+    def heads(e: Column) -> Column:
+        """Spans that begin at or behind the end of all before them, with their places."""
+        until = lambda i: _before(e["ends"], e["lead"], i, zero, _larger)
+        first = F.filter(
+            F.transform(e["spans"], lambda s, i: F.struct(i.alias("i"), s["start"].alias("start"), s["kind"].alias("kind"), until(i).alias("until"))),
+            lambda x: x["start"] >= x["until"],
+        )
+        return bound(
+            F.struct(first.alias("h"), F.array_max(e["ends"]).alias("last")),
+            lambda x: F.transform(
+                x["h"], lambda s, j: F.struct(s["start"].alias("start"), F.coalesce(F.get(x["h"], j + 1)["until"], x["last"]).alias("end"), s["kind"].alias("kind"))
+            ),
         )
 
-    return F.aggregate(spans, F.array().cast("array<struct<start:int,end:int,kind:string>>"), step)
+    ends = F.transform(spans, lambda s: s["end"])
+    found = bound(F.struct(spans.alias("spans"), ends.alias("ends"), _lead(ends, zero, _larger).alias("lead")), heads)
+    return F.when(F.size(spans) > 0, found).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>"))
 
 
 def mask_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with every span of find_pii() replaced by its kind in angle brackets; all rows and columns
-    stay in place, null text stays null, and other columns are untouched."""
+    stay in place, null text stays null, and other columns are untouched. Overlapping spans become one,
+    named by the first. Repeated rows are masked alike; an empty table gives an empty one."""
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
     packed = packed.select("__row", F.col("__row")[id_col].alias("__i"), F.col("__row")[text_col].alias("__t"))
     found = find_pii(packed, "__i", "__t", keep=("__row",), **options)
     merged = found.select("__row", "__text", _merged(F.col("__found")).alias("__m"))
+    text = F.col("__text")
 
     def rebuilt(m: Column) -> Column:
-        parts = F.transform(
-            m,
-            lambda s, i: F.concat(
-                F.substring(
-                    F.col("__text"),
-                    F.coalesce(F.get(m, i - 1)["end"], F.lit(0)) + 1,
-                    s["start"] - F.coalesce(F.get(m, i - 1)["end"], F.lit(0)),
+        # the text is cut once for every STEP spans, and those parts once for every span
+        upto = lambda i: F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(F.lit(0))
+
+        def part(k: Column) -> Column:
+            own = F.slice(m, k * STEP + 1, F.lit(STEP))
+            first = upto(k * STEP)
+            block = F.substring(text, first + 1, F.element_at(own, -1)["end"] - first)
+            return bound(
+                F.struct(own.alias("own"), first.alias("first"), block.alias("block")),
+                lambda e: F.array_join(
+                    F.transform(
+                        e["own"],
+                        lambda s, i: bound(
+                            F.when(i > 0, F.get(e["own"], i - 1)["end"]).otherwise(e["first"]),
+                            lambda at: F.concat(F.substring(e["block"], at - e["first"] + 1, s["start"] - at), F.lit("<"), F.upper(s["kind"]), F.lit(">")),
+                        ),
+                    ),
+                    "",
                 ),
-                F.lit("<"),
-                F.upper(s["kind"]),
-                F.lit(">"),
-            ),
-        )
-        return F.concat(F.array_join(parts, ""), F.substring(F.col("__text"), F.element_at(m, -1)["end"] + 1, F.length("__text")))
+            )
+
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / STEP).cast("int")), part)
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(m, -1)["end"] + 1, F.length(text)))
 
-    text = F.when(F.size("__m") == 0, F.col("__row")[text_col]).otherwise(rebuilt(F.col("__m")))
-    return merged.select(*[(text if c == text_col else F.col("__row")[c]).alias(c) for c in names])
+    masked = F.when(F.size("__m") == 0, F.col("__row")[text_col]).otherwise(rebuilt(F.col("__m")))
+    return merged.select(*[(masked if c == text_col else F.col("__row")[c]).alias(c) for c in names])

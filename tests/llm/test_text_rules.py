@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from cladeframe.llm import pii, quality
@@ -96,7 +97,7 @@ def test_pii_more_kinds_and_mask(spark):
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("found", F.lit("x"))
     spans = {r.doc_id: [s.split(":")[0] for s in r.spans.split(",") if s] for r in pii.pii_digest(docs).collect()}
-    assert spans == {1: ["iban", "iban"], 2: ["ssn"], 3: ["secret"], 4: ["local_phone"], 5: ["email", "ip"], 6: []}
+    assert spans == {1: ["iban", "iban"], 2: ["ssn"], 3: ["secret"], 4: ["local_phone", "local_phone"], 5: ["email", "ip"], 6: []}
     masked = pii.mask_pii(docs)
     assert masked.columns == docs.columns
     text = {r.doc_id: r.text for r in masked.collect()}
@@ -111,16 +112,75 @@ def test_native_plans(documents):
         assert not [x for x in ("Python", "Pandas", "Arrow") if x in plan]
 
 
-def test_pii_context_before_earlier_matches(spark):
-    """A context word counts for every match that begins within 40 characters after it."""
+def test_pii_context_on_both_sides(spark):
+    """A context word counts for every match within 40 characters of it, whatever stands between."""
     number = "555-987-6543"
     rows = [f"phone: 555-123-4567, {number}", f"phone {number}, 123-45-6789, {number}", f"é call{'x' * 36}{number}", f"é call{'x' * 37}{number}"]
-    rows += [" ".join(["tel", *[number] * 7]), f"{number}, {number} phone", f"ssn 000-12-3456 or 123-45-6789 {number}"]
+    rows += [" ".join(["tel", *[number] * 7]), f"{number}, {number} phone", f"{number}{'x' * 35} call é", f"{number} {'x' * 35} call é"]
+    rows += [" ".join([*[number] * 7, "tel"]), f"ssn 000-12-3456 or 123-45-6789 {number}", f"{number} " * 9 + "fax"]
     want = {}
     for i, t in enumerate(rows):
-        found = [m.start() for m in re.finditer("555-[0-9]{3}-[0-9]{4}", t)]
-        want[i] = [k for k in found if re.search("phone|tel|call", t[max(0, k - 40) : k])]
+        found = [(m.start(), m.end()) for m in re.finditer("(?<![0-9+(.-])555-[0-9]{3}-[0-9]{4}(?![0-9.-])", t)]
+        want[i] = [a for a, b in found if re.search("phone|tel|call|fax", t[max(0, a - 40) : a] + "\n" + t[b : b + 40])]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r.doc_id: [int(s.split(":")[1]) for s in r.spans.split(",") if s.startswith("local")] for r in pii.pii_digest(docs).collect()}
-    assert got == want and [len(want[i]) for i in range(6)] == [2, 2, 1, 0, 3, 0]
+    assert got == want and [len(want[i]) for i in range(11)] == [2, 2, 1, 0, 3, 2, 1, 0, 3, 0, 3]
     assert {r.doc_id: r.text for r in pii.mask_pii(docs).collect()}[0] == "phone: <LOCAL_PHONE>, <LOCAL_PHONE>"
+
+
+def mod97(m):
+    plain = m.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+VALID = {
+    "email": lambda m: True,
+    "ip": lambda m: all(int(x) <= 255 for x in m.split(".")),
+    "card": lambda m: 14 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m)),
+    "phone": lambda m: 10 <= len(re.sub("[^0-9]", "", m)) <= 15,
+    "iban": mod97,
+    "ssn": lambda m: m[:3] not in ("000", "666") and m[0] != "9" and m[4:6] != "00" and m[7:] != "0000",
+    "local_phone": lambda m: True,
+    "secret": lambda m: any(c in "0123456789" for c in m),
+}
+
+
+def all_spans(text):
+    """Spans and scores of every kind, one match at a time."""
+    out = []
+    for order, kind in enumerate(pii.KINDS):
+        for m in regex.finditer(kind.pattern, text):
+            if VALID[kind.name](m.group()):
+                sides = text[max(0, m.start() - 40) : m.start()], text[m.end() : m.end() + 40]
+                score = round(min(1.0, kind.score + (0.2 if any(regex.search(kind.context, x) for x in sides) else 0)), 6)
+                if kind.base or score >= 0.6:
+                    out.append((m.start(), order, m.end(), kind.name, score))
+    return sorted(out)
+
+
+def masked(text):
+    out, at, until = [], 0, 0
+    for a, _, b, kind, _ in all_spans(text):
+        if a >= until:
+            out += [text[at:a], f"<{kind.upper()}>"]
+        at = until = max(until, b)
+    return "".join([*out, text[at:]])
+
+
+BITS = ["a.b@c.de", "1.2.3.4", "300.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (234) 567-8901", "+12 3", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "DE00370400440532013000", "123-45-6789", "000-45-6789"]
+BITS += ["555-123-4567", "(555) 123-4567", "token=abcdefgh12345678zz", "api_key: 'abcdefghijklmnopqrs'", " ", "  ", ", ", "\n", "é", "漢字", "🙂", "plain words", "call", "Phone:", "ssn", "account", "card", "server", "host", "mail", "credentials", "x" * 39, "0", "-", ".", "@"]
+
+
+def test_pii_of_every_kind(spark, rng, documents, edge):
+    """Spans, scores and masked texts of all kinds, with up to hundreds of spans in a text."""
+    texts = ["".join(rng.choice(BITS) for _ in range(rng.choice([3, 10, 40]))) for _ in range(300)]
+    texts += [" ".join(rng.choice(BITS) for _ in range(n)) for n in (200, 500, 1500)] + ["a@b.c " * n for n in (63, 64, 65, 128, 129)]
+    rows = [(10_000 + i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(documents.select("doc_id", "text")).unionByName(edge.select("doc_id", "text"))
+    want, hidden = Counter(), Counter()
+    for r in docs.collect():
+        spans = all_spans(r.text or "")
+        want[(r.doc_id, ",".join(f"{k}:{a}:{b}" for a, _, b, k, _ in spans), ",".join(str(s) for *_, s in spans))] += 1
+        hidden[(r.doc_id, None if r.text is None else masked(r.text))] += 1
+    assert Counter((r.doc_id, r.spans, r.scores) for r in pii.pii_digest(docs).collect()) == want
+    assert Counter((r.doc_id, r.text) for r in pii.mask_pii(docs).collect()) == hidden
