@@ -18,7 +18,9 @@ from .quality import bound
 
 SPAN = "array<struct<start:int,ord:int,end:int,kind:string,score:double>>"
 #: Elements that a running value goes through at once; a step begins from the value before it.
-STEP = 64
+STEP = 32
+#: Spans for which a long text is cut once before they are taken out of the part.
+CUT = 256
 #: Every match has two characters at least, so that so many matches on either side hold the context.
 SHORTEST = 2
 
@@ -121,7 +123,7 @@ KINDS = (
 
 
 def _lead(values: Column, zero: Column, join: Callable[[Column, Column], Column]) -> Column:
-    """For each STEP of values, what all values before it come to under join."""
+    """For each STEP of values, a bound column, what all values before it come to under join."""
     steps = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STEP).cast("int"))
     sums = F.transform(steps, lambda k: F.aggregate(F.slice(values, k * STEP + 1, F.lit(STEP)), zero, join))
     return F.aggregate(
@@ -157,24 +159,25 @@ def _spans(text: Column, kind: Kind, order: int, window: int, bonus: float) -> C
         sizes = F.transform(both, lambda x: F.length(x))
         ends = F.transform(both, lambda x: F.right(x, F.lit(window)))
         fronts = F.transform(hits, lambda h, i: F.left(F.concat(h, F.left(F.get(gaps, i + 1), F.lit(window))), F.lit(window)))
-        prepared = F.struct(
-            gaps.alias("gaps"), hits.alias("hits"), sizes.alias("sizes"), _lead(sizes, zero, _sum).alias("lead"), ends.alias("ends"), fronts.alias("fronts")
-        )
-        return bound(prepared, spans)
+        prepared = F.struct(gaps.alias("gaps"), hits.alias("hits"), sizes.alias("sizes"), ends.alias("ends"), fronts.alias("fronts"))
+        return bound(prepared, lambda x: bound(_lead(x["sizes"], zero, _sum), lambda lead: spans(x, lead)))
 
-    def spans(e: Column) -> Column:
+    def spans(e: Column, lead: Column) -> Column:
         def one(x: Column) -> Column:
             i, hit = x["i"], x["hit"]
             gap = F.get(e["gaps"], i)
-            start = (_before(e["sizes"], e["lead"], i, zero, _sum) + F.length(gap)).cast("int")
             first = F.greatest(i - reach, zero)
             left = F.right(F.concat(F.array_join(F.slice(e["ends"], first + 1, i - first), ""), F.right(gap, F.lit(window))), F.lit(window))
             after = F.array_join(F.slice(e["fronts"], i + 2, F.lit(reach)), "")
             right = F.left(F.concat(F.left(F.get(e["gaps"], i + 1), F.lit(window)), after), F.lit(window))
             near = left.rlike(kind.context) | right.rlike(kind.context)
             score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(near, F.lit(bonus)).otherwise(F.lit(0.0)))
-            return F.struct(
-                start.alias("start"), F.lit(order).alias("ord"), (start + F.length(hit)).alias("end"), F.lit(kind.name).alias("kind"), F.round(score, 6).alias("score")
+            start = (_before(e["sizes"], lead, i, zero, _sum) + F.length(gap)).cast("int")
+            return bound(
+                F.struct(start.alias("start"), F.length(hit).alias("n"), F.round(score, 6).alias("score")),
+                lambda s: F.struct(
+                    s["start"].alias("start"), F.lit(order).alias("ord"), (s["start"] + s["n"]).alias("end"), F.lit(kind.name).alias("kind"), s["score"].alias("score")
+                ),
             )
 
         numbered = F.transform(e["hits"], lambda h, i: F.struct(i.alias("i"), h.alias("hit")))
@@ -254,7 +257,10 @@ def _merged(spans: Column) -> Column:
         )
 
     ends = F.transform(spans, lambda s: s["end"])
-    found = bound(F.struct(spans.alias("spans"), ends.alias("ends"), _lead(ends, zero, _larger).alias("lead")), heads)
+    found = bound(
+        F.struct(spans.alias("spans"), ends.alias("ends")),
+        lambda x: bound(F.struct(x["spans"].alias("spans"), x["ends"].alias("ends"), _lead(x["ends"], zero, _larger).alias("lead")), heads),
+    )
     return F.when(F.size(spans) > 0, found).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>"))
 
 
@@ -270,12 +276,12 @@ def mask_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     text = F.col("__text")
 
     def rebuilt(m: Column) -> Column:
-        # the text is cut once for every STEP spans, and those parts once for every span
+        # the text is cut once for every CUT spans, and those parts once for every span
         upto = lambda i: F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(F.lit(0))
 
         def part(k: Column) -> Column:
-            own = F.slice(m, k * STEP + 1, F.lit(STEP))
-            first = upto(k * STEP)
+            own = F.slice(m, k * CUT + 1, F.lit(CUT))
+            first = upto(k * CUT)
             block = F.substring(text, first + 1, F.element_at(own, -1)["end"] - first)
             return bound(
                 F.struct(own.alias("own"), first.alias("first"), block.alias("block")),
@@ -291,7 +297,7 @@ def mask_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
                 ),
             )
 
-        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / STEP).cast("int")), part)
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / CUT).cast("int")), part)
         return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(m, -1)["end"] + 1, F.length(text)))
 
     masked = F.when(F.size("__m") == 0, F.col("__row")[text_col]).otherwise(rebuilt(F.col("__m")))
