@@ -2,10 +2,9 @@
 
 Each sketch of a document takes the three smallest of its occurrence-labelled five-word shingles
 under one hash function and keeps them in text order, so that two documents share a sketch with odds
-that fall as shingles differ or change places. As many sketches again are taken of the set of
-shingles, whatever their order and number, for texts whose lines have moved or are repeated.
-Documents that share a sketch are candidates; a banded alignment of their shingles, or the
-similarity of their sets, decides.
+that fall as shingles differ or change places. Documents that share a sketch are candidates; a banded
+alignment of their labelled shingles decides, so that texts whose parts have changed places are no
+near-duplicates unless what stands in order is enough.
 
 Work is on distinct texts: copies only join them again at the end. Inside a bucket of one sketch no
 pairs are spelled out: every text is aligned with one leader first, connected texts collapse into a
@@ -27,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import lean, let_go, slices, stash, tidy, unstash
 from .decontam import normal_words
 
-#: Words in a shingle, shingles in a sketch, sketches of a document of either kind. At a similarity of
-#: 0.8 each sketch is shared with odds of about one half, and none of 24 with odds below 10^-6.
+#: Words in a shingle, shingles in a sketch, sketches of a document. At a similarity of 0.8 each sketch
+#: is shared with odds of about one half, and none of 24 with odds below 10^-6.
 SHINGLE, DRAWN, SKETCHES = 5, 3, 24
 #: Text that is sketched at once, in bytes.
 SLICE = 4 << 20
@@ -74,18 +73,8 @@ def labelled(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def distinct(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct values in rising order, and each text's first one."""
-    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
-    fresh = np.ones(len(values), dtype=bool)
-    fresh[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-    return values[fresh], np.searchsorted(owner[fresh], np.arange(len(first)))
-
-
-def sketches(values: np.ndarray, first: np.ndarray, kind: int = 0) -> np.ndarray:
-    """For each text, one key a sketch; all texts have a shingle. Keys of different kinds never meet."""
+def sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each text, one key a sketch; all texts have a shingle."""
     starts, sizes = first[:-1], np.diff(first)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     keys = np.empty((len(sizes), SKETCHES), dtype=np.uint64)
@@ -102,7 +91,7 @@ def sketches(values: np.ndarray, first: np.ndarray, kind: int = 0) -> np.ndarray
             places[:, k] = found[head]
             h[places[:, k]] = top
         places.sort(axis=1)
-        key = np.full(len(sizes), kind * SKETCHES + t + 1, dtype=np.uint64)
+        key = np.full(len(sizes), t + 1, dtype=np.uint64)
         for k in range(DRAWN):
             key = _mix(key * np.uint64(0x9FB21C651E98DF25) + values[places[:, k]])
         keys[:, t] = key
@@ -124,8 +113,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys: list[list[int] | None] = [None] * part.num_rows
             if len(full):
                 bounds = np.append(at[full], at[-1])
-                ordered = sketches(labelled(grams, bounds), bounds)
-                found = np.hstack([ordered, sketches(*distinct(grams, bounds), kind=1)]).view(np.int64)
+                found = sketches(labelled(grams, bounds), bounds).view(np.int64)
                 for i, row in zip(full.tolist(), found.tolist()):
                     keys[i] = row
             seq = pa.LargeBinaryArray.from_buffers(
@@ -138,7 +126,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Shingled:
-    """One text's shingles, made from its hashed words: as a set, and told apart by occurrence, with places."""
+    """One text's shingles, made from its hashed words and told apart by occurrence, in rising order, with places."""
 
     def __init__(self, seq: bytes):
         words = np.frombuffer(seq, dtype="<u4").astype(np.uint64)
@@ -146,7 +134,6 @@ class Shingled:
         own = labelled(grams, at)
         self.place = np.argsort(own, kind="stable")
         self.own = own[self.place]
-        self.set = np.unique(grams)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,19 +145,14 @@ def _common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def alignment(a: Shingled, b: Shingled, least: float) -> float:
-    """Similarity of two texts: shingles matched by an alignment within a band, as a share of all. A pair
-    whose alignment falls short, for its lines have changed places or are repeated, is weighed by its
-    sets of shingles. The band holds every pair that is as similar as `least`."""
+    """Similarity of two texts: labelled shingles matched in order, as a share of all, by an alignment within
+    a band that holds every pair as similar as `least`. 0 where the shingles in common are too few for that."""
     n, m = len(a.own), len(b.own)
-    if not n or not m:
+    if not n or not m or min(n, m) < max(n, m) * least - 1e-6:
         return 0.0
-    if len(a.set) > len(b.set):
-        a, b = b, a
-    common = len(_common(a.set, b.set)[0])
-    sets = common / (len(a.set) + len(b.set) - common)
     i, j = _common(a.own, b.own)
     if len(i) / (n + m - len(i)) < least:  # no alignment matches more
-        return sets
+        return 0.0
     i, j = a.place[i], b.place[j]
     near = np.abs(i - j) <= max(n, m) * (1 - least) + 1
     steps = j[near][np.argsort(i[near], kind="stable")]
@@ -185,7 +167,7 @@ def alignment(a: Shingled, b: Shingled, least: float) -> float:
             else:
                 tails[k] = x
         matched = len(tails)
-    return max(matched / (n + m - matched), sets)
+    return matched / (n + m - matched)
 
 
 def _verify(least: float):
@@ -209,7 +191,8 @@ def _links(pairs: DataFrame, texts: DataFrame, least: float, name: str) -> DataF
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and root, the least node of its component, for every linked node that is no root.
+    """node and root, the least node of its component, for every linked node that is no root; links may
+    repeat or lead from a node to itself, and without links there are no rows.
 
     Alternates large and small stars: each node's larger neighbours, then its smaller ones, are
     linked with its least neighbour, until nothing changes. Every round is written, so that none
@@ -234,17 +217,11 @@ def components(links: DataFrame) -> DataFrame:
         last = tuple(seen)
 
 
-def _possible(a: Shingled, b: Shingled, least: float) -> bool:
-    """False where the numbers of shingles, or of distinct ones, differ too much for either similarity."""
-    sizes = ((len(a.own), len(b.own)), (len(a.set), len(b.set)))
-    return any(min(x) >= max(x) * least - 1e-6 for x in sizes)
-
-
 def _compare(least: float):
     """Two blocks of one bucket: links between texts of different components.
 
-    A pair is looked at in the first sketch that it shares, if its sizes allow the similarity. What a link has joined is not looked at again, so that at most one link a
-    text leaves here, however large the bucket is.
+    A pair is looked at in the first sketch that it shares. What a link has joined is not looked at again,
+    so that at most one link a text leaves here, however large the bucket is.
     """
 
     def run(keys: tuple, left: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +262,7 @@ def _compare(least: float):
                 for k in (p, q):
                     if k not in made:
                         made[k] = Shingled(seq[k])
-                if _possible(made[p], made[q], least) and alignment(made[p], made[q], least) >= least:
+                if alignment(made[p], made[q], least) >= least:
                     joined[max(r, s)] = min(r, s)
                     found.append((node[p], node[q]))
         yield pa.RecordBatch.from_arrays(
@@ -304,7 +281,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> tuple
 
     nodes = drawn.where(F.col("keys").isNotNull()).groupBy("node").agg(F.first("keys").alias("keys"))
     entries = nodes.select("node", F.posexplode("keys").alias("turn", "key"))
-    entries = entries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
+    # a frequent sketch is counted before it moves, and its entries are not dealt by key but met by the join
     buckets = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
     shared = stash(entries.join(buckets, "key"), "shared-sketches")
 
@@ -344,8 +321,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, class_id (the least doc_id of the class) and class_size of every row.
 
     Texts are linked when an alignment of their five-word shingles (lower-cased words of ASCII
-    letters, digits and characters above U+007F) matches a share of `least` or more, or their sets of
-    shingles do; classes are the connected components of the links. Equal texts are always of one
+    letters, digits and characters above U+007F, the k-th occurrence of a shingle with the k-th) matches
+    a share of `least` or more; classes are the connected components of the links. Equal texts are always of one
     class; a null text counts as empty, and texts without words are linked with their copies only.
     Null ids pass through and name no class, unless there is no other; other columns are not read; an
     empty table gives an empty result.
