@@ -89,6 +89,16 @@ class Network:
 
         return self.newick(), edits.event_coordinates(self.tables)
 
+    def extended_newick_lines(self) -> DataFrame:
+        """rank, at and line of a file: the trees' newicks in order, then the complex mutations, tabs between their fields."""
+        trees, events = self.extended_newick()
+        place = lambda c: F.concat_ws(":", F.col(f"{c}.block_id").cast("string"), F.col(f"{c}.at").cast("string"))
+        fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("type", "tree1", "seq1", "tree2", "seq2")]
+        fields += [place(c) for c in ("s1", "e1", "s2", "e2")] + [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("tree3", "seq3")]
+        line = F.concat_ws("\t", *fields)
+        lines = trees.select(F.lit(0).alias("rank"), F.lpad(F.col("tree_id").cast("string"), 10, "0").alias("at"), F.col("newick").alias("line"))
+        return lines.unionByName(events.select(F.lit(1).alias("rank"), line.alias("at"), line.alias("line")))
+
     def mutations_against(self, reference: str) -> DataFrame:
         from cladeframe.operators import variants
 
@@ -121,7 +131,17 @@ class Network:
         return sequence.sequences(self.tables, self.node_ids(names, tips=names is None), aligned)
 
     def consensus(self) -> DataFrame:
-        return self["block"].orderBy("tree_id", "block_id")
+        """tree_id, block_id and record, a FASTA record of each block's consensus."""
+        record = F.concat(F.lit(">"), F.col("block_id").cast("string"), F.lit("\n"), F.col("consensus"))
+        return self["block"].select("tree_id", "block_id", record.alias("record"))
+
+    def tree_ids(self) -> list[int]:
+        return [r.tree_id for r in self["node"].select("tree_id").distinct().orderBy("tree_id").collect()]
+
+    def only(self, tree_id: int) -> Network:
+        """The network of one tree, without its complex mutations."""
+        kept = {k: v.where(F.col("tree_id") == tree_id) for k, v in self.tables.items() if k != "complex_mut"}
+        return Network({**kept, "complex_mut": self["complex_mut"].limit(0)})
 
     def tips(self, name: str) -> DataFrame:
         return tree.tips_under(self["node"], name)

@@ -206,16 +206,12 @@ def reroot(nodes: DataFrame, tip: str) -> DataFrame:
         other = tree.where((F.col("parent_id") == gone) & (F.col("node_id") != inner)).select("node_id", "branch_len").first()
         turned.pop(gone)
         turned[other.node_id] = (inner, float(other.branch_len) + float(path[-2].branch_len))
-    parent, length = F.col("parent_id"), F.col("branch_len")
-    for node, (to, size) in turned.items():
-        parent = F.when(F.col("node_id") == node, F.lit(to)).otherwise(parent)
-        length = F.when(F.col("node_id") == node, F.lit(size)).otherwise(length)
-    parent = F.when(F.col("node_id") == row.node_id, F.lit(-1)).otherwise(parent)
-    length = F.when(F.col("node_id") == row.node_id, F.lit(0.0)).otherwise(length)
-    rest = tree.where(F.lit(True) if gone is None else F.col("node_id") != gone)
-    rest = rest.withColumn("parent_id", parent.cast("int")).withColumn("branch_len", length.cast("float"))
-    rest = rest.withColumn("child_ord", F.when(F.col("node_id") == row.node_id, F.lit(-1)).otherwise(F.col("pre")).cast("int"))
+    turned[row.node_id] = (-1, 0.0)
     spark = nodes.sparkSession
+    links = spark.createDataFrame([(i, to, size) for i, (to, size) in turned.items()], "node_id int, __parent int, __len float")
+    rest = tree.where(F.lit(True) if gone is None else F.col("node_id") != gone).join(links, "node_id", "left")
+    rest = rest.withColumn("parent_id", F.coalesce("__parent", "parent_id")).withColumn("branch_len", F.coalesce("__len", "branch_len"))
+    rest = rest.withColumn("child_ord", F.when(F.col("node_id") == row.node_id, F.lit(-1)).otherwise(F.col("pre")).cast("int")).select(nodes.columns)
     top = spark.createDataFrame([(row.tree_id, -1, "new_root", None, 0, 0, 0, 0, 0.0, False, [])], nodes.schema)
     return numbered(rest.unionByName(top))
 

@@ -80,14 +80,14 @@ def genotypes(records: DataFrame) -> DataFrame:
 
 
 def vcf(net: dict[str, DataFrame], reference: str) -> DataFrame:
-    """at and line of a VCF of every tip against the node `reference`; ValueError if there is none."""
+    """at and line of a VCF of every tip of a tree against its node `reference`; ValueError if there is none."""
     ref_id = find(net["node"], reference).select("tree_id", "node_id")
     if ref_id.isEmpty():
         raise ValueError(f"no node {reference!r}")
     tips = net["node"].where("is_leaf").select("tree_id", "node_id")
     aligned = sequence.sequences(net, tips, aligned=True)
     records = variant_records(aligned, sequence.sequences(net, ref_id, aligned=True))
-    names = [r.name for r in net["node"].where("is_leaf").select("name").orderBy("name").toLocalIterator()]
+    names = net["node"].where("is_leaf").join(ref_id.select("tree_id"), "tree_id", "left_semi").agg(F.array_sort(F.collect_list("name")).alias("names"))
     return vcf_lines(genotypes(records), names, reference)
 
 

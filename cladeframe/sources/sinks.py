@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.functions.codes import wrap
@@ -19,18 +19,43 @@ def write_lines(rows: DataFrame, path: str, order: list[str] | None = None) -> N
     ordered.write.mode("overwrite").text(path)
 
 
+def write_file(rows: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """write_lines() as one file: executors write the parts, and the driver passes their bytes on in order."""
+    spark = rows.sparkSession
+    parts = f"{path.rstrip('/')}.parts"
+    write_lines(rows, parts, order)
+    _join(spark, parts, path)
+
+
+def _join(spark: SparkSession, parts: str, path: str) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder, target = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    files = sorted((s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")), key=lambda f: f.getName())
+    out = fs.create(target, True)
+    for f in files:
+        source = fs.open(f)
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+        source.close()
+    out.close()
+    fs.delete(folder, True)
+
+
 def write_by_name(rows: DataFrame, path: str) -> None:
     """One folder of records for each name."""
-    rows.select("name", F.concat(F.lit(">"), "name", F.lit("\n"), wrap(F.col("seq"))).alias("record")).write.mode("overwrite").partitionBy("name").text(path)
+    named = rows.select("name", fasta_records(rows)["record"])
+    named.write.mode("overwrite").partitionBy("name").text(path)
 
 
-def vcf_lines(genotypes: DataFrame, tips: list[str], reference: str) -> DataFrame:
-    """at and line of a VCF file: header, then a line for each (pos, ref, alts, calls map tip -> index)."""
-    spark = genotypes.sparkSession
-    head = ["##fileformat=VCFv4.2", "##fileDate=", f"##reference={reference}", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *tips])]
-    header = spark.createDataFrame([(i - len(head), x) for i, x in enumerate(head)], "at long, line string")
-    header = header.withColumn("line", F.when(F.col("line") == "##fileDate=", F.concat("line", F.date_format(F.current_date(), "yyyyMd"))).otherwise(F.col("line")))
+def vcf_lines(genotypes: DataFrame, tips: DataFrame, reference: str) -> DataFrame:
+    """at and line of a VCF file: header, then a line for each (pos, ref, alts, calls map tip -> index), in order of at.
+    tips has one row with the array names, which stays in the cluster."""
+    date = F.concat(F.lit("##fileDate="), F.date_format(F.current_date(), "yyyyMd"))
+    columns = F.concat(F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT"), F.array_join(F.transform("names", lambda t: F.concat(F.lit("\t"), t)), ""))
+    head = F.array(F.lit("##fileformat=VCFv4.2"), date, F.lit(f"##reference={reference}"), columns)
+    header = tips.select(F.posexplode(head).alias("i", "line")).select((F.col("i") - 4).cast("long").alias("at"), "line")
     shown = lambda c: F.when(c == "", ".").otherwise(c)
-    calls = F.transform(F.array(*[F.lit(t) for t in tips]) if tips else F.array().cast("array<string>"), lambda t: F.coalesce(F.try_element_at("calls", t).cast("string"), F.lit("0")))
+    calls = F.transform("names", lambda t: F.coalesce(F.try_element_at("calls", t).cast("string"), F.lit("0")))
     line = F.concat_ws("\t", F.lit("."), F.col("pos").cast("string"), F.lit("."), shown(F.col("ref")), F.array_join(F.transform("alts", shown), ","), F.lit("."), F.lit("."), F.lit("."), F.lit("."), F.array_join(calls, "\t"))
-    return header.unionByName(genotypes.select(F.col("pos").cast("long").alias("at"), line.alias("line")))
+    rows = genotypes.crossJoin(F.broadcast(tips))  # one row
+    return header.unionByName(rows.select(F.col("pos").cast("long").alias("at"), line.alias("line")))

@@ -102,3 +102,56 @@ def test_polytomy_takes_sankoff(spark):
     states = spark.createDataFrame([(0, "A", 0, True), (0, "B", 0, True)], "tree_id int, name string, block_id int, forward boolean")
     got = sorted((r.node_id, r.kind) for r in build.block_mutations(nodes, states, method="sankoff").collect())
     assert got == [(0, "ins"), (3, "del")]
+
+
+def lines_of(path):
+    return path.read_text().splitlines()
+
+
+def test_exports_are_files(spark, stored):
+    """Exports of the command line are byte for byte what the formats ask for, in parts and in one file, and read back."""
+    net = str(stored / "net")
+    cli.main(["vcf", net, "--reference", "A", "-o", str(stored / "a.vcf"), "--one-file"])
+    got = lines_of(stored / "a.vcf")
+    assert got[0] == "##fileformat=VCFv4.2" and got[1].startswith("##fileDate=") and got[2] == "##reference=A"
+    assert got[3:] == [
+        "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA\tB\tC\tD",
+        ".\t2\t.\tC\tT\t.\t.\t.\t.\t0\t0\t1\t1", ".\t3\t.\tGT\tGN\t.\t.\t.\t.\t0\t0\t0\t1", ".\t4\t.\tT\tTT\t.\t.\t.\t.\t0\t1\t0\t0",
+    ]
+    cli.main(["vcf", net, "--reference", "A", "-o", str(stored / "calls")])
+    parts = sorted((stored / "calls").glob("part-*"))
+    assert [x for p in parts for x in lines_of(p)] == got
+    tips = spark.createDataFrame([(k,) for k in MSA], "name string")
+    back = text.apply_vcf(text.read_vcf(spark, str(stored / "a.vcf")), "ACGTA", tips)
+    assert {r.name: r.seq for r in back.collect()} == {k: v.replace("-", "") for k, v in MSA.items()}
+    cli.main(["gfa", net, "-o", str(stored / "g.gfa"), "--one-file"])
+    got = lines_of(stored / "g.gfa")
+    assert got[0] == "H\tVN:Z:1.0" and [x[0] for x in got] == sorted([x[0] for x in got], key="HSLP".index)
+    segments, steps = text.read_gfa(spark, str(stored / "g.gfa"))
+    seqs = {r.segment: r.seq for r in segments.collect()}
+    walks = {}
+    for r in sorted(steps.collect(), key=lambda r: (r.path, r.step)):
+        walks[r.path] = walks.get(r.path, "") + seqs[r.segment]
+    assert walks == {k: v.replace("-", "") for k, v in MSA.items()}
+    cli.main(["maf", net, "-o", str(stored / "m.maf"), "--one-file"])
+    assert lines_of(stored / "m.maf") == ["##maf version=1", "a", *(f"s\t{k}\t0\t{len(v.replace('-', ''))}\t+\t{len(v.replace('-', ''))}\t{v}" for k, v in MSA.items()), ""]
+    back = text.maf_sequences(text.read_maf(spark, str(stored / "m.maf")))
+    assert {r.name: r.seq for r in back.collect()} == {k: v.replace("-", "") for k, v in MSA.items()}
+    cli.main(["consensus", net, "-o", str(stored / "c.fa"), "--one-file"])
+    assert lines_of(stored / "c.fa") == [">0", "ACGTTA"]
+    cli.main(["fasta", net, "--nodes", "D", "B", "-o", str(stored / "f.fa"), "--one-file"])
+    assert sorted(lines_of(stored / "f.fa")) == sorted([">B", "ACGTTA", ">D", "ATGNA"])
+
+
+def test_one_output_a_tree(spark, stored, tmp_path):
+    split = tmp_path / "two"
+    cli.main(["split", str(stored / "net"), "--node", "node_3", "--tree", "5", "-o", str(split)])
+    cli.main(["newick", str(split), "-o", str(tmp_path / "t"), "--one-file"])
+    assert sorted(p.name for p in (tmp_path / "t").iterdir() if not p.name.startswith(".")) == ["tree_0", "tree_5"]
+    assert lines_of(tmp_path / "t" / "tree_5") == ["(C:1.000000,D:1.000000)node_3:0.000000;"]
+    cli.main(["vcf", str(split), "--reference", "C", "-o", str(tmp_path / "c.vcf"), "--one-file"])
+    assert lines_of(tmp_path / "c.vcf")[3].split("\t")[9:] == ["C", "D"]
+    cli.main(["extended-newick", str(split), "-o", str(tmp_path / "x"), "--one-file"])
+    assert len(lines_of(tmp_path / "x")) == 2
+    with pytest.raises(SystemExit):
+        cli.main(["vcf", str(split), "--reference", "nobody", "-o", str(tmp_path / "none")])
