@@ -35,7 +35,8 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.line_quality(table(spark, sf_dir, "documents")).drop("cleaned")
+    judged = quality.line_quality(table(spark, sf_dir, "documents"))
+    return judged.withColumn("cleaned_sha256", F.sha2(F.coalesce("cleaned", F.lit("")), 256)).drop("cleaned")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +92,7 @@ QUERIES: dict[str, Query] = {
     "op10_pii": op10_pii,
 }
 
-_QUOTED = {k: getattr(quality, k).replace("'", "''") for k in ("NAVIGATION", "BOILERPLATE", "NOISE", "SHOUT", "TERMINAL")}
+_QUOTED = {k: getattr(quality, k).replace("'", "''") for k in ("NAVIGATION", "BOILERPLATE", "NOISE", "SHOUT", "TERMINAL", "PUNCTUATION")}
 OP2_SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -102,20 +103,23 @@ g AS (
 r AS (SELECT doc_id, g FROM g GROUP BY doc_id, g HAVING count(*) > 1),
 c AS (SELECT doc_id, count(DISTINCT g.k + j) AS n FROM g JOIN r USING (doc_id, g), range(0, 3) q(j) GROUP BY doc_id),
 l AS (
-  SELECT doc_id, x, len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS n
-  FROM (SELECT doc_id, unnest(lines) AS x FROM d)),
-b AS (
-  SELECT doc_id, count(*) AS n_bad, sum(n) AS lost FROM l
-  WHERE regexp_matches(x, '{_QUOTED["NAVIGATION"]}') OR regexp_matches(x, '{_QUOTED["BOILERPLATE"]}')
+  SELECT doc_id, j, x, len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS n
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, unnest(range(0, len(string_split(t, chr(10))))) AS j FROM d)),
+f AS (
+  SELECT *, n > 0 AND (regexp_matches(x, '{_QUOTED["NAVIGATION"]}') OR regexp_matches(x, '{_QUOTED["BOILERPLATE"]}')
     OR (length(x) - length(regexp_replace(x, '{_QUOTED["NOISE"]}', '', 'g'))) * 100 > length(x) * 10
     OR len(regexp_extract_all(x, '{_QUOTED["SHOUT"]}')) * 100 > n * 30
-    OR (n < 4 AND NOT regexp_matches(x, '{_QUOTED["TERMINAL"]}')) GROUP BY doc_id),
+    OR (n < 4 AND NOT regexp_matches(x, '{_QUOTED["TERMINAL"]}'))
+    OR (n >= 30 AND NOT regexp_matches(x, '{_QUOTED["PUNCTUATION"]}'))) AS bad FROM l),
+b AS (
+  SELECT doc_id, count(*) FILTER (WHERE bad) AS n_bad, sum(n) FILTER (WHERE bad) AS lost,
+    coalesce(string_agg(x, chr(10) ORDER BY j) FILTER (WHERE NOT bad), '') AS cleaned FROM f GROUP BY doc_id),
 o AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
     len(w) < 50 OR coalesce(c.n, 0) * 100 > len(w) * 50 AS base_failed, CAST(len(lines) AS BIGINT) AS n_lines,
-    CAST(coalesce(n_bad, 0) AS BIGINT) AS n_bad_lines, CAST(coalesce(lost, 0) AS BIGINT) AS lost_words
+    CAST(coalesce(n_bad, 0) AS BIGINT) AS n_bad_lines, CAST(coalesce(lost, 0) AS BIGINT) AS lost_words, sha256(cleaned) AS cleaned_sha256
   FROM d LEFT JOIN c USING (doc_id) LEFT JOIN b USING (doc_id))
 SELECT *, NOT base_failed AND lost_words * 100 <= n_words * 50 AS kept FROM o
 """
