@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import stash, unstash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The item that marks a bad URL among its tokens; no token has this prefix.
-BAD = "class:bad"
+#: Places over which the verdict of one set of tokens is spread.
+SALTS = 32
+#: Rows of one set of tokens that one task makes.
+PART = 10_000
 
 
 def host_of(url: Column) -> Column:
@@ -58,6 +61,39 @@ def url_tokens(url: Column) -> Column:
     return F.when(url.isNull(), F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.concat(*parts))))
 
 
+def alike(labelled: DataFrame, tokens_col: str = "tokens") -> DataFrame:
+    """token and same, the least of the tokens that stand in the same rows of labelled, for every token that some
+    row lacks. Rows are compared by their number and two 64-bit sums over them; rows without tokens or with
+    null ones give nothing, repeated rows count as they stand."""
+    rows = labelled.select(F.monotonically_increasing_id().alias("id"), F.col(tokens_col).alias("tokens"))
+    total = rows.count()
+    each = rows.select("id", F.explode(F.array_distinct("tokens")).alias("token")).where("token is not null")
+    prints = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.crc32(F.col("id").cast("string"))).alias("y"))
+    prints = prints.where(F.col("n") < total)
+    least = prints.groupBy("n", "x", "y").agg(F.min("token").alias("same"))
+    return prints.join(least, ["n", "x", "y"]).select("token", "same")
+
+
+def replaced(rows: DataFrame, same: DataFrame, tokens_col: str = "tokens") -> DataFrame:
+    """Distinct tokens of rows, and what they come to where each is replaced by what alike() says; others are left out."""
+    sets = rows.select(F.col(tokens_col).alias("tokens")).distinct()
+    each = sets.select("tokens", F.explode("tokens").alias("token")).join(same, "token")
+    return each.groupBy("tokens").agg(F.array_sort(F.collect_set("same")).alias("items"))
+
+
+def _held(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows of sets (items) with a column rule for each of rules (rule) that they hold.
+
+    The inverted index has each rule once, under its rarest token in sets; a set looks up its own
+    tokens there and then checks the rules found.
+    """
+    entries = sets.withColumn("token", F.explode("items"))
+    parts = rules.select("rule", F.explode("rule").alias("token"))
+    often = entries.join(parts.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    index = parts.join(often, "token", "left").groupBy("rule").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("token").alias("t")))["t"].alias("token"))
+    return entries.join(index, "token").where(F.size(F.array_except("rule", "items")) == 0).drop("token")
+
+
 def mine_rules(
     labelled: DataFrame,
     tokens_col: str,
@@ -69,43 +105,57 @@ def mine_rules(
 ) -> DataFrame:
     """Rules (tokens, confidence, support) whose tokens foretell a bad URL, mined by Spark's FP-growth.
 
-    Only rules that no rule with fewer of their tokens matches in confidence stay, whatever their
-    length, unless max_tokens sets a bound. Each token of a
-    rule occurs in min_support of the labelled rows at least, and in min_rows of them, so that the
-    number of rules depends on the thresholds and not on the number of rows. Rows without a label are
-    left out.
+    FP-growth goes through the bad rows; how many rows hold a found set is then counted over all by an
+    inverted index. A token that stands in every labelled row adds nothing to a rule, and of tokens that
+    stand in the same rows the least stands for all (see alike()), so that sets do not multiply by
+    tokens that say the same. Only rules that no rule with fewer of their tokens matches in confidence
+    stay, whatever their length, unless max_tokens sets a bound. Each rule holds in min_support of the
+    labelled rows at least, and in min_rows of them, bad ones, so that the number of rules depends on
+    the thresholds and not on the number of rows. Rows without a label are left out; without bad rows
+    there is no rule.
     """
-    items = labelled.where(F.col(bad_col).isNotNull()).select(
-        F.when(F.col(bad_col), F.array_append(tokens_col, F.lit(BAD))).otherwise(F.col(tokens_col)).alias("items")
-    )
-    support = min(1.0, max(min_support, min_rows / max(1, items.count())))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
-    found = model.associationRules.where(F.array_contains("consequent", BAD))
-    if max_tokens is not None:
-        found = found.where(F.size("antecedent") <= max_tokens)
-    found = stash(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "url-rules")
-    wider = found.alias("w").join(
-        found.alias("n"),
-        (F.size("n.tokens") < F.size("w.tokens"))
-        & (F.size(F.array_except("n.tokens", "w.tokens")) == 0)
-        & (F.col("n.confidence") >= F.col("w.confidence")),
-        "left_anti",
-    )
-    return wider.select("w.tokens", "w.confidence", "w.support")
-
-
-def match_rules(sets: DataFrame, rules: DataFrame, tokens_col: str = "tokens") -> DataFrame:
-    """For each distinct set of tokens that holds all tokens of a rule, the best confidence.
-
-    The inverted index holds each rule once, under its rarest token in sets; a set looks up its own
-    tokens there and then checks the rules found.
-    """
-    sets = sets.select(F.col(tokens_col).alias("tokens")).distinct()
-    entries = sets.select("tokens", F.explode("tokens").alias("token"))
-    parts = rules.select(F.col("tokens").alias("rule"), "confidence", F.explode("tokens").alias("token"))
-    often = entries.join(parts.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    index = parts.join(often, "token").groupBy("rule", "confidence").agg(F.min(F.struct("n", "token"))["token"].alias("token"))
-    hits = entries.join(index, "token").where(F.size(F.array_except("rule", "tokens")) == 0)
+    rows = stash(labelled.where(F.col(bad_col).isNotNull()).select(F.array_distinct(tokens_col).alias("tokens"), F.col(bad_col).alias("bad")), "url-labelled")
+    total = rows.count()
+    least = max(min_rows, math.ceil(min_support * total))
+    same = stash(alike(rows), "url-alike")
+    sets = rows.groupBy("tokens").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"))
+    sets = stash(sets.join(replaced(rows, same), "tokens").groupBy("items").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad")), "url-sets")
+    often = sets.where("n_bad > 0").select(F.explode("items").alias("token"), "n_bad").groupBy("token").agg(F.sum("n_bad").alias("n")).where(F.col("n") >= least)
+    kept = F.array_sort(F.collect_set("token"))
+    known = sets.where("n_bad > 0").select("items", "n_bad", F.explode("items").alias("token")).join(often.select("token"), "token", "left_semi")
+    known = known.groupBy("items", "n_bad").agg(kept.alias("kept"))
+    # one row for each bad URL, as FP-growth counts them; those of one set are made in parts, side by side
+    parts = known.select(F.col("kept").alias("items"), "n_bad", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_bad") - 1) / PART))).alias("part"))
+    parts = parts.repartition("items", "part").withColumn("m", F.least(F.lit(PART), F.col("n_bad") - F.col("part") * PART))
+    items = stash(parts.select("items", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("nth")).select("items"), "url-items")
+    n_bad = items.count()
+    schema = "rule array<string>, freq bigint"
+    if n_bad < least:
+        found = rows.sparkSession.createDataFrame([], schema)
+    else:
+        model = FPGrowth(itemsCol="items", minSupport=least / n_bad * (1 - 1e-9)).fit(items)
+        found = model.freqItemsets.select(F.array_sort("items").alias("rule"), "freq")
+        found = found if max_tokens is None else found.where(F.size("rule") <= max_tokens)
+    found = stash(found, "url-frequent")
+    counted = _held(sets, found).groupBy("rule").agg(F.sum("n").alias("n")).join(found, "rule")
+    good = counted.select("rule", (F.col("freq") / F.col("n")).alias("confidence"), (F.col("freq") / F.lit(max(1, total))).alias("support"))
+    good = stash(good.where(F.col("confidence") >= min_confidence), "url-rules")
+    narrow = good.select("rule", F.col("confidence").alias("own"))
+    within = _held(good.select(F.col("rule").alias("items"), "confidence"), good.select("rule")).join(narrow, "rule")
+    lost = within.where((F.size("rule") < F.size("items")) & (F.col("own") >= F.col("confidence"))).select(F.col("items").alias("rule")).distinct()
+    kept = stash(good.join(lost, "rule", "left_anti").select(F.col("rule").alias("tokens"), "confidence", "support"), "url-mined")
+    for spent in (rows, same, sets, items, found, good):
+        unstash(spent)
+    return kept
+
+
+def match_rules(sets: DataFrame, rules: DataFrame, tokens_col: str = "tokens", same: DataFrame | None = None) -> DataFrame:
+    """For each distinct set of tokens that holds all tokens of a rule, the best confidence. With same, what
+    alike() gave for the rules' labelled rows, a token counts for those that stood in the same rows."""
+    sets = sets.select(F.col(tokens_col).alias("tokens")).distinct().withColumn("items", F.col("tokens"))
+    if same is not None:
+        sets = sets.select("tokens").join(replaced(sets, same), "tokens")
+    hits = _held(sets, rules.select(F.col("tokens").alias("rule"))).join(rules.select(F.col("tokens").alias("rule"), "confidence"), "rule")
     return hits.groupBy("tokens").agg(F.max("confidence").alias("confidence"))
 
 
@@ -116,26 +166,31 @@ def filter_urls(
     id_col: str = "page_id",
     url_col: str = "url",
     label_id_col: str = "doc_id",
+    bad: Column | None = None,
     **mining,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict and confidence of every row.
 
     The longest fixed rule decides; where none fits, a URL whose tokens hold a mined rule's is
     blocked and the others are allowed. confidence is that of the best mined rule, null without one.
-    A label makes a URL bad when it is toxic or of quality 0; rows of labels with one id count once,
-    bad if any is, and null labels are none. A null URL or one without :// has an empty host and
-    path and is allowed unless a rule says otherwise; repeated rows are judged alike; empty tables
-    mine no rule and give an empty result; other columns are not read.
+    A label makes a URL bad when it is toxic or of quality 0, or as the condition `bad` on labels says;
+    rows of labels with one id count once, bad if any is, and null labels are none. A null URL or one
+    without :// has an empty host and path and is allowed unless a rule says otherwise; repeated rows
+    are judged alike; empty tables mine no rule and give an empty result; other columns are not read.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    bad = (F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)
-    known = labels.where(F.col("toxic").isNotNull() | F.col("quality").isNotNull()).groupBy(F.col(label_id_col).alias("page_id")).agg(
-        F.max(bad).alias("bad")
-    )
+    if bad is None:
+        labels = labels.where(F.col("toxic").isNotNull() | F.col("quality").isNotNull())
+        bad = (F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)
+    known = labels.select(F.col(label_id_col).alias("page_id"), bad.alias("bad")).where("bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     rows = rows.withColumn("tokens", url_tokens(F.col("url")))
-    mined = mine_rules(rows.join(known, "page_id"), "tokens", "bad", **mining)
+    labelled = rows.join(known, "page_id")
+    same = stash(alike(labelled.where("bad is not null")), "url-same")
+    mined = mine_rules(labelled, "tokens", "bad", **mining)
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     name, action = fixed_rule(host, path, rules)
-    rows = rows.join(match_rules(rows, mined), "tokens", "left")
+    # many URLs may have one set of tokens: its verdict stands in SALTS places, and each row looks in one
+    matched = match_rules(rows, mined, same=same).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(matched, ["tokens", "salt"], "left")
     verdict = F.coalesce(action, F.when(F.col("confidence").isNotNull(), "block").otherwise("allow"))
     return rows.select("page_id", host.alias("host"), path.alias("path"), name.alias("rule"), verdict.alias("verdict"), "confidence")

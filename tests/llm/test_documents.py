@@ -467,3 +467,34 @@ def test_mined_rule_of_four_tokens(spark):
     got = urlrules.mine_rules(df, "tokens", "bad", min_support=0.01, min_rows=5, min_confidence=0.8)
     assert [(r.tokens, r.confidence) for r in got.collect()] == [(list("abcd"), 1.0)]
     assert urlrules.match_rules(df.select("tokens").distinct(), got).count() == 1
+
+
+def test_mined_verdicts_over_a_corpus(spark, rng):
+    """Verdicts of 1,500 URLs by rules mined from 1,000 labels, against every combination of up to four tokens."""
+    hosts = [f"{a}.{b}.{c}" for a in ("www", "blog", "m") for b in ("spam", "fine", "mixed") for c in ("com", "net")]
+    words_ = ["win", "cash", "news", "prize", "about"]
+    urls = [f"{rng.choice(['http', 'https'])}://{rng.choice(hosts)}/{rng.choice(words_)}/{rng.choice(words_)}/{i}" for i in range(1500)]
+    rows = list(enumerate(urls))
+    bad = {i: ("spam" in u and ".net" in u) or ("win" in u and "cash" in u and "blog" in u) or rng.random() < 0.03 for i, u in rows}
+    labels = [(i, 1, int(bad[i])) for i in range(1000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    tokens = {r.page_id: frozenset(r.t) for r in pages.select("page_id", urlrules.url_tokens(F.col("url")).alias("t")).collect()}
+    from itertools import combinations
+
+    counts, hits = Counter(), Counter()
+    for i in range(1000):
+        for n in (1, 2, 3, 4):
+            for c in combinations(sorted(tokens[i]), n):
+                counts[c] += 1
+                hits[c] += bad[i]
+    rules = [frozenset(c) for c in counts if hits[c] >= 20 and hits[c] / counts[c] >= 0.8]
+    assert len(rules) > 5
+    want = {i: "block" if any(r <= tokens[i] for r in rules) else "allow" for i, _ in rows}
+    got = urlrules.filter_urls(pages, known, []).collect()
+    assert {r.page_id: r.verdict for r in got} == want and len(got) == 1500
+    assert 100 < sum(v == "block" for v in want.values()) < 900
+    mined = urlrules.mine_rules(pages.join(known, F.col("page_id") == F.col("doc_id")).select(urlrules.url_tokens(F.col("url")).alias("tokens"), (F.col("toxic") == 1).alias("bad")), "tokens", "bad")
+    for r in mined.collect():
+        own = [i for i in range(1000) if set(r.tokens) <= tokens[i]]
+        assert abs(r.confidence - sum(bad[i] for i in own) / len(own)) < 1e-9
