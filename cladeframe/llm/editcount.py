@@ -3,11 +3,16 @@
 A leaf holds a stretch of whole units (see bpe) with its characters and tokens; inner nodes hold sums.
 An edit re-splits and re-encodes the leaves that it touches and one on either side, because a unit's
 bounds depend on the characters next to it, and then updates the sums above them.
+
+grow_trees() makes the trees of documents as rows (the text, and each leaf's characters and tokens)
+that can be written and read again; edit_trees() takes such rows and gives them as edits leave them,
+so that later edits start from kept counts and never encode a document anew.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import lean, slices, tidy
+from .common import lean, slices, stash, tidy
 
-#: Characters in a leaf as it is built, and at most before the tree is built anew.
+#: Characters in a leaf as it is built, and at most, in more than one unit, before leaves are parted anew.
 LEAF_CHARS, MOST_CHARS = 96, 4096
 
 EDITS = "array<struct<seq:bigint,start:bigint,stop:bigint,text:string>>"
@@ -99,21 +104,35 @@ class CountTree:
             for i in touched:
                 self._sum(i)
             touched = {i // 2 for i in touched if i > 1}
-        if max(self.chars[self.size + low : self.size + high + 1]) > MOST_CHARS:
-            self._rebuild()
+        sizes = self.chars[self.size + low : self.size + high + 1]
+        if any(size > MOST_CHARS and bounds[k + 1] - bounds[k] > 1 for k, size in enumerate(sizes)):
+            self._part(low, high, units, counts)
 
-    def _rebuild(self) -> None:
+    def _part(self, low: int, high: int, units: list[str], counts: list[int]) -> None:
+        """Build the tree over finer leaves from low to high, whose units and counts are known; nothing is encoded."""
         leaves, tokens = [], []
-        units, _ = bpe.split_units(pa.array([self.text()]))
-        units = units.to_pylist()
-        for text, n in zip(units, [len(x) // 4 for x in self.encode(units)]):
+        for text, n in zip(units, counts):
             if leaves and len(leaves[-1]) + len(text) <= LEAF_CHARS:
                 leaves[-1] += text
                 tokens[-1] += n
             else:
                 leaves.append(text)
                 tokens.append(n)
-        self._build(leaves or [""], tokens or [0])
+        old = [(x, self.tokens[self.size + k]) for k, x in enumerate(self.leaves) if x and not low <= k <= high]
+        front = sum(1 for x in self.leaves[:low] if x)
+        full = [*old[:front], *zip(leaves, tokens), *old[front:]] or [("", 0)]
+        self._build([x for x, _ in full], [n for _, n in full])
+
+    def parts(self) -> tuple[str, list[int], list[int]]:
+        """The text, and the characters and tokens of its leaves that hold some."""
+        kept = [k for k, x in enumerate(self.leaves) if x]
+        return self.text(), [len(self.leaves[k]) for k in kept], [self.tokens[self.size + k] for k in kept]
+
+    @classmethod
+    def of(cls, text: str, chars: list[int], tokens: list[int], encode) -> CountTree:
+        """The tree that parts() has come from."""
+        ends = list(accumulate(chars, initial=0))
+        return cls([text[a:b] for a, b in zip(ends, ends[1:])] or [""], tokens or [0], encode)
 
 
 def _trees(texts: pa.Array, encoder: bpe.UnitEncoder) -> Iterator[CountTree]:
@@ -135,52 +154,111 @@ def _trees(texts: pa.Array, encoder: bpe.UnitEncoder) -> Iterator[CountTree]:
         )
 
 
-def _count(path: str):
+TREE = "doc_id bigint, text string, leaf_chars array<int>, leaf_tokens array<int>"
+_INTS = pa.list_(pa.int32())
+
+
+def _grow(path: str):
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = bpe.UnitEncoder.of(path)
+        for batch in batches:
+            for part in slices(batch, "text", bpe.BLOCK_BYTES):
+                chars, tokens = [], []
+                for tree in _trees(part.column("text"), encoder):
+                    _, c, n = tree.parts()
+                    chars.append(c)
+                    tokens.append(n)
+                columns = [part.column("doc_id"), part.column("text"), pa.array(chars, _INTS), pa.array(tokens, _INTS)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "leaf_chars", "leaf_tokens"])
+
+    return run
+
+
+def _edit(path: str):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.UnitEncoder.of(path)
         for batch in batches:
             for part in slices(batch, "text", bpe.BLOCK_BYTES):
-                edits = part.column("edits").to_pylist()
-                before, after, changes, again = [], [], [], []
-                for tree, steps in zip(_trees(part.column("text"), encoder), edits):
-                    before.append(tree.total)
+                rows, after, changes, again = [], [], [], []
+                columns = [part.column(c).to_pylist() for c in ("text", "leaf_chars", "leaf_tokens", "edits")]
+                for text, chars, tokens, steps in zip(*columns):
+                    tree = CountTree.of(text, chars, tokens, encoder.encode)
                     for e in steps or []:
                         start = e["start"] or 0
                         tree.edit(start, start if e["stop"] is None else e["stop"], e["text"] or "")
+                    rows.append(tree.parts())
                     after.append(tree.total)
                     changes.append(len(steps or []))
                     again.append(tree.reencoded)
-                columns = [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in (before, after, changes, again))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_tokens_edited", "n_edits", "n_units_again"])
+                before = [sum(x) for x in columns[2]]
+                texts, chars, tokens = zip(*rows)
+                out = [part.column("doc_id"), pa.array(texts, pa.string()), pa.array(chars, _INTS), pa.array(tokens, _INTS)]
+                out += [pa.array(c, pa.int64()) for c in (before, after, changes, again)]
+                names = ["doc_id", "text", "leaf_chars", "leaf_tokens", "n_tokens", "n_tokens_edited", "n_edits", "n_units_again"]
+                yield pa.RecordBatch.from_arrays(out, names=names)
 
     return run
 
 
-def count_tokens(
-    docs: DataFrame, path: str, edits: Column | None = None, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """doc_id, n_tokens, n_tokens_edited, n_edits and n_units_again (units that edits had re-encoded) of every row.
+def grow_trees(docs: DataFrame, path: str, edits: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, leaf_chars and leaf_tokens of every row: its tree, to be written and kept. With edits, a
+    column of docs of type EDITS, these stand beside it in order of seq, then of their other fields.
 
-    edits is a column of docs of type EDITS: code points [start, stop) of the text as the edits before
-    have left it become text; bounds are clipped, a null start is 0, a null stop the start, a null text
-    empty. Edits apply in order of seq, then of their other fields. Null texts are empty; null and
-    repeated ids pass through; other columns are not read; an empty table gives an empty result.
+    Null texts are empty; null and repeated ids pass through; other columns are not read; an empty table
+    gives an empty result.
     """
-    steps = F.array().cast(EDITS) if edits is None else F.array_sort(F.filter(edits, lambda e: e.isNotNull())).cast(EDITS)
     lean(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), steps.alias("edits"))
-    return rows.mapInArrow(_count(path), "doc_id bigint, n_tokens bigint, n_tokens_edited bigint, n_edits bigint, n_units_again bigint")
+    columns = [F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")]
+    if edits is None:
+        return docs.select(*columns).mapInArrow(_grow(path), TREE)
+    steps = F.array_sort(F.filter(edits, lambda e: e.isNotNull())).cast(EDITS)
+    grown = docs.select(*columns, steps.alias("edits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", bpe.BLOCK_BYTES):
+                for made in _grow(path)(iter([part.select(["doc_id", "text"])])):
+                    yield pa.RecordBatch.from_arrays([*made.columns, part.column("edits")], names=[*made.schema.names, "edits"])
+
+    return grown.mapInArrow(run, f"{TREE}, edits {EDITS}")
+
+
+def edit_trees(trees: DataFrame, path: str, edits: str = "edits") -> DataFrame:
+    """Trees as the edits in a column of theirs leave them, with n_tokens (before), n_tokens_edited, n_edits and
+    n_units_again (units that were encoded for the edits, those around them included).
+
+    An edit replaces code points [start, stop) of the text as the edits before have left it; bounds are
+    clipped, a null start is 0, a null stop the start, a null text empty. A null list has no edits.
+    """
+    lean(trees.sparkSession)
+    rows = trees.select("doc_id", "text", "leaf_chars", "leaf_tokens", F.col(edits).alias("edits"))
+    return rows.mapInArrow(_edit(path), f"{TREE}, n_tokens bigint, n_tokens_edited bigint, n_edits bigint, n_units_again bigint")
+
+
+def count_tokens(
+    docs: DataFrame, path: str, edits: Column | None = None, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id, n_tokens, n_tokens_edited, n_edits and n_units_again of every row, by trees that are written once
+    and edited as edit_trees() says; nulls, repeated ids and empty tables as in grow_trees()."""
+    steps = F.array().cast(EDITS) if edits is None else edits
+    trees = stash(grow_trees(docs, path, steps, id_col, text_col), "count-trees")
+    return edit_trees(trees, path).select("doc_id", "n_tokens", "n_tokens_edited", "n_edits", "n_units_again")
 
 
 def attach_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs with a column edits: the rows (id, seq, start, stop, text) of the table edits for each id. The
     edits of one document depend on each other and so meet in one row; rows of edits without a
-    document are left out."""
+    document are left out, a document without edits has null. All columns of docs stay, whatever their
+    names, but one named edits is refused with ValueError."""
     row = F.struct(F.col("seq").cast("bigint").alias("seq"), F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"), "text")
     grouped = edits.groupBy(F.col(id_col).alias("__id")).agg(F.collect_list(row).alias("edits"))
-    names = [c for c in docs.columns if c != "edits"]
-    return docs.select(*names).join(grouped, F.col(id_col) == F.col("__id"), "left").drop("__id")
+    if "edits" in docs.columns:
+        raise ValueError("docs has a column edits already")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("key"))
+    found = packed.join(grouped, packed["key"] == grouped["__id"], "left")
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns], "edits")
 
 
 def sample_edits(text: Column) -> Column:

@@ -107,6 +107,8 @@ def test_edits(tokenizer, rng, monkeypatch):
             lo = min(max(a, 0), len(text))
             text = text[:lo] + new + text[min(max(b, lo), len(text)) :]
             assert tree.text() == text and tree.total == len(ids_of(tokenizer, text))
+            if rng.random() < 0.3:  # kept and read again
+                tree = editcount.CountTree.of(*tree.parts(), encoder.encode)
 
 
 def test_edit_table(spark, edge, tokenizer):
@@ -125,3 +127,46 @@ def test_digest_of_query(spark, sf, tokenizer):
         ids = ids_of(tokenizer, texts[r.doc_id])
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_edits_beside_a_long_unit(tokenizer):
+    """Only what stands around an edit is encoded again, however long the units next to it are."""
+    text = "word, " * 20_000 + "x" * 5_000 + " and more" * 20_000
+    encoder = bpe.UnitEncoder.of(PATH)
+    tree = next(editcount._trees(pa.array([text]), encoder))
+    seen = []
+    tree.encode = lambda units: seen.append(sum(map(len, units))) or encoder.encode(units)
+    for k in range(5):
+        tree.edit(120_000 + k, 120_000 + k, "y")
+    assert max(seen) < 6_000 and tree.reencoded < 400
+    assert tree.total == len(ids_of(tokenizer, tree.text()))
+    tree.edit(300, 300, "new words " * 3_000)
+    tree.edit(600, 610, "z")
+    assert seen[-1] < 6_000 and tree.total == len(ids_of(tokenizer, tree.text()))
+
+
+def test_kept_trees(spark, edge, tokenizer, tmp_path):
+    """Trees are written, read, edited, written and edited again; counts are the library's throughout."""
+    editcount.grow_trees(edge, PATH).write.parquet(str(tmp_path / "one"))
+    first = spark.read.parquet(str(tmp_path / "one")).withColumn("edits", editcount.sample_edits(editcount.F.col("text")))
+    editcount.edit_trees(first, PATH).write.parquet(str(tmp_path / "two"))
+    second = spark.read.parquet(str(tmp_path / "two"))
+    for r in second.collect():
+        assert r.n_tokens_edited == len(ids_of(tokenizer, r.text)) == sum(r.leaf_tokens) and sum(r.leaf_chars) == len(r.text)
+    again = editcount.edit_trees(second.withColumn("edits", editcount.sample_edits(editcount.F.col("text"))), PATH).collect()
+    assert all(r.n_tokens_edited == len(ids_of(tokenizer, r.text)) and r.n_edits == 3 for r in again) and len(again) == edge.count()
+
+
+def test_query_of_edits(spark, sf, tokenizer):
+    """Every row of op4 against the library, with the three edits made in Python."""
+    from cladeframe.llm.queries import QUERIES
+
+    want = Counter()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        t = r.text or ""
+        third = len(t) // 3
+        new = "Note: " + t
+        new = new[:third] + " changed by hand, " + new[third + 20 :]
+        new = new[: 2 * third] + new[2 * third + 15 :]
+        want[(r.doc_id, len(ids_of(tokenizer, r.text)), len(ids_of(tokenizer, new)), 3)] += 1
+    assert Counter(tuple(r)[:4] for r in QUERIES["op4_token_counts"](spark, sf).collect()) == want
