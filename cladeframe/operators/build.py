@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.operators import graph, mutations, parsimony
+from cladeframe.scratch import written
 
 #: States of a block: absent, forward, reverse.
 ABSENT, FORWARD, REVERSE = 1, 2, 4
@@ -58,7 +59,7 @@ def block_mutations(nodes: DataFrame, states: DataFrame, reference: str | None =
     compared with absence, and takes it where it can unless it is given by `reference`."""
     trees = parsimony.topology(nodes)
     if trees is None:
-        raise ValueError(f"over {parsimony.MAX_NODES} nodes: use fitch_levels()")
+        return _block_mutations_by_level(nodes, states, reference, method)
     tips: dict[int, list[tuple[int, str]]] = {}
     for r in nodes.where("is_leaf").select("tree_id", "node_id", "name").orderBy("tree_id", "name").toLocalIterator():
         tips.setdefault(r.tree_id, []).append((r.node_id, r.name))
@@ -69,6 +70,24 @@ def block_mutations(nodes: DataFrame, states: DataFrame, reference: str | None =
     return dealt.groupBy("tree_id", "part").applyInArrow(_block_kernel(shared, reference, method), _BLOCK_MUT)
 
 
+def _block_mutations_by_level(nodes: DataFrame, states: DataFrame, reference: str | None, method: str) -> DataFrame:
+    """What the kernel gives, by joins from level to level; states are numbered 0 absent, 1 forward, 2 reverse."""
+    key = ["tree_id", "block_id"]
+    tips = nodes.where("is_leaf").select("tree_id", "name", "node_id")
+    own = states.join(tips, ["tree_id", "name"]).select(*key, "node_id", F.when(F.col("forward"), 1).otherwise(2).alias("state"))
+    grid = own.select(*key).distinct().join(tips, "tree_id")
+    leaves = written(grid.join(own, [*key, "node_id"], "left").select(*key, "node_id", "name", F.coalesce("state", F.lit(0)).alias("state")))
+    fixed = None
+    if reference is not None:
+        held = leaves.where(F.col("name").contains(reference))
+        fixed = held.groupBy(key).agg(F.min_by("state", "name").alias("state"))
+    found = written(parsimony.states_by_level(nodes, leaves.drop("name"), key, method, fixed, root_first=0))
+    above = found.select(*key, F.col("node_id").alias("parent_id"), F.col("state").alias("old"))
+    joined = found.join(above, [*key, "parent_id"], "left").withColumn("old", F.coalesce("old", F.lit(0))).where("state <> old")
+    kind = F.when(F.col("state") == 0, "del").when(F.col("old") != 0, "inv").when(F.col("state") == 1, "ins").otherwise("ins_inv")
+    return joined.select("tree_id", "node_id", F.col("block_id").alias("ord"), "block_id", kind.alias("kind"))
+
+
 def infer_blocks(
     nodes: DataFrame, states: DataFrame, texts: DataFrame, block: DataFrame, gap: DataFrame, reference: str | None = None, method: str = "fitch"
 ) -> dict[str, DataFrame]:

@@ -1,8 +1,8 @@
 """Ancestral states by Fitch and Sankoff parsimony.
 
 The kernels take a stretch of columns at a time, with the topology as arrays, and work on all its
-columns at once. Topologies beyond MAX_NODES are not broadcast: the *_levels forms join a level of the
-tree with the next instead, one shuffle a level.
+columns at once. Topologies beyond MAX_NODES are not broadcast: states_by_level() joins a level of the
+tree with the next instead, one shuffle a level, and comes to the same states.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.functions.codes import BASES, lowest_bit
+from cladeframe.functions.codes import BASES, base_code, code_base, lowest_bit
 from cladeframe.scratch import written
 
 #: Columns that one kernel call takes, and nodes of a topology that is broadcast (16 bytes each).
@@ -184,7 +184,7 @@ def infer_by_block(nodes: DataFrame, texts: DataFrame, baseline: DataFrame, refe
 def _infer(nodes: DataFrame, rows: DataFrame, method: str) -> DataFrame:
     trees = topology(nodes)
     if trees is None:
-        raise ValueError(f"over {MAX_NODES} nodes: use fitch_levels() or sankoff_costs()")
+        return _infer_by_level(nodes, rows, method)
     shared = nodes.sparkSession.sparkContext.broadcast(trees)
     tips = nodes.where("is_leaf").select("tree_id", "name", "node_id")
     chunks = F.sequence(F.lit(0), ((F.length("seq") - 1) / COLUMNS).cast("int"))
@@ -194,6 +194,87 @@ def _infer(nodes: DataFrame, rows: DataFrame, method: str) -> DataFrame:
     return parts.groupBy("tree_id", "block_id", "chunk").applyInArrow(_kernel(shared, method), MUTATION)
 
 
+def states_by_level(nodes: DataFrame, leaves: DataFrame, key: list[str], method: str, root: DataFrame | None = None, root_first: int | None = None) -> DataFrame:
+    """(*key, node_id, parent_id, state) of every node that has a state, by joins from level to level.
+
+    leaves: *key, node_id and state (a number) of the tips that are known; key has tree_id. The root takes
+    the state in root (*key, state) where there is one, else root_first where that is possible under Fitch,
+    else the lowest of the best. Nodes below which nothing is known have none; under Fitch a child like
+    that shares nothing with its siblings. Each level is written, so that plans do not grow.
+    """
+    places = nodes.select("tree_id", "node_id", "parent_id", "level")
+    wide = places.where("parent_id is not null").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("__children"))
+    deepest = nodes.agg(F.max("level")).first()[0] or 0
+    fitch = method == "fitch"
+    value = F.call_function("shiftleft", F.lit(1), F.col("state")).alias("sets") if fitch else F.col("state")
+    extra = [] if fitch else [F.lit(0).cast("bigint").alias("cost")]
+    known = leaves.select(*key, "node_id", value, *extra).join(places, ["tree_id", "node_id"])
+    number = leaves.agg(F.max("state")).first()[0]
+    held, up = {}, None
+    for level in range(deepest, -1, -1):
+        own = known.where(F.col("level") == level).drop("level")
+        held[level] = own = written(own if up is None else own.unionByName(up.join(places.drop("level"), ["tree_id", "node_id"])))
+        child = own.where("parent_id is not null")
+        if fitch:
+            up = child.groupBy(*key, F.col("parent_id").alias("node_id")).agg(F.bit_and("sets").alias("a"), F.bit_or("sets").alias("o"), F.count("*").alias("n"))
+            shared = F.when((F.col("n") == F.col("__children")) & (F.col("a") != 0), F.col("a")).otherwise(F.col("o"))
+            up = up.join(wide, ["tree_id", "node_id"]).select(*key, "node_id", shared.alias("sets"))
+        else:
+            up = sankoff_costs(child.select(*key, F.col("parent_id").alias("parent"), F.col("node_id").alias("child"), "state", "cost"), key, (number or 0) + 1)
+            up = up.withColumnRenamed("node", "node_id").select(*key, "node_id", "state", "cost")
+    low = lambda c: (F.length(F.bin(lowest_bit(c))) - 1).cast("int")
+    out = here = None
+    for level in range(deepest + 1):
+        own = held[level]
+        if level == 0:
+            if fitch:
+                first = F.lit(None).cast("int") if root_first is None else F.when(F.col("sets").bitwiseAND(F.lit(1 << root_first)) != 0, F.lit(root_first))
+                best = own.select(*key, "node_id", "parent_id", F.coalesce(first, low(F.col("sets"))).alias("state"))
+            else:
+                best = sankoff_choice(own.withColumnRenamed("node_id", "node"), [*key, "parent_id"]).withColumnRenamed("node", "node_id")
+            if root is not None:
+                best = best.join(root.select(*key, F.col("state").alias("__fixed")), key, "left").withColumn("state", F.coalesce("__fixed", "state"))
+        else:
+            above = here.select(*key, F.col("node_id").alias("parent_id"), F.col("state").alias("above"))
+            met = own.join(above, [*key, "parent_id"])
+            if fitch:
+                bit = F.call_function("shiftleft", F.lit(1), F.col("above"))
+                best = met.withColumn("state", F.when(F.col("sets").bitwiseAND(bit) != 0, F.col("above")).otherwise(low(F.col("sets"))))
+            else:
+                best = sankoff_choice(met.withColumnRenamed("node_id", "node"), [*key, "parent_id"], "above").withColumnRenamed("node", "node_id")
+        here = written(best.select(*key, "node_id", "parent_id", F.col("state").cast("int").alias("state")))
+        out = here if out is None else out.unionByName(here)
+    return out
+
+
+def _infer_by_level(nodes: DataFrame, rows: DataFrame, method: str) -> DataFrame:
+    """What the kernel gives for aligned rows, base by base."""
+    key = ["tree_id", "block_id", "site"]
+    tips = nodes.where("is_leaf").select("tree_id", "name", "node_id")
+    each = rows.select("tree_id", "block_id", "name", "role", F.posexplode(F.split("seq", "")).alias("site", "base")).where("base <> ''")
+    each = written(each.withColumn("state", base_code(F.col("base"))).drop("base"))
+    shown = F.min_by("state", F.when(F.col("state") != 0, F.struct(F.col("name"))))
+    roles = each.groupBy(key).agg(
+        F.coalesce(shown, F.lit(0)).alias("first"),
+        F.min(F.when(F.col("role") == "reference", F.struct("name", "state"))).alias("fixed"),
+        F.max(F.when(F.col("role") == "baseline", F.col("state"))).alias("baseline"),
+    )
+    own = F.when(F.col("fixed.state") != 0, F.col("fixed.state"))
+    sites = written(roles.select(*key, F.col("fixed.state").alias("fixed"), F.coalesce("baseline", own, "first").alias("consensus")))
+    leaves = each.join(tips, ["tree_id", "name"]).select(*key, "node_id", "state")
+    states = written(states_by_level(nodes, leaves, key, method, sites.where("fixed is not null").select(*key, F.col("fixed").alias("state"))))
+    above = states.select(*key, F.col("node_id").alias("parent_id"), F.col("state").alias("old"))
+    below = states.where("parent_id is not null").join(above, [*key, "parent_id"])
+    top = states.where("parent_id is null").join(sites, key).withColumn("old", F.col("consensus"))
+    changed = below.select(*key, "node_id", "state", "old").unionByName(top.select(*key, "node_id", "state", "old")).withColumn("type", mutation_type(F.col("state"), F.col("old"), F.lit(0)))
+    found = changed.where("type is not null").select("tree_id", "block_id", "node_id", "site", "type", code_base(F.col("state")).alias("base"))
+    chunk = (F.floor(F.col("site") / COLUMNS) * COLUMNS).cast("int")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("site", code_base(F.col("consensus")).alias("c")))), lambda x: x["c"]), "")
+    chunks = sites.groupBy("tree_id", "block_id", chunk.alias("at")).agg(text.alias("base"))
+    chunks = chunks.select("tree_id", "block_id", F.lit(None).cast("int").alias("node_id"), F.col("at").alias("site"), F.lit("C").alias("type"), "base")
+    return found.unionByName(chunks)
+
+
 def fitch_levels(nodes: DataFrame, leaves: DataFrame, key: list[str], write_from: int = 5) -> DataFrame:
     """Sets of states of every node as a join per level: nodes (node_id, parent_id, level), leaves (*key,
     node_id, state). Each level starts from the one below only; in trees of write_from levels or more

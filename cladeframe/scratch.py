@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,13 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df written once into the folder that spark.checkpoint.dir names, or one of our own where it is unset, and read back."""
+    """df written once into the folder that spark.checkpoint.dir names, and read back. A session in one process
+    may leave it unset, and a folder is made; on a cluster that raises RuntimeError."""
     spark = df.sparkSession
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="cladeframe-")
         spark.conf.set("spark.checkpoint.dir", path)
     place = f"{path.rstrip('/')}/step-{uuid.uuid4().hex}"

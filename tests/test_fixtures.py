@@ -297,3 +297,33 @@ def test_chain_against_a_plain_scan():
             want.append(at)
             at = back[at]
         assert graph.chain(a, b) == want[::-1]
+
+
+@pytest.mark.parametrize("method", ["fitch", "sankoff"])
+def test_beyond_the_broadcast(spark, monkeypatch, method):
+    """Above and below MAX_NODES the same mutations and consensus come out: unknown tips, references, several trees."""
+    import random
+
+    from cladeframe.operators import build
+
+    r = random.Random(3)
+    trees = [(0, "((A,B,C),(D,(E,F)),G);"), (1, "(((H,I),J),(K,L));")]
+    nodes = newick.read_newick(spark.createDataFrame(trees, "tree_id int, newick string")).cache()
+    rows = [(t, n, "".join(r.choice("ACGT-N-") for _ in range(40))) for t, names in ((0, "ABDEFG"), (1, "HIJK")) for n in names] + [(0, "Z", "A" * 40)]
+    aligned = spark.createDataFrame(rows, "tree_id int, name string, seq string")
+    blocks = [(t, n, b, r.random() < 0.7) for t, names in ((0, "ABCDEFG"), (1, "HIJKL")) for n in names for b in range(6) if r.random() < 0.6]
+    states = spark.createDataFrame(blocks, "tree_id int, name string, block_id int, forward boolean")
+
+    def results():
+        out = []
+        for reference in (None, "D"):
+            muts, chunks = parsimony.infer(nodes, aligned, method, reference)
+            out.append(sorted(map(tuple, muts.select("tree_id", "node_id", "site", "type", "base").collect())))
+            out.append(sorted(map(tuple, chunks.select("tree_id", "site", "base").collect())))
+            got = build.block_mutations(nodes, states, reference, method)
+            out.append(sorted(map(tuple, got.select("tree_id", "node_id", "block_id", "kind").collect())))
+        return out
+
+    below = results()
+    monkeypatch.setattr(parsimony, "MAX_NODES", 1)
+    assert results() == below and all(below)
