@@ -323,9 +323,10 @@ def encode_docs(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
 
 def decode_ids(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """encoded with a column decoded: the text of the ids, each joined with its piece. The table of
-    pieces is as large as the vocabulary file, whatever the data. Ids without a piece add nothing;
-    bytes that are no UTF-8 become U+FFFD; null ids give an empty text."""
+    """encoded with a column decoded: the text of the ids, each joined with its piece. The join is a lookup
+    by id in the table of pieces, which is as large as the vocabulary file, whatever the data, and is
+    sent to every worker. Ids without a piece add nothing; bytes that are no UTF-8 become U+FFFD; null ids
+    give an empty text; a column named decoded is replaced; an empty table gives an empty result."""
     pieces = encoded.sparkSession.sparkContext.broadcast(pieces_of(path))
     names = [c for c in encoded.columns if c != "decoded"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "decoded")

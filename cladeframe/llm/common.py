@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,9 +21,12 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor sees: spark.checkpoint.dir, or one of our own where that is unset."""
+    """Folder that every executor sees, spark.checkpoint.dir. A session in one process may leave it unset, and a
+    folder is made; on a cluster that raises RuntimeError."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="cladeframe-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import lean, slices, stash, tidy
+from .common import lean, slices, stash, tidy, unstash
 
 MAGIC = b"HUFT"
 HEAD = struct.Struct("<4sIIIQIII")
@@ -246,13 +246,16 @@ def write_tokens(
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = tokens.select("doc_id", F.xxhash64("ids").alias("h"), "ids")
     ordered = keyed.repartitionByRange(partitions, "doc_id", "h").sortWithinPartitions("doc_id", "h", "ids")
-    return stash(ordered.drop("h").mapInArrow(_write(lengths, shard_ids, every, kind), _SHARDS), "token-shards")
+    shards = stash(ordered.drop("h").mapInArrow(_write(lengths, shard_ids, every, kind), _SHARDS), "token-shards")
+    unstash(tokens)
+    return shards
 
 
 def read_tokens(shards: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit
-    integers) of every document, decoded from the shards. The driver sums the sizes of the parts, of
-    which there are as many as partitions were written."""
+    integers) of every document, decoded from the shards, null and repeated ids as they were written; no
+    shard gives no row. The driver sums the sizes of the parts, of which there are as many as partitions
+    were written."""
     sizes = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
     before, total = {}, 0
     for r in sizes:
