@@ -43,9 +43,9 @@ def base_steps(net: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     texts = sequence.block_texts(net, tips).join(tips, ["tree_id", "node_id"])
     order = Window.partitionBy("tree_id").orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1)
     starts = sequence.widths(net).withColumn("lo", F.coalesce(F.sum("width").over(order), F.lit(0)))
-    chunks = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(CHUNK))
-    cut = texts.join(starts, ["tree_id", "block_id"]).select("tree_id", "path", "forward", "lo", "text", F.explode(chunks).alias("k"))
-    cut = cut.select("tree_id", "path", (F.col("lo") + F.col("k")).alias("step"), strip_gaps(F.substring("text", F.col("k") + 1, F.lit(CHUNK))).alias("seq"))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), 0)
+    cut = texts.join(starts, ["tree_id", "block_id"]).select("tree_id", "path", "lo", F.posexplode(pieces).alias("k", "piece"))
+    cut = cut.select("tree_id", "path", (F.col("lo") + F.col("k") * CHUNK).alias("step"), strip_gaps(F.col("piece")).alias("seq"))
     cut = cut.where("seq <> ''")
     ids = cut.select("tree_id", "step", "seq").distinct()
     rank = F.row_number().over(Window.partitionBy("tree_id", "step").orderBy("seq"))

@@ -19,7 +19,9 @@ from cladeframe.scratch import written
 
 #: Columns that one kernel call takes, and nodes of a topology that is broadcast (16 bytes each).
 COLUMNS = 1024
-MAX_NODES = 5_000_000
+MAX_NODES = 500_000
+#: Bytes that a kernel works on at once; a cell of a node and a column takes about so many.
+WORK_BYTES, CELL_BYTES = 256 << 20, {"fitch": 40, "sankoff": 512}
 #: Cost of a state that cannot be.
 INFINITE = 100_000_001
 
@@ -121,32 +123,32 @@ def _kernel(trees, method: str):
         at = np.array(table.column("node_id").to_pylist(), dtype=object)
         known = np.array([x is not None for x in at])
         place = at[known].astype(np.int64)
-        if method == "fitch":
-            sets = np.zeros((len(parent), width), dtype=np.uint16)
-            sets[place] = np.uint16(1) << codes[known].astype(np.uint16)
-            root = None if fixed is None else np.uint16(1) << fixed.astype(np.uint16)
-            states = fitch_down(parent, fitch_up(parent, sets), root).astype(np.int64)
-            code = np.where(states > 0, np.log2(np.maximum(states, 1)).astype(np.int64), -1)
-        else:
-            code = np.empty((len(parent), width), dtype=np.int64)
-            for a in range(0, width, 64):
-                leaves = np.full((len(parent), min(64, width - a)), -1, dtype=np.int64)
-                leaves[place] = codes[known, a : a + 64]
-                root = None if fixed is None else fixed[a : a + 64].astype(np.int64)
-                code[:, a : a + 64] = sankoff_down(parent, sankoff_up(parent, leaves, 16), root)
-        above = np.concatenate([consensus[None, :].astype(np.int64), code[parent[1:]]])
-        node, site = np.nonzero((code != above) & (code >= 0) & (above >= 0))
-        new, old = code[node, site], above[node, site]
-        kind = np.where(old == 0, "I", np.where(new == 0, "D", "S"))
-        out = [
-            pa.array([tree] * len(node), pa.int32()),
-            pa.array([block] * len(node), pa.int32()),
-            pa.array(node, pa.int32()),
-            pa.array(site + chunk * COLUMNS, pa.int32()),
-            pa.array(kind.tolist(), pa.string()),
-            pa.array([BASES[c] for c in new], pa.string()),
-        ]
-        yield pa.RecordBatch.from_arrays(out, schema=schema)
+        most = max(1, min(width, WORK_BYTES // (CELL_BYTES[method] * len(parent))))
+        for a in range(0, width, most):
+            own = codes[known, a : a + most]
+            root = None if fixed is None else fixed[a : a + most].astype(np.int64)
+            if method == "fitch":
+                sets = np.zeros((len(parent), own.shape[1]), dtype=np.uint16)
+                sets[place] = np.uint16(1) << own.astype(np.uint16)
+                states = fitch_down(parent, fitch_up(parent, sets), None if root is None else np.uint16(1) << root.astype(np.uint16))
+                code = np.where(states > 0, np.log2(np.maximum(states, 1)).astype(np.int8), np.int8(-1))
+            else:
+                leaves = np.full((len(parent), own.shape[1]), -1, dtype=np.int64)
+                leaves[place] = own
+                code = sankoff_down(parent, sankoff_up(parent, leaves, 16), root).astype(np.int8)
+            above = np.concatenate([consensus[None, a : a + most].astype(np.int8), code[parent[1:]]])
+            node, site = np.nonzero((code != above) & (code >= 0) & (above >= 0))
+            new, old = code[node, site], above[node, site]
+            kind = np.where(old == 0, "I", np.where(new == 0, "D", "S"))
+            out = [
+                pa.array([tree] * len(node), pa.int32()),
+                pa.array([block] * len(node), pa.int32()),
+                pa.array(node, pa.int32()),
+                pa.array(site + a + chunk * COLUMNS, pa.int32()),
+                pa.array(kind.tolist(), pa.string()),
+                pa.array([BASES[c] for c in new], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(out, schema=schema)
         text = _BASE[consensus].tobytes().decode()
         yield pa.RecordBatch.from_arrays(
             [pa.array([tree], pa.int32()), pa.array([block], pa.int32()), pa.array([None], pa.int32()), pa.array([chunk * COLUMNS], pa.int32()), pa.array(["C"]), pa.array([text])],
@@ -187,10 +189,10 @@ def _infer(nodes: DataFrame, rows: DataFrame, method: str) -> DataFrame:
         return _infer_by_level(nodes, rows, method)
     shared = nodes.sparkSession.sparkContext.broadcast(trees)
     tips = nodes.where("is_leaf").select("tree_id", "name", "node_id")
-    chunks = F.sequence(F.lit(0), ((F.length("seq") - 1) / COLUMNS).cast("int"))
+    # one pass over a sequence cuts all its stretches
+    pieces = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{COLUMNS}}}"), 0)
     parts = rows.where(F.length("seq") > 0).join(tips, ["tree_id", "name"], "left")
-    parts = parts.select("tree_id", "block_id", "name", "node_id", "role", F.explode(chunks).alias("chunk"), "seq")
-    parts = parts.withColumn("part", F.substring("seq", F.col("chunk") * COLUMNS + 1, F.lit(COLUMNS))).drop("seq")
+    parts = parts.select("tree_id", "block_id", "name", "node_id", "role", F.posexplode(pieces).alias("chunk", "part"))
     return parts.groupBy("tree_id", "block_id", "chunk").applyInArrow(_kernel(shared, method), MUTATION)
 
 

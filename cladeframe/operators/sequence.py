@@ -13,6 +13,8 @@ from cladeframe.operators.mutations import fold_blocks, unpack
 from cladeframe.operators.tree import closure
 from cladeframe.scratch import written
 
+#: Stretches that a tree's bases are dealt into where places are looked up.
+BUCKETS = 4096
 _TURNED = {ord(c): "N" for c in BASES[1:]} | {ord(a): b for a, b in zip(COMPLEMENT_FROM, COMPLEMENT_TO)}
 
 
@@ -210,8 +212,14 @@ def segment(net: dict[str, DataFrame], first_block: int, start: int, last_block:
 
 def to_block_coordinate(lengths: DataFrame, points: DataFrame) -> DataFrame:
     """points (tree_id, at: base number from 0) with their block_id and pos, by the running sums of
-    lengths (tree_id, block_id, n)."""
+    lengths (tree_id, block_id, n). A tree's bases are dealt into BUCKETS stretches; points and blocks meet
+    in those that they reach into."""
     order = Window.partitionBy("tree_id").orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1)
     starts = lengths.withColumn("lo", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    hit = points.join(starts, "tree_id").where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("lo") + F.col("n")))
+    wide = lengths.groupBy("tree_id").agg(F.greatest(F.ceil(F.sum("n") / BUCKETS), F.lit(1)).cast("bigint").alias("__w"))
+    place = lambda x: F.floor(x / F.col("__w"))
+    reach = F.explode(F.sequence(place(F.col("lo")), place(F.col("lo") + F.col("n") - 1))).alias("__b")
+    dealt = starts.where("n > 0").join(wide, "tree_id").select("tree_id", "block_id", "n", "lo", reach)
+    asked = points.join(wide, "tree_id").withColumn("__b", place(F.col("at")))
+    hit = asked.join(dealt, ["tree_id", "__b"]).where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("lo") + F.col("n")))
     return hit.select(*points.columns, "block_id", (F.col("at") - F.col("lo")).alias("pos"))

@@ -241,16 +241,18 @@ def segment_chunks(spark, sf_dir):
     return cut.select(F.col("k").cast("bigint").alias("k"), "seq", numbered.cast("bigint").alias("segment"))
 
 
-@query("""WITH s AS (SELECT l_orderkey AS path, l_partkey AS segment, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS step
+@query("""WITH w AS (SELECT l_orderkey AS path, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS step
 FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)),
+s AS (SELECT path, step, CASE WHEN step % 3 = 1 THEN l_partkey ELSE 1000000000 + path * 100 + step END AS segment FROM w),
 n AS (SELECT segment, count(*) AS n FROM s GROUP BY segment), l AS (SELECT segment AS src, lead(segment) OVER (PARTITION BY path ORDER BY step) AS dst FROM s),
 e AS (SELECT src, dst, count(*) AS n FROM l WHERE dst IS NOT NULL GROUP BY src, dst)
 SELECT e.src, e.dst FROM e JOIN n a ON e.src = a.segment JOIN n b ON e.dst = b.segment WHERE e.n = a.n AND e.n = b.n AND e.src <> e.dst""")
 def unitig_candidates(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    walk = rows.select(F.col("l_orderkey").alias("path"), F.row_number().over(order).alias("step"), F.col("l_partkey").alias("segment"))
-    return graph.unitig_links(walk)
+    walk = rows.select(F.col("l_orderkey").alias("path"), F.row_number().over(order).alias("step"), "l_partkey")
+    own = F.lit(1_000_000_000) + F.col("path") * 100 + F.col("step")
+    return graph.unitig_links(walk.select("path", "step", F.when(F.col("step") % 3 == 1, F.col("l_partkey")).otherwise(own).alias("segment")))
 
 
 @query("""SELECT a.doc_id, count(*) AS n_twins, min(b.doc_id) AS first_twin FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id <> b.doc_id GROUP BY a.doc_id""")
