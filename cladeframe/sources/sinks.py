@@ -43,7 +43,7 @@ def _join(spark: SparkSession, parts: str, path: str) -> None:
 
 def write_by_name(rows: DataFrame, path: str) -> None:
     """One folder of records for each name."""
-    named = rows.select("name", fasta_records(rows)["record"])
+    named = rows.select("name", F.concat(F.lit(">"), "name", F.lit("\n"), wrap(F.col("seq"))).alias("record"))
     named.write.mode("overwrite").partitionBy("name").text(path)
 
 

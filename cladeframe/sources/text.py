@@ -163,7 +163,7 @@ def read_breakpoints(spark: SparkSession, path: str, tree_id: int = 0) -> DataFr
     lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
     f = F.split("value", "\t")
     rows = lines.where(~F.col("value").startswith("P_ACCNUM")).select(
-        "at", f[0].alias("p"), f[1].alias("q"), f[2].alias("c"), *[f[i].cast("bigint").alias(f"x{i}") for i in range(3, 7)]
+        F.lit(tree_id).alias("tree"), "at", f[0].alias("p"), f[1].alias("q"), f[2].alias("c"), *[f[i].cast("bigint").alias(f"x{i}") for i in range(3, 7)]
     )
 
     def pick(frame):
@@ -176,4 +176,4 @@ def read_breakpoints(spark: SparkSession, path: str, tree_id: int = 0) -> DataFr
                 out.append(("R", tree_id, r.p, tree_id, r.q, r.x3, r.x4, r.x5, r.x6, tree_id, r.c))
         return pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in COMPLEX_MUT.split(",")])
 
-    return rows.groupBy(F.lit(0)).applyInPandas(pick, COMPLEX_MUT)
+    return rows.groupBy("tree").applyInPandas(pick, COMPLEX_MUT)
