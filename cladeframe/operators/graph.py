@@ -238,22 +238,19 @@ def order_blocks(paths: DataFrame) -> DataFrame:
 
 
 def rotate_paths(paths: DataFrame) -> DataFrame:
-    """Circular paths (tree_id, path, step, block, forward) turned to where they fit the first path by name best."""
-
-    def run(frame):
-        import pandas as pd
-
-        parts = []
-        first = None
-        for _, part in frame.groupby("path", sort=True):
-            part = part.sort_values("step")
-            blocks = part["block"].tolist()
-            if first is None:
-                first = blocks
-            at = rotation_start(first, blocks)
-            part = pd.concat([part.iloc[at:], part.iloc[:at]])
-            part["step"] = range(len(part))
-            parts.append(part)
-        return pd.concat(parts)
-
-    return paths.groupBy("tree_id").applyInPandas(run, paths.schema)
+    """Circular paths (tree_id, path, step, block, forward) turned to where they fit the first path by name best.
+    Each path meets that first one alone, as a row of blocks."""
+    steps = F.array_sort(F.collect_list(F.struct("step", "block", "forward")))
+    per = written(paths.groupBy("tree_id", "path").agg(steps.alias("x")))
+    first = per.groupBy("tree_id").agg(F.min_by("x", "path").alias("f"))
+    blocks = lambda c: F.transform(c, lambda e: e["block"])
+
+    def run(frames):
+        for f in frames:
+            f["start"] = [rotation_start(list(a), list(b)) for a, b in zip(f["first"], f["own"])]
+            yield f[["tree_id", "path", "start"]]
+
+    lists = per.join(first, "tree_id").select("tree_id", "path", blocks("f").alias("first"), blocks("x").alias("own"))
+    starts = lists.mapInPandas(run, "tree_id int, path string, start int")
+    turned = per.join(starts, ["tree_id", "path"]).select("tree_id", "path", F.posexplode(sequence.rotated(F.col("x"), F.col("start"))).alias("at", "s"))
+    return turned.select("tree_id", "path", F.col("at").cast(paths.schema["step"].dataType).alias("step"), "s.block", "s.forward")
