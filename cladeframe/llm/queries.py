@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, editcount, huffman, langid, orderminhash, pii, quality, urlrules
+from . import bpe, chat, decontam, editcount, huffman, langid, lexical, orderminhash, pii, quality, resample, simhash, urlrules
 
 #: Vocabulary file of the queries; operators take any path.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -79,6 +79,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.similar_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_line_quality": op2_line_quality,
@@ -90,6 +103,9 @@ QUERIES: dict[str, Query] = {
     "op8_url_rules": op8_url_rules,
     "op9_decontamination": op9_decontamination,
     "op10_pii": op10_pii,
+    "op11_simhash": op11_simhash,
+    "op12_resampling": op12_resampling,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 _QUOTED = {k: getattr(quality, k).replace("'", "''") for k in ("NAVIGATION", "BOILERPLATE", "NOISE", "SHOUT", "TERMINAL", "PUNCTUATION")}
@@ -161,8 +177,59 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
+OP12_SQL = r"""
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT i, 0, CAST(i AS BIGINT) FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+w AS (
+  SELECT doc_id, side, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM (SELECT doc_id, 's' AS side, text FROM documents UNION ALL SELECT NULL, 't', text FROM benchmark)),
+h AS (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM w)),
+b AS (
+  SELECT w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(x) // 2 + 1), lambda i: CAST('0x' || substr(x, 2 * i - 1, 2) AS BIGINT))),
+    lambda a, y: xor(a >> 8, tab[1 + (xor(a, y) & 255)])), 4294967295) % 10000 AS bucket
+  FROM h, crc),
+n AS (
+  SELECT bucket, count(*) FILTER (WHERE side = 's') AS s, count(*) FILTER (WHERE side = 't') AS t
+  FROM w JOIN b USING (w) GROUP BY bucket),
+g AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(sum(s) OVER () + 10000 AS DOUBLE)
+    / (CAST(s + 1 AS DOUBLE) * CAST(sum(t) OVER () + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM n),
+f AS (SELECT doc_id, count(*) AS n, sum(gain) AS weight FROM w JOIN b USING (w) JOIN g USING (bucket) WHERE side = 's' GROUP BY doc_id),
+z AS (
+  SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM documents d LEFT JOIN f USING (doc_id)),
+r AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, 10 * count(*) OVER () // 100 AS k FROM z WHERE n_features >= 20)
+SELECT z.*, CAST(CASE WHEN r <= k THEN r END AS BIGINT) AS rank FROM z LEFT JOIN r USING (doc_id)
+"""
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT item_id, t, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY item_id, t),
+c AS (SELECT count(*) AS n_all, CAST(sum(len(w)) AS BIGINT) AS l_all FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, t, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY doc_id, t),
+q AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(n_all) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, c GROUP BY t),
+s AS (
+  SELECT item_id, doc_id,
+    CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_all) // l_all)))) AS BIGINT) AS score
+  FROM i JOIN p USING (t) JOIN q USING (t), c GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
 SQL: dict[str, str] = {
     "op2_line_quality": OP2_SQL,
     "op5_chat": OP5_SQL,
     "op9_decontamination": OP9_SQL,
+    "op12_resampling": OP12_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
