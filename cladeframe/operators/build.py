@@ -2,90 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.operators import graph, mutations, parsimony
-from cladeframe.scratch import written
-
-#: States of a block: absent, forward, reverse.
-ABSENT, FORWARD, REVERSE = 1, 2, 4
-_BLOCK_MUT = "tree_id int, node_id int, ord int, block_id int, kind string"
-
-
-def _block_kernel(trees, reference: str | None, method: str):
-    schema = pa.schema([("tree_id", pa.int32()), ("node_id", pa.int32()), ("ord", pa.int32()), ("block_id", pa.int32()), ("kind", pa.string())])
-
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches)
-        tree = key[0].as_py()
-        parent, tips, names = trees.value[tree]
-        blocks = sorted(set(table.column("block_id").to_pylist()))
-        column = {b: k for k, b in enumerate(blocks)}
-        sets = np.zeros((len(parent), len(blocks)), dtype=np.uint16)
-        sets[tips] = ABSENT
-        for node, block, forward in zip(*(table.column(c).to_pylist() for c in ("node_id", "block_id", "forward"))):
-            sets[node, column[block]] = FORWARD if forward else REVERSE
-        root = None
-        held = [i for i, n in zip(tips, names) if reference is not None and reference in n]
-        if method == "fitch":
-            up = parsimony.fitch_up(parent, sets.copy())
-            root = sets[held[0]] if held else np.where(up[0] & ABSENT, ABSENT, up[0] & (~up[0] + 1))
-            states = parsimony.fitch_down(parent, up, root.astype(np.uint16))
-        else:
-            leaves = np.full(sets.shape, -1, dtype=np.int64)
-            leaves[tips] = np.log2(sets[tips]).astype(np.int64)
-            fixed = leaves[held[0]] if held else None
-            states = 1 << parsimony.sankoff_down(parent, parsimony.sankoff_up(parent, leaves, 3), fixed)
-        above = np.concatenate([np.full((1, len(blocks)), ABSENT, dtype=states.dtype), states[parent[1:]]])
-        node, at = np.nonzero(states != above)
-        new, old = states[node, at], above[node, at]
-        kind = np.where(new == ABSENT, "del", np.where(old != ABSENT, "inv", np.where(new == FORWARD, "ins", "ins_inv")))
-        ids = [blocks[k] for k in at]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([tree] * len(node), pa.int32()), pa.array(node, pa.int32()), pa.array(ids, pa.int32()), pa.array(ids, pa.int32()), pa.array(kind.tolist(), pa.string())],
-            schema=schema,
-        )
-
-    return run
-
-
-def block_mutations(nodes: DataFrame, states: DataFrame, reference: str | None = None, method: str = "fitch", blocks_a_call: int = 4096) -> DataFrame:
+
+#: Characters of a block's states: absent, forward, reverse.
+ABSENT, FORWARD, REVERSE = "-", "A", "C"
+
+
+def block_mutations(nodes: DataFrame, states: DataFrame, reference: str | None = None, method: str = "fitch") -> DataFrame:
     """Block mutations of states (tree_id, name, block_id, forward) of the tips that have a block. The root is
-    compared with absence, and takes it where it can unless it is given by `reference`."""
-    trees = parsimony.topology(nodes)
-    if trees is None:
-        return _block_mutations_by_level(nodes, states, reference, method)
-    tips: dict[int, list[tuple[int, str]]] = {}
-    for r in nodes.where("is_leaf").select("tree_id", "node_id", "name").orderBy("tree_id", "name").toLocalIterator():
-        tips.setdefault(r.tree_id, []).append((r.node_id, r.name))
-    full = {t: (parent, np.array([i for i, _ in tips[t]], dtype=np.int64), [n for _, n in tips[t]]) for t, parent in trees.items()}
-    shared = nodes.sparkSession.sparkContext.broadcast(full)
-    own = states.select("tree_id", "name", "block_id", "forward").join(nodes.where("is_leaf").select("tree_id", "name", "node_id"), ["tree_id", "name"])
-    dealt = own.withColumn("part", (F.col("block_id") / blocks_a_call).cast("int"))
-    return dealt.groupBy("tree_id", "part").applyInArrow(_block_kernel(shared, reference, method), _BLOCK_MUT)
-
-
-def _block_mutations_by_level(nodes: DataFrame, states: DataFrame, reference: str | None, method: str) -> DataFrame:
-    """What the kernel gives, by joins from level to level; states are numbered 0 absent, 1 forward, 2 reverse."""
-    key = ["tree_id", "block_id"]
-    tips = nodes.where("is_leaf").select("tree_id", "name", "node_id")
-    own = states.join(tips, ["tree_id", "name"]).select(*key, "node_id", F.when(F.col("forward"), 1).otherwise(2).alias("state"))
-    grid = own.select(*key).distinct().join(tips, "tree_id")
-    leaves = written(grid.join(own, [*key, "node_id"], "left").select(*key, "node_id", "name", F.coalesce("state", F.lit(0)).alias("state")))
-    fixed = None
-    if reference is not None:
-        held = leaves.where(F.col("name").contains(reference))
-        fixed = held.groupBy(key).agg(F.min_by("state", "name").alias("state"))
-    found = written(parsimony.states_by_level(nodes, leaves.drop("name"), key, method, fixed, root_first=0))
-    above = found.select(*key, F.col("node_id").alias("parent_id"), F.col("state").alias("old"))
-    joined = found.join(above, [*key, "parent_id"], "left").withColumn("old", F.coalesce("old", F.lit(0))).where("state <> old")
-    kind = F.when(F.col("state") == 0, "del").when(F.col("old") != 0, "inv").when(F.col("state") == 1, "ins").otherwise("ins_inv")
-    return joined.select("tree_id", "node_id", F.col("block_id").alias("ord"), "block_id", kind.alias("kind"))
+    compared with absence, and takes it where it can unless it is given by `reference`.
+
+    A tip is spelled as a text with a character for each block, - where it is absent, and the parsimony of
+    texts does the rest: its first state is absence, the lowest of equals."""
+    key = ["tree_id", "name"]
+    tips = nodes.where("is_leaf").select(*key)
+    width = states.groupBy("tree_id").agg((F.max("block_id") + 1).alias("width"))
+    held = states.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block_id", F.when(F.col("forward"), FORWARD).otherwise(REVERSE).alias("c")))).alias("x"))
+    before = lambda i: F.when(i > 0, F.get("x", i - 1)["block_id"]).otherwise(-1)
+    spelled = F.array_join(F.transform("x", lambda b, i: F.concat(F.repeat(F.lit(ABSENT), b["block_id"] - before(i) - 1), b["c"])), "")
+    rows = tips.join(width, "tree_id").join(held, key, "left")
+    texts = rows.select(*key, F.lit(0).alias("block_id"), F.rpad(F.coalesce(spelled, F.lit("")), F.col("width"), F.lit(ABSENT)).alias("seq"))
+    blank = width.select("tree_id", F.lit(0).alias("block_id"), F.repeat(F.lit(ABSENT), F.col("width")).alias("seq"))
+    found = parsimony.infer_by_block(nodes, texts, blank, reference, method, part_of_name=True)
+    kind = F.when(F.col("type") == "D", "del").when(F.col("type") == "S", "inv").when(F.col("base") == FORWARD, "ins").otherwise("ins_inv")
+    return found.select("tree_id", "node_id", F.col("site").alias("ord"), F.col("site").alias("block_id"), kind.alias("kind"))
 
 
 def infer_blocks(

@@ -20,25 +20,26 @@ REACH, WORTH, FLOOR = 4000, 50, 10
 MATCH, GAP, MISMATCH = 5, -1, -2
 
 
-def path_edges(steps: DataFrame, path: str = "path", step: str = "step", segment: str = "segment") -> DataFrame:
-    """Distinct (src, src_forward, dst, dst_forward) of steps that follow each other on a path."""
-    order = Window.partitionBy(path).orderBy(step)
-    pairs = steps.select(F.col(segment).alias("src"), F.col("forward").alias("src_forward"), F.lead(segment).over(order).alias("dst"), F.lead("forward").over(order).alias("dst_forward"))
+def path_edges(steps: DataFrame, path: str = "path", step: str = "step", segment: str = "segment", within: list[str] | None = None) -> DataFrame:
+    """Distinct (*within, src, src_forward, dst, dst_forward) of steps that follow each other on a path of `within`."""
+    within = within or []
+    order = Window.partitionBy(*within, path).orderBy(step)
+    pairs = steps.select(*within, F.col(segment).alias("src"), F.col("forward").alias("src_forward"), F.lead(segment).over(order).alias("dst"), F.lead("forward").over(order).alias("dst_forward"))
     return pairs.where("dst is not null").distinct()
 
 
 def block_steps(net: dict[str, DataFrame]) -> DataFrame:
-    """path, step, segment and forward of the present blocks of every tip."""
+    """tree_id, path, step, segment and forward of the present blocks of every tip."""
     tips = net["node"].where("is_leaf").select("tree_id", "node_id", F.col("name").alias("path"))
     states = sequence.block_states(net["node"], net["block_mut"]).join(tips, ["tree_id", "node_id"])
-    return states.select("path", F.col("block_id").alias("step"), F.col("block_id").alias("segment"), "forward")
+    return states.select("tree_id", "path", F.col("block_id").alias("step"), F.col("block_id").alias("segment"), "forward")
 
 
 def base_steps(net: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Segments (segment, seq) and steps of every tip's text cut into stretches of CHUNK columns a block.
+    """Segments (tree_id, segment, seq) and steps of every tip's text cut into stretches of CHUNK columns a block.
 
-    A segment is a stretch's first column and its text without gaps; equal ones share a number, made of
-    the column and the text's rank in it. Stretches without a base are left out."""
+    A segment is a stretch's first column and its text without gaps; equal ones of a tree share a number, made
+    of the column and the text's rank in it. Stretches without a base are left out."""
     tips = net["node"].where("is_leaf").select("tree_id", "node_id", F.col("name").alias("path"))
     texts = sequence.block_texts(net, tips).join(tips, ["tree_id", "node_id"])
     order = Window.partitionBy("tree_id").orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -50,52 +51,64 @@ def base_steps(net: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     ids = cut.select("tree_id", "step", "seq").distinct()
     rank = F.row_number().over(Window.partitionBy("tree_id", "step").orderBy("seq"))
     ids = ids.withColumn("segment", F.col("step").cast("bigint") * (1 << 24) + rank)
-    steps = cut.join(ids, ["tree_id", "step", "seq"]).select("path", "step", "segment", F.lit(True).alias("forward"))
-    return ids.select("segment", "seq"), steps
+    steps = cut.join(ids, ["tree_id", "step", "seq"]).select("tree_id", "path", "step", "segment", F.lit(True).alias("forward"))
+    return ids.select("tree_id", "segment", "seq"), steps
 
 
-def unitig_links(steps: DataFrame) -> DataFrame:
-    """(src, dst) of segments that can be one: on every path that has either, dst follows src."""
-    on = steps.groupBy("segment").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("path").orderBy("step")
-    pairs = steps.select(F.col("segment").alias("src"), F.lead("segment").over(order).alias("dst")).where("dst is not null")
-    pairs = pairs.groupBy("src", "dst").agg(F.count("*").alias("n_both"))
-    joined = pairs.join(on.select(F.col("segment").alias("src"), F.col("n").alias("n_src")), "src").join(on.select(F.col("segment").alias("dst"), F.col("n").alias("n_dst")), "dst")
-    return joined.where("n_both = n_src and n_both = n_dst and src <> dst").select("src", "dst")
+def unitig_links(steps: DataFrame, within: list[str] | None = None) -> DataFrame:
+    """(*within, src, dst) of segments that can be one: on every path that has either, dst follows src."""
+    within = within or []
+    on = steps.groupBy(*within, "segment").agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*within, "path").orderBy("step")
+    pairs = steps.select(*within, F.col("segment").alias("src"), F.lead("segment").over(order).alias("dst")).where("dst is not null")
+    pairs = pairs.groupBy(*within, "src", "dst").agg(F.count("*").alias("n_both"))
+    side = lambda end: on.select(*within, F.col("segment").alias(end), F.col("n").alias(f"n_{end}"))
+    joined = pairs.join(side("src"), [*within, "src"]).join(side("dst"), [*within, "dst"])
+    return joined.where("n_both = n_src and n_both = n_dst and src <> dst").select(*within, "src", "dst")
 
 
 def unitigs(segments: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Segments and steps with unitigs as one segment, under the number of its first. Chains of links shrink
-    by half a round of pointer jumping; a chain of n segments takes log2(n) rounds."""
-    links = unitig_links(steps)
-    jump = segments.select("segment").join(links.select(F.col("dst").alias("segment"), F.col("src").alias("head")), "segment", "left")
-    jump = jump.select("segment", F.coalesce("head", "segment").alias("head"), F.col("head").isNotNull().cast("int").alias("nth"))
+    """Segments (tree_id, segment, seq) and steps with unitigs as one segment, under the number of its first. Chains
+    of links shrink by half a round of pointer jumping; a chain of n segments takes log2(n) rounds."""
+    own = ["tree_id", "segment"]
+    links = unitig_links(steps, ["tree_id"])
+    jump = segments.select(own).join(links.select("tree_id", F.col("dst").alias("segment"), F.col("src").alias("head")), own, "left")
+    jump = jump.select(*own, F.coalesce("head", "segment").alias("head"), F.col("head").isNotNull().cast("int").alias("nth"))
     open_ = None
     while open_ != 0:
         jump = written(jump)
-        further = jump.select(F.col("segment").alias("head"), F.col("head").alias("top"), F.col("nth").alias("more"))
-        jump = jump.join(further, "head").select("segment", F.col("top").alias("head"), (F.col("nth") + F.col("more")).alias("nth"))
+        further = jump.select("tree_id", F.col("segment").alias("head"), F.col("head").alias("top"), F.col("nth").alias("more"))
+        jump = jump.join(further, ["tree_id", "head"]).select(*own, F.col("top").alias("head"), (F.col("nth") + F.col("more")).alias("nth"))
         now = jump.agg(F.sum("nth")).first()[0]
         open_ = 0 if now == open_ else now
     parts = F.array_sort(F.collect_list(F.struct("nth", "seq")))
     jump = written(jump)
-    merged = segments.join(jump, "segment").groupBy(F.col("head").alias("unitig")).agg(F.array_join(F.transform(parts, lambda x: x["seq"]), "").alias("seq"))
-    kept = steps.join(jump.where("nth = 0").select("segment"), "segment", "left_semi")
-    return merged.select(F.col("unitig").alias("segment"), "seq"), kept.select("path", "step", "segment", "forward")
+    merged = segments.join(jump, own).groupBy("tree_id", F.col("head").alias("unitig")).agg(F.array_join(F.transform(parts, lambda x: x["seq"]), "").alias("seq"))
+    kept = steps.join(jump.where("nth = 0").select(own), own, "left_semi")
+    return merged.select("tree_id", F.col("unitig").alias("segment"), "seq"), kept.select("tree_id", "path", "step", "segment", "forward")
 
 
 def gfa_lines(segments: DataFrame, steps: DataFrame) -> DataFrame:
-    """rank, key and line of a GFA file: header, segments, links and paths in order."""
+    """rank, key and line of a GFA file: header, segments, links and paths in order. Segments and steps may have
+    a tree_id; segments of trees other than 0 have its number before theirs."""
     spark = segments.sparkSession
+    within = ["tree_id"] if "tree_id" in steps.columns else []
     sign = lambda c: F.when(c, "+").otherwise("-")
+
+    def name(c: str):
+        return F.when(F.col("tree_id") != 0, F.concat_ws(".", F.col("tree_id").cast("string"), F.col(c).cast("string"))).otherwise(F.col(c).cast("string")) if within else F.col(c).cast("string")
+
+    def key(*columns):
+        return F.concat(*[F.lpad(F.col(c).cast("string"), 10, "0") for c in within], *columns)
+
+    long = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")
     head = spark.createDataFrame([(0, "", "H\tVN:Z:1.0")], "rank int, key string, line string")
-    body = segments.select(F.lit(1).alias("rank"), F.lpad(F.col("segment").cast("string"), 20, "0").alias("key"), F.concat_ws("\t", F.lit("S"), F.col("segment").cast("string"), "seq").alias("line"))
-    edges = path_edges(steps)
-    link = F.concat_ws("\t", F.lit("L"), F.col("src").cast("string"), sign(F.col("src_forward")), F.col("dst").cast("string"), sign(F.col("dst_forward")), F.lit("0M"))
-    links = edges.select(F.lit(2).alias("rank"), F.concat(F.lpad(F.col("src").cast("string"), 20, "0"), F.lpad(F.col("dst").cast("string"), 20, "0"), sign(F.col("src_forward")), sign(F.col("dst_forward"))).alias("key"), link.alias("line"))
-    parts = F.array_sort(F.collect_list(F.struct("step", F.concat(F.col("segment").cast("string"), sign(F.col("forward"))).alias("s"))))
-    paths = steps.groupBy("path").agg(F.array_join(F.transform(parts, lambda x: x["s"]), ",").alias("p"))
-    lines = paths.select(F.lit(3).alias("rank"), F.col("path").alias("key"), F.concat_ws("\t", F.lit("P"), "path", "p", F.lit("*")).alias("line"))
+    body = segments.select(F.lit(1).alias("rank"), key(long("segment")).alias("key"), F.concat_ws("\t", F.lit("S"), name("segment"), "seq").alias("line"))
+    link = F.concat_ws("\t", F.lit("L"), name("src"), sign(F.col("src_forward")), name("dst"), sign(F.col("dst_forward")), F.lit("0M"))
+    links = path_edges(steps, within=within).select(F.lit(2).alias("rank"), key(long("src"), long("dst"), sign(F.col("src_forward")), sign(F.col("dst_forward"))).alias("key"), link.alias("line"))
+    parts = F.array_sort(F.collect_list(F.struct("step", F.concat(name("segment"), sign(F.col("forward"))).alias("s"))))
+    paths = steps.groupBy(*within, "path").agg(F.array_join(F.transform(parts, lambda x: x["s"]), ",").alias("p"))
+    lines = paths.select(F.lit(3).alias("rank"), key(F.col("path")).alias("key"), F.concat_ws("\t", F.lit("P"), "path", "p", F.lit("*")).alias("line"))
     return head.unionByName(body).unionByName(links).unionByName(lines).orderBy("rank", "key")
 
 
@@ -103,7 +116,7 @@ def gfa(net: dict[str, DataFrame], with_bases: bool = True) -> DataFrame:
     """GFA lines of the tips: blocks as segments, or unitigs of their bases."""
     if with_bases:
         return gfa_lines(*unitigs(*base_steps(net)))
-    return gfa_lines(net["block"].select(F.col("block_id").alias("segment"), F.col("consensus").alias("seq")), block_steps(net))
+    return gfa_lines(net["block"].select("tree_id", F.col("block_id").alias("segment"), F.col("consensus").alias("seq")), block_steps(net))
 
 
 def maf(net: dict[str, DataFrame]) -> DataFrame:

@@ -1,8 +1,11 @@
 """Ancestral states by Fitch and Sankoff parsimony.
 
-The kernels take a stretch of columns at a time, with the topology as arrays, and work on all its
-columns at once. Topologies beyond MAX_NODES are not broadcast: states_by_level() joins a level of the
-tree with the next instead, one shuffle a level, and comes to the same states.
+A tree is cut in pre-order: subtrees of at most PART nodes, which have no such subtree above them, are dealt
+into parts of neighbours, and the nodes above them make the crown. A kernel takes one part and a stretch of
+columns and works on all its columns at once. Where a tree has a crown, the parts first send up what their
+topmost nodes come to for each crown node, the crown is solved in narrower stretches, and its states go
+back to the parts, which then go down as well. That takes the same few shuffles for a tree of any size
+and depth; a tree of one part needs the last step only.
 """
 
 from __future__ import annotations
@@ -14,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.functions.codes import BASES, base_code, code_base, lowest_bit
+from cladeframe.functions.codes import BASES, lowest_bit
 from cladeframe.scratch import written
 
-#: Columns that one kernel call takes, and nodes of a topology that is broadcast (16 bytes each).
+#: Columns that one kernel call takes, and nodes of a subtree that is not parted; a part holds twice as many at most.
 COLUMNS = 1024
-MAX_NODES = 500_000
+PART = 1 << 14
 #: Bytes that a kernel works on at once; a cell of a node and a column takes about so many.
 WORK_BYTES, CELL_BYTES = 256 << 20, {"fitch": 40, "sankoff": 512}
 #: Cost of a state that cannot be.
@@ -30,137 +33,345 @@ for _i, _c in enumerate(BASES[1:], 1):
     _CODE[ord(_c)] = _i
 _BASE = np.frombuffer(BASES.encode(), dtype=np.uint8)
 MUTATION = "tree_id int, block_id int, node_id int, site int, type string, base string"
+_ROW = "tree_id int, block_id int, part int, chunk int, role string, node_id int, at int, data binary, more binary, tree array<struct<node:int,up:int>>"
 
 
-def fitch_up(parent: np.ndarray, sets: np.ndarray) -> np.ndarray:
-    """Sets of states of all nodes in pre-order; sets has the leaves' rows filled, 0 where unknown.
-    A parent has what its children share, or else all they have; an unknown child shares nothing."""
+def fitch_up(parent: np.ndarray, sets: np.ndarray, sent: tuple | None = None) -> np.ndarray:
+    """Sets of states of all nodes in pre-order; sets has the leaves' rows filled, 0 where unknown. A node that
+    is its own parent has none here. A parent has what its children share, or else all they have; an unknown
+    child shares nothing. sent has the nodes with children elsewhere, and what these share and have."""
     shared = np.full_like(sets, np.iinfo(sets.dtype).max)
     inner = np.zeros(len(parent), dtype=bool)
-    inner[parent[1:]] = True
+    inner[parent[parent != np.arange(len(parent))]] = True
+    if sent is not None:
+        at, both, all_ = sent
+        np.bitwise_and.at(shared, at, both)
+        np.bitwise_or.at(sets, at, all_)
+        inner[at] = True
     for i in range(len(parent) - 1, -1, -1):
         if inner[i]:
             sets[i] = np.where(shared[i] != 0, shared[i], sets[i])
-        if i:
+        if parent[i] != i:
             shared[parent[i]] &= sets[i]
             sets[parent[i]] |= sets[i]
     return sets
 
 
-def fitch_down(parent: np.ndarray, sets: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
-    """One state a node: the parent's where the set has it, else the lowest; the root's is given or the lowest."""
+def fitch_down(parent: np.ndarray, sets: np.ndarray, root: np.ndarray | None = None, over: dict | None = None) -> np.ndarray:
+    """One state a node: the parent's where the set has it, else the lowest. A node without a parent here
+    takes over[node] for its parent's, or else is the root, whose state is given or the lowest."""
     states = np.empty_like(sets)
     low = sets & (~sets + 1)
-    states[0] = low[0] if root is None else root
-    for i in range(1, len(parent)):
-        above = states[parent[i]]
-        states[i] = np.where(sets[i] & above != 0, above, low[i])
+    over = over or {}
+    for i in range(len(parent)):
+        above = states[parent[i]] if parent[i] != i else over.get(i)
+        if above is None:
+            states[i] = low[i] if root is None else root
+        else:
+            states[i] = np.where(sets[i] & above != 0, above, low[i])
     return states
 
 
-def sankoff_up(parent: np.ndarray, leaves: np.ndarray, states: int) -> np.ndarray:
-    """Least numbers of changes, node x state x column; leaves holds state numbers, -1 for unknown or inner nodes."""
+def _least(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a child adds to its parent's costs, and where it is known."""
+    best = cost.min(axis=0)
+    finite = best < INFINITE
+    return np.where(finite, np.minimum(cost, best + 1), 0), finite
+
+
+def sankoff_up(parent: np.ndarray, leaves: np.ndarray, states: int, sent: tuple | None = None) -> np.ndarray:
+    """Least numbers of changes, node x state x column; leaves holds state numbers, -1 for unknown or inner
+    nodes. sent has the nodes with children elsewhere, what these add and where they are known."""
     cost = np.zeros((len(parent), states, leaves.shape[1]), dtype=np.int64)
     known = np.zeros(leaves.shape, dtype=bool)
     inner = np.zeros(len(parent), dtype=bool)
-    inner[parent[1:]] = True
+    inner[parent[parent != np.arange(len(parent))]] = True
+    if sent is not None:
+        at, added, seen = sent
+        np.add.at(cost, at, added)
+        np.logical_or.at(known, at, seen)
+        inner[at] = True
     for i in range(len(parent) - 1, -1, -1):
         if not inner[i]:
             cost[i] = np.where(np.arange(states)[:, None] == leaves[i], 0, INFINITE)
             known[i] = leaves[i] >= 0
         cost[i][:, ~known[i]] = INFINITE
-        if i:
-            best = cost[i].min(axis=0)
-            finite = best < INFINITE
-            cost[parent[i]] += np.where(finite, np.minimum(cost[i], best + 1), 0)
+        if parent[i] != i:
+            added, finite = _least(cost[i])
+            cost[parent[i]] += added
             known[parent[i]] |= finite
     return cost
 
 
-def sankoff_down(parent: np.ndarray, cost: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
-    """State numbers by least cost, the lowest of equals; -1 where nothing is possible, and below."""
+def sankoff_down(parent: np.ndarray, cost: np.ndarray, root: np.ndarray | None = None, over: dict | None = None) -> np.ndarray:
+    """State numbers by least cost, the lowest of equals; -1 where nothing is possible, and below. over as in fitch_down()."""
     states = np.empty((cost.shape[0], cost.shape[2]), dtype=np.int64)
     order = np.arange(cost.shape[1])[:, None]
+    over = over or {}
     for i in range(len(parent)):
-        above = None if i == 0 else states[parent[i]]
+        above = states[parent[i]] if parent[i] != i else over.get(i)
         total = cost[i] if above is None else cost[i] + (order != above)
         best = total.argmin(axis=0)
         best = np.where(total.min(axis=0) >= INFINITE, -1, best)
-        if i == 0 and root is not None:
+        if above is None and root is not None:
             best = root
         states[i] = best if above is None else np.where(above < 0, -1, best)
     return states
 
 
-def topology(nodes: DataFrame) -> dict[int, np.ndarray] | None:
-    """Parents in pre-order of each tree, or None where there are too many nodes to send around."""
-    if nodes.count() > MAX_NODES:
-        return None
-    trees: dict[int, list[tuple[int, int]]] = {}
-    for r in nodes.select("tree_id", "pre", F.coalesce("parent_id", F.lit(0)).alias("up")).toLocalIterator():
-        trees.setdefault(r.tree_id, []).append((r.pre, r.up))
-    return {t: np.array([up for _, up in sorted(rows)], dtype=np.int64) for t, rows in trees.items()}
+def _up(method: str, parent: np.ndarray, place: np.ndarray, own: np.ndarray, sent: tuple | None = None) -> np.ndarray:
+    """Sets or costs of all nodes from the codes `own` of the nodes `place`."""
+    if method == "fitch":
+        sets = np.zeros((len(parent), own.shape[1]), dtype=np.uint16)
+        sets[place] = np.uint16(1) << own.astype(np.uint16)
+        return fitch_up(parent, sets, sent)
+    leaves = np.full((len(parent), own.shape[1]), -1, dtype=np.int64)
+    leaves[place] = own
+    return sankoff_up(parent, leaves, 16, sent)
+
+
+def _down(method: str, parent: np.ndarray, found: np.ndarray, root: np.ndarray | None, over: dict) -> np.ndarray:
+    """Code of every node, -1 where it is unknown; root and over hold codes."""
+    if method != "fitch":
+        return sankoff_down(parent, found, root, over).astype(np.int8)
+    bit = lambda code: np.where(code < 0, 0, np.uint16(1) << np.maximum(code, 0).astype(np.uint16)).astype(np.uint16)
+    states = fitch_down(parent, found, None if root is None else bit(root), {i: bit(c) for i, c in over.items()})
+    return np.where(states > 0, np.log2(np.maximum(states, 1)).astype(np.int8), np.int8(-1))
+
+
+def _offer(method: str, found: np.ndarray, tops: np.ndarray, above: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each parent elsewhere what its children here share and have, or add and know: one row a parent."""
+    order = np.argsort(above, kind="stable")
+    tops, above = tops[order], above[order]
+    head = np.flatnonzero(np.append(True, above[1:] != above[:-1]))
+    if method == "fitch":
+        return above[head], np.bitwise_and.reduceat(found[tops], head), np.bitwise_or.reduceat(found[tops], head)
+    sums, seen = [], []
+    for a, b in zip(head.tolist(), np.append(head[1:], len(tops)).tolist()):
+        added = known = 0
+        for i in tops[a:b].tolist():
+            more, finite = _least(found[i])
+            added, known = added + more, known | finite
+        sums.append(added)
+        seen.append(known)
+    return above[head], np.stack(sums), np.stack(seen)
+
+
+class _Task:
+    """The rows of one part, or of a crown, and a stretch of columns."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], method: str, memory: int):
+        table = pa.Table.from_batches(batches)
+        role = table.column("role").to_numpy(zero_copy_only=False)
+        pick = lambda name: table.take(pa.array(np.flatnonzero(role == name)))
+        self.method, self.memory = method, memory
+        links = pick("tree").column("tree").combine_chunks().flatten()
+        self.node, up = np.asarray(links.field("node")), np.asarray(links.field("up"))
+        place = np.minimum(np.searchsorted(self.node, up), len(self.node) - 1)
+        here = self.node[place] == up
+        self.parent = np.where(here, place, np.arange(len(up)))
+        self.tops = np.flatnonzero(~here & (up >= 0))
+        self.above = up[self.tops]
+        tips = pick("tip")
+        rows = [np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in tips.column("data")]
+        self.place = np.searchsorted(self.node, tips.column("node_id").to_numpy())
+        heads = {r: pick(r).column("data").to_pylist() for r in ("consensus", "fixed")}
+        code = lambda found: _CODE[np.frombuffer(found[0], dtype=np.uint8)] if found else None
+        self.consensus, self.fixed = code(heads["consensus"]), code(heads["fixed"])
+        self.sent, self.given = pick("sent"), pick("above")
+        self.width = pick("tree").column("at")[0].as_py()
+        if any(len(x) != self.width for x in rows):
+            raise ValueError("sequences of different lengths")
+        self.codes = _CODE[np.stack(rows)] if rows else np.zeros((0, self.width), dtype=np.uint8)
+        self.over: dict[int, np.ndarray] = {}
+        if len(self.given):
+            ids, at = self.given.column("node_id").to_numpy(), self.given.column("at").to_numpy()
+            for i, a, x in zip(ids.tolist(), at.tolist(), self.given.column("data").to_pylist()):
+                piece = np.frombuffer(x, dtype=np.int8)
+                self.over.setdefault(i, np.full(self.width, -1, dtype=np.int8))[a : a + len(piece)] = piece
+
+    def stretches(self) -> Iterator[tuple[int, int]]:
+        most = max(1, self.memory // (CELL_BYTES[self.method] * max(len(self.parent), 1)))
+        for a in range(0, self.width, most):
+            yield a, min(a + most, self.width)
+
+    def offers(self, a: int, b: int) -> np.ndarray:
+        found = _up(self.method, self.parent, self.place, self.codes[:, a:b])
+        return _offer(self.method, found, self.tops, self.above)
+
+    def received(self, a: int, b: int) -> tuple | None:
+        if not len(self.sent):
+            return None
+        at = np.searchsorted(self.node, self.sent.column("node_id").to_numpy())
+        kinds = ((np.uint16, (self.width,)), (np.uint16, (self.width,))) if self.method == "fitch" else ((np.int64, (16, self.width)), (bool, (self.width,)))
+        both = [np.stack([np.frombuffer(x.as_buffer(), dtype=k).reshape(shape) for x in self.sent.column(c)]) for c, (k, shape) in zip(("data", "more"), kinds)]
+        return at, both[0][..., a:b], both[1][..., a:b]
+
+    def states(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Code of every node and of what stands above it."""
+        found = _up(self.method, self.parent, self.place, self.codes[:, a:b], self.received(a, b))
+        over = {int(i): self.over[int(n)][a:b].astype(np.int64) for i, n in zip(self.tops, self.above)}
+        code = _down(self.method, self.parent, found, None if self.fixed is None else self.fixed[a:b].astype(np.int64), over)
+        above = code[self.parent]
+        for i, x in over.items():
+            above[i] = x
+        if self.consensus is not None:
+            above[0] = self.consensus[a:b]
+        return code, above
+
+
+_CHANGED = pa.schema([("tree_id", pa.int32()), ("block_id", pa.int32()), ("node_id", pa.int32()), ("site", pa.int32()), ("type", pa.string()), ("base", pa.string())])
+
+
+def _changes(tree: int, block: int, node: np.ndarray, code: np.ndarray, above: np.ndarray, first: int) -> pa.RecordBatch:
+    """Where a branch changes the state: I where the parent has a gap, D where the node has, else S."""
+    i, site = np.nonzero((code != above) & (code >= 0) & (above >= 0))
+    new, old = code[i, site], above[i, site]
+    kind = np.where(old == 0, 0, np.where(new == 0, 1, 2))
+    one = lambda x: pa.array(np.full(len(i), x, dtype=np.int32))
+    columns = [one(tree), one(block), pa.array(node[i].astype(np.int32)), pa.array((site + first).astype(np.int32)), pa.array(["I", "D", "S"]).take(pa.array(kind)), pa.array(list(BASES)).take(pa.array(new.astype(np.int64)))]
+    return pa.RecordBatch.from_arrays(columns, schema=_CHANGED)
+
+
+def _solve(method: str, columns: int, memory: int):
+    """Mutations of a part."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = _Task(batches, method, memory)
+        for a, b in task.stretches():
+            code, above = task.states(a, b)
+            yield _changes(key[0].as_py(), key[1].as_py(), task.node, code, above, a + key[3].as_py() * columns)
+
+    return run
+
+
+def _send(method: str, columns: int, width: int, memory: int):
+    """What a part's topmost nodes come to for their parents, in stretches of width columns."""
+    schema = pa.schema([("tree_id", pa.int32()), ("block_id", pa.int32()), ("part", pa.int32()), ("chunk", pa.int32()), ("node_id", pa.int32()), ("data", pa.binary()), ("more", pa.binary())])
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = _Task(batches, method, memory)
+        if not len(task.tops) or not task.width:
+            return
+        found = [task.offers(a, b) for a, b in task.stretches()]
+        above = found[0][0]
+        both = [np.concatenate([f[k] for f in found], axis=-1) for k in (1, 2)]
+        for a in range(0, task.width, width):
+            data = [[np.ascontiguousarray(x[i, ..., a : a + width]).tobytes() for i in range(len(above))] for x in both]
+            n = len(above)
+            fixed = [pa.array([v] * n, pa.int32()) for v in (key[0].as_py(), key[1].as_py(), -1, key[3].as_py() * (columns // width) + a // width)]
+            yield pa.RecordBatch.from_arrays([*fixed, pa.array(above.astype(np.int32)), pa.array(data[0], pa.binary()), pa.array(data[1], pa.binary())], schema=schema)
+
+    return run
 
 
-def _kernel(trees, method: str):
-    schema = pa.schema([("tree_id", pa.int32()), ("block_id", pa.int32()), ("node_id", pa.int32()), ("site", pa.int32()), ("type", pa.string()), ("base", pa.string())])
+def _crown(method: str, columns: int, width: int, memory: int):
+    """Mutations of the crown, and the codes of its nodes as rows of role "above"."""
+    extra = [("chunk", pa.int32()), ("at", pa.int32()), ("data", pa.binary())]
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches).sort_by("name")
-        tree, block, chunk = key[0].as_py(), key[1].as_py(), key[2].as_py()
-        parent = trees.value[tree]
-        rows = np.stack([np.frombuffer(p.as_buffer(), dtype=np.uint8) for p in table.column("part")])
-        width = rows.shape[1]
-        codes = _CODE[rows]
-        shown = codes != 0
-        consensus = np.where(shown.any(axis=0), codes[shown.argmax(axis=0), np.arange(width)], 0)
-        roles = table.column("role").to_pylist()
-        fixed = codes[roles.index("reference")] if "reference" in roles else None
-        if "baseline" in roles:
-            consensus = codes[roles.index("baseline")]
-        elif fixed is not None:
-            consensus = np.where(fixed != 0, fixed, consensus)
-        at = np.array(table.column("node_id").to_pylist(), dtype=object)
-        known = np.array([x is not None for x in at])
-        place = at[known].astype(np.int64)
-        most = max(1, min(width, WORK_BYTES // (CELL_BYTES[method] * len(parent))))
-        for a in range(0, width, most):
-            own = codes[known, a : a + most]
-            root = None if fixed is None else fixed[a : a + most].astype(np.int64)
-            if method == "fitch":
-                sets = np.zeros((len(parent), own.shape[1]), dtype=np.uint16)
-                sets[place] = np.uint16(1) << own.astype(np.uint16)
-                states = fitch_down(parent, fitch_up(parent, sets), None if root is None else np.uint16(1) << root.astype(np.uint16))
-                code = np.where(states > 0, np.log2(np.maximum(states, 1)).astype(np.int8), np.int8(-1))
-            else:
-                leaves = np.full((len(parent), own.shape[1]), -1, dtype=np.int64)
-                leaves[place] = own
-                code = sankoff_down(parent, sankoff_up(parent, leaves, 16), root).astype(np.int8)
-            above = np.concatenate([consensus[None, a : a + most].astype(np.int8), code[parent[1:]]])
-            node, site = np.nonzero((code != above) & (code >= 0) & (above >= 0))
-            new, old = code[node, site], above[node, site]
-            kind = np.where(old == 0, "I", np.where(new == 0, "D", "S"))
-            out = [
-                pa.array([tree] * len(node), pa.int32()),
-                pa.array([block] * len(node), pa.int32()),
-                pa.array(node, pa.int32()),
-                pa.array(site + a + chunk * COLUMNS, pa.int32()),
-                pa.array(kind.tolist(), pa.string()),
-                pa.array([BASES[c] for c in new], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays(out, schema=schema)
-        text = _BASE[consensus].tobytes().decode()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([tree], pa.int32()), pa.array([block], pa.int32()), pa.array([None], pa.int32()), pa.array([chunk * COLUMNS], pa.int32()), pa.array(["C"]), pa.array([text])],
-            schema=schema,
-        )
+        task = _Task(batches, method, memory)
+        tree, block, stretch = key[0].as_py(), key[1].as_py(), key[3].as_py()
+        first = stretch * width
+        for a, b in task.stretches():
+            code, above = task.states(a, b)
+            found = _changes(tree, block, task.node, code, above, first + a)
+            none = [pa.nulls(found.num_rows, t) for _, t in extra]
+            yield pa.RecordBatch.from_arrays([*found.columns, *none], schema=pa.schema([*_CHANGED, *extra]))
+            n = len(task.node)
+            same = lambda v: pa.array(np.full(n, v, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [same(tree), same(block), pa.array(task.node.astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()),
+                 same((first + a) // columns), same((first + a) % columns), pa.array([x.tobytes() for x in np.ascontiguousarray(code)], pa.binary())],
+                schema=pa.schema([*_CHANGED, *extra]),
+            )
 
     return run
 
 
+def _leading(rows: list[tuple]) -> list[tuple]:
+    """Of rows (name, role, text bytes) of one stretch those that a consensus can need: rows that are first by
+    name to have a base in some column, blank elsewhere, and the first row of each role."""
+    rows.sort(key=lambda r: r[0])
+    out, roles, free = [], set(), None
+    for name, role, text in rows:
+        if role is not None:
+            if role not in roles:
+                roles.add(role)
+                out.append((name, role, text))
+            if role == "baseline":
+                continue
+        free = np.ones(len(text), dtype=bool) if free is None else free
+        if len(text) != len(free):
+            raise ValueError("sequences of different lengths")
+        fresh = free & (_CODE[text] != 0)
+        if fresh.any():
+            out.append((name, None, np.where(fresh, text, ord("-")).astype(np.uint8)))
+            free &= ~fresh
+    return out
+
+
+def _candidates(columns: int):
+    """_leading() of whole sequences, a batch at a time, cut into stretches; a stretch that holds nothing of a row goes
+    without it, but each tree and block keeps all stretches of one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets: dict[tuple, list] = {}
+            for tree, block, name, role, seq in zip(*(batch.column(c) for c in ("tree_id", "block_id", "name", "role", "seq"))):
+                sets.setdefault((tree.as_py(), block.as_py()), []).append((name.as_py(), role.as_py(), np.frombuffer(seq.as_buffer(), dtype=np.uint8)))
+            found = []
+            for (tree, block), rows in sets.items():
+                width = len(rows[0][2])
+                for name, role, text in [*_leading(rows), ("", "blank", np.full(width, ord("-"), dtype=np.uint8))]:
+                    for k in range(0, width, columns):
+                        piece = text[k : k + columns]
+                        if role is not None or _CODE[piece].any():
+                            found.append((tree, block, k // columns, name, role, piece.tobytes()))
+            if found:
+                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=["tree_id", "block_id", "chunk", "name", "role", "data"])
+
+    return run
+
+
+def _settle(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """consensus and fixed (the reference's text, or null) of a stretch."""
+    table = pa.Table.from_batches(batches)
+    rows = [(n, r, np.frombuffer(x, dtype=np.uint8)) for n, r, x in zip(*(table.column(c).to_pylist() for c in ("name", "role", "data")))]
+    if len({len(x) for _, _, x in rows}) > 1:
+        raise ValueError("sequences of different lengths")
+    first = {r: x for _, r, x in reversed(sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]))}
+    consensus = np.zeros(len(rows[0][2]), dtype=np.uint8)
+    for _, role, text in _leading([r for r in rows if r[1] is None]):
+        consensus = np.where(consensus == 0, _CODE[text], consensus)
+    fixed = first.get("reference")
+    if "baseline" in first:
+        consensus = _CODE[first["baseline"]]
+    elif fixed is not None:
+        consensus = np.where(_CODE[fixed] != 0, _CODE[fixed], consensus)
+    shown = [_BASE[consensus].tobytes().decode(), None if fixed is None else fixed.tobytes().decode()]
+    yield pa.RecordBatch.from_arrays([*(pa.array([k.as_py()], pa.int32()) for k in key), *(pa.array([x], pa.string()) for x in shown)], names=["tree_id", "block_id", "chunk", "consensus", "fixed"])
+
+
+def _sizes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """tree_id, node_id, up (the parent, -1 at the root) and part of every node, null in the crown."""
+    size = F.col("post") - F.col("pre") + 1
+    own = nodes.select("tree_id", "node_id", F.coalesce("parent_id", F.lit(-1)).alias("up"), "pre", "post", (size > PART).alias("crown"))
+    over = own.select("tree_id", F.col("node_id").alias("up"), F.col("crown").alias("above"))
+    rows = own.join(over, ["tree_id", "up"], "left")
+    top = ~F.col("crown") & F.coalesce("above", F.lit(True))
+    # the one subtree that goes on over a multiple of PART belongs to the part where it begins
+    bucket = lambda c: F.floor(F.col(c) / PART).cast("int")
+    across = rows.where(top & (bucket("pre") != bucket("post"))).select("tree_id", bucket("post").alias("bucket"), F.col("post").alias("till"))
+    dealt = rows.withColumn("bucket", bucket("pre")).join(across, ["tree_id", "bucket"], "left")
+    part = F.when(~F.col("crown"), F.col("bucket") - F.when(F.col("pre") <= F.col("till"), 1).otherwise(0)).cast("int")
+    return dealt.select("tree_id", "node_id", "up", part.alias("part"))
+
+
 def infer(nodes: DataFrame, msa: DataFrame, method: str = "fitch", reference: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Mutations (tree_id, node_id, site, type, base) and consensus chunks (tree_id, site, base) of
-    aligned sequences (tree_id, name, seq).
+    aligned sequences (tree_id, name, seq). Nodes are numbered in pre-order.
 
     A branch has a mutation where its state differs from its parent's: I where the parent has a gap, D
     where the node has, else S; the root is compared with the consensus, the first base of a column by
@@ -174,107 +385,73 @@ def infer(nodes: DataFrame, msa: DataFrame, method: str = "fitch", reference: st
     return found.where("node_id is not null"), found.where("node_id is null").select("tree_id", "site", "base")
 
 
-def infer_by_block(nodes: DataFrame, texts: DataFrame, baseline: DataFrame, reference: str | None = None, method: str = "fitch") -> DataFrame:
+def infer_by_block(
+    nodes: DataFrame, texts: DataFrame, baseline: DataFrame, reference: str | None = None, method: str = "fitch", part_of_name: bool = False
+) -> DataFrame:
     """Mutations (tree_id, block_id, node_id, site, type, base) of texts (tree_id, name, block_id, seq). The root is
-    compared with baseline (tree_id, block_id, seq) and takes the states of the tip `reference`, if given."""
-    role = F.lit(None).cast("string") if reference is None else F.when(F.col("name") == reference, "reference")
+    compared with baseline (tree_id, block_id, seq) and takes the states of the tip `reference`, if given; with
+    part_of_name, of the first one by name whose name holds it."""
+    named = F.col("name").contains(reference) if part_of_name else F.col("name") == reference
+    role = F.lit(None).cast("string") if reference is None else F.when(named, "reference")
     rows = texts.select("tree_id", "block_id", "name", "seq", role.alias("role"))
     base = baseline.select("tree_id", "block_id", F.lit("").alias("name"), "seq", F.lit("baseline").alias("role"))
     return _infer(nodes, rows.unionByName(base), method).where("node_id is not null")
 
 
-def _infer(nodes: DataFrame, rows: DataFrame, method: str) -> DataFrame:
-    trees = topology(nodes)
-    if trees is None:
-        return _infer_by_level(nodes, rows, method)
-    shared = nodes.sparkSession.sparkContext.broadcast(trees)
-    tips = nodes.where("is_leaf").select("tree_id", "name", "node_id")
-    # one pass over a sequence cuts all its stretches
-    pieces = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{COLUMNS}}}"), 0)
-    parts = rows.where(F.length("seq") > 0).join(tips, ["tree_id", "name"], "left")
-    parts = parts.select("tree_id", "block_id", "name", "node_id", "role", F.posexplode(pieces).alias("chunk", "part"))
-    return parts.groupBy("tree_id", "block_id", "chunk").applyInArrow(_kernel(shared, method), MUTATION)
+def _pieces(text: str, width: int) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}"), 0)
 
 
-def states_by_level(nodes: DataFrame, leaves: DataFrame, key: list[str], method: str, root: DataFrame | None = None, root_first: int | None = None) -> DataFrame:
-    """(*key, node_id, parent_id, state) of every node that has a state, by joins from level to level.
+def _rows(df: DataFrame, **columns) -> DataFrame:
+    """df in the columns of _ROW; those that are not given are null."""
+    fields = [f.strip().split(" ", 1) for f in _ROW.replace("node:int,up", "node:int;up").split(",")]
+    return df.select(*[columns.get(n, F.lit(None)).cast(t.replace(";", ",")).alias(n) for n, t in fields])
 
-    leaves: *key, node_id and state (a number) of the tips that are known; key has tree_id. The root takes
-    the state in root (*key, state) where there is one, else root_first where that is possible under Fitch,
-    else the lowest of the best. Nodes below which nothing is known have none; under Fitch a child like
-    that shares nothing with its siblings. Each level is written, so that plans do not grow.
-    """
-    places = nodes.select("tree_id", "node_id", "parent_id", "level")
-    wide = places.where("parent_id is not null").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("__children"))
-    deepest = nodes.agg(F.max("level")).first()[0] or 0
-    fitch = method == "fitch"
-    value = F.call_function("shiftleft", F.lit(1), F.col("state")).alias("sets") if fitch else F.col("state")
-    extra = [] if fitch else [F.lit(0).cast("bigint").alias("cost")]
-    known = leaves.select(*key, "node_id", value, *extra).join(places, ["tree_id", "node_id"])
-    number = leaves.agg(F.max("state")).first()[0]
-    held, up = {}, None
-    for level in range(deepest, -1, -1):
-        own = known.where(F.col("level") == level).drop("level")
-        held[level] = own = written(own if up is None else own.unionByName(up.join(places.drop("level"), ["tree_id", "node_id"])))
-        child = own.where("parent_id is not null")
-        if fitch:
-            up = child.groupBy(*key, F.col("parent_id").alias("node_id")).agg(F.bit_and("sets").alias("a"), F.bit_or("sets").alias("o"), F.count("*").alias("n"))
-            shared = F.when((F.col("n") == F.col("__children")) & (F.col("a") != 0), F.col("a")).otherwise(F.col("o"))
-            up = up.join(wide, ["tree_id", "node_id"]).select(*key, "node_id", shared.alias("sets"))
-        else:
-            up = sankoff_costs(child.select(*key, F.col("parent_id").alias("parent"), F.col("node_id").alias("child"), "state", "cost"), key, (number or 0) + 1)
-            up = up.withColumnRenamed("node", "node_id").select(*key, "node_id", "state", "cost")
-    low = lambda c: (F.length(F.bin(lowest_bit(c))) - 1).cast("int")
-    out = here = None
-    for level in range(deepest + 1):
-        own = held[level]
-        if level == 0:
-            if fitch:
-                first = F.lit(None).cast("int") if root_first is None else F.when(F.col("sets").bitwiseAND(F.lit(1 << root_first)) != 0, F.lit(root_first))
-                best = own.select(*key, "node_id", "parent_id", F.coalesce(first, low(F.col("sets"))).alias("state"))
-            else:
-                best = sankoff_choice(own.withColumnRenamed("node_id", "node"), [*key, "parent_id"]).withColumnRenamed("node", "node_id")
-            if root is not None:
-                best = best.join(root.select(*key, F.col("state").alias("__fixed")), key, "left").withColumn("state", F.coalesce("__fixed", "state"))
-        else:
-            above = here.select(*key, F.col("node_id").alias("parent_id"), F.col("state").alias("above"))
-            met = own.join(above, [*key, "parent_id"])
-            if fitch:
-                bit = F.call_function("shiftleft", F.lit(1), F.col("above"))
-                best = met.withColumn("state", F.when(F.col("sets").bitwiseAND(bit) != 0, F.col("above")).otherwise(low(F.col("sets"))))
-            else:
-                best = sankoff_choice(met.withColumnRenamed("node_id", "node"), [*key, "parent_id"], "above").withColumnRenamed("node", "node_id")
-        here = written(best.select(*key, "node_id", "parent_id", F.col("state").cast("int").alias("state")))
-        out = here if out is None else out.unionByName(here)
-    return out
 
-
-def _infer_by_level(nodes: DataFrame, rows: DataFrame, method: str) -> DataFrame:
-    """What the kernel gives for aligned rows, base by base."""
-    key = ["tree_id", "block_id", "site"]
-    tips = nodes.where("is_leaf").select("tree_id", "name", "node_id")
-    each = rows.select("tree_id", "block_id", "name", "role", F.posexplode(F.split("seq", "")).alias("site", "base")).where("base <> ''")
-    each = written(each.withColumn("state", base_code(F.col("base"))).drop("base"))
-    shown = F.min_by("state", F.when(F.col("state") != 0, F.struct(F.col("name"))))
-    roles = each.groupBy(key).agg(
-        F.coalesce(shown, F.lit(0)).alias("first"),
-        F.min(F.when(F.col("role") == "reference", F.struct("name", "state"))).alias("fixed"),
-        F.max(F.when(F.col("role") == "baseline", F.col("state"))).alias("baseline"),
-    )
-    own = F.when(F.col("fixed.state") != 0, F.col("fixed.state"))
-    sites = written(roles.select(*key, F.col("fixed.state").alias("fixed"), F.coalesce("baseline", own, "first").alias("consensus")))
-    leaves = each.join(tips, ["tree_id", "name"]).select(*key, "node_id", "state")
-    states = written(states_by_level(nodes, leaves, key, method, sites.where("fixed is not null").select(*key, F.col("fixed").alias("state"))))
-    above = states.select(*key, F.col("node_id").alias("parent_id"), F.col("state").alias("old"))
-    below = states.where("parent_id is not null").join(above, [*key, "parent_id"])
-    top = states.where("parent_id is null").join(sites, key).withColumn("old", F.col("consensus"))
-    changed = below.select(*key, "node_id", "state", "old").unionByName(top.select(*key, "node_id", "state", "old")).withColumn("type", mutation_type(F.col("state"), F.col("old"), F.lit(0)))
-    found = changed.where("type is not null").select("tree_id", "block_id", "node_id", "site", "type", code_base(F.col("state")).alias("base"))
-    chunk = (F.floor(F.col("site") / COLUMNS) * COLUMNS).cast("int")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("site", code_base(F.col("consensus")).alias("c")))), lambda x: x["c"]), "")
-    chunks = sites.groupBy("tree_id", "block_id", chunk.alias("at")).agg(text.alias("base"))
-    chunks = chunks.select("tree_id", "block_id", F.lit(None).cast("int").alias("node_id"), F.col("at").alias("site"), F.lit("C").alias("type"), "base")
-    return found.unionByName(chunks)
+def _infer(nodes: DataFrame, rows: DataFrame, method: str) -> DataFrame:
+    rows = rows.where(F.length("seq") > 0)
+    found = rows.select("tree_id", "block_id", "name", "role", "seq").mapInArrow(_candidates(COLUMNS), "tree_id int, block_id int, chunk int, name string, role string, data binary")
+    heads = written(found.groupBy("tree_id", "block_id", "chunk").applyInArrow(_settle, "tree_id int, block_id int, chunk int, consensus string, fixed string"))
+    sizes = written(_sizes(nodes))
+    names = nodes.where("is_leaf").select("tree_id", "node_id", "name")
+    tips = names.join(sizes.select("tree_id", "node_id", "part"), ["tree_id", "node_id"])
+    col, lit = F.col, F.lit
+    # one pass over a sequence cuts all its stretches
+    own = rows.where("role is null or role <> 'baseline'").join(tips, ["tree_id", "name"])
+    own = own.select("tree_id", "block_id", "node_id", "part", F.posexplode(_pieces("seq", COLUMNS)).alias("chunk", "piece"))
+    place = {"tree_id": col("tree_id"), "block_id": col("block_id"), "part": col("part"), "chunk": col("chunk")}
+    work = _rows(own, **place, role=lit("tip"), node_id=col("node_id"), data=col("piece"))
+    links = F.array_sort(F.collect_list(F.struct(col("node_id").alias("node"), "up"))).alias("links")
+    lower = sizes.where("part is not null").groupBy("tree_id", "part").agg(links, F.min("up").alias("least"))
+    dealt = lower.join(heads, "tree_id")
+    work = work.unionByName(_rows(dealt, **place, role=lit("tree"), at=F.length("consensus"), tree=col("links")))
+    rooted = dealt.where("least = -1")
+    for role in ("consensus", "fixed"):
+        work = work.unionByName(_rows(rooted.where(col(role).isNotNull()), **place, role=lit(role), data=col(role)))
+    group = ["tree_id", "block_id", "part", "chunk"]
+    chunks = heads.select("tree_id", "block_id", lit(None).cast("int").alias("node_id"), (col("chunk") * COLUMNS).alias("site"), lit("C").alias("type"), col("consensus").alias("base"))
+
+    crown = sizes.where("part is null")
+    most = crown.groupBy("tree_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if most is None:
+        return work.groupBy(group).applyInArrow(_solve(method, COLUMNS, WORK_BYTES), MUTATION).unionByName(chunks)
+    width = 1 << min(COLUMNS.bit_length() - 1, max(WORK_BYTES // (CELL_BYTES[method] * most), 1).bit_length() - 1)
+    tall = crown.select("tree_id").distinct()
+    sent_schema = "tree_id int, block_id int, part int, chunk int, node_id int, data binary, more binary"
+    sent = work.join(tall, "tree_id", "left_semi").groupBy(group).applyInArrow(_send(method, COLUMNS, width, WORK_BYTES), sent_schema)
+    top = _rows(sent, **place, role=lit("sent"), node_id=col("node_id"), data=col("data"), more=col("more"))
+    cut = heads.select("tree_id", "block_id", col("chunk").alias("whole"), F.posexplode(_pieces("consensus", width)).alias("k", "consensus"), "fixed")
+    cut = cut.withColumn("chunk", (col("whole") * (COLUMNS // width) + col("k")).cast("int")).withColumn("fixed", F.substring("fixed", col("k") * width + 1, lit(width)))
+    cut = crown.groupBy("tree_id").agg(links).join(cut, "tree_id").withColumn("part", lit(-1))
+    top = top.unionByName(_rows(cut, **place, role=lit("tree"), at=F.length("consensus"), tree=col("links")))
+    for role in ("consensus", "fixed"):
+        top = top.unionByName(_rows(cut.where(col(role).isNotNull()), **place, role=lit(role), data=col(role)))
+    solved = written(top.groupBy(group).applyInArrow(_crown(method, COLUMNS, width, WORK_BYTES), MUTATION + ", chunk int, at int, data binary"))
+    asks = sizes.where("part is not null").join(crown.select("tree_id", col("node_id").alias("up")), ["tree_id", "up"]).select("tree_id", col("up").alias("node_id"), "part").distinct()
+    above = solved.where("data is not null").join(asks, ["tree_id", "node_id"])
+    work = work.unionByName(_rows(above, **place, role=lit("above"), node_id=col("node_id"), at=col("at"), data=col("data")))
+    below = work.groupBy(group).applyInArrow(_solve(method, COLUMNS, WORK_BYTES), MUTATION)
+    return below.unionByName(solved.where("data is null").select("tree_id", "block_id", "node_id", "site", "type", "base")).unionByName(chunks)
 
 
 def fitch_levels(nodes: DataFrame, leaves: DataFrame, key: list[str], write_from: int = 5) -> DataFrame:

@@ -270,7 +270,7 @@ u AS (SELECT step, seq, row_number() OVER (PARTITION BY step ORDER BY seq) AS ra
 SELECT path, CAST(step AS BIGINT) AS step, CAST(step * 16777216 + rank AS BIGINT) AS segment, seq FROM c JOIN u USING (step, seq)""")
 def net_gfa_segments(spark, sf_dir):
     segments, steps = graph.base_steps(network_of(spark, sf_dir).tables)
-    return steps.join(segments, "segment").select("path", F.col("step").cast("bigint").alias("step"), "segment", "seq")
+    return steps.join(segments, ["tree_id", "segment"]).select("path", F.col("step").cast("bigint").alias("step"), "segment", "seq")
 
 
 @query(f"{_BASE}, {_TIPS} SELECT name AS path, translate(seq, '-', '') AS seq FROM tips")
@@ -278,7 +278,7 @@ def net_gfa_paths(spark, sf_dir):
     """What the paths of the graph of unitigs spell."""
     segments, steps = graph.unitigs(*graph.base_steps(network_of(spark, sf_dir).tables))
     parts = F.array_sort(F.collect_list(F.struct("step", "seq")))
-    return steps.join(segments, "segment").groupBy("path").agg(F.array_join(F.transform(parts, lambda x: x["seq"]), "").alias("seq"))
+    return steps.join(segments, ["tree_id", "segment"]).groupBy("path").agg(F.array_join(F.transform(parts, lambda x: x["seq"]), "").alias("seq"))
 
 
 @query(f"""{_BASE}, {_TIPS} SELECT CAST(-1 AS INTEGER) AS grp, '##maf version=1' AS line UNION ALL SELECT 0, 'a' || chr(10) || string_agg('s' || chr(9) || name || chr(9) || 0 || chr(9) || length(translate(seq, '-', '')) || chr(9) || '+' || chr(9) || length(translate(seq, '-', '')) || chr(9) || seq, chr(10) ORDER BY name) || chr(10) FROM tips""")

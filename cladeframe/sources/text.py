@@ -10,8 +10,10 @@ from cladeframe.functions.codes import reverse_complement
 
 def read_fasta(spark: SparkSession, path: str, check_width: bool = False) -> DataFrame:
     """name and seq of every record, plain or gzip; the name ends at the first blank, a name that comes
-    again replaces the one before. With check_width, sequences of different lengths raise an error."""
-    raw = spark.read.option("lineSep", ">").text(path).withColumn("at", F.monotonically_increasing_id())
+    again replaces the one before. A record begins with > at the start of a line; headers may hold others.
+    With check_width, sequences of different lengths raise an error."""
+    raw = spark.read.option("lineSep", "\n>").text(path).withColumn("at", F.monotonically_increasing_id())
+    raw = raw.withColumn("value", F.regexp_replace("value", "^>", ""))  # of a file's first record
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", "")
     rows = raw.where("trim(value) <> ''").select(F.regexp_extract(head, r"^(\S*)", 1).alias("name"), body.alias("seq"), "at")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cladeframe.functions import codes
 from cladeframe.network import Network
 from cladeframe.operators import graph, mutations, parsimony, sequence, tree, variants
-from cladeframe.sources import newick, text
+from cladeframe.sources import newick, sinks, text
 
 TREE = "((A:1,B:1):1,(C:1,D:1):1);"
 MSA = {"A": "ACGT-A", "B": "ACGTTA", "C": "ATGT-A", "D": "ATG-NA"}
@@ -299,31 +299,128 @@ def test_chain_against_a_plain_scan():
         assert graph.chain(a, b) == want[::-1]
 
 
+def plain_states(parent, leaf, method, root):
+    """One column's state of every node in pre-order, straight from the definitions; leaf has codes by node."""
+    n = len(parent)
+    below = [[j for j in range(1, n) if parent[j] == i] for i in range(n)]
+    if method == "fitch":
+        sets = [set() for _ in range(n)]
+        for i in reversed(range(n)):
+            if below[i]:
+                shared = set.intersection(*[sets[j] for j in below[i]])
+                sets[i] = shared or set.union(*[sets[j] for j in below[i]])
+            elif i in leaf:
+                sets[i] = {leaf[i]}
+        state = [None] * n
+        for i in range(n):
+            low = min(sets[i], default=-1)
+            state[i] = (low if root is None else root) if i == 0 else state[parent[i]] if state[parent[i]] in sets[i] else low
+        return state
+    never = 10**9
+    cost = [[0] * 16 for _ in range(n)]
+    for i in reversed(range(n)):
+        known = [min(cost[j]) < never for j in below[i]]
+        for s in range(16):
+            if below[i]:
+                cost[i][s] = sum(min(cost[j][s], min(cost[j]) + 1) for j, k in zip(below[i], known) if k) if any(known) else never
+            else:
+                cost[i][s] = 0 if leaf.get(i) == s else never
+    state = [None] * n
+    for i in range(n):
+        up = None if i == 0 else state[parent[i]]
+        total = [c + (up is not None and s != up) for s, c in enumerate(cost[i])]
+        state[i] = -1 if min(cost[i]) >= never or up == -1 else total.index(min(total))
+        if i == 0 and root is not None:
+            state[i] = root
+    return state
+
+
+def grown(r, n, kind):
+    """Parents in pre-order of a random tree, a ladder, or one node with many children."""
+    below = {0: []}
+    for i in range(1, n):
+        below.setdefault({"random": r.randrange(i), "ladder": max(0, 2 * ((i - 1) // 2)), "star": 0 if r.random() < 0.7 else r.randrange(i)}[kind], []).append(i)
+    order, stack = [], [(0, None)]
+    while stack:
+        i, up = stack.pop()
+        order.append(up)
+        at = len(order) - 1
+        stack += [(j, at) for j in reversed(below.get(i, []))]
+    return order
+
+
 @pytest.mark.parametrize("method", ["fitch", "sankoff"])
-def test_beyond_the_broadcast(spark, monkeypatch, method):
-    """Above and below MAX_NODES the same mutations and consensus come out: unknown tips, references, several trees."""
+@pytest.mark.parametrize("kind", ["random", "ladder", "star"])
+def test_parts_and_crown(spark, monkeypatch, method, kind):
+    """Mutations of parted trees, whole trees and the definitions are the same: unknown tips, a reference, two trees of different size, several stretches."""
     import random
 
-    from cladeframe.operators import build
-
-    r = random.Random(3)
-    trees = [(0, "((A,B,C),(D,(E,F)),G);"), (1, "(((H,I),J),(K,L));")]
-    nodes = newick.read_newick(spark.createDataFrame(trees, "tree_id int, newick string")).cache()
-    rows = [(t, n, "".join(r.choice("ACGT-N-") for _ in range(40))) for t, names in ((0, "ABDEFG"), (1, "HIJK")) for n in names] + [(0, "Z", "A" * 40)]
-    aligned = spark.createDataFrame(rows, "tree_id int, name string, seq string")
-    blocks = [(t, n, b, r.random() < 0.7) for t, names in ((0, "ABCDEFG"), (1, "HIJKL")) for n in names for b in range(6) if r.random() < 0.6]
-    states = spark.createDataFrame(blocks, "tree_id int, name string, block_id int, forward boolean")
-
-    def results():
-        out = []
-        for reference in (None, "D"):
-            muts, chunks = parsimony.infer(nodes, aligned, method, reference)
-            out.append(sorted(map(tuple, muts.select("tree_id", "node_id", "site", "type", "base").collect())))
-            out.append(sorted(map(tuple, chunks.select("tree_id", "site", "base").collect())))
-            got = build.block_mutations(nodes, states, reference, method)
-            out.append(sorted(map(tuple, got.select("tree_id", "node_id", "block_id", "kind").collect())))
-        return out
-
-    below = results()
-    monkeypatch.setattr(parsimony, "MAX_NODES", 1)
-    assert results() == below and all(below)
+    from cladeframe.functions.codes import BASES
+    from cladeframe.schemas import NODE
+
+    r = random.Random(len(kind))
+    width, trees, rows, nodes = 21, {}, [], []
+    for t, n in ((0, 60), (1, 9)):
+        parent = trees[t] = grown(r, n, kind)
+        last, level = list(range(n)), [0] * n
+        for i in reversed(range(1, n)):
+            last[parent[i]] = max(last[parent[i]], last[i])
+        for i in range(1, n):
+            level[i] = level[parent[i]] + 1
+        for i, p in enumerate(parent):
+            leaf = i not in parent
+            nodes.append((t, i, f"t{t}n{i}", p, 0, i, last[i], level[i], 1.0, leaf, []))
+            if leaf and r.random() < 0.85:
+                rows.append((t, f"t{t}n{i}", "".join(r.choice("ACGT-N") for _ in range(width))))
+        rows.append((t, "a stranger", "ACG" * 7))
+    frame, msa = spark.createDataFrame(nodes, NODE), spark.createDataFrame(rows, "tree_id int, name string, seq string")
+    monkeypatch.setattr(parsimony, "COLUMNS", 8)
+    for reference in (None, rows[0][1]):
+        want, texts = set(), {}
+        for t, parent in trees.items():
+            own = sorted((n, s) for u, n, s in rows if u == t)
+            fixed = next((s for n, s in own if reference and reference in n), None)
+            for site in range(width):
+                base = next((s[site] for _, s in own if s[site] != "-"), "-")
+                base = fixed[site] if fixed and fixed[site] != "-" else base
+                texts[t] = texts.get(t, "") + base
+                leaf = {int(n.split("n")[1]): BASES.index(s[site]) for n, s in own if n != "a stranger"}
+                state = plain_states(parent, leaf, method, BASES.index(fixed[site]) if fixed else None)
+                for i, s in enumerate(state):
+                    old = BASES.index(base) if i == 0 else state[parent[i]]
+                    if s != old and s >= 0 and old >= 0:
+                        want.add((t, i, site, "I" if old == 0 else "D" if s == 0 else "S", BASES[s]))
+        for part, memory in ((1 << 14, 256 << 20), (5, 256 << 20), (5, 512 * 100)):
+            monkeypatch.setattr(parsimony, "PART", part)
+            monkeypatch.setattr(parsimony, "WORK_BYTES", memory)
+            muts, chunks = parsimony.infer(frame, msa, method, reference)
+            got = [tuple(x) for x in muts.select("tree_id", "node_id", "site", "type", "base").collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+            shown = {}
+            for c in sorted(chunks.collect(), key=lambda c: c.site):
+                shown[c.tree_id] = shown.get(c.tree_id, "") + c.base
+            assert shown == texts
+
+
+def test_sequences_of_different_lengths(spark, nodes):
+    msa = spark.createDataFrame([(0, "A", "ACGT"), (0, "B", "ACG")], "tree_id int, name string, seq string")
+    with pytest.raises(Exception, match="different lengths"):
+        parsimony.infer(nodes, msa)[0].collect()
+
+
+def test_headers_and_two_trees(spark, tmp_path):
+    """A header may hold >; segments of two trees have nothing in common."""
+    (tmp_path / "a.fa").write_text(">s1 left>right note\r\nAC>GT\r\nAC\n>s2\n>s3 x\nTT\n\n")
+    assert {r.name: r.seq for r in text.read_fasta(spark, str(tmp_path / "a.fa")).collect()} == {"s1": "AC>GTAC", "s2": "", "s3": "TT"}
+    nodes = newick.read_newick(spark.createDataFrame([(0, "(A,B);"), (1, "(C,D);")], "tree_id int, newick string"))
+    rows = {"A": "ACGT" * 16, "B": "ACGA" * 16, "C": "TTTT" * 16, "D": "ACGT" * 16}
+    msa = spark.createDataFrame([(int(n in "CD"), n, s) for n, s in rows.items()], "tree_id int, name string, seq string")
+    net = Network.from_msa(nodes, msa)
+    for with_bases in (True, False):
+        place = str(tmp_path / f"g{with_bases}")
+        sinks.write_lines(net.gfa(with_bases).select("rank", "key", "line"), place, ["rank", "key"])
+        segments, steps = text.read_gfa(spark, place)
+        names = [r.segment for r in segments.collect()]
+        assert len(names) == len(set(names))
+        if with_bases:
+            assert {r.name: r.seq for r in text.gfa_sequences(segments, steps).collect()} == rows
