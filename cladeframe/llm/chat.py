@@ -619,6 +619,7 @@ def format_chats(
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     state: list = []
+    expected = 0
 
     def result() -> list:
         return [state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5]]
@@ -630,6 +631,10 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if state:
                     done.append(result())
                 state[:] = [row["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                expected = 0
+            if not state or row["conv_id"] != state[0] or row["segment"] != expected:
+                raise ValueError(f"segment {expected} of a conversation is missing or comes twice")
+            expected += 1
             text = row["formatted"]
             for role, said in read_turns(text):
                 state[1] += 1
@@ -652,8 +657,10 @@ def _rows(done: list[list], names: list[str]) -> pa.RecordBatch:
 
 def read_chats(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, read back from what
-    format_chats() gave with TURNS, straight behind it. A null conv_id is a conversation like others, turns
-    may be empty, an empty table gives an empty result; text that TURNS cannot have made raises ValueError."""
-    return formatted.mapInArrow(
+    format_chats() gave with TURNS, in whatever order and files its segments come. A null conv_id is a
+    conversation like others, turns may be empty, an empty table gives an empty result; text that TURNS
+    cannot have made, a segment that is missing and one that comes twice raise ValueError. Other columns are not read."""
+    ordered = formatted.select("conv_id", "segment", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    return ordered.mapInArrow(
         _digest, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     )

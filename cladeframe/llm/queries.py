@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, editcount, huffman, langid, lexical, orderminhash, pii, quality, resample, simhash, urlrules
+from .common import stash
 
 #: Vocabulary file of the queries; operators take any path.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -53,7 +54,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat.read_chats(chat.format_chats(turns))
+    return chat.read_chats(stash(chat.format_chats(turns), "chats"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def features(texts: pa.Array, buckets: int, longest: int) -> tuple[list[tuple[np
         count = np.maximum(np.diff(first) - size + 1, 0)
         bounds = np.concatenate([[0], np.cumsum(count)])
         at = np.arange(bounds[-1]) + np.repeat(first[:-1] - bounds[:-1], count)
-        runs = words if size == 1 else pc.binary_join_element_wise(*[words.take(pa.array(at + k)) for k in range(size)], " ")
+        runs = words if size == 1 else pc.binary_join_element_wise(*[words.take(pa.array(at + k)) for k in range(size)], pa.scalar(" ", words.type))
         coded = pc.dictionary_encode(runs)
         bucket = np.array([zlib.crc32(w.as_buffer()) % buckets for w in coded.dictionary], dtype=np.int64)
         out.append((bucket[coded.indices.to_numpy()] if len(runs) else np.zeros(0, np.int64), bounds))

@@ -194,7 +194,8 @@ def _search(distance: int):
 
 def links(prints: DataFrame, distance: int = 2, node: int = NODE) -> DataFrame:
     """Written links (a, b) that connect exactly those of the distinct fingerprints fp whose chains differ in at
-    most distance bits a step. Nodes of more than `node` fingerprints are parted by further masks."""
+    most distance bits a step. Nodes of more than `node` fingerprints are parted by further masks, at most as often
+    as it takes until their free bits allow no more; a node of NODE comes to 81 masks for two bits."""
     level = {0: masks_below(0, distance)}
     rows = prints.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in level[0]])).alias("mask"))
     found = []

@@ -498,3 +498,18 @@ def test_mined_verdicts_over_a_corpus(spark, rng):
     for r in mined.collect():
         own = [i for i in range(1000) if set(r.tokens) <= tokens[i]]
         assert abs(r.confidence - sum(bad[i] for i in own) / len(own)) < 1e-9
+
+
+def test_chats_read_back_from_files(spark, tmp_path, rng):
+    """Segments come in any order of files and splits; a missing or a second one is an error."""
+    turns = [(c, t, ("user", "assistant")[t % 2], f"text {c} {t} " * rng.randint(0, 9)) for c in range(12) for t in range(rng.randint(1, 9))]
+    turns += [(None, 0, "assistant", "of no conversation"), (None, 1, None, None)]
+    formatted = chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), segment_turns=2)
+    want = Counter(tuple(r) for r in chat.read_chats(formatted).collect())
+    assert len(want) == 13
+    formatted.orderBy("formatted").repartition(5).write.parquet(str(tmp_path / "chats"))
+    again = spark.read.parquet(str(tmp_path / "chats"))
+    assert Counter(tuple(r) for r in chat.read_chats(again).collect()) == want
+    for wrong in (again.where("segment <> 0"), again.where("segment <> 1 OR conv_id <> 3 OR conv_id IS NULL").unionByName(again.where("segment = 0 and conv_id = 3"))):
+        with pytest.raises(Exception, match="is missing or comes twice"):
+            chat.read_chats(wrong).collect()
