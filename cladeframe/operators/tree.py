@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladeframe.operators.order import ranked, subtree_sums
 from cladeframe.scratch import written
 
 KEY = ["tree_id", "node_id"]
@@ -75,15 +76,8 @@ def depth_stats(nodes: DataFrame) -> DataFrame:
 
 
 def subtree_leaf_counts(nodes: DataFrame) -> DataFrame:
-    """Leaves at or below each node: leaves before its last descendant less leaves before itself, by a
-    running count in pre-order instead of a join."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("tree_id").orderBy("pre")
-    seen = F.sum(F.col("is_leaf").cast("bigint")).over(order)
-    counted = nodes.select(*KEY, "pre", "post", seen.alias("upto"), F.col("is_leaf").cast("bigint").alias("own"))
-    ends = counted.select("tree_id", F.col("pre").alias("post"), F.col("upto").alias("till"))
-    return counted.join(ends, ["tree_id", "post"]).select(*KEY, (F.col("till") - F.col("upto") + F.col("own")).alias("n_leaves"))
+    """Leaves at or below each node."""
+    return subtree_sums(nodes, {"n_leaves": F.col("is_leaf").cast("bigint")})
 
 
 def level_order(nodes: DataFrame) -> DataFrame:
@@ -99,40 +93,50 @@ def annotate(nodes: DataFrame, annotations: DataFrame) -> DataFrame:
 
 
 def numbered(nodes: DataFrame) -> DataFrame:
-    """nodes with pre, post, level, is_leaf and child_ord worked out anew from parent_id and the old
-    child_ord, and node_id set to pre. One task takes a tree: numbering it is sequential."""
-    import pandas as pd
-
-    schema = nodes.schema
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["child_ord", "node_id"], kind="stable")
-        children: dict = {}
-        roots = []
-        for i, parent in zip(frame.index, frame["parent_id"]):
-            (roots if pd.isna(parent) else children.setdefault(int(parent), [])).append(i)
-        ids = frame["node_id"].to_dict()
-        order, stack = [], [(i, None, 0, k) for k, i in reversed(list(enumerate(roots)))]
-        while stack:
-            i, parent, level, k = stack.pop()
-            at = len(order)
-            order.append((i, parent, level, k))
-            below = children.get(int(ids[i]), [])
-            stack.extend((j, at, level + 1, n) for n, j in reversed(list(enumerate(below))))
-        last = list(range(len(order)))
-        for at in range(len(order) - 1, 0, -1):
-            parent = order[at][1]
-            if parent is not None:
-                last[parent] = max(last[parent], last[at])
-        out = frame.loc[[o[0] for o in order]].copy()
-        parents = {o[1] for o in order}
-        out["node_id"] = out["pre"] = range(len(order))
-        out["parent_id"] = pd.array([o[1] for o in order], dtype="Int32")
-        out["post"], out["level"], out["child_ord"] = last, [o[2] for o in order], [o[3] for o in order]
-        out["is_leaf"] = [at not in parents for at in range(len(order))]
-        return out
-
-    return nodes.groupBy("tree_id").applyInPandas(run, schema)
+    """nodes with pre, post, level, is_leaf and child_ord worked out anew from parent_id and the old child_ord
+    (then node_id), and node_id set to pre; several roots of a tree follow each other.
+
+    A tree is walked as a list: a step into each node and one out of it, each of which knows the step before.
+    Steps are summed by pointer doubling, so that n nodes take log2(2n) joins, whatever the tree's shape, and no
+    task has more than its share of them.
+    """
+    none = F.lit(-(1 << 31))
+    rows = nodes.withColumn("__up", F.coalesce("parent_id", none))
+    rows = written(ranked(rows, ["tree_id", "__up", "child_ord", "node_id"], "__rank"))
+    family = rows.groupBy("tree_id", "__up").agg(F.min("__rank").alias("__first"), F.max("__rank").alias("__last"), F.count("*").alias("__n"))
+    above = rows.select("tree_id", F.col("node_id").alias("__up"), F.col("__rank").alias("__above"))
+    below = family.select("tree_id", F.col("__up").alias("node_id"), F.col("__last").alias("__below"))
+    linked = rows.select("tree_id", "node_id", "__up", "__rank").join(family.select("tree_id", "__up", "__first"), ["tree_id", "__up"])
+    linked = written(linked.join(above, ["tree_id", "__up"], "left").join(below, KEY, "left"))
+    # step 2r goes into the node of rank r, step 2r + 1 out of it
+    enter = F.when(F.col("__rank") == F.col("__first"), F.col("__above") * 2).otherwise(F.col("__rank") * 2 - 1)
+    leave = F.coalesce(F.col("__below") * 2 + 1, F.col("__rank") * 2)
+    both = F.inline(F.array(
+        F.struct((F.col("__rank") * 2).alias("id"), enter.alias("before"), F.lit(1).cast("bigint").alias("into"), F.lit(0).cast("bigint").alias("out")),
+        F.struct((F.col("__rank") * 2 + 1).alias("id"), leave.alias("before"), F.lit(0).cast("bigint").alias("into"), F.lit(1).cast("bigint").alias("out")),
+    ))
+    steps = linked.select(both)
+    longest = linked.groupBy("tree_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for k in range((2 * longest).bit_length()):
+        steps = written(steps) if k % 2 == 0 else steps
+        further = steps.select(F.col("id").alias("__to"), F.col("before").alias("__next"), F.col("into").alias("__in"), F.col("out").alias("__out"))
+        # a list's first step looks for a key of its own, which nothing has, so that these do not meet in one task
+        asked = steps.withColumn("__to", F.coalesce("before", -1 - F.col("id"))).join(further, "__to", "left")
+        steps = asked.select("id", F.col("__next").alias("before"), (F.col("into") + F.coalesce("__in", F.lit(0))).alias("into"), (F.col("out") + F.coalesce("__out", F.lit(0))).alias("out"))
+    went_in = F.col("id") % 2 == 0
+    places = steps.groupBy(F.shiftright("id", 1).alias("__rank")).agg(
+        (F.max(F.when(went_in, F.col("into"))) - 1).cast("int").alias("__pre"),
+        (F.max(F.when(~went_in, F.col("into"))) - 1).cast("int").alias("__post"),
+        (F.max(F.when(went_in, F.col("into") - F.col("out"))) - 1).cast("int").alias("__level"),
+    )
+    places = written(places.join(linked.select("__rank", "__first", "__above", "__below"), "__rank"))
+    parents = places.select(F.col("__rank").alias("__above"), F.col("__pre").alias("__parent"))
+    full = rows.join(places, "__rank").join(parents, "__above", "left")
+    new = {
+        "node_id": F.col("__pre"), "pre": F.col("__pre"), "post": F.col("__post"), "level": F.col("__level"), "parent_id": F.col("__parent"),
+        "child_ord": (F.col("__rank") - F.col("__first")).cast("int"), "is_leaf": F.col("__below").isNull(),
+    }
+    return full.select(*[new.get(c, F.col(c)).alias(c) for c in nodes.columns])
 
 
 def contract(nodes: DataFrame, requested: DataFrame, protected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

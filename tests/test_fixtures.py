@@ -424,3 +424,58 @@ def test_headers_and_two_trees(spark, tmp_path):
         assert len(names) == len(set(names))
         if with_bases:
             assert {r.name: r.seq for r in text.gfa_sequences(segments, steps).collect()} == rows
+
+
+def walked(parent, child_ord, ids):
+    """pre, post, level and parent's pre of every node, by a walk with a stack."""
+    below = {}
+    for i in sorted(ids, key=lambda i: (child_ord[i], i)):
+        below.setdefault(parent[i], []).append(i)
+    out, stack = {}, [(i, None, 0) for i in reversed(below[None])]
+    while stack:
+        i, up, level = stack.pop()
+        out[i] = [len(out), len(out), level, up]
+        stack += [(j, out[i][0], level + 1) for j in reversed(below.get(i, []))]
+    at = {v[0]: v for v in out.values()}
+    for pre in sorted(at, reverse=True):
+        if at[pre][3] is not None:
+            at[at[pre][3]][1] = max(at[at[pre][3]][1], at[pre][1])
+    return out
+
+
+@pytest.mark.parametrize("kind", ["random", "ladder", "star"])
+def test_numbering_by_doubling(spark, kind):
+    """Trees of any shape, a forest, ids in no order and ties of child_ord."""
+    import random
+
+    from cladeframe.schemas import NODE
+
+    r = random.Random(len(kind))
+    rows, want = [], set()
+    for t, n, roots in ((0, 90, 1), (3, 1, 1), (7, 25, 4)):
+        shape = grown(r, n, kind)
+        ids = r.sample(range(-5, 500), n)
+        parent = {ids[i]: None if i < roots else ids[shape[i]] for i in range(n)}
+        child_ord = {i: r.randrange(4) for i in ids}
+        rows += [(t, i, f"n{i}", parent[i], child_ord[i], 9, 9, 9, 2.0, None, ["note"]) for i in ids]
+        for i, (pre, post, level, up) in walked(parent, child_ord, ids).items():
+            want.add((t, f"n{i}", pre, pre, post, level, up, i not in parent.values()))
+    got = tree.numbered(spark.createDataFrame(rows, NODE))
+    assert {(x.tree_id, x.name, x.node_id, x.pre, x.post, x.level, x.parent_id, x.is_leaf) for x in got.collect()} == want
+    order = {}
+    for x in got.collect():
+        order.setdefault((x.tree_id, x.parent_id), []).append((x.pre, x.child_ord))
+    assert all([o for _, o in sorted(v)] == list(range(len(v))) for v in order.values())
+    assert tree.numbered(got.limit(0)).collect() == []
+
+
+def test_running_sums(spark, monkeypatch):
+    import random
+
+    from cladeframe.operators import order
+
+    r = random.Random(2)
+    monkeypatch.setattr(order, "BUCKET", 7)
+    rows = [(t, i, r.randrange(5)) for t in (0, 1) for i in range(40)]
+    got = order.running(spark.createDataFrame(rows, "tree_id int, pre int, x bigint"), {"upto": F.col("x")})
+    assert {(g.tree_id, g.pre, g.upto) for g in got.collect()} == {(t, i, sum(x for u, j, x in rows if u == t and j <= i)) for t, i, _ in rows}
