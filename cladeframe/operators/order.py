@@ -31,12 +31,12 @@ def ranked(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:
 def running(rows: DataFrame, sums: dict[str, Column], at: str = "pre", key: str = "tree_id") -> DataFrame:
     """rows with running sums by name: of a key's rows up to and with this one, in order of `at`, which tells them
     apart. Buckets of BUCKET places are summed side by side, and a bucket starts from the sums of those before."""
-    dealt = rows.withColumn("__b", F.floor(F.col(at) / BUCKET))
-    totals = dealt.groupBy(key, "__b").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
-    before = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(key, "__b", *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums])
-    inside = Window.partitionBy(key, "__b").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    summed = dealt.select("*", *[F.sum(c).over(inside).alias(n) for n, c in sums.items()]).join(starts, [key, "__b"])
+    dealt = rows.withColumn("__bucket", F.floor(F.col(at) / BUCKET))
+    totals = dealt.groupBy(key, "__bucket").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    before = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(key, "__bucket", *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums])
+    inside = Window.partitionBy(key, "__bucket").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.select("*", *[F.sum(c).over(inside).alias(n) for n, c in sums.items()]).join(starts, [key, "__bucket"])
     return summed.select(*rows.columns, *[(F.col(n) + F.col(f"__{n}")).alias(n) for n in sums])
 
 

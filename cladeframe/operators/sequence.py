@@ -69,14 +69,14 @@ def _text(consensus: str, gaps: list | None, writes: list | None, forward: bool)
     return text if forward else text[::-1].translate(_TURNED)
 
 
-def block_texts(net: dict[str, DataFrame], wanted: DataFrame | None = None) -> DataFrame:
+def block_texts(net: dict[str, DataFrame], wanted: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
     """tree_id, node_id, block_id, forward and aligned text of every present block of the wanted nodes
-    (tree_id, node_id; all by default).
+    (tree_id, node_id; all by default), whose closure is `paths` where it is known.
 
     Only mutations move, one row for each base on a path; a block's consensus joins once for each node
     that has the block, and no sequence is spelled out base by base.
     """
-    paths = written(closure(net["node"], start=wanted))
+    paths = written(closure(net["node"], start=wanted)) if paths is None else paths
     states = block_states(net["node"], net["block_mut"], paths)
     writes = last_writes(paths, net["nuc_mut"]).groupBy("tree_id", "node_id", "block_id").agg(
         F.collect_list(F.struct("pos", "gap_pos", "base")).alias("writes")
@@ -137,13 +137,13 @@ def sequences(net: dict[str, DataFrame], wanted: DataFrame | None = None, aligne
     return full.select("tree_id", "node_id", "name", text.alias("seq"))
 
 
-def coordinates(net: dict[str, DataFrame], wanted: DataFrame) -> DataFrame:
+def coordinates(net: dict[str, DataFrame], wanted: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """Every column of the wanted nodes in order: tree_id, node_id, block_id, at (its number in the
     block), base, column (its number in the alignment, from 0) and n_bases (bases up to it).
 
     Running counts go over each node's columns: sums by block first, then inside the blocks."""
     grid = wanted.select("tree_id", "node_id").distinct().join(widths(net), "tree_id")
-    texts = block_texts(net, wanted).select("tree_id", "node_id", "block_id", "text")
+    texts = block_texts(net, wanted, paths).select("tree_id", "node_id", "block_id", "text")
     full = grid.join(texts, ["tree_id", "node_id", "block_id"], "left")
     full = full.withColumn("text", F.coalesce("text", F.repeat(F.lit("-"), F.col("width"))))
     order = Window.partitionBy("tree_id", "node_id").orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1)

@@ -42,6 +42,14 @@ def closure(nodes: DataFrame, rounds: int | None = None, start: DataFrame | None
     return paths
 
 
+def path_above(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What closure() gives for wanted nodes (tree_id, node_id), one or a few of a tree: every node of a tree is
+    looked at once for each of them."""
+    own = wanted.select(*KEY).distinct().join(nodes, KEY).select("tree_id", "node_id", F.col("pre").alias("__pre"), F.col("level").alias("__level"))
+    up = nodes.select("tree_id", F.col("node_id").alias("anc_id"), "pre", "post", "level").join(own, "tree_id")
+    return up.where(is_ancestor(F.col("pre"), F.col("post"), F.col("__pre"))).select(*KEY, "anc_id", (F.col("__level") - F.col("level")).alias("dist"))
+
+
 def leaves(nodes: DataFrame) -> DataFrame:
     return nodes.where("is_leaf")
 

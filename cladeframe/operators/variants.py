@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeframe.functions.codes import RESIDUES, THREE, base_code, expanded, mutation_text, only_bases
-from cladeframe.operators import sequence
-from cladeframe.operators.mutations import present, unpack
-from cladeframe.operators.tree import closure, find
+from cladeframe.functions.codes import RESIDUES, THREE, base_code, complement, expanded, mutation_text, only_bases
+from cladeframe.operators import replay, sequence
+from cladeframe.operators.order import running, subtree_sums
+from cladeframe.operators.tree import find, path_above
+from cladeframe.scratch import written
 from cladeframe.sources.sinks import vcf_lines
 
 _CODONS = {a + b + c: THREE[RESIDUES[16 * i + 4 * j + k]] for i, a in enumerate("TCAG") for j, b in enumerate("TCAG") for k, c in enumerate("TCAG")}
@@ -72,10 +73,112 @@ def variant_records(aligned: DataFrame, reference: DataFrame) -> DataFrame:
     return rows.mapInArrow(_compare, "tree_id int, tip string, pos int, ref string, alt string")
 
 
-def genotypes(records: DataFrame) -> DataFrame:
-    """pos, ref, alts in order of text, and calls: a map of tips to the number of their alt, from 1."""
-    grouped = records.groupBy("tree_id", "pos", "ref").agg(F.array_sort(F.collect_set("alt")).alias("alts"), F.collect_list(F.struct("tip", "alt")).alias("x"))
-    calls = F.map_from_entries(F.transform("x", lambda x: F.struct(x["tip"], F.array_position("alts", x["alt"]))))
+def records_of(rows: list[tuple[int, str, str, str | None, str | None]]) -> list[tuple[int, str, str]]:
+    """What differences() gives, from the differing columns alone, in order: the reference's bases up to and with the
+    column, its base there, the other's, and the reference's nearest base before and behind."""
+    out, spent, k = [], None, 0
+    while k < len(rows):
+        first = k
+        k += 1
+        while k < len(rows) and rows[k][0] - (rows[k][1] != "-") == rows[k - 1][0]:
+            k += 1
+        own = "".join(r[1] for r in rows[first:k] if r[1] != "-")
+        other = "".join(r[2] for r in rows[first:k] if r[2] != "-")
+        n, ref, alt, before, _ = rows[first]
+        at, behind = n - (ref != "-"), rows[k - 1][4]
+        if "-" in (ref, alt) and at > 0 and at != spent:
+            out.append((at, before + own, before + other))
+        elif not own and behind is not None:
+            spent = rows[k - 1][0] + 1
+            out.append((spent, behind, other + behind))
+        else:
+            out.append((at + 1, own, other))
+    return out
+
+
+_RECORD = pa.schema([("tree_id", pa.int32()), ("tip", pa.string()), ("pos", pa.int32()), ("ref", pa.string()), ("alt", pa.string())])
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of rows (tree_id, node_id, name, n_bases, ref, alt, before, behind) sorted by node and column."""
+    now, held, out = None, [], []
+
+    def settle() -> None:
+        if now is not None:
+            out.extend((now[0], now[2], *record) for record in records_of(held))
+        held.clear()
+
+    def give() -> pa.RecordBatch:
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*out), _RECORD)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, schema=_RECORD)
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if now is None or row[:2] != now[:2]:
+                settle()
+                now = row[:3]
+            held.append(row[3:])
+        if out:
+            yield give()
+    settle()
+    if out:
+        yield give()
+
+
+def node_columns(net: dict[str, DataFrame], wanted: DataFrame) -> DataFrame:
+    """Every column of wanted nodes (tree_id, node_id), one a tree, in blocks' order: tree_id, block_id, pos, gap_pos,
+    start (the consensus there, - in gap columns), forward and there (of the block), base as it is shown, column and
+    n_bases (see coordinates())."""
+    path = written(path_above(net["node"], wanted))
+    states = sequence.block_states(net["node"], net["block_mut"], path).select("tree_id", "block_id", "forward")
+    placed = sequence.coordinates(net, wanted, path).join(states, ["tree_id", "block_id"], "left").join(sequence.widths(net), ["tree_id", "block_id"])
+    at = F.when(F.coalesce("forward", F.lit(True)), F.col("at")).otherwise(F.col("width") - 1 - F.col("at"))
+    return placed.withColumn("at", at.cast("int")).join(_own_positions(net), ["tree_id", "block_id", "at"]).select(
+        "tree_id", "block_id", "pos", "gap_pos", "start", F.coalesce("forward", F.lit(True)).alias("forward"), F.col("forward").isNotNull().alias("there"), "base", "column", "n_bases"
+    )
+
+
+def tip_records(net: dict[str, DataFrame], ref_id: DataFrame) -> DataFrame:
+    """tree_id, tip, pos, ref, alt of every tip of the reference's tree (ref_id: tree_id, node_id) against it.
+
+    A record comes from mutations: columns where the tip's path and the reference's differ. Only tips that
+    have other blocks than the reference, a block on the other strand, or a turned order of blocks are spelled and compared as texts."""
+    tips = net["node"].where("is_leaf").join(ref_id.select("tree_id"), "tree_id", "left_semi").select("tree_id", "node_id")
+    path = written(path_above(net["node"], ref_id))
+    states = sequence.block_states(net["node"], net["block_mut"], path)
+    found = written(replay.apart(net, tips, states, sequence.last_writes(path, net["nuc_mut"])))
+    turned = net["seq_meta"].where("rot_block <> 0 or inverted").select("tree_id", "node_id")
+    whole = tips.join(turned.join(ref_id, ["tree_id", "node_id"]).select("tree_id"), "tree_id", "left_semi")
+    spelled = written(found.where("not plain").select("tree_id", "node_id").unionByName(tips.join(turned, ["tree_id", "node_id"])).unionByName(whole).distinct())
+
+    columns = written(node_columns(net, ref_id))
+    bases = columns.where("base <> '-'")
+    near = lambda name: bases.select("tree_id", F.col("n_bases").alias("k"), F.col("base").alias(name))
+    columns = columns.where("there").withColumn("k", F.col("n_bases") - (F.col("base") != "-").cast("int")).join(near("before"), ["tree_id", "k"], "left")
+    columns = columns.withColumn("k", F.col("n_bases") + 1).join(near("behind"), ["tree_id", "k"], "left").drop("k")
+    own = F.coalesce(F.col("x.base"), F.col("start"))
+    shown = F.when(F.col("forward") | (own == "-"), own).otherwise(complement(own))
+    place = ["tree_id", "block_id", "pos", "gap_pos"]
+    rows = found.where("plain and block_id is not null").join(spelled, ["tree_id", "node_id"], "left_anti")
+    rows = rows.select(*place, "node_id", F.struct("base").alias("x")).join(columns, place).withColumn("alt", shown).where(F.col("alt") != F.col("base"))
+    rows = rows.join(net["node"].select("tree_id", "node_id", "name"), ["tree_id", "node_id"])
+    rows = rows.repartition("tree_id", "node_id").sortWithinPartitions("tree_id", "node_id", "column")
+    listed = rows.select("tree_id", "node_id", "name", "n_bases", F.col("base").alias("ref"), "alt", "before", "behind")
+    records = listed.mapInArrow(_records, "tree_id int, tip string, pos int, ref string, alt string")
+    if spelled.isEmpty():
+        return records
+    return records.unionByName(variant_records(sequence.sequences(net, spelled, aligned=True), sequence.sequences(net, ref_id, aligned=True)))
+
+
+def genotypes(records: DataFrame, names: DataFrame) -> DataFrame:
+    """pos, ref, alts in order of text, and calls: an array of struct(tip, alt), the number of a tip in names (one row, an
+    array) and that of its alt, from 1, in order of tips."""
+    numbers = names.select(F.posexplode("names").alias("i", "tip"))
+    grouped = records.join(numbers, "tip").groupBy("tree_id", "pos", "ref").agg(
+        F.array_sort(F.collect_set("alt")).alias("alts"), F.array_sort(F.collect_set(F.struct("i", "alt"))).alias("x")
+    )
+    calls = F.transform("x", lambda x: F.struct(x["i"].alias("tip"), F.array_position("alts", x["alt"]).alias("alt")))
     return grouped.select("tree_id", "pos", "ref", "alts", calls.alias("calls"))
 
 
@@ -84,54 +187,35 @@ def vcf(net: dict[str, DataFrame], reference: str) -> DataFrame:
     ref_id = find(net["node"], reference).select("tree_id", "node_id")
     if ref_id.isEmpty():
         raise ValueError(f"no node {reference!r}")
-    tips = net["node"].where("is_leaf").select("tree_id", "node_id")
-    aligned = sequence.sequences(net, tips, aligned=True)
-    records = variant_records(aligned, sequence.sequences(net, ref_id, aligned=True))
     names = net["node"].where("is_leaf").join(ref_id.select("tree_id"), "tree_id", "left_semi").agg(F.array_sort(F.collect_list("name")).alias("names"))
-    return vcf_lines(genotypes(records), names, reference)
+    return vcf_lines(genotypes(tip_records(net, ref_id), names), names, reference)
 
 
 def _own_positions(net: dict[str, DataFrame]) -> DataFrame:
-    """For every block, pos and gap_pos of each column in order: tree_id, block_id, at, pos, gap_pos."""
-    pos = net["block"].select("tree_id", "block_id", F.explode(F.sequence(F.lit(0), F.length("consensus"))).alias("pos"), F.length("consensus").alias("n"))
-    full = pos.join(net["gap"], ["tree_id", "block_id", "pos"], "left").withColumn("len", F.coalesce("len", F.lit(0)))
+    """For every block, pos and gap_pos of each column in order, and the consensus there: tree_id, block_id, at, pos, gap_pos, start."""
+    each = net["block"].select("tree_id", "block_id", F.length("consensus").alias("n"), F.posexplode(F.split(F.concat("consensus", F.lit("-")), "")).alias("pos", "main"))
+    full = each.where("main <> ''").join(net["gap"], ["tree_id", "block_id", "pos"], "left").withColumn("len", F.coalesce("len", F.lit(0)))
     inner = F.concat(
         F.when(F.col("len") > 0, F.sequence(F.lit(0), F.col("len") - 1)).otherwise(F.array().cast("array<int>")),
         F.when(F.col("pos") < F.col("n"), F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")),
     )
-    order = Window.partitionBy("tree_id", "block_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     width = F.col("len") + (F.col("pos") < F.col("n")).cast("int")
-    started = full.withColumn("before", F.coalesce(F.sum(width).over(order), F.lit(0)))
-    return started.select("tree_id", "block_id", "pos", F.posexplode(inner).alias("k", "gap_pos"), "before").select(
-        "tree_id", "block_id", (F.col("before") + F.col("k")).cast("int").alias("at"), "pos", "gap_pos"
-    )
-
-
-def root_columns(net: dict[str, DataFrame]) -> DataFrame:
-    """Every column of the root: tree_id, block_id, pos, gap_pos, root_base, column and n_bases (see coordinates())."""
-    roots = net["node"].where("parent_id is null").select("tree_id", "node_id")
-    states = sequence.block_states(net["node"].where("parent_id is null"), net["block_mut"]).select("tree_id", "block_id", "forward")
-    placed = sequence.coordinates(net, roots).join(states, ["tree_id", "block_id"], "left").join(sequence.widths(net), ["tree_id", "block_id"])
-    at = F.when(F.coalesce("forward", F.lit(True)), F.col("at")).otherwise(F.col("width") - 1 - F.col("at"))
-    return placed.withColumn("at", at.cast("int")).join(_own_positions(net), ["tree_id", "block_id", "at"]).select(
-        "tree_id", "block_id", "pos", "gap_pos", F.col("base").alias("root_base"), "column", "n_bases"
+    block = full.withColumn("__block", F.struct("tree_id", "block_id"))
+    started = running(block.withColumn("width", width), {"upto": F.col("width").cast("bigint")}, at="pos", key="__block")
+    return started.select("tree_id", "block_id", "pos", "main", (F.col("upto") - F.col("width")).alias("before"), F.posexplode(inner).alias("k", "gap_pos")).select(
+        "tree_id", "block_id", (F.col("before") + F.col("k")).cast("int").alias("at"), "pos", "gap_pos", F.when(F.col("gap_pos") == -1, F.col("main")).otherwise("-").alias("start")
     )
 
 
 def branch_changes(net: dict[str, DataFrame]) -> DataFrame:
     """Every base mutation with the parent's base and its place on the root: tree_id, node_id, block_id,
     pos, gap_pos, type, old, new, root_base, column, n_bases. Mutations of blocks that are absent at
-    their node are left out."""
-    muts = unpack(net["nuc_mut"])
-    held = sequence.block_states(net["node"], net["block_mut"])
-    own = present(muts, held)
-    key = ["tree_id", "node_id", "block_id", "pos", "gap_pos"]
-    above = closure(net["node"]).where("dist > 0").join(muts.select("tree_id", F.col("node_id").alias("anc_id"), "block_id", "pos", "gap_pos", "ord", F.col("base").alias("b")), ["tree_id", "anc_id"])
-    before = own.select(key).join(above, key).groupBy(key).agg(F.max_by("b", F.struct((-F.col("dist")).alias("d"), "ord")).alias("written"))
-    main = F.substring("consensus", F.col("pos") + 1, F.lit(1))
-    start = F.when(F.col("gap_pos") == -1, main).otherwise("-")
-    joined = own.join(before, key, "left").join(net["block"], ["tree_id", "block_id"]).join(root_columns(net), ["tree_id", "block_id", "pos", "gap_pos"])
-    return joined.select(*key, "ord", "type", F.coalesce("written", start).alias("old"), F.col("base").alias("new"), "root_base", "column", "n_bases")
+    their node are left out. A node has one mutation a place; what stood there is what its nearest ancestor with one wrote."""
+    roots = net["node"].where("parent_id is null").select("tree_id", "node_id")
+    place = ["tree_id", "block_id", "pos", "gap_pos"]
+    columns = node_columns(net, roots).select(*place, "start", F.col("base").alias("root_base"), "column", "n_bases")
+    rows = replay.old_bases(net).join(columns, place)
+    return rows.select("tree_id", "node_id", "block_id", "pos", "gap_pos", "ord", "type", F.coalesce("old", "start").alias("old"), "new", "root_base", "column", "n_bases")
 
 
 def mutation_list(net: dict[str, DataFrame]) -> DataFrame:
@@ -158,7 +242,7 @@ def mutations_against(net: dict[str, DataFrame], reference: str) -> DataFrame:
 
 def mutations_at(net: dict[str, DataFrame], name: str, block_id: int, pos: int) -> DataFrame:
     """Records of the named node's ancestors, and its own, that cover a position, from the root on."""
-    path = closure(net["node"], start=find(net["node"], name))
+    path = path_above(net["node"], find(net["node"], name))
     hit = net["nuc_mut"].where((F.col("block_id") == block_id) & F.lit(pos).between(F.col("pos"), F.col("pos") + F.when(F.col("gap_pos") == -1, F.col("len") - 1).otherwise(0)))
     joined = path.select("tree_id", "anc_id", "dist").join(hit.withColumnRenamed("node_id", "anc_id"), ["tree_id", "anc_id"])
     return joined.orderBy(F.desc("dist"), "ord")
@@ -176,11 +260,9 @@ def placement_rows(net: dict[str, DataFrame]) -> DataFrame:
 
 def group_counts(nodes: DataFrame, first: str, second: str) -> DataFrame:
     """Tips whose first annotation is `first` or `second` at or below every node: tree_id, node_id, a, b."""
-    tips = nodes.where("is_leaf").select("tree_id", "node_id", F.get("annotations", F.lit(0)).alias("group"))
-    up = closure(nodes).join(tips, ["tree_id", "node_id"])
-    return up.groupBy("tree_id", F.col("anc_id").alias("node_id")).agg(
-        F.count_if(F.col("group") == first).alias("a"), F.count_if(F.col("group") == second).alias("b")
-    )
+    group = F.get("annotations", F.lit(0))
+    own = lambda name: F.coalesce((F.col("is_leaf") & (group == name)).cast("bigint"), F.lit(0))
+    return subtree_sums(nodes, {"a": own(first), "b": own(second)})
 
 
 def ratio(part_a: Column, part_b: Column) -> Column:

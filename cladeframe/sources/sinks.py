@@ -48,14 +48,18 @@ def write_by_name(rows: DataFrame, path: str) -> None:
 
 
 def vcf_lines(genotypes: DataFrame, tips: DataFrame, reference: str) -> DataFrame:
-    """at and line of a VCF file: header, then a line for each (pos, ref, alts, calls map tip -> index), in order of at.
-    tips has one row with the array names, which stays in the cluster."""
+    """at and line of a VCF file: header, then a line for each (pos, ref, alts, calls: an array of
+    struct(tip, alt) in order of tips), in order of at. tips has one row with the array names, which stays in the
+    cluster. A line is made of its calls alone: what stands between two of them is a run of zeros."""
     date = F.concat(F.lit("##fileDate="), F.date_format(F.current_date(), "yyyyMd"))
     columns = F.concat(F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT"), F.array_join(F.transform("names", lambda t: F.concat(F.lit("\t"), t)), ""))
     head = F.array(F.lit("##fileformat=VCFv4.2"), date, F.lit(f"##reference={reference}"), columns)
     header = tips.select(F.posexplode(head).alias("i", "line")).select((F.col("i") - 4).cast("long").alias("at"), "line")
     shown = lambda c: F.when(c == "", ".").otherwise(c)
-    calls = F.transform("names", lambda t: F.coalesce(F.try_element_at("calls", t).cast("string"), F.lit("0")))
-    line = F.concat_ws("\t", F.lit("."), F.col("pos").cast("string"), F.lit("."), shown(F.col("ref")), F.array_join(F.transform("alts", shown), ","), F.lit("."), F.lit("."), F.lit("."), F.lit("."), F.array_join(calls, "\t"))
+    before = lambda k: F.when(k > 0, F.get("calls", k - 1)["tip"]).otherwise(-1)
+    part = F.transform("calls", lambda c, k: F.concat(F.repeat(F.lit("0\t"), c["tip"] - before(k) - 1), c["alt"].cast("string")))
+    rest = F.repeat(F.lit("\t0"), F.size("names") - 1 - F.element_at("calls", -1)["tip"])
+    calls = F.concat(F.array_join(part, "\t"), rest)
+    line = F.concat_ws("\t", F.lit("."), F.col("pos").cast("string"), F.lit("."), shown(F.col("ref")), F.array_join(F.transform("alts", shown), ","), F.lit("."), F.lit("."), F.lit("."), F.lit("."), calls)
     rows = genotypes.crossJoin(F.broadcast(tips))  # one row
     return header.unionByName(rows.select(F.col("pos").cast("long").alias("at"), line.alias("line")))

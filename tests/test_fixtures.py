@@ -479,3 +479,93 @@ def test_running_sums(spark, monkeypatch):
     rows = [(t, i, r.randrange(5)) for t in (0, 1) for i in range(40)]
     got = order.running(spark.createDataFrame(rows, "tree_id int, pre int, x bigint"), {"upto": F.col("x")})
     assert {(g.tree_id, g.pre, g.upto) for g in got.collect()} == {(t, i, sum(x for u, j, x in rows if u == t and j <= i)) for t, i, _ in rows}
+
+
+def random_network(spark, r, kind, n=40, trees=(0, 2)):
+    """Blocks that come, go and turn, gap columns, one mutation a place and node, some turned orders."""
+    from cladeframe import schemas
+
+    tables = {name: [] for name in schemas.TABLES}
+    for t in trees:
+        parent = grown(r, n, kind)
+        last, level = list(range(n)), [0] * n
+        for i in reversed(range(1, n)):
+            last[parent[i]] = max(last[parent[i]], last[i])
+        for i in range(1, n):
+            level[i] = level[parent[i]] + 1
+        for i, p in enumerate(parent):
+            tables["node"].append((t, i, f"t{t}n{i}", p, 0, i, last[i], level[i], 1.0, i not in parent, []))
+        gaps = {b: {pos: r.randint(1, 3) for pos in r.sample(range(13), 3)} for b in range(3)}
+        for b in range(3):
+            tables["block"].append((t, b, "".join(r.choice("ACGT") for _ in range(12))))
+            tables["gap"] += [(t, b, pos, k) for pos, k in gaps[b].items()]
+            tables["block_mut"].append((t, 0, b, b, r.choice(["ins", "ins_inv"])))
+        for i in range(1, n):
+            if r.random() < 0.2:
+                tables["block_mut"].append((t, i, 0, r.randrange(3), r.choice(["ins", "ins_inv", "del", "inv"])))
+        for i in range(n):
+            places = [(b, pos, -1) for b in range(3) for pos in range(12)] + [(b, pos, k) for b in range(3) for pos, m in gaps[b].items() for k in range(m)]
+            for k, (b, pos, gap_pos) in enumerate(r.sample(places, r.randint(0, 9))):
+                tables["nuc_mut"].append((t, i, k, b, pos, gap_pos, r.choice("SID"), 1, r.choice("ACGT-N")))
+        tables["seq_meta"] += [(t, i, r.randint(0, 3), r.randint(0, 1), r.random() < 0.5) for i in r.sample(range(n), 4)]
+    return Network({name: spark.createDataFrame(rows, schemas.TABLES[name]).cache() for name, rows in tables.items()}), tables
+
+
+@pytest.mark.parametrize("kind", ["random", "ladder"])
+def test_old_bases_and_records_from_paths(spark, monkeypatch, kind):
+    """Over stretches of any size the nearest ancestor's base, and the records that whole texts give."""
+    import random
+
+    from cladeframe.operators import replay
+
+    r = random.Random(len(kind))
+    net, tables = random_network(spark, r, kind)
+    parent = {(x[0], x[1]): x[3] for x in tables["node"]}
+    wrote = {(x[0], x[1], *x[3:6]): x[8] for x in tables["nuc_mut"]}
+    turns = {}
+    for t, i, k, b, what in tables["block_mut"]:
+        turns.setdefault((t, i), []).append((k, b, what))
+
+    def there(t, i):
+        blocks = set() if parent[t, i] is None else there(t, parent[t, i])
+        for _, b, what in sorted(turns.get((t, i), [])):
+            blocks = blocks - {b} if what == "del" else blocks if what == "inv" else blocks | {b}
+        return blocks
+
+    want = set()
+    for (t, i, *place), new in wrote.items():
+        up = parent[t, i]
+        while up is not None and (t, up, *place) not in wrote:
+            up = parent[t, up]
+        if place[0] in there(t, i):
+            want.add((t, i, *place, new, None if up is None else wrote[t, up, *place]))
+    tips = net.node_ids(tips=True)
+    texts = sequence.sequences(net.tables, tips, aligned=True).cache()
+    for stretch in (7, 4096):
+        monkeypatch.setattr(replay, "STRETCH", stretch)
+        got = replay.old_bases(net.tables).select("tree_id", "node_id", "block_id", "pos", "gap_pos", "new", "old").collect()
+        assert len(got) == len(want) and {tuple(x) for x in got} == want
+        for ref in ("t0n5",) if stretch == 7 else ("t2n39",):
+            ref_id = net["node"].where(F.col("name") == ref).select("tree_id", "node_id")
+            own = sequence.sequences(net.tables, ref_id, aligned=True)
+            told = variants.variant_records(texts.join(own.select("tree_id"), "tree_id"), own)
+            assert sorted(map(tuple, variants.tip_records(net.tables, ref_id).collect())) == sorted(map(tuple, told.collect()))
+
+
+def test_records_of_columns():
+    """Differing columns alone give what whole texts give."""
+    import random
+
+    r = random.Random(9)
+    for _ in range(3000):
+        a, b = ("".join(r.choice("AC--") for _ in range(r.randint(1, 12))) for _ in range(2))
+        n = min(len(a), len(b))
+        a, b = a[:n], b[:n]
+        bases = a.replace("-", "")
+        rows = []
+        for i in range(n):
+            if a[i] != b[i]:
+                upto = n - i and len(a[: i + 1].replace("-", ""))
+                before = upto - (a[i] != "-")
+                rows.append((upto, a[i], b[i], bases[before - 1] if before else None, bases[upto] if upto < len(bases) else None))
+        assert variants.records_of(rows) == variants.differences(a, b)
