@@ -68,16 +68,16 @@ class Network:
         )
 
     @classmethod
-    def from_gfa(cls, nodes: DataFrame, segments: DataFrame, steps: DataFrame) -> Network:
+    def from_gfa(cls, nodes: DataFrame, segments: DataFrame, steps: DataFrame, guided: bool = False) -> Network:
         from cladeframe.operators import build
 
-        return cls(build.from_gfa(nodes, segments, steps))
+        return cls(build.from_gfa(nodes, segments, steps, guided))
 
     @classmethod
-    def from_pangraph(cls, nodes: DataFrame, tables: dict[str, DataFrame], reference: str | None = None) -> Network:
+    def from_pangraph(cls, nodes: DataFrame, tables: dict[str, DataFrame], reference: str | None = None, guided: bool = False) -> Network:
         from cladeframe.operators import build
 
-        return cls(build.from_pangraph(nodes, tables, reference))
+        return cls(build.from_pangraph(nodes, tables, reference, guided))
 
     def root(self) -> DataFrame:
         """The root's aligned text in every tree."""
@@ -121,6 +121,10 @@ class Network:
     def summary(self) -> DataFrame:
         return mutations.summary(self["node"], self["nuc_mut"], self["block_mut"])
 
+    def branch_counts(self) -> DataFrame:
+        """Changed bases of every branch by type."""
+        return mutations.branch_counts(self["node"], self["nuc_mut"])
+
     def newick(self) -> DataFrame:
         return newick.write_newick(self["node"])
 

@@ -55,15 +55,15 @@ def infer_blocks(
     return {"node": nodes, "nuc_mut": nuc, "block_mut": block_mutations(nodes, states, reference, method)}
 
 
-def from_gfa(nodes: DataFrame, segments: DataFrame, steps: DataFrame) -> dict[str, DataFrame]:
+def from_gfa(nodes: DataFrame, segments: DataFrame, steps: DataFrame, guided: bool = False) -> dict[str, DataFrame]:
     """A network of whole segments from one tree's nodes and graph paths (path, step, segment, forward);
-    every place of the paths' common order is a block."""
+    every place of the paths' common order is a block. Paths are chained by name, or in the tree's order if guided."""
     spark = nodes.sparkSession
     from cladeframe.network import empty
 
     tree_id = nodes.select("tree_id").first()[0]
     paths = steps.select(F.lit(tree_id).cast("int").alias("tree_id"), "path", "step", F.col("segment").alias("block"), "forward")
-    placed = graph.order_blocks(paths)
+    placed = graph.order_blocks(paths, nodes if guided else None)
     block = placed.select("tree_id", "at", "block").distinct().join(segments.withColumnRenamed("segment", "block"), "block")
     states = placed.select("tree_id", F.col("path").alias("name"), F.col("at").alias("block_id"), "forward")
     return {
@@ -88,9 +88,9 @@ def edited(block: DataFrame, gaps: DataFrame, subs: DataFrame, ins: DataFrame, d
     return patched(rows.select(*key, F.lit(True).alias("forward"), F.col("seq").alias("consensus"), "gaps", "writes"), key)
 
 
-def from_pangraph(nodes: DataFrame, tables: dict[str, DataFrame], reference: str | None = None) -> dict[str, DataFrame]:
+def from_pangraph(nodes: DataFrame, tables: dict[str, DataFrame], reference: str | None = None, guided: bool = False) -> dict[str, DataFrame]:
     """A network from one tree's nodes and the tables of read_pangraph(). Circular paths are turned to fit
-    the first one, all are chained into a common order of blocks, and block and base mutations are
+    the first one, all are chained into a common order of blocks, by name or in the tree's order if guided, and block and base mutations are
     inferred: by Sankoff where the tree has a node of more than two children, else by Fitch."""
     from cladeframe.network import empty
     from cladeframe.operators.tree import polytomies
@@ -103,7 +103,7 @@ def from_pangraph(nodes: DataFrame, tables: dict[str, DataFrame], reference: str
     circular = plain.join(use.where("circular").select("path").distinct(), "path", "left_semi")
     straight = plain.join(use.where("circular").select("path").distinct(), "path", "left_anti")
     turned = graph.rotate_paths(circular.select("tree_id", "path", "step", "block", "forward")).unionByName(straight.select("tree_id", "path", "step", "block", "forward"))
-    placed = graph.order_blocks(turned)
+    placed = graph.order_blocks(turned, nodes if guided else None)
     nth = F.row_number().over(Window.partitionBy("path", "block").orderBy("at"))
     placed = placed.withColumn("occ", nth)
     block = placed.select("tree_id", "at", "block").distinct().join(tables["block"], "block").select("tree_id", F.col("at").alias("block_id"), F.col("seq").alias("consensus"))

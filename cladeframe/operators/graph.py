@@ -215,17 +215,23 @@ def rotation_start(consensus: list, sample: list) -> int:
     return max(where, 0)
 
 
-def order_blocks(paths: DataFrame) -> DataFrame:
+def order_blocks(paths: DataFrame, guide: DataFrame | None = None) -> DataFrame:
     """The common order of blocks of paths (tree_id, path, step, block, forward), one chain after another:
-    tree_id, path, at (place in the order), block, forward for every step. A tree's paths depend on each
-    other in order of name, so one task takes a tree."""
+    tree_id, path, at (place in the order), block, forward for every step. Paths are taken in order of name, or, with
+    guide, the nodes of a tree whose tips they are, in pre-order, so that related paths meet early; paths that are
+    no tips come last. A tree's paths depend on each other in that order, so one task takes a tree."""
+    if guide is None:
+        paths = paths.withColumn("turn", F.lit(0))
+    else:
+        tips = guide.where("is_leaf").select("tree_id", F.col("name").alias("path"), F.col("pre").alias("turn"))
+        paths = paths.join(tips, ["tree_id", "path"], "left").withColumn("turn", F.coalesce("turn", F.lit(2**31 - 1)))
 
     def run(frame):
         import pandas as pd
 
         order: list = []
         taken: dict[str, list[int]] = {}
-        groups = {name: part.sort_values("step") for name, part in frame.groupby("path", sort=True)}
+        groups = {name: part.sort_values("step") for (_, name), part in frame.groupby(["turn", "path"], sort=True)}
         for name, part in groups.items():
             sample = part["block"].tolist()
             order_blocks_ = [b for b, _ in order]

@@ -112,6 +112,12 @@ def count_by_type(records: DataFrame, type_col: str = "type") -> DataFrame:
     return records.groupBy(type_col).agg(F.count("*").alias("n"))
 
 
+def branch_counts(nodes: DataFrame, nuc_mut: DataFrame) -> DataFrame:
+    """tree_id, node_id, name, type and n, the bases that a branch changes, of every branch and type with some."""
+    counts = nuc_mut.groupBy("tree_id", "node_id", "type").agg(F.sum(F.col("len").cast("bigint")).alias("n"))
+    return counts.join(nodes.select("tree_id", "node_id", "name"), ["tree_id", "node_id"]).select("tree_id", "node_id", "name", "type", "n")
+
+
 def block_totals(block_mut: DataFrame) -> DataFrame:
     """Insertions, deletions and flips of blocks over whole trees, the root's included; an inverted insertion counts as both."""
     kind = F.col("kind")

@@ -126,11 +126,11 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield give()
 
 
-def node_columns(net: dict[str, DataFrame], wanted: DataFrame) -> DataFrame:
+def node_columns(net: dict[str, DataFrame], wanted: DataFrame, path: DataFrame | None = None) -> DataFrame:
     """Every column of wanted nodes (tree_id, node_id), one a tree, in blocks' order: tree_id, block_id, pos, gap_pos,
     start (the consensus there, - in gap columns), forward and there (of the block), base as it is shown, column and
     n_bases (see coordinates())."""
-    path = written(path_above(net["node"], wanted))
+    path = written(path_above(net["node"], wanted)) if path is None else path
     states = sequence.block_states(net["node"], net["block_mut"], path).select("tree_id", "block_id", "forward")
     placed = sequence.coordinates(net, wanted, path).join(states, ["tree_id", "block_id"], "left").join(sequence.widths(net), ["tree_id", "block_id"])
     at = F.when(F.coalesce("forward", F.lit(True)), F.col("at")).otherwise(F.col("width") - 1 - F.col("at"))
@@ -150,9 +150,9 @@ def tip_records(net: dict[str, DataFrame], ref_id: DataFrame) -> DataFrame:
     found = written(replay.apart(net, tips, states, sequence.last_writes(path, net["nuc_mut"])))
     turned = net["seq_meta"].where("rot_block <> 0 or inverted").select("tree_id", "node_id")
     whole = tips.join(turned.join(ref_id, ["tree_id", "node_id"]).select("tree_id"), "tree_id", "left_semi")
-    spelled = written(found.where("not plain").select("tree_id", "node_id").unionByName(tips.join(turned, ["tree_id", "node_id"])).unionByName(whole).distinct())
+    spelled = found.where("not plain").select("tree_id", "node_id").unionByName(tips.join(turned, ["tree_id", "node_id"])).unionByName(whole).distinct()
 
-    columns = written(node_columns(net, ref_id))
+    columns = written(node_columns(net, ref_id, path))
     bases = columns.where("base <> '-'")
     near = lambda name: bases.select("tree_id", F.col("n_bases").alias("k"), F.col("base").alias(name))
     columns = columns.where("there").withColumn("k", F.col("n_bases") - (F.col("base") != "-").cast("int")).join(near("before"), ["tree_id", "k"], "left")

@@ -114,9 +114,12 @@ def net_infer_fitch(spark, sf_dir):
     return named(parsimony.infer(nodes, alignment_of(spark, sf_dir))[0], nodes).select("name", "site", "type", "base")
 
 
-_COSTS = ",\n".join(
-    f"""c{k} AS (SELECT site, parent AS id, q AS state, CAST(sum(cost) AS BIGINT) AS cost FROM (SELECT c.site, n.parent, c.id, q.q, min(c.cost + CASE WHEN c.state <> q.q THEN 1 ELSE 0 END) AS cost
- FROM c{k + 1} c JOIN n ON n.id = c.id CROSS JOIN (SELECT CAST(x AS INTEGER) AS q FROM range(0, 5) r(x)) q GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)""" for k in (2, 1, 0)
+_COSTS = ",\n".join(  # a child adds its least cost and one, or what it costs to have the parent's state
+    f"""b{k + 1} AS (SELECT site, id, min(cost) + 1 AS b FROM c{k + 1} GROUP BY 1, 2),
+u{k} AS (SELECT b.site, n.parent AS id, sum(b) AS total FROM b{k + 1} b JOIN n ON n.id = b.id GROUP BY 1, 2),
+r{k} AS (SELECT c.site, n.parent AS id, c.state, sum(greatest(b - cost, 0)) AS off FROM c{k + 1} c JOIN b{k + 1} b ON b.site = c.site AND b.id = c.id JOIN n ON n.id = c.id GROUP BY 1, 2, 3),
+c{k} AS (SELECT u.site, u.id, u.state, CAST(total - coalesce(off, 0) AS BIGINT) AS cost FROM (SELECT site, id, total, unnest([0, 1, 2, 3, 4]) AS state FROM u{k}) u
+ LEFT JOIN r{k} r ON r.site = u.site AND r.id = u.id AND r.state = u.state)""" for k in (2, 1, 0)
 )
 _CHOICES = ",\n".join(
     f"""t{k} AS (SELECT c.site, c.id, CAST(min((c.cost + CASE WHEN c.state <> t.state THEN 1 ELSE 0 END) * 10 + c.state) % 10 AS INTEGER) AS state FROM c{k} c JOIN n ON n.id = c.id JOIN t{k - 1} t ON t.site = c.site AND t.id = n.parent GROUP BY 1, 2)"""
@@ -327,3 +330,37 @@ r AS (SELECT a.id, '(' || string_agg(k.x, ',' ORDER BY k.id) || ')' || a.name ||
 SELECT 0 AS tree_id, '(' || string_agg(x, ',' ORDER BY id) || ')world:0.000000;' AS newick FROM r""")
 def net_newick(spark, sf_dir):
     return newick.write_newick(nodes_of(spark, sf_dir))
+
+
+@query(f"{_BASE} SELECT n.name, mut.type, count(*) AS n FROM mut JOIN n ON n.id = mut.id GROUP BY n.name, mut.type")
+def net_branch_counts(spark, sf_dir):
+    net = network_of(spark, sf_dir)
+    return mutations.branch_counts(net["node"], net["nuc_mut"]).select("name", "type", "n")
+
+
+def two_trees(spark, sf_dir: str) -> Network:
+    """Trees 0 and 1, of the suppliers of nations of even and odd numbers, each right below its root."""
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), (F.col("s_nationkey") % 2).cast("int").alias("tree_id"), F.col("s_suppkey").cast("int").alias("node_id"))
+    tops = supplier.select("tree_id").distinct().select(F.concat(F.lit("root "), F.col("tree_id").cast("string")).alias("name"), "tree_id", F.lit(-1).alias("node_id"))
+    none = {"child_ord": F.lit(0), "pre": F.lit(0), "post": F.lit(0), "level": F.lit(0), "branch_len": F.lit(1.0), "is_leaf": F.lit(False), "annotations": F.array().cast("array<string>")}
+    rows = supplier.withColumn("parent_id", F.lit(-1)).unionByName(tops.withColumn("parent_id", F.lit(None).cast("int"))).withColumns(none)
+    fields = [f.split(" ") for f in NODE.split(", ")]
+    nodes = written(tree.numbered(rows.select(*[F.col(c).cast(t).alias(c) for c, t in fields])))
+    return Network.from_msa(nodes, alignment_of(spark, sf_dir).drop("tree_id").join(supplier.select("name", "tree_id"), "name"))
+
+
+@query(f"""WITH {_NODES}, {_SITES}, w AS (SELECT m.id, m.name, CAST(n.nation % 2 AS INTEGER) AS tree_id, m.site, m.base FROM m JOIN n ON n.id = m.id),
+cc AS (SELECT tree_id, site FROM w GROUP BY 1, 2 HAVING bool_or(base <> '-')), size AS (SELECT tree_id, count(*) AS n FROM cc GROUP BY 1),
+tt AS (SELECT w.tree_id, w.name AS path, string_agg(base, '' ORDER BY w.site) AS seq FROM w JOIN cc ON cc.tree_id = w.tree_id AND cc.site = w.site GROUP BY 1, 2),
+c AS (SELECT tt.tree_id, path, k * 32 AS step, translate(substr(seq, CAST(k * 32 + 1 AS BIGINT), 32), '-', '') AS seq FROM tt JOIN size USING (tree_id), range(0, {WIDTH} // 32 + 1) q(k) WHERE k * 32 < n),
+u AS (SELECT tree_id, step, seq, row_number() OVER (PARTITION BY tree_id, step ORDER BY seq) AS rank FROM (SELECT DISTINCT tree_id, step, seq FROM c WHERE seq <> ''))
+SELECT tree_id, path, CAST(step AS BIGINT) AS step, CAST(step * 16777216 + rank AS BIGINT) AS segment, seq FROM c JOIN u USING (tree_id, step, seq)""")
+def net_gfa_two_trees(spark, sf_dir):
+    segments, steps = graph.base_steps(two_trees(spark, sf_dir).tables)
+    return steps.join(segments, ["tree_id", "segment"]).select("tree_id", "path", F.col("step").cast("bigint").alias("step"), "segment", "seq")
+
+
+@query(f"""WITH {_NODES}, {_SITES}, w AS (SELECT m.name, CAST(n.nation % 2 AS INTEGER) AS tree_id, m.site, m.base FROM m JOIN n ON n.id = m.id)
+SELECT tree_id, name, translate(string_agg(base, '' ORDER BY site), '-', '') AS seq FROM w GROUP BY 1, 2""")
+def net_two_trees_sequences(spark, sf_dir):
+    return two_trees(spark, sf_dir).sequences().select("tree_id", "name", "seq")

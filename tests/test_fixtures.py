@@ -569,3 +569,21 @@ def test_records_of_columns():
                 before = upto - (a[i] != "-")
                 rows.append((upto, a[i], b[i], bases[before - 1] if before else None, bases[upto] if upto < len(bases) else None))
         assert variants.records_of(rows) == variants.differences(a, b)
+
+
+def test_guided_order(spark):
+    """Paths are chained in the tree's order where it guides them, else by name, as a fold over them in that order."""
+    import random
+
+    r = random.Random(5)
+    nodes = newick.read_newick(spark.createDataFrame([(0, "((D,A),(C,B));")], "tree_id int, newick string"))
+    walks = {p: [r.choice("uvwxyz") for _ in range(9)] for p in "ABCDZ"}
+    steps = [(0, p, i, b, True) for p, w in walks.items() for i, b in enumerate(w)]
+    paths = spark.createDataFrame(steps, "tree_id int, path string, step int, block string, forward boolean")
+    for guide, order in ((None, "ABCDZ"), (nodes, "DACBZ")):
+        common: list = []
+        for p in order:
+            common = graph.merge_chain(common, [(b, p, i) for i, b in enumerate(walks[p])], graph.chain([c[0] for c in common], walks[p]))
+        got = graph.order_blocks(paths, guide).collect()
+        assert {x.at: x.block for x in got} == {i: c[0] for i, c in enumerate(common)}
+        assert {(x.path, x.at) for x in got if (x.block, x.path) in {c[:2] for c in common}} >= {(p, i) for i, (_, p, _) in enumerate(common)}
