@@ -627,7 +627,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         done = []
         for row in batch.to_pylist():
-            if row["segment"] == 0:
+            if row["segment"] == 0 and not (state and row["conv_id"] == state[0]):
                 if state:
                     done.append(result())
                 state[:] = [row["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0]

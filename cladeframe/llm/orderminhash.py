@@ -31,8 +31,8 @@ from .decontam import normal_words
 SHINGLE, DRAWN, SKETCHES = 5, 3, 24
 #: Text that is sketched at once, in bytes.
 SLICE = 4 << 20
-#: Texts of a bucket that are compared side by side.
-BLOCK_TEXTS = 256
+#: Texts of a bucket that are compared side by side, and slots that their shingles are counted in first.
+BLOCK_TEXTS, SLOTS = 256, 1 << 12
 
 _POWER = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(SHINGLE)], dtype=np.uint64)
 _ODD = np.random.default_rng(20240229).integers(1 << 62, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -217,11 +217,27 @@ def components(links: DataFrame) -> DataFrame:
         last = tuple(seen)
 
 
+def _slots(texts: list[bytes]) -> np.ndarray:
+    """How many shingles of each text fall into each slot."""
+    out = np.zeros((len(texts), SLOTS), dtype=np.float32)
+    for row, text in zip(out, texts):
+        row += np.bincount((Shingled(text).own >> np.uint64(20)).astype(np.int64) & (SLOTS - 1), minlength=SLOTS)
+    return out
+
+
+def _hopeful(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Pairs of texts that may be similar, from their slots: two texts have at most the sum over slots of the
+    product of their counts in common, so that no pair of similarity `least` is left out."""
+    n, m = a.sum(axis=1)[:, None], b.sum(axis=1)[None, :]
+    return (a @ b.T) * (1 + least) >= least * (n + m) - 1e-3
+
+
 def _compare(least: float):
     """Two blocks of one bucket: links between texts of different components.
 
-    A pair is looked at in the first sketch that it shares. What a link has joined is not looked at again,
-    so that at most one link a text leaves here, however large the bucket is.
+    A pair is looked at in the first sketch that it shares, and only if counts of their shingles in slots allow
+    the similarity. What a link has joined is not looked at again, so that at most one link a text leaves here, however
+    large the bucket is.
     """
 
     def run(keys: tuple, left: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,6 +260,9 @@ def _compare(least: float):
         wanted = ~earlier & (group[a][:, None] != group[b][None, :])
         if i == j:
             wanted &= a[:, None] < b[None, :]
+        if wanted.any():
+            own = _slots([seq[k] for k in a.tolist()])
+            wanted &= _hopeful(own, own if i == j else _slots([seq[k] for k in b.tolist()]), least)
         x, y = np.nonzero(wanted)
         order = np.argsort(-shared[x, y], kind="stable")
         joined = list(range(len(number)))

@@ -513,3 +513,20 @@ def test_chats_read_back_from_files(spark, tmp_path, rng):
     for wrong in (again.where("segment <> 0"), again.where("segment <> 1 OR conv_id <> 3 OR conv_id IS NULL").unionByName(again.where("segment = 0 and conv_id = 3"))):
         with pytest.raises(Exception, match="is missing or comes twice"):
             chat.read_chats(wrong).collect()
+
+
+def test_slots_leave_out_no_similar_pair(rng):
+    """Counts in slots bound what two texts share from above, repeats and long texts included."""
+    vocabulary = [f"w{i}" for i in range(30)]
+    texts = []
+    for _ in range(30):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(5, 900))]
+        texts.append(base)
+        texts.append([w if rng.random() > 0.02 else rng.choice(vocabulary) for w in base])
+    seqs = [np.array([hash(w) & 0xFFFFFFFF for w in t], dtype="<u4").tobytes() for t in texts]
+    slots = orderminhash._slots(seqs)
+    hopeful = orderminhash._hopeful(slots, slots, 0.8)
+    own = [orderminhash.Shingled(s) for s in seqs]
+    similar = {(i, j) for i in range(len(own)) for j in range(len(own)) if orderminhash.alignment(own[i], own[j], 0.8) >= 0.8}
+    assert len(similar) > len(own) and all(hopeful[i, j] for i, j in similar)
+    assert not hopeful.all()
