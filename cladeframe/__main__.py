@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.network import Network
-from cladeframe.sources import newick, sinks, text
+from cladeframe.sources import newick, placement, sinks, text
 
 
 #: Commands that write lines: the columns that put them in order, and whether each tree has lines of its own.
@@ -32,10 +32,11 @@ def parser() -> argparse.ArgumentParser:
 
     whole, number = {"required": True}, {"required": True, "type": int}
     command("build", newick=whole, msa={}, gfa={}, pangraph={}, reference={}, method={"choices": ["fitch", "sankoff"], "default": "fitch"})
-    for name in ("summary", "newick", "gfa", "maf", "consensus", "placement", "ratio-test", "extended-newick", "root", "copies"):
+    for name in ("summary", "newick", "gfa", "maf", "consensus", "ratio-test", "extended-newick", "root", "copies"):
         command(name)
     for name in ("fasta", "msa"):
         command(name, nodes={"nargs": "+", "help": "names of nodes; all tips without it"})
+    command("placement", binary={"action": "store_true", "help": "the binary message of each tree, at the output"})
     command("mutations", reference_file={})
     command("mutations-at", node=whole, block=number, position=number)
     command("vcf", reference=whole)
@@ -108,6 +109,15 @@ def write_out(spark: SparkSession, a: argparse.Namespace) -> None:
         write(made.select(*order, line), a.output if len(trees) == 1 else f"{a.output.rstrip('/')}/tree_{t}", order)
 
 
+def write_messages(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Binary placement records of every tree at the output, or in a file tree_N of it for each of several."""
+    net = Network.read(spark, a.network)
+    trees = net.tree_ids()
+    for t in trees:
+        one = net.only(t)
+        placement.write_file(one.newick().first().newick, one.placement_records(), a.output if len(trees) == 1 else f"{a.output.rstrip('/')}/tree_{t}")
+
+
 def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
     if a.output and a.command != "build" and a.output.rstrip("/") == a.network.rstrip("/"):
@@ -115,6 +125,10 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("cladeframe").getOrCreate()
     if a.output and a.command in LINES:
         return write_out(spark, a)
+    if a.command == "placement" and a.binary:
+        if not a.output:
+            raise SystemExit("--binary needs an output")
+        return write_messages(spark, a)
     made = run(spark, a)
     if isinstance(made, Network):
         made.write(a.output or a.network) if a.command == "build" or a.output else made["node"].show(50, truncate=False)

@@ -177,6 +177,12 @@ class Network:
 
         return variants.placement_rows(self.tables)
 
+    def placement_records(self) -> DataFrame:
+        """The binary list of mutations of every node."""
+        from cladeframe.sources import placement
+
+        return placement.records(self["node"], self.placement())
+
     def ratio_test(self, first: str = "African", second: str = "Non-African") -> DataFrame:
         from cladeframe.operators import variants
 

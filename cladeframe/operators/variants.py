@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cladeframe.functions.codes import RESIDUES, THREE, base_code, complement, expanded, mutation_text, only_bases
 from cladeframe.operators import replay, sequence
 from cladeframe.operators.order import running, subtree_sums
-from cladeframe.operators.tree import find, path_above
+from cladeframe.operators.tree import closure, find, path_above
 from cladeframe.scratch import written
 from cladeframe.sources.sinks import vcf_lines
 
@@ -240,6 +240,17 @@ def mutations_against(net: dict[str, DataFrame], reference: str) -> DataFrame:
     return rows.groupBy("tree_id", "name").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("mutations"))
 
 
+def path_deletions(net: dict[str, DataFrame], wanted: DataFrame) -> DataFrame:
+    """tree_id, node_id, anc_id, dist, pos (on the root, from 1) and len of every run of bases that an ancestor of a
+    wanted node (tree_id, node_id), or the node itself, has lost; runs join neighbours of one branch."""
+    lost = branch_changes(net).where("type = 'D'")
+    order = Window.partitionBy("tree_id", "node_id").orderBy("column")
+    fresh = F.coalesce((F.col("column") != F.lag("column").over(order) + 1).cast("int"), F.lit(1))
+    numbered = lost.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
+    ranges = numbered.groupBy("tree_id", F.col("node_id").alias("anc_id"), "run").agg(F.min("n_bases").alias("pos"), F.count("*").alias("len")).drop("run")
+    return closure(net["node"], start=wanted).join(ranges, ["tree_id", "anc_id"]).select("tree_id", "node_id", "anc_id", "dist", "pos", "len")
+
+
 def mutations_at(net: dict[str, DataFrame], name: str, block_id: int, pos: int) -> DataFrame:
     """Records of the named node's ancestors, and its own, that cover a position, from the root on."""
     path = path_above(net["node"], find(net["node"], name))

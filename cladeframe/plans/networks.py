@@ -15,7 +15,7 @@ from cladeframe.operators import edits, graph, mutations, parsimony, sequence, t
 from cladeframe.plans.registry import query, table
 from cladeframe.schemas import NODE
 from cladeframe.scratch import written
-from cladeframe.sources import newick
+from cladeframe.sources import newick, placement
 
 #: Columns of the alignment; months count modulo one less.
 WIDTH = 85
@@ -197,8 +197,11 @@ def net_mutation_list(spark, sf_dir):
     return network_of(spark, sf_dir).mutations().select("name", "type", "mutations")
 
 
-@query(f"""{_BASE} SELECT id AS preorder_idx, CAST(col + 1 AS INTEGER) AS position, CAST(CASE root_base WHEN '-' THEN 0 WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 ELSE 8 END AS INTEGER) AS ref_nuc,
-CAST(CASE old WHEN '-' THEN 0 WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 ELSE 8 END AS INTEGER) AS par_nuc, [CAST(instr('ACGT', new) - 1 AS INTEGER)] AS mut_nuc FROM br WHERE new <> '-'""")
+_PLACED = f"""{_BASE} SELECT id AS preorder_idx, CAST(col + 1 AS INTEGER) AS position, CAST(CASE root_base WHEN '-' THEN 0 WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 ELSE 8 END AS INTEGER) AS ref_nuc,
+CAST(CASE old WHEN '-' THEN 0 WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 ELSE 8 END AS INTEGER) AS par_nuc, [CAST(instr('ACGT', new) - 1 AS INTEGER)] AS mut_nuc FROM br WHERE new <> '-'"""
+
+
+@query(_PLACED)
 def net_placement(spark, sf_dir):
     return network_of(spark, sf_dir).placement().select("preorder_idx", F.col("position").cast("int").alias("position"), "ref_nuc", "par_nuc", "mut_nuc")
 
@@ -364,3 +367,19 @@ def net_gfa_two_trees(spark, sf_dir):
 SELECT tree_id, name, translate(string_agg(base, '' ORDER BY site), '-', '') AS seq FROM w GROUP BY 1, 2""")
 def net_two_trees_sequences(spark, sf_dir):
     return two_trees(spark, sf_dir).sequences().select("tree_id", "name", "seq")
+
+
+@query(_PLACED)
+def net_placement_binary(spark, sf_dir):
+    """Placement rows as the binary records give them again."""
+    rows = placement.rows_of(network_of(spark, sf_dir).placement_records())
+    return rows.select("preorder_idx", F.col("position").cast("int").alias("position"), "ref_nuc", "par_nuc", "mut_nuc")
+
+
+@query(f"""{_BASE}, w AS (SELECT *, col - row_number() OVER (PARTITION BY id ORDER BY col) AS run FROM br WHERE type = 'D'), d AS (SELECT id, run, min(nb) AS pos, count(*) AS len FROM w GROUP BY id, run)
+SELECT t.name, a.name AS ancestor, up.dist, d.pos, d.len FROM up JOIN n t ON t.id = up.id JOIN n a ON a.id = up.anc JOIN d ON d.id = up.anc WHERE t.level = 3""")
+def net_path_deletions(spark, sf_dir):
+    net = network_of(spark, sf_dir)
+    rows = variants.path_deletions(net.tables, net.node_ids(tips=True))
+    above = net["node"].select("tree_id", F.col("node_id").alias("anc_id"), F.col("name").alias("ancestor"))
+    return named(rows, net["node"]).join(above, ["tree_id", "anc_id"]).select("name", "ancestor", "dist", F.col("pos").cast("bigint").alias("pos"), "len")
