@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.operators import build, mutations, sequence, tree
+from cladeframe.operators import build, mutations, replay, sequence, tree
+from cladeframe.operators.order import ranked
 from cladeframe.scratch import written
 
 
@@ -90,34 +91,85 @@ def split(net: dict[str, DataFrame], name: str, new_tree: int) -> dict[str, Data
 
 
 def create_network(net: dict[str, DataFrame], events: DataFrame) -> dict[str, DataFrame]:
-    """Apply complex mutations (see schemas.COMPLEX_MUT) one after another.
+    """Apply complex mutations (see schemas.COMPLEX_MUT) in order of their rows.
 
     An event counts if its three nodes are there and, where a parent and the child share a tree, the
     child is not the parent's ancestor or the parent itself. Its child becomes the root of a tree of its
-    own; later events find their nodes in whichever tree these are by then. Each depends on the ones
-    before, so that the driver goes through them; there is one row for each event.
+    own; later events find their nodes in whichever tree these are by then. Of nodes of one name the first by tree and
+    number is taken.
+
+    Which events count is found in rounds over all events at once: one whose child stands above a parent
+    counts when an earlier one that counts has cut between them, so that a round settles whatever the rounds
+    before allow. All cuts are made together at the end, and plans do not grow with the events.
     """
-    fields = events.columns
-    accepted = []
-    after = int(net["node"].agg(F.max("tree_id")).first()[0]) + 1
-    for e in events.collect():
-        rows = {}
-        for i in (1, 2, 3):
-            found = tree.find(net["node"], e[f"seq{i}"]).select("tree_id", "node_id", "pre", "post", "parent_id").take(1)
-            rows[i] = found[0] if found else None
-        if None in rows.values():
-            continue
-        child = rows[3]
-        if any(rows[i].tree_id == child.tree_id and child.pre <= rows[i].pre <= child.post for i in (1, 2)):
-            continue
-        home = child.tree_id
-        if child.parent_id is not None:
-            net = split(net, e["seq3"], after)
-            home, after = after, after + 1
-        values = e.asDict() | {"tree1": rows[1].tree_id, "tree2": rows[2].tree_id, "tree3": home}
-        accepted.append(tuple(values[c] for c in fields))
-    spark = net["node"].sparkSession
-    return {**net, "complex_mut": net["complex_mut"].unionByName(spark.createDataFrame(accepted, events.schema))}
+    nodes = net["node"]
+    listed = written(ranked(written(events.withColumn("__k", F.monotonically_increasing_id())), ["__k"], "i").drop("__k"))
+    names = nodes.groupBy("name").agg(F.min(F.struct("tree_id", "node_id", "pre", "post", "parent_id")).alias("x"))
+    known = listed
+    for k in (1, 2, 3):
+        known = known.join(names.select(F.col("name").alias(f"seq{k}"), F.col("x").alias(f"n{k}")), f"seq{k}")
+    known = written(known)
+    child = F.col("n3")
+    under = lambda p: (p["tree_id"] == child["tree_id"]) & p["pre"].between(child["pre"], child["post"])
+    sides = [known.select("i", F.col(f"n{k}.tree_id").alias("tree_id"), F.col(f"n{k}.node_id").alias("node_id"), F.lit(k).alias("side"), under(F.col(f"n{k}")).alias("under"), F.col("n3.pre").alias("top")) for k in (1, 2)]
+    parents = sides[0].unionByName(sides[1])
+    # the children of other events at or above a parent, where their cuts may part it from its tree
+    cuts = known.select(F.col("i").alias("j"), F.col("n3.tree_id").alias("tree_id"), F.col("n3.node_id").alias("anc_id"), F.col("n3.pre").alias("cut_pre"), F.col("n3.parent_id").isNull().alias("is_root"))
+    paths = _paths(nodes, parents.select("tree_id", "node_id"))
+    met = written(parents.join(paths, ["tree_id", "node_id"]).join(cuts, ["tree_id", "anc_id"]).where("j < i and not is_root"))
+    between = met.where("under and cut_pre > top").select("i", "side", "j")
+    needs = parents.where("under").groupBy("i").agg(F.count("*").alias("n"))
+    good = written(known.select("i").join(needs, "i", "left_anti"))
+    while True:
+        now = between.join(good.select(F.col("i").alias("j")), "j", "left_semi").groupBy("i").agg(F.countDistinct("side").alias("have"))
+        more = now.join(needs, "i").where("have = n").select("i").join(good, "i", "left_anti")
+        if more.isEmpty():
+            break
+        good = written(good.unionByName(more))
+
+    counted = written(known.join(good, "i", "left_semi"))
+    first = counted.where("n3.parent_id is not null").groupBy(F.col("n3.tree_id").alias("tree_id"), F.col("n3.node_id").alias("node_id")).agg(F.min("i").alias("i"), F.min("n3.pre").alias("pre"))
+    after = int(nodes.agg(F.max("tree_id")).first()[0]) + 1
+    made = written(ranked(first, ["i"], "__new").select("tree_id", "node_id", "i", "pre", (F.col("__new") + after).cast("int").alias("new_tree")))
+
+    # the tree of a parent when its event comes is that of the nearest cut above it by then
+    cut_by = met.join(made.select("tree_id", F.col("node_id").alias("anc_id"), F.col("i").alias("done"), "new_tree"), ["tree_id", "anc_id"]).where("done < i")
+    then = cut_by.groupBy("i", "side").agg(F.min_by("new_tree", "dist").alias("t"))
+    rows = counted
+    for k in (1, 2):
+        rows = rows.join(then.where(F.col("side") == k).select("i", F.col("t").alias(f"t{k}")), "i", "left").withColumn(f"tree{k}", F.coalesce(f"t{k}", F.col(f"n{k}.tree_id")).cast("int"))
+    home = made.select(F.struct("tree_id", "node_id").alias("own"), "new_tree")
+    rows = rows.withColumn("own", F.struct(F.col("n3.tree_id").alias("tree_id"), F.col("n3.node_id").alias("node_id"))).join(home, "own", "left")
+    rows = rows.withColumn("tree3", F.coalesce("new_tree", F.col("n3.tree_id")).cast("int")).select(events.columns)
+    done = {**net, "complex_mut": written(net["complex_mut"].unionByName(rows))}
+    return done if made.isEmpty() else {**done, **_cut(net, made)}
+
+
+def _paths(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The closure of wanted nodes, written once."""
+    return written(tree.closure(nodes, start=wanted.distinct()))
+
+
+def _cut(net: dict[str, DataFrame], made: DataFrame) -> dict[str, DataFrame]:
+    """The network with the subtree at every node of made (tree_id, node_id, new_tree) as a tree of its own, less what
+    is cut below it; the root of a new tree has all mutations of its path consolidated."""
+    nodes = net["node"]
+    at = replay.nearest(nodes, made.select("tree_id", "node_id", F.col("new_tree").cast("string").alias("mark")))
+    moved = written(at.where("mark is not null").select("tree_id", "node_id", F.col("mark").cast("int").alias("new_tree")))
+    tops = made.select("tree_id", "node_id", F.lit(True).alias("top"))
+    key = ["tree_id", "node_id"]
+    goes = lambda df: df.join(moved, key, "left").withColumn("tree_id", F.coalesce("new_tree", "tree_id")).select(df.columns)
+    placed = nodes.join(tops, key, "left").withColumn("parent_id", F.when(F.col("top").isNull(), F.col("parent_id")))
+    placed = placed.withColumn("branch_len", F.when(F.col("top").isNull(), F.col("branch_len")).otherwise(F.lit(0.0)).cast("float")).select(nodes.columns)
+    stays = lambda df: goes(df.join(tops, key, "left_anti"))
+    onto = _paths(nodes, made.select(key)).select("tree_id", F.col("anc_id").alias("old_id"), "node_id", "dist")
+    nuc, block_mut = _carried(net, onto)
+    homes = made.select("tree_id", "new_tree").distinct()
+    copied = lambda df: df.unionByName(df.join(homes, "tree_id").withColumn("tree_id", F.col("new_tree")).select(df.columns))
+    return {
+        "node": written(goes(placed)), "nuc_mut": written(stays(net["nuc_mut"]).unionByName(goes(nuc))), "block_mut": written(stays(net["block_mut"]).unionByName(goes(block_mut))),
+        "seq_meta": written(goes(net["seq_meta"])), "block": copied(net["block"]), "gap": copied(net["gap"]),
+    }
 
 
 def event_coordinates(net: dict[str, DataFrame]) -> DataFrame:

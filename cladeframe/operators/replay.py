@@ -126,6 +126,40 @@ def old_bases(net: dict[str, DataFrame]) -> DataFrame:
     return events(net).mapInArrow(_old_bases, schema)
 
 
+_NEAREST = pa.schema([("tree_id", pa.int32()), ("node_id", pa.int32()), ("mark", pa.string())])
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found() -> Iterator[tuple]:
+        at, walk, now = None, Walk(), None
+        for row in _rows(batches):
+            if now is not None and row["side"] < 0:
+                yield (now["tree_id"], now["node_id"], walk.bases.get(0))
+            if at != (row["tree_id"], row["stretch"]):
+                at, walk = (row["tree_id"], row["stretch"]), Walk()
+            if row["side"] < 0:
+                walk.enter(row["pre"], row["post"])
+                now = None if row["carried"] else row
+            else:
+                walk.write(walk.bases, 0, row["base"])
+        if now is not None:
+            yield (now["tree_id"], now["node_id"], walk.bases.get(0))
+
+    yield from _batches(found(), _NEAREST)
+
+
+def nearest(nodes: DataFrame, marks: DataFrame) -> DataFrame:
+    """tree_id, node_id and mark, that of the nearest node at or above which has one, or null, of every node; marks has
+    tree_id, node_id and mark, a text, one a node."""
+    place = [F.lit(0).alias(c) for c in ("ord", "block_id", "pos")]
+    rows = marks.select("tree_id", "node_id", *place, F.lit(-1).alias("gap_pos"), F.lit("S").alias("type"), F.lit(1).alias("len"), F.lit("N").alias("chars"))
+    none = nodes.limit(0).select("tree_id", "node_id", F.lit(0).alias("ord"), F.lit(0).alias("block_id"), F.lit("").alias("kind"))
+    dealt = events({"node": nodes, "nuc_mut": rows, "block_mut": none})
+    told = dealt.join(marks, ["tree_id", "node_id"], "left").withColumn("base", F.when(F.col("side") == 1, F.col("mark")))
+    ordered = told.select(*[f.split(" ")[0] for f in _EVENT.split(", ")]).repartition("tree_id", "stretch").sortWithinPartitions("tree_id", "stretch", "pre", "side", "ord")
+    return ordered.mapInArrow(_nearest, "tree_id int, node_id int, mark string")
+
+
 class Compared(Walk):
     """A walk that knows at which keys its path and a reference's path differ."""
 

@@ -503,10 +503,15 @@ def random_network(spark, r, kind, n=40, trees=(0, 2)):
         for i in range(1, n):
             if r.random() < 0.2:
                 tables["block_mut"].append((t, i, 0, r.randrange(3), r.choice(["ins", "ins_inv", "del", "inv"])))
+        start = {(b, pos, -1): c for u, b, text_ in tables["block"] if u == t for pos, c in enumerate(text_)}
+        stands: list[dict] = []
         for i in range(n):
+            stands.append(dict(start if i == 0 else stands[parent[i]]))
             places = [(b, pos, -1) for b in range(3) for pos in range(12)] + [(b, pos, k) for b in range(3) for pos, m in gaps[b].items() for k in range(m)]
             for k, (b, pos, gap_pos) in enumerate(r.sample(places, r.randint(0, 9))):
-                tables["nuc_mut"].append((t, i, k, b, pos, gap_pos, r.choice("SID"), 1, r.choice("ACGT-N")))
+                old = stands[i].get((b, pos, gap_pos), "-")
+                new = stands[i][b, pos, gap_pos] = r.choice("ACGT-N".replace(old, ""))
+                tables["nuc_mut"].append((t, i, k, b, pos, gap_pos, "I" if old == "-" else "D" if new == "-" else "S", 1, new))
         tables["seq_meta"] += [(t, i, r.randint(0, 3), r.randint(0, 1), r.random() < 0.5) for i in r.sample(range(n), 4)]
     return Network({name: spark.createDataFrame(rows, schemas.TABLES[name]).cache() for name, rows in tables.items()}), tables
 
@@ -587,3 +592,49 @@ def test_guided_order(spark):
         got = graph.order_blocks(paths, guide).collect()
         assert {x.at: x.block for x in got} == {i: c[0] for i, c in enumerate(common)}
         assert {(x.path, x.at) for x in got if (x.block, x.path) in {c[:2] for c in common}} >= {(p, i) for i, (_, p, _) in enumerate(common)}
+
+
+@pytest.mark.parametrize("kind", ["random", "ladder"])
+def test_events_in_rounds(spark, kind):
+    """All events at once come to what one after another gives: which count, trees at their time, cuts, sequences."""
+    import random
+
+    r = random.Random(len(kind))
+    net, tables = random_network(spark, r, kind, n=30)
+    names = {x[2]: (x[0], x[1]) for x in tables["node"]}
+    parent = {(x[0], x[1]): None if x[3] is None else (x[0], x[3]) for x in tables["node"]}
+    pick = lambda: r.choice([*names, "nobody"] if r.random() < 0.3 else list(names))
+    rows = [(r.choice("RH"), 9, pick(), 9, pick(), k, k, k, k, 9, pick()) for k in range(45)]
+    events = spark.createDataFrame(rows, net["complex_mut"].schema).coalesce(1)
+
+    root_of = {k: k[0] for k in parent if parent[k] is None}
+
+    def where(k):
+        while k not in root_of:
+            k = parent[k]
+        return root_of[k], k
+
+    def above(a, b):
+        while b != a and b not in root_of:
+            b = parent[b]
+        return a == b
+
+    want, after = [], 3
+    for e in rows:
+        if not all(e[k] in names for k in (2, 4, 10)):
+            continue
+        p1, p2, c = (names[e[k]] for k in (2, 4, 10))
+        if any(where(p)[0] == where(c)[0] and above(c, p) for p in (p1, p2)):
+            continue
+        t1, t2 = where(p1)[0], where(p2)[0]
+        if c not in root_of:
+            root_of[c] = after
+            after += 1
+        want.append((e[0], t1, e[2], t2, e[4], *e[5:9], root_of[c], e[10]))
+    assert after > 6 and len(want) < len(rows)
+    made = net.create_network(events)
+    assert sorted(map(tuple, made["complex_mut"].collect())) == sorted(want)
+    placed = {x.name: (x.tree_id, x.node_id, x.parent_id) for x in made["node"].collect()}
+    assert placed == {n: (where(k)[0], k[1], None if k in root_of else parent[k][1]) for n, k in names.items()}
+    own = {x.name: x.seq for x in net.sequences(aligned=True).collect()}
+    assert {x.name: x.seq for x in made.sequences(aligned=True).collect()} == own
