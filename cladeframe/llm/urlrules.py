@@ -64,7 +64,8 @@ def url_tokens(url: Column) -> Column:
 def alike(labelled: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """token and same, the least of the tokens that stand in the same rows of labelled, for every token that some
     row lacks. Rows are compared by their number and two 64-bit sums over them; rows without tokens or with
-    null ones give nothing, repeated rows count as they stand."""
+    null ones give nothing, repeated rows count as they stand. labelled is read more than once and is to stand in
+    files, so that its rows have the same numbers each time."""
     rows = labelled.select(F.monotonically_increasing_id().alias("id"), F.col(tokens_col).alias("tokens"))
     total = rows.count()
     each = rows.select("id", F.explode(F.array_distinct("tokens")).alias("token")).where("token is not null")
@@ -102,6 +103,7 @@ def mine_rules(
     min_rows: int = 20,
     min_confidence: float = 0.8,
     max_tokens: int | None = None,
+    same: DataFrame | None = None,
 ) -> DataFrame:
     """Rules (tokens, confidence, support) whose tokens foretell a bad URL, mined by Spark's FP-growth.
 
@@ -112,12 +114,13 @@ def mine_rules(
     stay, whatever their length, unless max_tokens sets a bound. Each rule holds in min_support of the
     labelled rows at least, and in min_rows of them, bad ones, so that the number of rules depends on
     the thresholds and not on the number of rows. Rows without a label are left out; without bad rows
-    there is no rule.
+    there is no rule. same is what alike() gives for the labelled rows, where that is known.
     """
     rows = stash(labelled.where(F.col(bad_col).isNotNull()).select(F.array_distinct(tokens_col).alias("tokens"), F.col(bad_col).alias("bad")), "url-labelled")
     total = rows.count()
     least = max(min_rows, math.ceil(min_support * total))
-    same = stash(alike(rows), "url-alike")
+    given = same is not None
+    same = same if given else stash(alike(rows), "url-alike")
     sets = rows.groupBy("tokens").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"))
     sets = stash(sets.join(replaced(rows, same), "tokens").groupBy("items").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad")), "url-sets")
     often = sets.where("n_bad > 0").select(F.explode("items").alias("token"), "n_bad").groupBy("token").agg(F.sum("n_bad").alias("n")).where(F.col("n") >= least)
@@ -144,7 +147,7 @@ def mine_rules(
     within = _held(good.select(F.col("rule").alias("items"), "confidence"), good.select("rule")).join(narrow, "rule")
     lost = within.where((F.size("rule") < F.size("items")) & (F.col("own") >= F.col("confidence"))).select(F.col("items").alias("rule")).distinct()
     kept = stash(good.join(lost, "rule", "left_anti").select(F.col("rule").alias("tokens"), "confidence", "support"), "url-mined")
-    for spent in (rows, same, sets, items, found, good):
+    for spent in (rows, sets, items, found, good, *(() if given else (same,))):
         unstash(spent)
     return kept
 
@@ -184,9 +187,10 @@ def filter_urls(
         bad = (F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)
     known = labels.select(F.col(label_id_col).alias("page_id"), bad.alias("bad")).where("bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     rows = rows.withColumn("tokens", url_tokens(F.col("url")))
-    labelled = rows.join(known, "page_id")
-    same = stash(alike(labelled.where("bad is not null")), "url-same")
-    mined = mine_rules(labelled, "tokens", "bad", **mining)
+    labelled = stash(rows.join(known, "page_id").select("tokens", "bad"), "url-known")
+    same = stash(alike(labelled), "url-same")
+    mined = mine_rules(labelled, "tokens", "bad", same=same, **mining)
+    unstash(labelled)
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     name, action = fixed_rule(host, path, rules)
     # many URLs may have one set of tokens: its verdict stands in SALTS places, and each row looks in one
