@@ -148,7 +148,7 @@ def _offer(method: str, found: np.ndarray, tops: np.ndarray, above: np.ndarray)
         return above[head], np.bitwise_and.reduceat(found[tops], head), np.bitwise_or.reduceat(found[tops], head)
     sums, seen = [], []
     for a, b in zip(head.tolist(), np.append(head[1:], len(tops)).tolist()):
-        added = known = 0
+        added, known = 0, np.zeros(found.shape[2], dtype=bool)
         for i in tops[a:b].tolist():
             more, finite = _least(found[i])
             added, known = added + more, known | finite
