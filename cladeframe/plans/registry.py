@@ -30,4 +30,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["fitch_mutations"](spark, sf_dir)
 
 
-from cladeframe.plans import columns, networks, scalars, trees  # noqa: E402, F401  (they register their queries)
+from cladeframe.plans import blocks, columns, networks, scalars, trees  # noqa: E402, F401  (they register their queries)
