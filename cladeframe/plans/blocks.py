@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.network import Network
-from cladeframe.operators import mutations, sequence, variants
+from cladeframe.operators import graph, mutations, sequence, variants
+from cladeframe.operators.tree import closure
 from cladeframe.plans.networks import _NODES, _RECORDS, _once, named, nodes_of
 from cladeframe.plans.registry import query, table
 from cladeframe.schemas import TABLES
@@ -231,3 +232,83 @@ def net_blocks_variant_records(spark, sf_dir):
     """Records from root paths where a tip has the reference's blocks, from whole texts elsewhere."""
     net = network_of(spark, sf_dir)
     return variants.tip_records(net.tables, net.node_ids([first_tip(net)])).select("tip", "pos", "ref", "alt")
+
+
+_CONSENSUS = "con AS (SELECT src.b, string_agg(pt.base, '' ORDER BY pt.pos) AS c FROM src JOIN pt ON pt.b = src.src GROUP BY src.b)"
+
+
+@query(f"{_NET} SELECT name, aligned, seq FROM seqs WHERE level = 3")
+def net_blocks_reroot(spark, sf_dir):
+    """Tips after blocks and bases are inferred anew with a root above the first one."""
+    net = network_of(spark, sf_dir)
+    again = net.reroot(first_tip(net))
+    return again.sequences(aligned=True).select("name", F.col("seq").alias("aligned")).join(again.sequences().select("name", "seq"), "name")
+
+
+@query(f"{_NET} SELECT seqs.name, seqs.seq FROM seqs JOIN i ON i.id = seqs.id WHERE i.level = 3 AND i.s % 3 = 1")
+def net_blocks_subnet(spark, sf_dir):
+    """Every third tip, with the mutations of merged branches consolidated."""
+    wanted = _keyed(spark, sf_dir).where("level = 3 and s % 3 = 1").select("tree_id", "name")
+    return network_of(spark, sf_dir).subnet(wanted).sequences().select("name", "seq")
+
+
+@query(f"{_NET} SELECT seqs.name, CASE WHEN i.r = (SELECT arg_max(r, name) FROM i WHERE level = 1) THEN 7 ELSE 0 END AS tree_id, seqs.seq FROM seqs JOIN i ON i.id = seqs.id WHERE i.level = 3")
+def net_blocks_split(spark, sf_dir):
+    net = network_of(spark, sf_dir)
+    top = net["node"].where("level = 1").agg(F.max("name")).first()[0]
+    return net.split(top, 7).sequences().select("name", "tree_id", "seq")
+
+
+@query(f"""{_NET}, par AS (SELECT n FROM i WHERE level = 3 AND name IN (SELECT min(name) FROM i WHERE level = 3 UNION ALL SELECT max(name) FROM i WHERE level = 3)),
+cut AS (SELECT n, name FROM i WHERE level = 2 AND n % 3 <> 0 AND n NOT IN (SELECT n FROM par))
+SELECT seqs.name, coalesce(cut.name, 'world') AS top, seqs.seq, (SELECT count(*) FROM cut) AS events FROM seqs JOIN i ON i.id = seqs.id LEFT JOIN cut ON cut.n = i.n WHERE i.level = 3""")
+def net_blocks_complex(spark, sf_dir):
+    """Two nations in three are recombinants of the first and the last tip; those above one of them do not count."""
+    net = network_of(spark, sf_dir)
+    ends = net["node"].where("is_leaf").agg(F.min("name").alias("seq1"), F.max("name").alias("seq2"))
+    child = _keyed(spark, sf_dir).where("level = 2 and n % 3 <> 0")
+    values = {"type": F.lit("R"), "seq3": F.col("name"), **{f"tree{k}": F.lit(0) for k in (1, 2, 3)}, **{c: F.lit(v).cast("bigint") for c, v in (("s1", 0), ("e1", 9), ("s2", 10), ("e2", 20))}}
+    events = child.join(ends).withColumns(values).select(net["complex_mut"].columns)
+    made = net.create_network(events)
+    tops = made["node"].where("parent_id is null").select("tree_id", F.col("name").alias("top"))
+    count = made["complex_mut"].agg(F.count("*").alias("events"))
+    return made.sequences().join(tops, "tree_id").join(count).select("name", "top", "seq", "events")
+
+
+@query(f"""{_NET}, {_CONSENSUS} SELECT i.name, string_agg(CASE WHEN forward THEN c ELSE translate(reverse(c), 'ACGT', 'TGCA') END, '' ORDER BY CASE WHEN s % 3 = 0 THEN -st.b ELSE st.b END) AS seq
+FROM st JOIN con ON con.b = st.b JOIN i ON i.id = st.id WHERE level = 3 GROUP BY i.name""")
+def net_blocks_from_gfa(spark, sf_dir):
+    """Tips of a network built from the paths of blocks alone, a third of which run from the last block to the first."""
+    net = network_of(spark, sf_dir)
+    back = _keyed(spark, sf_dir).where("level = 3 and s % 3 = 0").select(F.col("name").alias("path"), F.lit(-1).alias("way"))
+    steps = graph.block_steps(net.tables).join(back, "path", "left").withColumn("step", F.col("step") * F.coalesce("way", F.lit(1)))
+    steps = steps.select("path", "step", F.col("segment").cast("string").alias("segment"), "forward")
+    segments = net["block"].select(F.col("block_id").cast("string").alias("segment"), F.col("consensus").alias("seq"))
+    return Network.from_gfa(net["node"], segments, steps).sequences().select("name", "seq")
+
+
+def pangraph_of(net: Network) -> dict[str, DataFrame]:
+    """The tables of a PanGraph file of the tips: their blocks in order, and what differs from the consensus."""
+    tips = net.node_ids(tips=True)
+    steps = graph.block_steps(net.tables).select("tree_id", "path", "step", F.col("segment").alias("block_id"), "forward")
+    meta = named(net["seq_meta"], net["node"]).select(F.col("name").alias("path"), F.col("circ_offset").alias("offset"))
+    last = named(sequence.last_writes(closure(net["node"], start=tips), net["nuc_mut"]), net["node"]).withColumnRenamed("name", "path")
+    edits = last.join(steps.select("path", "block_id"), ["path", "block_id"]).select(F.col("block_id").cast("string").alias("block"), "path", F.lit(1).alias("occ"), "pos", "gap_pos", "base")
+    key, main, bare = ["block", "path", "occ"], F.col("gap_pos") < 0, F.col("base") == "-"
+    block = F.col("block_id").cast("string").alias("block")
+    return {
+        "path": steps.join(meta, "path").select("path", F.lit(False).alias("circular"), "offset", "step", block, "forward", F.lit(1).alias("occ")),
+        "block": net["block"].select(block, F.col("consensus").alias("seq")),
+        "gap": net["gap"].select(block, "pos", "len"),
+        "sub": edits.where(main & ~bare).select(*key, (F.col("pos") + 1).alias("pos"), "base"),
+        "ins": edits.where(~main & ~bare).select(*key, "pos", F.col("gap_pos").alias("gap"), F.col("base").alias("text")),
+        "del": edits.where(main & bare).select(*key, (F.col("pos") + 1).alias("pos"), F.lit(1).alias("len")),
+    }
+
+
+@query(f"""{_NET}, p AS (SELECT i.name, i.s % 50 AS off, translate(string_agg(t, '' ORDER BY b), '-', '') AS x FROM tx JOIN i ON i.id = tx.id WHERE level = 3 GROUP BY i.name, i.s)
+SELECT name, CASE WHEN x = '' THEN '' ELSE substr(x, CAST(off % length(x) + 1 AS BIGINT)) || substr(x, 1, CAST(off % length(x) AS BIGINT)) END AS seq FROM p""")
+def net_blocks_from_pangraph(spark, sf_dir):
+    """Tips of a network that is inferred from their blocks, strands, edits and offsets."""
+    net = network_of(spark, sf_dir)
+    return Network.from_pangraph(net["node"], pangraph_of(net)).sequences().select("name", "seq")
