@@ -60,8 +60,11 @@ def reroot(network, tip: str):
     trees = nodes.select("tree_id").distinct()
     part = {k: v.join(trees, "tree_id") if k != "complex_mut" else v for k, v in net.items()}
     again = build.infer_blocks(nodes, states.join(trees, "tree_id"), texts.join(trees, "tree_id"), part["block"], part["gap"], tip)
+    # nodes are numbered anew, and a tip's start and direction go with its name
+    own = part["seq_meta"].join(names, ["tree_id", "node_id"]).drop("node_id").join(nodes.select("tree_id", "node_id", "name"), ["tree_id", "name"])
+    again["seq_meta"] = own.select(net["seq_meta"].columns)
     rest = {k: v.join(trees, "tree_id", "left_anti") for k, v in net.items() if k != "complex_mut"}
-    return type(network)({**net, **{k: rest[k].unionByName(again[k]) for k in ("node", "nuc_mut", "block_mut")}})
+    return type(network)({**net, **{k: rest[k].unionByName(again[k]) for k in ("node", "nuc_mut", "block_mut", "seq_meta")}})
 
 
 def split(net: dict[str, DataFrame], name: str, new_tree: int) -> dict[str, DataFrame]:
