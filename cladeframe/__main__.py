@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.network import Network
-from cladeframe.sources import newick, placement, sinks, text
+from cladeframe.sources import newick, placement, sinks, text, windows
 
 
 #: Commands that write lines: the columns that put them in order, and whether each tree has lines of its own.
@@ -31,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(f"--{key.replace('_', '-')}", **settings)
 
     whole, number = {"required": True}, {"required": True, "type": int}
-    command("build", newick=whole, msa={}, gfa={}, pangraph={}, reference={}, method={"choices": ["fitch", "sankoff"], "default": "fitch"})
+    command("build", newick=whole, msa={}, window={"type": int, "help": "read the alignment in windows of so many columns"}, gfa={}, pangraph={}, reference={}, method={"choices": ["fitch", "sankoff"], "default": "fitch"})
     for name in ("summary", "newick", "gfa", "maf", "consensus", "ratio-test", "extended-newick", "root", "copies"):
         command(name)
     for name in ("fasta", "msa"):
@@ -56,6 +56,9 @@ def parser() -> argparse.ArgumentParser:
 def build(spark: SparkSession, a: argparse.Namespace) -> Network:
     lines = spark.read.text(a.newick, wholetext=True)
     nodes = newick.read_newick(lines.select(F.lit(0).alias("tree_id"), F.trim("value").alias("newick"))).cache()
+    if a.msa and a.window:
+        rows = windows.read_windows(spark, a.msa, a.window).withColumn("tree_id", F.lit(0))
+        return Network.from_windows(nodes, rows, a.window, a.method, a.reference)
     if a.msa:
         rows = text.read_fasta(spark, a.msa, check_width=True).select(F.lit(0).alias("tree_id"), "name", "seq")
         return Network.from_msa(nodes, rows, a.method, a.reference)

@@ -51,8 +51,16 @@ class Network:
     def from_msa(cls, nodes: DataFrame, msa: DataFrame, method: str = "fitch", reference: str | None = None) -> Network:
         """Infer the mutations of an alignment on given trees: one block, inserted at the root, whose
         consensus leaves out columns without a base."""
+        return cls._of_inferred(nodes, *parsimony.infer(nodes, msa, method, reference))
+
+    @classmethod
+    def from_windows(cls, nodes: DataFrame, windows: DataFrame, width: int, method: str = "sankoff", reference: str | None = None) -> Network:
+        """from_msa() of an alignment in windows of `width` columns (tree_id, name, window, seq)."""
+        return cls._of_inferred(nodes, *parsimony.infer_windows(nodes, windows, width, method, reference))
+
+    @classmethod
+    def _of_inferred(cls, nodes: DataFrame, muts: DataFrame, chunks: DataFrame) -> Network:
         spark = nodes.sparkSession
-        muts, chunks = parsimony.infer(nodes, msa, method, reference)
         columns = columns_of(chunks)
         placed = muts.join(columns.select("tree_id", "site", "pos"), ["tree_id", "site"])
         bases = placed.select("tree_id", "node_id", F.lit(0).alias("block_id"), "pos", F.lit(-1).alias("gap_pos"), "type", "base")

@@ -385,6 +385,15 @@ def infer(nodes: DataFrame, msa: DataFrame, method: str = "fitch", reference: st
     return found.where("node_id is not null"), found.where("node_id is null").select("tree_id", "site", "base")
 
 
+def infer_windows(nodes: DataFrame, windows: DataFrame, width: int, method: str = "sankoff", reference: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What infer() gives, of sequences in windows of `width` columns (tree_id, name, window, seq), none of which is
+    ever put together."""
+    role = F.lit(None).cast("string") if reference is None else F.when(F.col("name").contains(reference), "reference")
+    rows = windows.select("tree_id", F.col("window").alias("block_id"), "name", "seq", role.alias("role"))
+    found = _infer(nodes, rows, method).withColumn("site", (F.col("block_id") * width + F.col("site")).cast("int")).drop("block_id")
+    return found.where("node_id is not null"), found.where("node_id is null").select("tree_id", "site", "base")
+
+
 def infer_by_block(
     nodes: DataFrame, texts: DataFrame, baseline: DataFrame, reference: str | None = None, method: str = "fitch", part_of_name: bool = False
 ) -> DataFrame:

@@ -14,8 +14,8 @@ from cladeframe.network import Network
 from cladeframe.operators import edits, graph, mutations, parsimony, sequence, tree, variants
 from cladeframe.plans.registry import query, table
 from cladeframe.schemas import NODE
-from cladeframe.scratch import written
-from cladeframe.sources import newick, placement
+from cladeframe.scratch import place, written
+from cladeframe.sources import newick, placement, sinks, windows
 
 #: Columns of the alignment; months count modulo one less.
 WIDTH = 85
@@ -114,6 +114,15 @@ def net_infer_fitch(spark, sf_dir):
     return named(parsimony.infer(nodes, alignment_of(spark, sf_dir))[0], nodes).select("name", "site", "type", "base")
 
 
+@query(f"{_BASE} SELECT n.name, mut.site, mut.type, mut.new AS base FROM mut JOIN n ON n.id = mut.id")
+def net_infer_windows(spark, sf_dir):
+    """The alignment as FASTA files, read again in windows of 32 columns by their index."""
+    nodes, folder = nodes_of(spark, sf_dir), place(spark)
+    sinks.fasta_records(alignment_of(spark, sf_dir)).select("record").write.text(folder)
+    rows = windows.read_windows(spark, folder, 32).withColumn("tree_id", F.lit(0))
+    return named(parsimony.infer_windows(nodes, rows, 32, "fitch")[0], nodes).select("name", "site", "type", "base")
+
+
 _COSTS = ",\n".join(  # a child adds its least cost and one, or what it costs to have the parent's state
     f"""b{k + 1} AS (SELECT site, id, min(cost) + 1 AS b FROM c{k + 1} GROUP BY 1, 2),
 u{k} AS (SELECT b.site, n.parent AS id, sum(b) AS total FROM b{k + 1} b JOIN n ON n.id = b.id GROUP BY 1, 2),

@@ -6,19 +6,23 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written once into the folder that spark.checkpoint.dir names, and read back. A session in one process
-    may leave it unset, and a folder is made; on a cluster that raises RuntimeError."""
-    spark = df.sparkSession
+def place(spark: SparkSession) -> str:
+    """A new path in the folder that spark.checkpoint.dir names. A session in one process may leave it unset, and
+    a folder is made; on a cluster that raises RuntimeError."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="cladeframe-")
         spark.conf.set("spark.checkpoint.dir", path)
-    place = f"{path.rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+    return f"{path.rstrip('/')}/step-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written once into place(), and read back."""
+    path = place(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
