@@ -182,7 +182,7 @@ def event_coordinates(net: dict[str, DataFrame]) -> DataFrame:
     points = [(f"{side}{i}", i) for i in (1, 2) for side in ("s", "e")]
     wanted = events.select(F.explode(F.array(*[F.struct(F.col(f"tree{i}").alias("tree_id"), F.col(f"seq{i}").alias("seq"), F.col(p).alias("n"), F.lit(p).alias("p"), "__i") for p, i in points])).alias("x")).select("x.*")
     wanted = wanted.join(names, ["tree_id", "seq"])
-    places = sequence.coordinates(net, wanted.select("tree_id", "node_id").distinct()).where("base <> '-'")
-    hit = wanted.join(places, (wanted.tree_id == places.tree_id) & (wanted.node_id == places.node_id) & (F.col("n_bases") == F.col("n") + 1))
+    index = sequence.coordinate_index(net, wanted.select("tree_id", "node_id").distinct())
+    hit = sequence.base_places(index, wanted.withColumn("nth", F.col("n") + 1))
     wide = hit.groupBy("__i").pivot("p", [p for p, _ in points]).agg(F.first(F.struct("block_id", "at")))
     return events.select("__i", "type", "tree1", "seq1", "tree2", "seq2", "tree3", "seq3").join(wide, "__i", "left").drop("__i")

@@ -15,6 +15,8 @@ from cladeframe.scratch import written
 
 #: Stretches that a tree's bases are dealt into where places are looked up.
 BUCKETS = 4096
+#: Columns of a stretch of the index of coordinates.
+STRETCH = 512
 _TURNED = {ord(c): "N" for c in BASES[1:]} | {ord(a): b for a, b in zip(COMPLEMENT_FROM, COMPLEMENT_TO)}
 
 
@@ -155,6 +157,54 @@ def coordinates(net: dict[str, DataFrame], wanted: DataFrame, paths: DataFrame |
     return each.select("tree_id", "node_id", "block_id", "at", "base", (F.col("before") + F.col("at")).alias("column"), (F.col("bases") + n).alias("n_bases"))
 
 
+def coordinate_index(net: dict[str, DataFrame], wanted: DataFrame) -> DataFrame:
+    """The aligned text of wanted nodes (tree_id, node_id) in stretches of at most STRETCH columns of a block: tree_id,
+    node_id, block_id, k (the stretch's number in the block), text, column (of its first character), before and n
+    (bases ahead of it and in it). A text is cut as it stands, and sums go over stretches, not over bases."""
+    key = ["tree_id", "node_id"]
+    grid = wanted.select(*key).distinct().join(widths(net), "tree_id")
+    texts = block_texts(net, wanted).select(*key, "block_id", "text")
+    full = grid.join(texts, [*key, "block_id"], "left").withColumn("text", F.coalesce("text", F.repeat(F.lit("-"), F.col("width"))))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{STRETCH}}}"), 0)
+    cut = full.select(*key, "block_id", F.posexplode(pieces).alias("k", "text")).withColumn("n", F.length(strip_gaps(F.col("text"))))
+    order = Window.partitionBy(*key).orderBy("block_id", "k").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = lambda c: F.coalesce(F.sum(c).over(order), F.lit(0))
+    return cut.withColumn("column", ahead(F.length("text"))).withColumn("before", ahead(F.col("n")))
+
+
+def base_places(index: DataFrame, points: DataFrame) -> DataFrame:
+    """points (tree_id, node_id, nth: a base's number from 1) with block_id, at (its place in the block's columns) and
+    column (in the alignment). Points without such a base go. A point meets the stretches that hold a base of its own
+    STRETCH numbers, and one of these is searched."""
+    bucket = lambda c: F.floor(c / STRETCH)
+    reach = F.explode(F.sequence(bucket(F.col("before")), bucket(F.col("before") + F.col("n") - 1))).alias("__b")
+    dealt = index.where("n > 0").select("tree_id", "node_id", "block_id", "k", "text", "column", "before", "n", reach)
+    hit = points.withColumn("__b", bucket(F.col("nth") - 1)).join(dealt, ["tree_id", "node_id", "__b"])
+    hit = hit.where((F.col("nth") > F.col("before")) & (F.col("nth") <= F.col("before") + F.col("n")))
+    held = F.filter(F.sequence(F.lit(1), F.length("text")), lambda i: F.substring("text", i, F.lit(1)) != "-")
+    inside = F.get(held, (F.col("nth") - F.col("before") - 1).cast("int")) - 1
+    return hit.select(*points.columns, "block_id", (F.col("k") * STRETCH + inside).alias("at"), (F.col("column") + inside).alias("column"))
+
+
+def bases_up_to(index: DataFrame, points: DataFrame) -> DataFrame:
+    """points (tree_id, node_id, block_id, at) with base, the character there, and n_bases, the bases up to and with it."""
+    hit = points.withColumn("k", F.floor(F.col("at") / STRETCH).cast("int")).join(index, ["tree_id", "node_id", "block_id", "k"])
+    inside = (F.col("at") - F.col("k") * STRETCH + 1).cast("int")
+    hit = hit.where(inside.between(1, F.length("text")))
+    n = F.col("before") + F.length(strip_gaps(F.substring("text", F.lit(1), inside)))
+    return hit.select(*points.columns, F.substring("text", inside, F.lit(1)).alias("base"), n.alias("n_bases"))
+
+
+def base_bounds(net: dict[str, DataFrame], reference: DataFrame, start: int, end: int) -> DataFrame:
+    """tree_id, lo and hi: the columns of bases start and end (from 1, both inclusive) of nodes (tree_id, node_id), one a
+    tree; an end behind the last base is that base. Nodes without a base in the range have no row."""
+    index = written(coordinate_index(net, reference))
+    total = index.groupBy("tree_id", "node_id").agg(F.sum("n").alias("total"))
+    lo, hi = F.greatest(F.lit(start), F.lit(1)).cast("bigint"), F.least(F.lit(end), F.col("total")).cast("bigint")
+    points = total.where(lo <= hi).select("tree_id", "node_id", F.explode(F.array(lo, hi)).alias("nth")).distinct()
+    return base_places(index, points).groupBy("tree_id").agg(F.min("column").alias("lo"), F.max("column").alias("hi"))
+
+
 def prefix_counts(rows: DataFrame, partition: list[str], order: list[str], is_base: Column, name: str = "n_bases") -> DataFrame:
     """rows with the running number of bases up to each."""
     window = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -177,8 +227,7 @@ def ungapped(points: DataFrame, msa: DataFrame) -> DataFrame:
 def slice_columns(net: dict[str, DataFrame], reference: DataFrame, start: int, end: int) -> tuple[DataFrame, DataFrame]:
     """Bases start..end (from 1, both inclusive) of the reference node (tree_id, node_id) as columns of
     the alignment, (tree_id, lo, hi), and every tip's aligned text there: tree_id, node_id, name, seq."""
-    where = coordinates(net, reference).where((F.col("base") != "-") & F.col("n_bases").between(start, end))
-    bounds = where.groupBy("tree_id").agg(F.min("column").alias("lo"), F.max("column").alias("hi"))
+    bounds = base_bounds(net, reference, start, end)
     tips = net["node"].where("is_leaf").select("tree_id", "node_id")
     cut = sequences(net, tips, aligned=True).join(bounds, "tree_id")
     text = F.substring("seq", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1)

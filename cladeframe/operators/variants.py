@@ -324,8 +324,7 @@ def residue_changes(ref: str, alt: str) -> str:
 def amino_acid_changes(net: dict[str, DataFrame], start: int, end: int) -> DataFrame:
     """name and aa_mutations of every node whose residues in the root's bases [start, end) (from 0) differ."""
     roots = net["node"].where("parent_id is null").select("tree_id", "node_id")
-    bounds = sequence.coordinates(net, roots).where((F.col("base") != "-") & F.col("n_bases").between(start + 1, end))
-    bounds = bounds.groupBy("tree_id").agg(F.min("column").alias("lo"), F.max("column").alias("hi"))
+    bounds = sequence.base_bounds(net, roots, start + 1, end)
     cut = only_bases(F.substring("seq", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1))
     everyone = sequence.sequences(net, None, aligned=True).join(bounds, "tree_id").select("tree_id", "node_id", "name", cut.alias("alt"))
     ref = everyone.join(roots, ["tree_id", "node_id"], "left_semi").select("tree_id", F.col("alt").alias("ref"))

@@ -275,6 +275,38 @@ def net_blocks_complex(spark, sf_dir):
     return made.sequences().join(tops, "tree_id").join(count).select("name", "top", "seq", "events")
 
 
+_ALL = f"""ref AS (SELECT i.id, i.name, i.s, wd.b, coalesce(tx.t, repeat('-', w)) AS t FROM i CROSS JOIN wd LEFT JOIN tx ON tx.b = wd.b AND tx.id = i.id WHERE i.level = 3),
+cc AS (SELECT id, name, s, b, unnest(range(0, length(t))) AS k, unnest(string_split(t, '')) AS base FROM ref),
+co AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY b, k) - 1 AS col, sum(CASE WHEN base <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY b, k) AS nb FROM cc)"""
+
+
+def _asked(spark, sf_dir: str, number) -> DataFrame:
+    """tree_id, node_id, name and a number of the tip that each customer asks, by the rest of its key."""
+    customer = table(spark, sf_dir, "customer")
+    count = table(spark, sf_dir, "supplier").count()
+    tips = _keyed(spark, sf_dir).where("level = 3").select("tree_id", "node_id", "name", "s")
+    return customer.select("c_custkey", (F.col("c_custkey") % count).alias("s"), number).join(tips, "s").drop("s")
+
+
+@query(f"""{_NET}, {_ALL} SELECT c_custkey, co.name, co.b AS block_id, co.k AS at, co.col AS "column" FROM customer JOIN co ON co.s = c_custkey % (SELECT count(*) FROM supplier) AND co.base <> '-' AND co.nb = 1 + c_custkey * 7""")
+def net_blocks_base_places(spark, sf_dir):
+    """Where base 1 + 7 c of a tip stands, for every customer c; tips with fewer bases give no row."""
+    net = network_of(spark, sf_dir)
+    index = sequence.coordinate_index(net.tables, net.node_ids(tips=True))
+    found = sequence.base_places(index, _asked(spark, sf_dir, (1 + F.col("c_custkey") * 7).alias("nth")))
+    return found.select("c_custkey", "name", *[F.col(c).cast("bigint").alias(c) for c in ("block_id", "at", "column")])
+
+
+@query(f"""{_NET}, {_ALL} SELECT c_custkey, co.name, co.b AS block_id, co.k AS at, co.base, CAST(co.nb AS BIGINT) AS n_bases FROM customer JOIN co ON co.s = c_custkey % (SELECT count(*) FROM supplier) AND co.b = c_custkey % {BLOCKS} AND co.k = c_custkey % 200""")
+def net_blocks_bases_up_to(spark, sf_dir):
+    """What stands at a column of a block of a tip, and how many bases up to it, for every customer."""
+    net = network_of(spark, sf_dir)
+    index = sequence.coordinate_index(net.tables, net.node_ids(tips=True))
+    asked = _asked(spark, sf_dir, (F.col("c_custkey") % 200).alias("at")).withColumn("block_id", (F.col("c_custkey") % BLOCKS).cast("int"))
+    found = sequence.bases_up_to(index, asked)
+    return found.select("c_custkey", "name", *[F.col(c).cast("bigint").alias(c) for c in ("block_id", "at")], "base", F.col("n_bases").cast("bigint").alias("n_bases"))
+
+
 @query(f"""{_NET}, {_CONSENSUS} SELECT i.name, string_agg(CASE WHEN forward THEN c ELSE translate(reverse(c), 'ACGT', 'TGCA') END, '' ORDER BY CASE WHEN s % 3 = 0 THEN -st.b ELSE st.b END) AS seq
 FROM st JOIN con ON con.b = st.b JOIN i ON i.id = st.id WHERE level = 3 GROUP BY i.name""")
 def net_blocks_from_gfa(spark, sf_dir):
