@@ -177,22 +177,26 @@ def base_places(index: DataFrame, points: DataFrame) -> DataFrame:
     column (in the alignment). Points without such a base go. A point meets the stretches that hold a base of its own
     STRETCH numbers, and one of these is searched."""
     bucket = lambda c: F.floor(c / STRETCH)
+    x = F.struct("k", "text", "column", "before", "n").alias("__x")
     reach = F.explode(F.sequence(bucket(F.col("before")), bucket(F.col("before") + F.col("n") - 1))).alias("__b")
-    dealt = index.where("n > 0").select("tree_id", "node_id", "block_id", "k", "text", "column", "before", "n", reach)
+    dealt = index.where("n > 0").select("tree_id", "node_id", "block_id", x, reach)
     hit = points.withColumn("__b", bucket(F.col("nth") - 1)).join(dealt, ["tree_id", "node_id", "__b"])
-    hit = hit.where((F.col("nth") > F.col("before")) & (F.col("nth") <= F.col("before") + F.col("n")))
-    held = F.filter(F.sequence(F.lit(1), F.length("text")), lambda i: F.substring("text", i, F.lit(1)) != "-")
-    inside = F.get(held, (F.col("nth") - F.col("before") - 1).cast("int")) - 1
-    return hit.select(*points.columns, "block_id", (F.col("k") * STRETCH + inside).alias("at"), (F.col("column") + inside).alias("column"))
+    nth = F.col("nth") - F.col("__x.before")
+    held = F.filter(F.sequence(F.lit(1), F.length("__x.text")), lambda i: F.substring("__x.text", i, F.lit(1)) != "-")
+    inside = F.get(held, (nth - 1).cast("int")) - 1
+    hit = hit.where((nth > 0) & (nth <= F.col("__x.n")))
+    return hit.select(*points.columns, "block_id", (F.col("__x.k") * STRETCH + inside).alias("at"), (F.col("__x.column") + inside).alias("column"))
 
 
 def bases_up_to(index: DataFrame, points: DataFrame) -> DataFrame:
     """points (tree_id, node_id, block_id, at) with base, the character there, and n_bases, the bases up to and with it."""
-    hit = points.withColumn("k", F.floor(F.col("at") / STRETCH).cast("int")).join(index, ["tree_id", "node_id", "block_id", "k"])
-    inside = (F.col("at") - F.col("k") * STRETCH + 1).cast("int")
-    hit = hit.where(inside.between(1, F.length("text")))
-    n = F.col("before") + F.length(strip_gaps(F.substring("text", F.lit(1), inside)))
-    return hit.select(*points.columns, F.substring("text", inside, F.lit(1)).alias("base"), n.alias("n_bases"))
+    key = ["tree_id", "node_id", "block_id", "__k"]
+    stretches = index.select("tree_id", "node_id", "block_id", F.col("k").alias("__k"), F.struct("text", "before").alias("__x"))
+    hit = points.withColumn("__k", F.floor(F.col("at") / STRETCH).cast("int")).join(stretches, key)
+    inside = (F.col("at") - F.col("__k") * STRETCH + 1).cast("int")
+    hit = hit.where(inside.between(1, F.length("__x.text")))
+    n = F.col("__x.before") + F.length(strip_gaps(F.substring("__x.text", F.lit(1), inside)))
+    return hit.select(*points.columns, F.substring("__x.text", inside, F.lit(1)).alias("base"), n.alias("n_bases"))
 
 
 def base_bounds(net: dict[str, DataFrame], reference: DataFrame, start: int, end: int) -> DataFrame:

@@ -179,3 +179,34 @@ def test_binary_placement(spark, stored):
             list(placement.fields(wrong))
     with pytest.raises(SystemExit):
         cli.main(["placement", str(stored / "net"), "--binary"])
+
+
+def test_coordinate_index_over_stretches(spark, monkeypatch):
+    """Bases of two blocks, one of them turned and one longer than a stretch, whatever the points' columns are called."""
+    from cladeframe import schemas
+    from cladeframe.operators import sequence
+
+    monkeypatch.setattr(sequence, "STRETCH", 5)
+    rows = {
+        "node": [(0, 0, "r", None, 0, 0, 0, 0, 0.0, True, [])],
+        "block": [(0, 0, "ACGTACGTACGTA"), (0, 1, "GGCA"), (0, 2, "TTTT")],
+        "gap": [(0, 0, 4, 7)],
+        "nuc_mut": [(0, 0, 0, 0, 4, 6, "I", 1, "C"), (0, 0, 1, 0, 0, -1, "D", 2, "--")],
+        "block_mut": [(0, 0, 0, 0, "ins"), (0, 0, 2, 2, "ins_inv")],
+    }
+    net = {k: spark.createDataFrame(rows.get(k, []), ddl) for k, ddl in schemas.TABLES.items()}
+    text = "--GT------CACGTACGTA" + "----" + "AAAA"
+    index = sequence.coordinate_index(net, net["node"]).cache()
+    assert "".join(r.text for r in index.orderBy("column").collect()) == text
+    held = [i for i, c in enumerate(text) if c != "-"]
+    block = lambda i: (0, i) if i < 20 else (1, i - 20) if i < 24 else (2, i - 24)
+    points = spark.createDataFrame([(0, 0, n, "x", "y") for n in range(-1, 40)], "tree_id int, node_id int, nth long, n string, text string")
+    got = sorted((r.nth, r.block_id, r.at, r.column) for r in sequence.base_places(index, points).collect())
+    assert got == [(n + 1, *block(i), i) for n, i in enumerate(held)]
+    points = spark.createDataFrame([(0, 0, *block(i)) for i in range(len(text))] + [(0, 0, 1, 4), (0, 0, 0, -1)], "tree_id int, node_id int, block_id int, at int")
+    got = sorted((r.block_id, r.at, r.base, r.n_bases) for r in sequence.bases_up_to(index, points).collect())
+    assert got == [(*block(i), c, len(text[: i + 1].replace("-", ""))) for i, c in enumerate(text)]
+    whole = {r.column: (r.base, r.n_bases) for r in sequence.coordinates(net, net["node"]).collect()}
+    assert whole == {i: (c, len(text[: i + 1].replace("-", ""))) for i, c in enumerate(text)}
+    bounds = lambda a, b: [(r.lo, r.hi) for r in sequence.base_bounds(net, net["node"], a, b).collect()]
+    assert bounds(2, 3) == [(held[1], held[2])] and bounds(-4, 99) == [(held[0], held[-1])] and bounds(99, 120) == [] and bounds(3, 2) == []
