@@ -392,3 +392,6 @@ def net_path_deletions(spark, sf_dir):
     rows = variants.path_deletions(net.tables, net.node_ids(tips=True))
     above = net["node"].select("tree_id", F.col("node_id").alias("anc_id"), F.col("name").alias("ancestor"))
     return named(rows, net["node"]).join(above, ["tree_id", "anc_id"]).select("name", "ancestor", "dist", F.col("pos").cast("bigint").alias("pos"), "len")
+
+
+from cladeframe.plans import blocks  # noqa: E402, F401  (its queries stand on this module)
