@@ -48,3 +48,17 @@ def test_consensus_by_pieces(spark, monkeypatch):
     parts = spark.createDataFrame([(b, k, "ACGT"[(k + b) % 4]) for b in (0, 1) for k in range(5)], "block_id int, p_partkey long, base string")
     found = blocks.consensus_of(blocks.placed(parts))
     assert sorted(tuple(r) for r in found.collect()) == [(0, "ACGTA"), (1, "CGTAC")]
+
+
+def test_compared_in_the_walk(spark):
+    """Tips meet their tree's reference text where they are spelled, not by the tree's number in one task."""
+    from cladeframe.operators import variants
+
+    net = small(spark)
+    tips = net["node"].where("is_leaf").select("tree_id", "node_id")
+    reference = spark.createDataFrame([(0, "A-CGA")], "tree_id int, seq string")
+    found = spelling.compared(net, tips, reference, variants.differing)
+    aligned = {"a": "-GCGA", "b": "TCG-T", "c": "A-CGA"}
+    assert sorted(tuple(r)[1:] for r in found.collect()) == sorted((t, *x) for t, s in aligned.items() for x in variants.differences("A-CGA", s))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan[: plan.index("MapInArrow")]
