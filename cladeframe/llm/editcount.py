@@ -11,6 +11,7 @@ so that later edits start from kept counts and never encode a document anew.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -29,6 +30,15 @@ LEAF_CHARS, MOST_CHARS = 96, 4096
 EDITS = "array<struct<seq:bigint,start:bigint,stop:bigint,text:string>>"
 
 
+def _sums(level: list[int]) -> list[int]:
+    """Nodes of a tree over leaves, whose number is a power of two: the root at 1, the children of i at 2i and 2i + 1."""
+    out = level
+    while len(level) > 1:
+        level = [a + b for a, b in zip(level[::2], level[1::2])]
+        out = level + out
+    return [0, *out]
+
+
 class CountTree:
     """Token count of one text under edits. encode gives each of a list of units its ids."""
 
@@ -41,10 +51,8 @@ class CountTree:
         self.size = 1 << max(0, len(leaves) - 1).bit_length()
         pad = self.size - len(leaves)
         self.leaves = leaves + [""] * pad
-        self.chars = [0] * self.size + [len(x) for x in self.leaves]
-        self.tokens = [0] * self.size + tokens + [0] * pad
-        for i in range(self.size - 1, 0, -1):
-            self._sum(i)
+        self.chars = _sums([len(x) for x in self.leaves])
+        self.tokens = _sums(tokens + [0] * pad)
 
     def _sum(self, i: int) -> None:
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
@@ -76,6 +84,10 @@ class CountTree:
 
     def edit(self, start: int, stop: int, text: str) -> None:
         """Replace characters [start, stop), clipped to the text as it is now."""
+        edit_together([(self, start, stop, text)], self.encode)
+
+    def opened(self, start: int, stop: int, text: str) -> tuple[int, int, str]:
+        """The leaves that an edit touches, with one on either side, and what they are to hold."""
         length = self.chars[1]
         start = min(max(start, 0), length)
         stop = min(max(stop, start), length)
@@ -84,16 +96,15 @@ class CountTree:
         low, high = self._near(first, -1), self._near(last, 1)
         before -= sum(self.chars[self.size + k] for k in range(low, first))
         old = "".join(self.leaves[low : high + 1])
-        new = old[: start - before] + text + old[stop - before :]
-        units, _ = bpe.split_units(pa.array([new]))
-        units = units.to_pylist()
-        counts = [len(x) // 4 for x in self.encode(units)]
+        return low, high, old[: start - before] + text + old[stop - before :]
+
+    def closed(self, low: int, high: int, units: list[str], counts: list[int]) -> None:
+        """Put units with their tokens in place of what leaves low to high hold."""
         self.reencoded += len(units)
         room = high - low + 1
-        ends = np.cumsum([len(u) for u in units])
-        share = max(1, -(-len(new) // room))
-        cuts = np.searchsorted(ends, np.arange(1, room) * share) if len(units) else np.zeros(room - 1, dtype=np.int64)
-        bounds = [0, *cuts.tolist(), len(units)]
+        ends = list(accumulate(map(len, units)))
+        share = max(1, -(-(ends[-1] if ends else 0) // room))
+        bounds = [0, *(bisect_left(ends, k * share) for k in range(1, room)), len(units)]
         for k in range(room):
             a, b = bounds[k], bounds[k + 1]
             self.leaves[low + k] = "".join(units[a:b])
@@ -135,23 +146,41 @@ class CountTree:
         return cls([text[a:b] for a, b in zip(ends, ends[1:])] or [""], tokens or [0], encode)
 
 
-def _trees(texts: pa.Array, encoder: bpe.UnitEncoder) -> Iterator[CountTree]:
-    """A tree for each text, with all units of a slice encoded together."""
+def edit_together(edits: list[tuple[CountTree, int, int, str]], encode) -> None:
+    """One edit (tree, start, stop, text) of each of several trees, with all their units split and encoded together."""
+    opened = [tree.opened(start, stop, text) for tree, start, stop, text in edits]
+    # a line break behind each text keeps a unit's bounds from the next one
+    units, first = bpe.split_units(pa.array([x for _, _, new in opened for x in (new, "\n")], pa.string()))
+    coded = pc.dictionary_encode(units)
+    words = coded.dictionary.to_pylist()
+    per = [len(x) // 4 for x in encode(words)]
+    codes = coded.indices.to_pylist()
+    first = first.tolist()
+    for (tree, *_), (low, high, _), a, b in zip(edits, opened, first[::2], first[1::2]):
+        tree.closed(low, high, [words[c] for c in codes[a:b]], [per[c] for c in codes[a:b]])
+
+
+def _leaves(texts: pa.Array, encoder: bpe.UnitEncoder) -> Iterator[tuple[list[int], list[int]]]:
+    """Characters and tokens of the leaves of each text, with all units of a slice encoded together."""
     units, first = bpe.split_units(texts)
     coded = pc.dictionary_encode(units)
     per = np.array([len(x) // 4 for x in encoder.encode(coded.dictionary.to_pylist())], dtype=np.int64)
     tokens = np.concatenate([[0], np.cumsum(per[coded.indices.to_numpy()] if len(units) else per[:0])])
     chars = np.concatenate([[0], np.cumsum(pc.utf8_length(units).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    for text, a, b in zip(texts.to_pylist(), first[:-1].tolist(), first[1:].tolist()):
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if a == b:
-            yield CountTree([""], [0], encoder.encode)
+            yield [], []
             continue
         at = chars[a : b + 1] - chars[a]
-        cuts = np.unique(np.searchsorted(at, np.arange(0, at[-1] + LEAF_CHARS, LEAF_CHARS)).clip(0, b - a))
-        places, sums = at[cuts].tolist(), tokens[a + cuts].tolist()
-        yield CountTree(
-            [text[x:y] for x, y in zip(places, places[1:])], [y - x for x, y in zip(sums, sums[1:])], encoder.encode
-        )
+        cuts = np.searchsorted(at, np.arange(0, at[-1] + LEAF_CHARS, LEAF_CHARS)).clip(0, b - a)
+        cuts = cuts[np.append(True, cuts[1:] != cuts[:-1])]
+        yield np.diff(at[cuts]).tolist(), np.diff(tokens[a + cuts]).tolist()
+
+
+def _trees(texts: pa.Array, encoder: bpe.UnitEncoder) -> Iterator[CountTree]:
+    """A tree for each text."""
+    for text, (chars, tokens) in zip(texts.to_pylist(), _leaves(texts, encoder)):
+        yield CountTree.of(text, chars, tokens, encoder.encode)
 
 
 TREE = "doc_id bigint, text string, leaf_chars array<int>, leaf_tokens array<int>"
@@ -165,8 +194,7 @@ def _grow(path: str):
         for batch in batches:
             for part in slices(batch, "text", bpe.BLOCK_BYTES):
                 chars, tokens = [], []
-                for tree in _trees(part.column("text"), encoder):
-                    _, c, n = tree.parts()
+                for c, n in _leaves(part.column("text"), encoder):
                     chars.append(c)
                     tokens.append(n)
                 columns = [part.column("doc_id"), part.column("text"), pa.array(chars, _INTS), pa.array(tokens, _INTS)]
@@ -181,17 +209,15 @@ def _edit(path: str):
         encoder = bpe.UnitEncoder.of(path)
         for batch in batches:
             for part in slices(batch, "text", bpe.BLOCK_BYTES):
-                rows, after, changes, again = [], [], [], []
                 columns = [part.column(c).to_pylist() for c in ("text", "leaf_chars", "leaf_tokens", "edits")]
-                for text, chars, tokens, steps in zip(*columns):
-                    tree = CountTree.of(text, chars, tokens, encoder.encode)
-                    for e in steps or []:
-                        start = e["start"] or 0
-                        tree.edit(start, start if e["stop"] is None else e["stop"], e["text"] or "")
-                    rows.append(tree.parts())
-                    after.append(tree.total)
-                    changes.append(len(steps or []))
-                    again.append(tree.reencoded)
+                trees = [CountTree.of(text, chars, tokens, encoder.encode) for text, chars, tokens in zip(*columns[:3])]
+                steps = [x or [] for x in columns[3]]
+                # the edits of one text follow each other; the k-th ones of all texts are encoded together
+                for k in range(max(map(len, steps), default=0)):
+                    now = [(tree, x[k]["start"] or 0, x[k]) for tree, x in zip(trees, steps) if k < len(x)]
+                    edit_together([(tree, a, a if e["stop"] is None else e["stop"], e["text"] or "") for tree, a, e in now], encoder.encode)
+                rows = [tree.parts() for tree in trees]
+                after, changes, again = [tree.total for tree in trees], [len(x) for x in steps], [tree.reencoded for tree in trees]
                 before = [sum(x) for x in columns[2]]
                 texts, chars, tokens = zip(*rows)
                 out = [part.column("doc_id"), pa.array(texts, pa.string()), pa.array(chars, _INTS), pa.array(tokens, _INTS)]

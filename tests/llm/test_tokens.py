@@ -111,6 +111,21 @@ def test_edits(tokenizer, rng, monkeypatch):
                 tree = editcount.CountTree.of(*tree.parts(), encoder.encode)
 
 
+def test_edits_of_many_texts_together(tokenizer, rng):
+    """Edits of many texts take one call of the encoder, and every text comes out as if it were alone."""
+    encoder = bpe.UnitEncoder.of(PATH)
+    texts = ["".join(rng.choice(BITS) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    edits = [(rng.randint(0, 20), rng.randint(0, 40), "".join(rng.choice(BITS) for _ in range(rng.randint(0, 5)))) for _ in texts]
+    alone, together = ([next(editcount._trees(pa.array([t]), encoder)) for t in texts] for _ in range(2))
+    for tree, edit in zip(alone, edits):
+        tree.edit(*edit)
+    calls = []
+    editcount.edit_together([(tree, *edit) for tree, edit in zip(together, edits)], lambda units: calls.append(1) or encoder.encode(units))
+    assert len(calls) == 1
+    assert [(*t.parts(), t.total, t.reencoded) for t in together] == [(*t.parts(), t.total, t.reencoded) for t in alone]
+    assert all(t.total == len(ids_of(tokenizer, t.text())) for t in together)
+
+
 def test_edit_table(spark, edge, tokenizer):
     steps = spark.createDataFrame([(5, 2, 0, 5, "x y"), (5, 1, 3, None, None), (99, 1, 0, 0, "q"), (0, 1, 0, 0, "new")], "doc_id long, seq int, start int, stop int, text string")
     got = {r.doc_id: r for r in editcount.count_tokens(editcount.attach_edits(edge, steps), PATH, edits=editcount.F.col("edits")).where("doc_id <> 3").collect()}
