@@ -62,3 +62,38 @@ def test_compared_in_the_walk(spark):
     assert sorted(tuple(r)[1:] for r in found.collect()) == sorted((t, *x) for t, s in aligned.items() for x in variants.differences("A-CGA", s))
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "Join" not in plan[: plan.index("MapInArrow")]
+
+
+def test_pieces_for_inference(spark):
+    """Rerooting spells tips where it cuts them: turned blocks come forward, under the new number."""
+    net = small(spark)
+    wanted = spark.createDataFrame([(0, 1, 7, 0), (0, 2, 8, 1)], "tree_id int, node_id int, to int, part int")
+    found = spelling.pieces(net, wanted, 2)
+    assert sorted((r.node_id, r.part, r.chunk, bytes(r.piece)) for r in found.collect()) == [
+        (7, 0, 0, b"-G"), (7, 0, 1, b"CG"), (7, 0, 2, b"A"), (8, 1, 0, b"A-"), (8, 1, 1, b"CG"), (8, 1, 2, b"A"),
+    ]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan[: plan.index("MapInArrow")]
+
+
+def test_baseline_spares_the_texts(spark, monkeypatch):
+    """Where a baseline is the consensus, no other text is looked at for one."""
+    from cladeframe.operators import parsimony
+
+    inner = parsimony._candidates
+
+    def watched(columns):
+        run = inner(columns)
+
+        def only_roles(batches):
+            for batch in batches:
+                assert batch.column("role").null_count == 0
+                yield from run(iter([batch]))
+
+        return only_roles
+
+    monkeypatch.setattr(parsimony, "_candidates", watched)
+    net = small(spark)
+    texts = spark.createDataFrame([(0, n, 0, s) for n, s in (("a", "AC"), ("b", "AC"), ("c", "AT"))], "tree_id int, name string, block_id int, seq string")
+    base = spark.createDataFrame([(0, 0, "AG")], "tree_id int, block_id int, seq string")
+    assert sorted(tuple(r)[2:] for r in parsimony.infer_by_block(net["node"], texts, base).collect()) == [(0, 1, "S", "C"), (3, 1, "S", "T")]
