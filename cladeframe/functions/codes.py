@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # The base of each 4-bit code 0..15, complements, and amino acids by codon.
 BASES = "-ACMGRSVTWYHKDBN"
+_HEX = "0123456789ABCDEF"
 COMPLEMENT_FROM = "ACGTRYSWKMBDHVN"
 COMPLEMENT_TO = "TGCAYRSWMKVHDBN"
 #: One letter for each codon in the order TCAG of the three bases, '*' for stops.
@@ -72,21 +73,17 @@ def quoted_split(text: Column) -> Column:
 
 
 def pack_consensus(seq: Column) -> Column:
-    """Codes of eight bases a number, the first in the highest four bits."""
-    words = F.transform(F.sequence(F.lit(0), F.greatest(F.length(seq) - 1, F.lit(0)), F.lit(8)), lambda i: F.rpad(F.substring(seq, i + 1, F.lit(8)), 8, "-"))
-    packed = F.transform(
-        words, lambda w: F.aggregate(F.split(w, ""), F.lit(0).cast("bigint"), lambda acc, c: acc * 16 + base_code(c).cast("bigint"))
-    )
-    return F.when(F.length(seq) == 0, F.array().cast("array<bigint>")).otherwise(packed)
+    """Codes of eight bases a number, the first in the highest four bits; anything but a base is 0."""
+    known = F.regexp_replace(seq, f"[^{BASES[1:]}]", "-")
+    digits = F.translate(known, BASES, _HEX)
+    padded = F.concat(digits, F.repeat(F.lit("0"), F.pmod(-F.length(digits), F.lit(8))))
+    return F.transform(F.regexp_extract_all(padded, F.lit(".{8}"), 0), lambda w: F.conv(w, 16, 10).cast("bigint"))
 
 
 def unpack_consensus(words: Column) -> Column:
     """The bases of packed numbers up to the first code 0."""
-    digits = F.transform(
-        F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(28), F.lit(0), F.lit(-4)), lambda s: F.call_function("shiftright", w, s).bitwiseAND(15)))),
-        lambda code: code_base(code.cast("int")),
-    )
-    return F.regexp_extract(F.array_join(digits, ""), "^([^-]*)", 1)
+    digits = F.transform(words, lambda w: F.lpad(F.hex(w.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+    return F.substring_index(F.translate(F.array_join(digits, ""), _HEX, BASES), "-", 1)
 
 
 def pack_run(codes: Column) -> Column:
