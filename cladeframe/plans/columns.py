@@ -132,8 +132,9 @@ def sites(spark, sf_dir):
 
 @query(f"WITH {_SITES} SELECT source, CAST(i AS BIGINT) AS i, arg_min(c, doc_id) FILTER (WHERE c <> '-') AS base FROM s GROUP BY source, i HAVING bool_or(c <> '-')")
 def msa_consensus(spark, sf_dir):
-    real = sites(spark, sf_dir).where("c <> '-'")
-    return real.groupBy("source", "i").agg(F.min_by("c", "doc_id").alias("base"))
+    # a base is kept as its number, so that bases are gathered in a hash table where they are read, not sorted
+    real = sites(spark, sf_dir).where("c <> '-'").withColumn("c", F.ascii("c"))
+    return real.groupBy("source", "i").agg(F.min_by("c", "doc_id").alias("base")).select("source", "i", F.char("base").alias("base"))
 
 
 @query(f"WITH {_SITES}, g AS (SELECT source, i FROM s GROUP BY source, i HAVING bool_and(c = '-')) SELECT s.doc_id, count(*) AS n FROM s WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.source = s.source AND g.i = s.i) GROUP BY s.doc_id")

@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladeframe.functions import codes
+from cladeframe.plans import registry
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_msa_consensus_is_hashed(spark):
+    plan = plan_of(registry.QUERIES["msa_consensus"](spark, "/root/testdata/sf0.001"))
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
 
 
 def test_consensus_words(spark):
