@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladeframe.functions import codes
+from cladeframe.operators import mutations, replay
 from cladeframe.plans import registry
 
 
@@ -12,6 +13,18 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
+def events_of(spark):
+    nodes = spark.createDataFrame([(0, 0, "r", None, 0, 2), (0, 1, "a", 0, 1, 2), (0, 2, "b", 1, 2, 2)], "tree_id int, node_id int, name string, parent_id int, pre int, post int")
+    bases = spark.createDataFrame([(0, 0, 0, 3, -1, "S", "A"), (0, 1, 0, 3, -1, "S", "C"), (0, 1, 0, 4, -1, "S", "G"), (0, 2, 0, 3, -1, "S", "T"), (0, 2, 1, 0, -1, "S", "T")], "tree_id int, node_id int, block_id int, pos int, gap_pos int, type string, base string")
+    block = spark.createDataFrame([(0, 0, 0, 0, "ins")], "tree_id int, node_id int, ord int, block_id int, kind string")
+    return {"node": nodes, "nuc_mut": mutations.pack(bases), "block_mut": block}
+
+
+def test_mutations_are_not_broadcast(spark):
+    plan = plan_of(replay.events(events_of(spark)))
+    assert "SortMergeJoin" in plan and not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "tree_id" in line and "node_id" in line]
+
+
 def test_msa_consensus_is_hashed(spark):
     plan = plan_of(registry.QUERIES["msa_consensus"](spark, "/root/testdata/sf0.001"))
     assert "SortAggregate" not in plan and "HashAggregate" in plan
