@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cladeframe.functions import codes
 from cladeframe.operators import mutations, replay
 from cladeframe.plans import registry
+from cladeframe.sources import sinks
 
 
 def plan_of(df) -> str:
@@ -25,6 +26,16 @@ def test_mutations_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "tree_id" in line and "node_id" in line]
 
 
+def test_names_of_a_vcf_stay_in_the_cluster(spark):
+    names = spark.createDataFrame([(["a", "b", "c"],)], "names array<string>")
+    calls = spark.createDataFrame([(5, "A", ["C"], [(1, 1)])], "pos int, ref string, alts array<string>, calls array<struct<tip:int, alt:int>>")
+    lines = sinks.vcf_lines(calls, names, "a")
+    assert lines.where("at = 5").first().line == ".\t5\t.\tA\tC\t.\t.\t.\t.\t0\t1\t0"
+    assert "names" not in [c for line in plan_of(lines).splitlines() if "CartesianProduct" in line or "BroadcastNestedLoopJoin" in line for c in line.split()]
+    joined = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(names" in joined.split("Join", 1)[1]
+
+
 def test_msa_consensus_is_hashed(spark):
     plan = plan_of(registry.QUERIES["msa_consensus"](spark, "/root/testdata/sf0.001"))
     assert "SortAggregate" not in plan and "HashAggregate" in plan
