@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from cladeframe.functions import codes
@@ -26,6 +28,22 @@ def test_mutations_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "tree_id" in line and "node_id" in line]
 
 
+def test_old_bases_come_with_nodes_and_not_row_by_row(spark, monkeypatch):
+    monkeypatch.delattr(replay, "_rows")  # that made a dict of every base
+    found = replay.old_bases(events_of(spark)).collect()
+    assert Counter((r.node_id, r.pos, r.new, r.old) for r in found) == Counter([(0, 3, "A", None), (1, 3, "C", "A"), (1, 4, "G", None), (2, 3, "T", "C")])
+
+
+def test_bases_written_twice_at_a_node():
+    walk = replay.Walk()
+    walk.enter(0, 1)
+    assert walk.written_over([(0, 1, -1), (0, 1, -1)], ["A", "C"]) == [None, "A"]
+    walk.enter(1, 1)
+    assert walk.written_over([(0, 1, -1)], ["G"]) == ["C"]
+    walk.enter(2, 2)
+    assert walk.bases == {}
+
+
 def test_names_of_a_vcf_stay_in_the_cluster(spark):
     names = spark.createDataFrame([(["a", "b", "c"],)], "names array<string>")
     calls = spark.createDataFrame([(5, "A", ["C"], [(1, 1)])], "pos int, ref string, alts array<string>, calls array<struct<tip:int, alt:int>>")
