@@ -23,6 +23,15 @@ def events_of(spark):
     return {"node": nodes, "nuc_mut": mutations.pack(bases), "block_mut": block}
 
 
+def test_pack_meets_a_node_once(spark):
+    rows = [(0, n, 0, p, -1, "S", "ACGT"[p % 4]) for n in range(3) for p in range(20) if p != 9] + [(0, 0, 0, 5, g, "I", "G") for g in range(8)]
+    packed = mutations.pack(spark.createDataFrame(rows, "tree_id int, node_id int, block_id int, pos int, gap_pos int, type string, base string"))
+    plan = plan_of(packed)
+    assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 2 and "Aggregate" not in plan
+    got = [(r.ord, r.pos, r.gap_pos, r.len, r.chars) for r in packed.where("node_id = 0").orderBy("ord").collect()]
+    assert got == [(0, 0, -1, 6, "ACGTAC"), (1, 5, 0, 6, "GGGGGG"), (2, 5, 6, 2, "GG"), (3, 6, -1, 3, "GTA"), (4, 10, -1, 6, "GTACGT"), (5, 16, -1, 4, "ACGT")]
+
+
 def test_mutations_are_not_broadcast(spark):
     plan = plan_of(replay.events(events_of(spark)))
     assert "SortMergeJoin" in plan and not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "tree_id" in line and "node_id" in line]
