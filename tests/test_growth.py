@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from cladeframe.functions import codes
-from cladeframe.operators import mutations, replay
+from cladeframe.operators import mutations, replay, variants
 from cladeframe.plans import registry
 from cladeframe.sources import sinks
 
@@ -74,3 +74,11 @@ def test_consensus_words(spark):
     assert {r.s: (r.w, r.t) for r in packed} == {
         "": ([], ""), "A": ([0x10000000], "A"), "ACMGRSVTWYHKDBN": ([0x12345678, 0x9ABCDEF0], "ACMGRSVTWYHKDBN"), "AC\nGx": ([0x12040000], "AC"), "é😀C": ([0x00200000], ""), None: (None, None),
     }
+
+
+def test_records_are_not_broadcast(spark):
+    names = spark.createDataFrame([(["a", "b"],)], "names array<string>")
+    records = spark.createDataFrame([(0, "b", 5, "A", "C")], "tree_id int, tip string, pos int, ref string, alt string")
+    calls = variants.genotypes(records, names)
+    assert "BroadcastHashJoin" not in plan_of(calls) and "SortMergeJoin" in plan_of(calls)
+    assert [(r.pos, r.alts, [tuple(c) for c in r.calls]) for r in calls.collect()] == [(5, ["C"], [(1, 1)])]
