@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from cladeframe.functions import codes
@@ -82,3 +83,16 @@ def test_records_are_not_broadcast(spark):
     calls = variants.genotypes(records, names)
     assert "BroadcastHashJoin" not in plan_of(calls) and "SortMergeJoin" in plan_of(calls)
     assert [(r.pos, r.alts, [tuple(c) for c in r.calls]) for r in calls.collect()] == [(5, ["C"], [(1, 1)])]
+
+
+#: Queries that give texts of tips of the network of blocks, and those that give what stands at points of texts.
+TEXTS = ["net_blocks_complex"]
+POINTS = []
+
+
+@pytest.mark.parametrize("name", TEXTS + POINTS)
+def test_nothing_of_a_text_is_shuffled_or_sorted(spark, name):
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    above, _, walk = plan.partition("MapInArrow")
+    assert walk and not any(step in above for step in ("Exchange", "Aggregate", "Sort [", "Window"))
+    assert not any(text in above for text in ("aligned#", "seq#", " text#")) if name in POINTS else "SortMergeJoin" not in above
