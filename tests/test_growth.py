@@ -86,7 +86,7 @@ def test_records_are_not_broadcast(spark):
 
 
 #: Queries that give texts of tips of the network of blocks, and those that give what stands at points of texts.
-TEXTS = ["net_blocks_complex", "net_blocks_split", "net_blocks_segment", "net_blocks_range_query"]
+TEXTS = ["net_blocks_complex", "net_blocks_split", "net_blocks_segment", "net_blocks_range_query", "net_blocks_subnet"]
 POINTS = ["net_blocks_base_places", "net_blocks_bases_up_to"]
 
 
