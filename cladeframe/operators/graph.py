@@ -47,10 +47,10 @@ def base_steps(net: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), 0)
     cut = texts.join(starts, ["tree_id", "block_id"]).select("tree_id", "path", "lo", F.posexplode(pieces).alias("k", "piece"))
     cut = cut.select("tree_id", "path", (F.col("lo") + F.col("k") * CHUNK).alias("step"), strip_gaps(F.col("piece")).alias("seq"))
-    cut = cut.where("seq <> ''")
+    cut = written(cut.where("seq <> ''"))  # tips are spelled once, and numbers of segments are given to what was written
     ids = cut.select("tree_id", "step", "seq").distinct()
     rank = F.row_number().over(Window.partitionBy("tree_id", "step").orderBy("seq"))
-    ids = ids.withColumn("segment", F.col("step").cast("bigint") * (1 << 24) + rank)
+    ids = written(ids.withColumn("segment", F.col("step").cast("bigint") * (1 << 24) + rank))
     steps = cut.join(ids, ["tree_id", "step", "seq"]).select("tree_id", "path", "step", "segment", F.lit(True).alias("forward"))
     return ids.select("tree_id", "segment", "seq"), steps
 

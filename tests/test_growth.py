@@ -96,3 +96,13 @@ def test_nothing_of_a_text_is_shuffled_or_sorted(spark, name):
     above, _, walk = plan.partition("MapInArrow")
     assert walk and not any(step in above for step in ("Exchange", "Aggregate", "Sort [", "Window"))
     assert not any(text in above for text in ("aligned#", "seq#", " text#")) if name in POINTS else "SortMergeJoin" not in above
+
+
+def test_tips_are_spelled_once_for_a_graph(spark, monkeypatch):
+    """Segments and steps are read from what was written, and not spelled again for each of their readers."""
+    from cladeframe.operators import graph
+    from tests.test_spelling import small
+
+    segments, steps = graph.base_steps(small(spark))
+    assert all("MapInArrow" not in plan_of(df) for df in (segments, steps))
+    assert sorted((r.path, r.step, r.seq) for r in steps.join(segments, ["tree_id", "segment"]).collect()) == [("a", 0, "GCGA"), ("b", 0, "TCGT"), ("c", 0, "ACGA")]
