@@ -25,6 +25,8 @@ COLUMNS = 1024
 PART = 1 << 14
 #: Bytes that a kernel works on at once; a cell of a node and a column takes about so many.
 WORK_BYTES, CELL_BYTES = 256 << 20, {"fitch": 40, "sankoff": 512}
+#: Cells of nodes and columns whose changes go out at once.
+OUT_CELLS = 1 << 18
 #: Cost of a state that cannot be.
 INFINITE = 100_000_001
 
@@ -226,14 +228,18 @@ class _Task:
 _CHANGED = pa.schema([("tree_id", pa.int32()), ("block_id", pa.int32()), ("node_id", pa.int32()), ("site", pa.int32()), ("type", pa.string()), ("base", pa.string())])
 
 
-def _changes(tree: int, block: int, node: np.ndarray, code: np.ndarray, above: np.ndarray, first: int) -> pa.RecordBatch:
-    """Where a branch changes the state: I where the parent has a gap, D where the node has, else S."""
-    i, site = np.nonzero((code != above) & (code >= 0) & (above >= 0))
-    new, old = code[i, site], above[i, site]
-    kind = np.where(old == 0, 0, np.where(new == 0, 1, 2))
-    one = lambda x: pa.array(np.full(len(i), x, dtype=np.int32))
-    columns = [one(tree), one(block), pa.array(node[i].astype(np.int32)), pa.array((site + first).astype(np.int32)), pa.array(["I", "D", "S"]).take(pa.array(kind)), pa.array(list(BASES)).take(pa.array(new.astype(np.int64)))]
-    return pa.RecordBatch.from_arrays(columns, schema=_CHANGED)
+def _changes(tree: int, block: int, node: np.ndarray, code: np.ndarray, above: np.ndarray, first: int) -> Iterator[pa.RecordBatch]:
+    """Where a branch changes the state: I where the parent has a gap, D where the node has, else S. Cells are looked at
+    OUT_CELLS at a time, so that what is held does not grow with a part's changes."""
+    rows = max(1, OUT_CELLS // max(code.shape[1], 1))
+    for a in range(0, len(code), rows):
+        part, up = code[a : a + rows], above[a : a + rows]
+        i, site = np.nonzero((part != up) & (part >= 0) & (up >= 0))
+        new, old = part[i, site], up[i, site]
+        kind = np.where(old == 0, 0, np.where(new == 0, 1, 2)).astype(np.int8)
+        one = lambda x, n=len(i): pa.array(np.full(n, x, dtype=np.int32))
+        columns = [one(tree), one(block), pa.array(node[i + a].astype(np.int32)), pa.array((site + first).astype(np.int32)), pa.array(["I", "D", "S"]).take(pa.array(kind)), pa.array(list(BASES)).take(pa.array(new.astype(np.int8)))]
+        yield pa.RecordBatch.from_arrays(columns, schema=_CHANGED)
 
 
 def _solve(method: str, columns: int, memory: int):
@@ -243,7 +249,7 @@ def _solve(method: str, columns: int, memory: int):
         task = _Task(batches, method, memory)
         for a, b in task.stretches():
             code, above = task.states(a, b)
-            yield _changes(key[0].as_py(), key[1].as_py(), task.node, code, above, a + key[3].as_py() * columns)
+            yield from _changes(key[0].as_py(), key[1].as_py(), task.node, code, above, a + key[3].as_py() * columns)
 
     return run
 
@@ -278,9 +284,9 @@ def _crown(method: str, columns: int, width: int, memory: int):
         first = stretch * width
         for a, b in task.stretches():
             code, above = task.states(a, b)
-            found = _changes(tree, block, task.node, code, above, first + a)
-            none = [pa.nulls(found.num_rows, t) for _, t in extra]
-            yield pa.RecordBatch.from_arrays([*found.columns, *none], schema=pa.schema([*_CHANGED, *extra]))
+            for found in _changes(tree, block, task.node, code, above, first + a):
+                none = [pa.nulls(found.num_rows, t) for _, t in extra]
+                yield pa.RecordBatch.from_arrays([*found.columns, *none], schema=pa.schema([*_CHANGED, *extra]))
             n = len(task.node)
             same = lambda v: pa.array(np.full(n, v, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(

@@ -356,7 +356,9 @@ def two_trees(spark, sf_dir: str) -> Network:
     rows = supplier.withColumn("parent_id", F.lit(-1)).unionByName(tops.withColumn("parent_id", F.lit(None).cast("int"))).withColumns(none)
     fields = [f.split(" ") for f in NODE.split(", ")]
     nodes = written(tree.numbered(rows.select(*[F.col(c).cast(t).alias(c) for c, t in fields])))
-    return Network.from_msa(nodes, alignment_of(spark, sf_dir).drop("tree_id").join(supplier.select("name", "tree_id"), "name"))
+    msa = written(alignment_of(spark, sf_dir).drop("tree_id").join(supplier.select("name", "tree_id"), "name"))  # inference reads it twice, and each reader of its mutations again
+    made = Network.from_msa(nodes, msa).tables
+    return Network({**made, "nuc_mut": written(made["nuc_mut"]), "block": written(made["block"])})
 
 
 @query(f"""WITH {_NODES}, {_SITES}, w AS (SELECT m.id, m.name, CAST(n.nation % 2 AS INTEGER) AS tree_id, m.site, m.base FROM m JOIN n ON n.id = m.id),

@@ -106,3 +106,17 @@ def test_tips_are_spelled_once_for_a_graph(spark, monkeypatch):
     segments, steps = graph.base_steps(small(spark))
     assert all("MapInArrow" not in plan_of(df) for df in (segments, steps))
     assert sorted((r.path, r.step, r.seq) for r in steps.join(segments, ["tree_id", "segment"]).collect()) == [("a", 0, "GCGA"), ("b", 0, "TCGT"), ("c", 0, "ACGA")]
+
+
+def test_changes_of_a_part_go_out_in_slices(monkeypatch):
+    """What a kernel holds of its changes does not grow with the part."""
+    import numpy as np
+
+    from cladeframe.operators import parsimony
+
+    monkeypatch.setattr(parsimony, "OUT_CELLS", 8)
+    code, above = np.array([[1, 2, 0, 3]] * 5, dtype=np.int8), np.array([[1, 0, 2, 4]] * 5, dtype=np.int8)
+    batches = list(parsimony._changes(0, 0, np.arange(10, 15), code, above, 100))
+    assert [b.num_rows for b in batches] == [6, 6, 3]
+    rows = [tuple(r.values())[2:] for b in batches for r in b.to_pylist()]
+    assert rows == [(n, 100 + k, kind, base) for n in range(10, 15) for k, kind, base in ((1, "I", parsimony.BASES[2]), (2, "D", parsimony.BASES[0]), (3, "S", parsimony.BASES[3]))]
