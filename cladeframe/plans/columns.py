@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from cladeframe.functions import codes
 from cladeframe.operators import graph, mutations, sequence, variants
+from cladeframe.operators.order import ranked
 from cladeframe.plans.registry import query, table
 from cladeframe.plans.scalars import SEQ, sequences
+from cladeframe.scratch import written
 from cladeframe.sources.text import occurrence
 
+#: Keys of a group whose pairs are made together.
+SLICE = 1024
+
 _STEP = "SELECT user_id, event_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step FROM events"
 
 
@@ -284,9 +289,17 @@ def path_align(spark, sf_dir):
 
 @query("""SELECT a.p_brand, a.p_partkey AS x, b.p_partkey AS y FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
 def anchor_pairs(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    other = part.select("p_brand", "p_size", F.col("p_partkey").alias("y"))
-    return part.join(other, ["p_brand", "p_size"]).where("p_partkey < y").select("p_brand", F.col("p_partkey").alias("x"), "y")
+    # keys of a group in order are cut into slices, and pairs of slices are dealt to tasks, whatever a group's size
+    part = table(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey").dropna()
+    cut = ranked(part, ["p_brand", "p_size", "p_partkey"]).withColumn("s", F.floor(F.col("rank") / SLICE))
+    slices = written(cut.groupBy("p_brand", "p_size", "s").agg(F.array_sort(F.collect_list("p_partkey")).alias("xs")))
+    met = slices.groupBy("p_brand", "p_size").count().agg(F.sum(F.col("count") * (F.col("count") + 1) / 2)).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, int(met) // 64)
+    later = slices.select("p_brand", "p_size", F.col("s").alias("t"), F.col("xs").alias("ys"))
+    dealt = slices.join(later, ["p_brand", "p_size"]).where("s <= t").repartition(tasks)
+    each = dealt.select("p_brand", "s", "t", "ys", F.posexplode("xs").alias("i", "x"))
+    behind = F.when(F.col("s") == F.col("t"), F.slice("ys", F.col("i") + 2, F.size("ys"))).otherwise(F.col("ys"))
+    return each.select("p_brand", "x", F.explode(behind).alias("y")).where("x < y")
 
 
 @query("""SELECT a.p_partkey AS x, count(*) AS n_before, max(b.p_partkey) AS latest FROM part a JOIN part b

@@ -120,3 +120,16 @@ def test_changes_of_a_part_go_out_in_slices(monkeypatch):
     assert [b.num_rows for b in batches] == [6, 6, 3]
     rows = [tuple(r.values())[2:] for b in batches for r in b.to_pylist()]
     assert rows == [(n, 100 + k, kind, base) for n in range(10, 15) for k, kind, base in ((1, "I", parsimony.BASES[2]), (2, "D", parsimony.BASES[0]), (3, "S", parsimony.BASES[3]))]
+
+
+def test_pairs_of_a_group_are_dealt_in_slices(spark, monkeypatch, tmp_path):
+    """Neither a small file nor a large group makes all pairs one task; repeated and missing keys are as in SQL."""
+    from cladeframe.plans import columns
+
+    monkeypatch.setattr(columns, "SLICE", 4)
+    rows = [("a", 1, k) for k in range(30)] + [("a", 1, 7), ("a", 1, 7), ("b", 1, 3), ("b", 2, 4), ("b", 2, 9), (None, 1, 1), (None, 1, 2), ("a", None, 1), ("a", None, 2), ("a", 1, None)]
+    spark.createDataFrame(rows, "p_brand string, p_size int, p_partkey long").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = columns.anchor_pairs(spark, str(tmp_path))
+    want = [(a[0], a[2], b[2]) for a in rows for b in rows if None not in a + b and a[:2] == b[:2] and a[2] < b[2]]
+    assert Counter(tuple(r) for r in found.collect()) == Counter(want)
+    assert found.rdd.getNumPartitions() >= 8
