@@ -97,3 +97,60 @@ def test_baseline_spares_the_texts(spark, monkeypatch):
     texts = spark.createDataFrame([(0, n, 0, s) for n, s in (("a", "AC"), ("b", "AC"), ("c", "AT"))], "tree_id int, name string, block_id int, seq string")
     base = spark.createDataFrame([(0, 0, "AG")], "tree_id int, block_id int, seq string")
     assert sorted(tuple(r)[2:] for r in parsimony.infer_by_block(net["node"], texts, base).collect()) == [(0, 1, "S", "C"), (3, 1, "S", "T")]
+
+
+def test_records_are_made_by_column(spark, monkeypatch):
+    """Records of spelled tips go out as arrays, and no base is walked for tips that are spelled."""
+    from cladeframe.operators import replay, variants
+
+    monkeypatch.delattr(variants, "_compare")
+    net = small(spark)
+    net["seq_meta"] = spark.createDataFrame([(0, 1, 0, 0, True)], TABLES["seq_meta"])
+    walked = []
+    inner = replay.apart
+
+    def watched(net, *rest):
+        walked.append(net["nuc_mut"].count())
+        return inner(net, *rest)
+
+    monkeypatch.setattr(replay, "apart", watched)
+    monkeypatch.delattr(variants, "differing")  # that made a tuple of every record
+    found = variants.tip_records(net, net["node"].where("name = 'a'").select("tree_id", "node_id"))
+    aligned = {"a": "-GCGA", "b": "TCG-T", "c": "A-CGA"}
+    assert sorted(tuple(r)[1:] for r in found.collect()) == sorted((t, *x) for t, s in aligned.items() for x in _plain("-GCGA", s))
+    assert walked == [0]
+
+
+def _plain(ref, alt):
+    """variants.differences() stretch by stretch."""
+    columns = [(r, a) for r, a in zip(ref, alt) if (r, a) != ("-", "-")]
+    out, k, n, spent = [], 0, 0, None
+    while k < len(columns):
+        if columns[k][0] == columns[k][1]:
+            n, k = n + 1, k + 1
+            continue
+        first = k
+        while k < len(columns) and columns[k][0] != columns[k][1]:
+            k += 1
+        own, other = ("".join(c[i] for c in columns[first:k]).replace("-", "") for i in (0, 1))
+        if "-" in columns[first] and first and first - 1 != spent:
+            out.append((n, columns[first - 1][0] + own, columns[first - 1][0] + other))
+        elif not own and k < len(columns):
+            spent = k
+            out.append((n + 1, columns[k][0], other + columns[k][0]))
+        else:
+            out.append((n + 1, own, other))
+        n += len(own)
+    return out
+
+
+def test_records_of_any_texts():
+    import random
+
+    from cladeframe.operators import variants
+
+    draw = random.Random(3)
+    for _ in range(4000):
+        letters, n = draw.choice(["-A", "-AC", "-ACG"]), draw.randint(0, 12)
+        ref, alt = ("".join(draw.choice(letters) for _ in range(n)) for _ in range(2))
+        assert variants.differences(ref, alt) == _plain(ref, alt), (ref, alt)
