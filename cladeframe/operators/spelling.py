@@ -26,6 +26,8 @@ OUT_BYTES, OUT_ROWS = 8 << 20, 10_000
 #: Records of a compared text that go out at once.
 RECORDS = 1 << 17
 GAP = ord("-")
+#: Columns, as a power of two, whose bases are counted together.
+COUNTED = 12
 _TURNED = np.arange(256, dtype=np.uint8)
 for _c in BASES[1:]:
     _TURNED[ord(_c)] = ord("N")
@@ -55,6 +57,8 @@ class Columns:
         self.number = number
         self.blocks: dict[int, bool] = {}
         self.open: list[tuple[int, list, list]] = []
+        #: Bases of every 2^COUNTED columns, kept up to date from the first question for them on.
+        self.counts: np.ndarray | None = None
 
     def _at(self, block: np.ndarray, pos: np.ndarray, gap: np.ndarray) -> np.ndarray:
         """Columns of places by number of block; gap columns stand before their main base."""
@@ -68,7 +72,7 @@ class Columns:
         while self.open and self.open[-1][0] < pre:
             _, writes, turns = self.open.pop()
             for at, old in reversed(writes):
-                self.text[at] = old
+                self._put(at, old)
             for block, old in reversed(turns):
                 if old is None:
                     self.blocks.pop(block, None)
@@ -94,7 +98,25 @@ class Columns:
         known = self.ids[k] == block
         at = self._at(k[known], pos[known], gap[known])
         self.open[-1][1].append((at, self.text[at]))
-        self.text[at] = base[known]
+        self._put(at, base[known])
+
+    def _put(self, at: np.ndarray, base: np.ndarray) -> None:
+        if self.counts is None:
+            self.text[at] = base
+            return
+        at, last = np.unique(at[::-1], return_index=True)
+        base = base[::-1][last]
+        more = (base != GAP).astype(np.int8) - (self.text[at] != GAP)
+        changed = np.flatnonzero(more)
+        np.add.at(self.counts, at[changed] >> COUNTED, more[changed])
+        self.text[at] = base
+
+    def bases_before(self) -> Callable[[int], int]:
+        """A function that counts the bases of all columns ahead of one, whether their blocks are there or not, as they stand now."""
+        if self.counts is None:
+            self.counts = np.add.reduceat(self.text != GAP, np.arange(0, len(self.text), 1 << COUNTED), dtype=np.int64) if len(self.text) else np.zeros(0, np.int64)
+        ahead = np.append(0, np.cumsum(self.counts))
+        return lambda c: int(ahead[c >> COUNTED]) + int(np.count_nonzero(self.text[c >> COUNTED << COUNTED : c] != GAP))
 
     def block(self, k: int) -> np.ndarray | None:
         """The text of block number k as it stands, or None where it is absent."""
@@ -370,15 +392,22 @@ def bases_up_to(net: dict[str, DataFrame], points: DataFrame) -> DataFrame:
     def give(columns: Columns, row: dict, places: np.ndarray) -> Iterator[tuple]:
         if not len(columns.ids):
             return
-        text = columns.in_order()
         k = np.minimum(np.searchsorted(columns.ids, places[:, 0]), len(columns.ids) - 1)
         starts = np.asarray(columns.bounds)
         inside = (columns.ids[k] == places[:, 0]) & (places[:, 1] < starts[k + 1] - starts[k])
-        places, k = places[inside], k[inside]
-        column = starts[k] + places[:, 1]
-        upto = np.cumsum(text != GAP)[column]
-        for b, i, c, n in zip(places[:, 0].tolist(), places[:, 1].tolist(), text[column].tolist(), upto.tolist()):
-            yield row["tree_id"], row["node_id"], b, i, chr(c), n
+        # a node costs its points and a count for each block: its text is not put together
+        before = columns.bases_before()
+        edges = [before(c) for c in columns.bounds]
+        own = [hi - lo if b in columns.blocks else 0 for b, lo, hi in zip(columns.ids.tolist(), edges, edges[1:])]
+        ahead = np.append(0, np.cumsum(own)).tolist()
+        for (block, i), n in zip(places[inside].tolist(), k[inside].tolist()):
+            lo, hi, forward = columns.bounds[n], columns.bounds[n + 1], columns.blocks.get(block)
+            if forward is None:
+                yield row["tree_id"], row["node_id"], block, i, chr(GAP), ahead[n]
+            elif forward:
+                yield row["tree_id"], row["node_id"], block, i, chr(columns.text[lo + i]), ahead[n] + before(lo + i + 1) - edges[n]
+            else:
+                yield row["tree_id"], row["node_id"], block, i, chr(_TURNED[columns.text[hi - 1 - i]]), ahead[n] + edges[n + 1] - before(hi - 1 - i)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _out(_walk(batches, None, give), schema)

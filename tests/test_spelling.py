@@ -154,3 +154,28 @@ def test_records_of_any_texts():
         letters, n = draw.choice(["-A", "-AC", "-ACG"]), draw.randint(0, 12)
         ref, alt = ("".join(draw.choice(letters) for _ in range(n)) for _ in range(2))
         assert variants.differences(ref, alt) == _plain(ref, alt), (ref, alt)
+
+
+def test_bases_are_counted_without_texts(spark, monkeypatch):
+    """A node with points costs these and its own mutations, not the length of its text."""
+    monkeypatch.delattr(spelling.Columns, "in_order")
+    net = small(spark)
+    points = spark.createDataFrame([(0, n, 0, at) for n in range(4) for at in range(-1, 6)], "tree_id int, node_id int, block_id int, at int")
+    shown = {0: "A-CGA", 1: "-GCGA", 2: "TCG-T", 3: "A-CGA"}
+    expected = [(n, at, s[at], sum(c != "-" for c in s[: at + 1])) for n, s in shown.items() for at in range(5)]
+    assert sorted((r.node_id, r.at, r.base, r.n_bases) for r in spelling.bases_up_to(net, points).collect()) == expected
+
+
+def test_counts_follow_what_is_written(monkeypatch):
+    """Counts of bases stay those of the text when mutations are written, written twice, and taken back."""
+    import numpy as np
+
+    monkeypatch.setattr(spelling, "COUNTED", 2)
+    draw = np.random.default_rng(5)
+    columns = spelling.Columns({0: "ACGTACGTAC", 3: "GGT"}, [(0, 4, 2), (0, 10, 1), (3, 0, 2)])
+    for pre, post in [(0, 9), (1, 4), (2, 2), (3, 4), (5, 9), (6, 6), (7, 9), (8, 8), (9, 9)]:
+        columns.enter(pre, post)
+        n = int(draw.integers(0, 12))
+        columns.write(draw.choice([0, 3, 5], n), draw.integers(0, 3, n), np.full(n, -1), draw.choice(np.frombuffer(b"-ACG", np.uint8), n))
+        before = columns.bases_before()
+        assert [before(c) for c in range(len(columns.text) + 1)] == [int((columns.text[:c] != spelling.GAP).sum()) for c in range(len(columns.text) + 1)]
