@@ -179,3 +179,21 @@ def test_counts_follow_what_is_written(monkeypatch):
         columns.write(draw.choice([0, 3, 5], n), draw.integers(0, 3, n), np.full(n, -1), draw.choice(np.frombuffer(b"-ACG", np.uint8), n))
         before = columns.bases_before()
         assert [before(c) for c in range(len(columns.text) + 1)] == [int((columns.text[:c] != spelling.GAP).sum()) for c in range(len(columns.text) + 1)]
+
+
+def test_writers_do_not_hold_a_hundred_texts(spark, tmp_path):
+    """In a session that spells, a row group ends by its bytes, also where a hundred rows are more than a task has memory for."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    keys = [*spelling._WRITER, "parquet.block.size"]
+    for key in keys:
+        spark.conf.unset(key)
+    spelling.spelled(small(spark))
+    spark.conf.set("parquet.block.size", str(4 << 20))
+    text = F.expr("array_join(transform(sequence(1, 20000), i -> sha2(cast(i * 100 + id as string), 256)), '')")
+    spark.range(0, 20, 1, 1).select(text.alias("text")).write.parquet(f"{tmp_path}/out")
+    for key in keys:
+        spark.conf.unset(key)
+    groups = [f.row_group(k).num_rows for p in (tmp_path / "out").glob("*.parquet") for f in [pq.ParquetFile(p).metadata] for k in range(f.num_row_groups)]
+    assert sum(groups) == 20 and max(groups) < 5
